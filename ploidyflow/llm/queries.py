@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, substring, token_output
+from . import bpe_chunks, simhash, substring, token_output
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir), window=50)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_documents(spark, sf_dir), words=3, radius=2)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(_documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
@@ -31,6 +35,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
+    "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
