@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, simhash, substring, token_output
+from . import bpe_chunks, prefix_forest, simhash, substring, tiling, token_output
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(_documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5)
+
+
+def op9_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.bpe_digest(_documents(spark, sf_dir), BYTE_BPE)
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
+    "op8_prefix_forest": op8_prefix_forest,
+    "op9_tiling": op9_tiling,
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
