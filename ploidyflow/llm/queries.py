@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, prefix_forest, simhash, substring, tiling, token_output
+from . import bpe_chunks, language, prefix_forest, simhash, substring, tiling, token_output
+from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = language.train(docs.where(crc_mod("doc_id", 3) != 1))
+    return language.predict(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "share")
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir), window=50)
 
@@ -42,6 +49,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
