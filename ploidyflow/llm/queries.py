@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, language, prefix_forest, simhash, substring, tiling, token_output
+from . import bpe_chunks, html_text, language, prefix_forest, simhash, substring, tiling, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -36,6 +36,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(_documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_every=50, k=5)
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
+    "op7_html_text": op7_html_text,
     "op8_prefix_forest": op8_prefix_forest,
     "op9_tiling": op9_tiling,
     "op10_bpe_chunks": op10_bpe_chunks,
