@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, html_text, language, prefix_forest, simhash, substring, tiling, token_output
+from . import bpe_chunks, html_text, language, line_quality, prefix_forest, simhash, substring, tiling, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -36,6 +36,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_table(_documents(spark, sf_dir), BYTE_BPE, end_id=2)
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = line_quality.train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return line_quality.score(docs, model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
+    "op6_line_quality": op6_line_quality,
     "op7_html_text": op7_html_text,
     "op8_prefix_forest": op8_prefix_forest,
     "op9_tiling": op9_tiling,
