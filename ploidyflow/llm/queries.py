@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, html_text, language, line_quality, prefix_forest, simhash, substring, tiling, token_output
+from . import bpe_chunks, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -28,6 +28,13 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_documents(spark, sf_dir), window=50)
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = kneser_ney.train(docs.where(crc_mod("doc_id", 7) != 2))
+    held_out = (crc_mod("doc_id", 7) == 2).alias("held_out")
+    return kneser_ney.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir), words=3, radius=2)
 
@@ -61,6 +68,7 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_substring": op2_substring,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_simhash": op4_simhash,
     "op5_token_output": op5_token_output,
     "op6_line_quality": op6_line_quality,
