@@ -84,12 +84,12 @@ def local_of(uri: str) -> str | None:
     return unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
-def documents_of(df: DataFrame) -> DataFrame:
-    """doc_id and text alone: other columns, clashing names among them, are left out.
+def documents_of(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and text, and columns to carry: others, clashing names among them, are left out.
 
     Rows without doc_id are no documents; a null text counts as empty.
     """
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), *carry, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
 def crc_mod(column: str, n: int):

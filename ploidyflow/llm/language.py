@@ -30,6 +30,8 @@ LEAST_RATE = 0.25
 #: Languages in a filter: bits of a number.
 MOST_LANGUAGES = 63
 UNKNOWN = "und"
+#: Text of the languages learned has at least so many of their n-grams, if it isn't of another kind altogether.
+LEAST_SHARE = 0.2
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 #: Letters in lower case; other ASCII as a space.
@@ -109,6 +111,20 @@ class LanguageFilter:
         return out
 
 
+    def answers(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and share of every text of a slice."""
+        got = self.scores(data, bounds)
+        best = got.argmax(axis=1)
+        share, total = got[np.arange(len(best)), best], got.sum(axis=1)
+        score = np.divide(share, total, out=np.zeros(len(best)), where=total > 0)
+        lang = np.array(self.languages, object)[np.where(total > 0, best, self.usual)]
+        ascii_letters = np.concatenate([[0], np.cumsum((_LETTERS[data] != 32) & (data < 128))])[bounds]
+        for i in np.flatnonzero(np.diff(ascii_letters) == 0).tolist():
+            if not has_letter(data[bounds[i] : bounds[i + 1]].tobytes()):
+                lang[i], score[i], share[i] = UNKNOWN, 0.0, 0.0
+        return lang, score, share
+
+
 def train(labelled: DataFrame) -> LanguageFilter | None:
     """A filter from doc_id, text and lang of rows; none of them used but those with a text and lang.
 
@@ -162,16 +178,30 @@ def predict(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
             n = len(rows)
             lang, score, share = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if own is not None:
-                got = own.scores(data, bounds)
-                best = got.argmax(axis=1)
-                share = got[np.arange(n), best]
-                total = got.sum(axis=1)
-                score = np.divide(share, total, out=np.zeros(n), where=total > 0)
-                lang = np.array(own.languages, object)[np.where(total > 0, best, own.usual)]
-                ascii_letters = np.concatenate([[0], np.cumsum((_LETTERS[data] != 32) & (data < 128))])[bounds]
-                for i in np.flatnonzero(np.diff(ascii_letters) == 0).tolist():
-                    if not has_letter(data[bounds[i] : bounds[i + 1]].tobytes()):
-                        lang[i], score[i], share[i] = UNKNOWN, 0.0, 0.0
+                lang, score, share = own.answers(data, bounds)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(lang, pa.string()), pa.array(score), pa.array(share)], ["doc_id", "lang_pred", "score", "share"])
 
     return documents_of(docs).mapInArrow(answer, "doc_id bigint, lang_pred string, score double, share double")
+
+
+def keep_known(docs: DataFrame, model: LanguageFilter | None, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The documents, with all their columns, whose language is known.
+
+    Rejected are texts that are null or have no letter, and those of whose n-grams
+    the best language has less than least_share. Without a model nothing is known
+    and all that has a letter stays.
+    """
+    session_setup(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        own = shared.value
+        for rows, data, bounds in text_slices(batches):
+            if own is None:
+                known = np.array([has_letter(data[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bool)
+            else:
+                lang, _, share = own.answers(data, bounds)
+                known = (lang != UNKNOWN) & (share >= least_share)
+            yield rows.filter(pa.array(known))
+
+    return docs.mapInArrow(keep, docs.schema)

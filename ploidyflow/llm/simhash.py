@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, session_setup, text_slices, written
+from .common import documents_of, lowered, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
 from .components import components
 
 BITS = 64
@@ -233,3 +233,146 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     found = components(near_links(nodes, radius))
     named = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------ near copies by similarity
+
+#: Smallest shingle hashes of a text that serve as buckets. Texts of similarity s share one of them but for about (1 - s) ** 8 of pairs.
+KEYS = 8
+#: Differing bits up to which texts of similarity 0.8 are looked for: their mean is 10, with a deviation of 3.
+WIDE = 20
+#: Earlier rows of its bucket that a row is held against by its text, nearest fingerprints first.
+PARTNERS = 4
+
+
+def _chosen(node: np.ndarray, pairs) -> pa.RecordBatch:
+    """The nearest earlier partners of each row, from pairs (i, j, distance)."""
+    parts = list(pairs)
+    i, j, d = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((a, d, b))
+    a, b, d = a[order], b[order], d[order]
+    if len(b):
+        new = np.concatenate([[True], b[1:] != b[:-1]])
+        keep = np.arange(len(b)) - np.flatnonzero(new)[np.cumsum(new) - 1] < PARTNERS
+        a, b, d = a[keep], b[keep], d[keep]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "distance"])
+
+
+def _candidates(reps: DataFrame) -> DataFrame:
+    """Pairs a < b of one bucket within WIDE bits, PARTNERS to a row and bucket."""
+
+    def buckets(batches):
+        for b in batches:
+            fps = b.column("fp").to_numpy().view(np.uint64)
+            table = pivot_table(fps)
+            least = b.column("least")
+            n = np.diff(least.offsets.to_numpy())
+            row = np.repeat(np.arange(len(b)), n)
+            flat = pa.array([x.tobytes() for x in table], pa.binary()).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([least.flatten(), pa.array(fps[row].view(np.int64)), b.column("node").take(pa.array(row)), pa.array(table[row, 0].astype(np.int32)), flat], ["bucket", "fp", "node", "lead", "pivots"])
+
+    def sweep(batches):
+        names = ("bucket", "fp", "node", "pivots")
+        for rows, dense in whole_buckets(batches, names):
+            if not dense:
+                got = _chosen(rows["node"], swept_pairs(rows["bucket"], rows["fp"].view(np.uint64), rows["pivots"], WIDE))
+                yield _tagged(got, None)
+            else:
+                yield _tagged(pa.RecordBatch.from_arrays([pa.array(rows["bucket"]), pa.array(rows["node"]), pa.array(rows["fp"])], ["a", "b", "distance"]), True)
+
+    rows = reps.mapInArrow(buckets, "bucket bigint, fp bigint, node bigint, lead int, pivots binary").repartition("bucket").sortWithinPartitions("bucket", "lead")
+    found = written(rows.mapInArrow(sweep, "a bigint, b bigint, distance bigint, dense boolean"), "candidates")
+    dense = found.where("dense").toDF("bucket", "node", "fp", "dense").drop("dense")
+    return found.where("not dense").drop("dense").union(_dense_candidates(dense))
+
+
+def _tagged(batch: pa.RecordBatch, dense: bool | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), bool(dense)))], ["a", "b", "distance", "dense"])
+
+
+def _dense_candidates(dense: DataFrame) -> DataFrame:
+    """Candidates of over-full buckets: a bucket's rows are dealt into blocks, and every two blocks meet in a task."""
+    half = SWEEP_ROWS // 2
+    sizes = written(dense.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks")), "dense")
+    placed = dense.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "node")
+
+    def sweep(batches):
+        held, at = [], None
+
+        def done():
+            key, fp, node = (np.concatenate([x[k] for x in held]) for k in range(3))
+            fps = fp.view(np.uint64)
+            table = pivot_table(fps)
+            order = np.argsort(table[:, 0], kind="stable")
+            return _chosen(node[order], swept_pairs(key, fps[order], table[order], WIDE))
+
+        for b in batches:
+            key, fp, node = (b.column(x).to_numpy() for x in ("bucket", "fp", "node"))
+            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                if x == y:
+                    continue
+                if held and key[x] != at:
+                    yield done()
+                    held.clear()
+                at = key[x]
+                held.append((key[x:y], fp[x:y], node[x:y]))
+        if held:
+            yield done()
+
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sweep, "a bigint, b bigint, distance bigint")
+
+
+def _shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
+    """Distinct hashes of each text's shingles, lower-cased."""
+    data = lowered(data)
+    starts, ends, at = word_spans(data, bounds)
+    sums = prefix_sums(word_hashes(data, starts, ends))
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        here = np.arange(a, max(b - words + 1, a + (b > a)))
+        out.append(np.unique(range_hash(sums, here, np.minimum(here + words, b))))
+    return out
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct hashes; of two empty ones 1."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links of every document.
+
+    Documents with the same words (A-Z in lower case) are one class. Other texts are
+    linked if their sets of shingles of so many words have that Jaccard similarity
+    or more, which is computed from the whole texts; the texts held against each
+    other share one of the KEYS smallest shingle hashes, their fingerprints differ
+    in WIDE bits at most by their pivot tables, and are among the PARTNERS nearest
+    earlier ones of their bucket. class_id is the smallest doc_id reachable and
+    n_links the number of links of the document's text. Null and empty texts are
+    copies of each other. Repeated rows are returned as often.
+    """
+    session_setup(docs.sparkSession)
+    docs = documents_of(docs)
+    prints = written(fingerprints(docs, words, KEYS), "prints")
+    reps = written(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")), "reps")
+    pairs = written(_candidates(reps.select("node", "fp", "least")).groupBy("a", "b").agg(F.min("distance").alias("distance")), "pairs")
+    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
+    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+
+    def verify(batches):
+        for rows, data, bounds in text_slices(batches):
+            for other, own, at in text_slices([rows], "other", 1 << 62):
+                s = [similarity(x, y) for x, y in zip(_shingle_sets(data, bounds, words), _shingle_sets(own, at, words), strict=True)]
+                keep = pa.array(np.array(s) >= least_similarity)
+                yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], ["a", "b"])
+
+    links = written(both.mapInArrow(verify, "a bigint, b bigint").distinct(), "links")
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    found = components(links).join(ends, "node", "left")
+    named = written(reps.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links")

@@ -124,7 +124,7 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     return settled.union(single)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes every word that a window of so many words covers whose words also start in a smaller doc_id.
 
     Words are [^ \\t-\\r]+, unchanged. All windows are judged on the input. Returns
@@ -134,11 +134,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -
 
     Null text is an empty one; documents of fewer words than a window keep all.
     Of equal documents the smallest doc_id keeps its words. Rows that repeat a
-    doc_id count as one document for what is smaller, and the runs found in any
-    of them are removed from each as far as they fit. Other columns are left out.
+    doc_id count as one document for what is smaller, and the runs found in any of them
+    are removed from each as far as they fit. Other columns are left out
+    but for those to carry.
     """
     session_setup(docs.sparkSession)
-    docs = documents_of(docs)
+    whole = documents_of(docs, carry)
+    docs = whole.select("doc_id", "text")
     runs = repeated_runs(docs, window).select("doc_id", (F.shiftleft(F.col("first").cast("bigint"), 32) + F.col("n")).alias("run"))
     by_doc = runs.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
@@ -167,9 +169,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -
                         left = lead + b"".join([text[begin[a] : begin[b]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
                 out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), left.decode() if with_text else None))
             n, removed, sha, texts = zip(*out, strict=True)
-            columns = [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            columns = [rows.column(x) for x in ("doc_id", *carry)] + [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
+            names = ["doc_id", *carry, "n_words", "n_removed", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names + ["text"] * with_text)
 
-    joined = docs.join(by_doc, "doc_id", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
-    return joined.mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text)
+    joined = whole.join(by_doc, "doc_id", "left").select("doc_id", *carry, "text", F.coalesce("runs", F.array().cast("array<bigint>")).alias("runs"))
+    carried = "".join(f"{x} {joined.schema[x].dataType.simpleString()}, " for x in carry)
+    return joined.mapInArrow(cut, f"doc_id bigint, {carried}n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * with_text)
