@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, documents_of, local_of, lowered, session_setup, shared_path, text_slices, word_hashes, word_spans, written
 
-#: Training bytes to a bucket: about 200,000 words, so some megabytes of distinct bigrams.
-BUCKET_BYTES = 6 << 20
+#: Training bytes to a bucket: about 4 million words, so some 20 MB of distinct bigrams.
+BUCKET_BYTES = 24 << 20
 MOST_BUCKETS = 1 << 16
 #: Bytes of text that are counted at once: more make fewer repeated entries and larger blocks.
 COUNT_BYTES = 16 << 20
@@ -112,29 +112,28 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
 
-def _counted(docs: DataFrame, bits: int) -> DataFrame:
+def _counted(docs: DataFrame, bits: int, kind: int) -> DataFrame:
+    """Blocks of words or bigrams and their counts."""
+
     def count(batches):
-        words: list[np.ndarray] = []
-        pairs: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def flush():
-            for kind, parts in ((WORDS, words), (BIGRAMS, pairs)):
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                rows = list(_blocks(kind, keys, [n], bits))
-                for a in range(0, len(rows), 256):
-                    yield _rows(rows[a : a + 256])
-                parts.clear()
+            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            rows = list(_blocks(kind, keys, [n], bits))
+            parts.clear()
+            for a in range(0, len(rows), 256):
+                yield _rows(rows[a : a + 256])
 
         for _, data, bounds in text_slices(batches):
             tokens, first = tokens_of(data, bounds)
-            words.append(tokens)
-            pairs.append(bigram_keys(contexts_of(tokens, first) >> _HALF, tokens >> _HALF))
+            parts.append(tokens if kind == WORDS else bigram_keys(contexts_of(tokens, first) >> _HALF, tokens >> _HALF))
             size += len(data) + len(bounds)
             if size >= COUNT_BYTES:
                 yield from flush()
                 size = 0
-        if words:
+        if parts:
             yield from flush()
 
     return docs.mapInArrow(count, _BLOCK)
@@ -239,7 +238,7 @@ def train(docs: DataFrame) -> Model:
             if BIGRAMS in held:
                 keys, (n,) = _merged(held[BIGRAMS], 1)
                 _store(folder, f"bigram-{bucket}.keys.npy", keys)
-                _store(folder, f"bigram-{bucket}.n.npy", n.astype(np.uint32))
+                _store(folder, f"bigram-{bucket}.n.npy", n.astype(np.min_scalar_type(int(n.max()))))
                 first, second = bigram_halves(keys)
                 which = np.unique(first, return_inverse=True)
                 sums = [np.bincount(which[1], weights=m, minlength=len(which[0])).astype(np.int64) for m in (n == 1, n == 2, n >= 3)]
@@ -274,9 +273,8 @@ def train(docs: DataFrame) -> Model:
     def dealt(df):
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    counted = written(_counted(docs, bits), "counted")
-    merged = written(dealt(counted.where(F.col("kind") == BIGRAMS)).mapInArrow(merge_bigrams, _BLOCK), "contexts")
-    words = counted.where(F.col("kind") == WORDS).union(merged.where("bucket >= 0"))
+    merged = written(dealt(_counted(docs, bits, BIGRAMS)).mapInArrow(merge_bigrams, _BLOCK), "contexts")
+    words = _counted(docs, bits, WORDS).union(merged.where("bucket >= 0"))
     totals = written(dealt(words).mapInArrow(merge_words, _BLOCK), "totals")
 
     def summed(df, n):  # one small row a bucket
