@@ -26,8 +26,9 @@ from .common import session_setup, written
 DEPTH = 32
 #: Vectors in the sample that shapes the leaves; the index itself holds every row.
 SAMPLE = 20_000
-#: Rows of a leaf aimed at, and of a part of a leaf that holds more (one value may fill it).
-LEAF_ROWS = 2048
+#: Leaves of a tree aimed at, and rows of a part of a leaf: a leaf that holds more (one value may fill it) is dealt into parts.
+LEAVES = 64
+PART_ROWS = 1 << 18
 #: Queries and rows multiplied at once.
 BLOCK = 2048
 
@@ -66,7 +67,7 @@ class Leaves:
     def __init__(self, strings: np.ndarray, rows: int):
         self.rows, self.trees = rows, strings.shape[1]
         self.sorted = [np.sort(strings[:, t]) for t in range(self.trees)]
-        want = max(8, math.ceil(len(strings) * min(1.0, LEAF_ROWS / max(rows, 1))))
+        want = max(8, math.ceil(len(strings) / LEAVES))
         self.starts = [self._split(x, want) for x in self.sorted]
 
     @staticmethod
@@ -90,7 +91,7 @@ class Leaves:
         """Into how many parts each leaf's rows are dealt."""
         x, s = self.sorted[tree], self.starts[tree]
         n = np.diff(np.append(np.searchsorted(x, s), len(x))) / max(len(x), 1) * self.rows
-        return np.maximum(1, np.ceil(n / (2 * LEAF_ROWS))).astype(np.int64)
+        return np.maximum(1, np.ceil(n / PART_ROWS)).astype(np.int64)
 
     def ascended(self, strings: np.ndarray, share: float) -> np.ndarray:
         """Depth for each query (its strings in a row) at which the subtrees of all trees first hold the share of all rows."""
