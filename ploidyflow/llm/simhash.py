@@ -32,7 +32,7 @@ SEED = 42
 #: Reference fingerprints; any spread-out set does.
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 63, 16, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Rows of a bucket that one sweep takes; of larger ones all rows go another exact way.
-SWEEP_ROWS = 4096
+SWEEP_ROWS = 2048
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -241,28 +241,37 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
 KEYS = 8
 #: Differing bits up to which texts of similarity 0.8 are looked for: their mean is 10, with a deviation of 3.
 WIDE = 20
-#: Earlier rows of its bucket that a row is held against by its text, nearest fingerprints first.
+#: Earlier rows of a bucket that a row is held against by text in the first round, nearest fingerprints first; each round takes four times as many.
 PARTNERS = 4
-
-
-def _chosen(node: np.ndarray, pairs) -> pa.RecordBatch:
-    """The nearest earlier partners of each row, from pairs (i, j, distance)."""
-    parts = list(pairs)
-    i, j, d = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+_ROWS = "bucket bigint, fp bigint, node bigint, lead int, pivots binary"
+_FOUND = "a bigint, b bigint, distance bigint, more boolean"
+
+
+def _chosen(rows: dict[str, np.ndarray], most: int) -> pa.RecordBatch:
+    """Nearest earlier partners of each row that aren't of its component yet, so many at most, and whether a row had more."""
+    node, component = rows["node"], rows["component"]
+    parts = []
+    for i, j, d in swept_pairs(rows["bucket"], rows["fp"].view(np.uint64), rows["pivots"], WIDE):
+        apart = component[i] != component[j]
+        parts.append((i[apart], j[apart], d[apart].astype(np.int64)))
+    i, j, d = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
     a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    order = np.lexsort((a, d, b))
-    a, b, d = a[order], b[order], d[order]
+    order = np.lexsort((a, d, rows["bucket"][i], b))
+    a, b, d, bucket = a[order], b[order], d[order], rows["bucket"][i][order]
+    more = np.zeros(len(b), bool)
     if len(b):
-        new = np.concatenate([[True], b[1:] != b[:-1]])
-        keep = np.arange(len(b)) - np.flatnonzero(new)[np.cumsum(new) - 1] < PARTNERS
-        a, b, d = a[keep], b[keep], d[keep]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "distance"])
+        new = np.concatenate([[True], (b[1:] != b[:-1]) | (bucket[1:] != bucket[:-1])])
+        rank = np.arange(len(b)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        more[:-1] = rank[1:] >= most
+        keep = rank < most
+        a, b, d, more = a[keep], b[keep], d[keep], more[keep]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array(more)], ["a", "b", "distance", "more"])
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Pairs a < b of one bucket within WIDE bits, PARTNERS to a row and bucket."""
+def _bucket_rows(reps: DataFrame) -> DataFrame:
+    """A row for each of a text's smallest shingle hashes, with its fingerprint's pivot table."""
 
-    def buckets(batches):
+    def make(batches):
         for b in batches:
             fps = b.column("fp").to_numpy().view(np.uint64)
             table = pivot_table(fps)
@@ -272,45 +281,45 @@ def _candidates(reps: DataFrame) -> DataFrame:
             flat = pa.array([x.tobytes() for x in table], pa.binary()).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([least.flatten(), pa.array(fps[row].view(np.int64)), b.column("node").take(pa.array(row)), pa.array(table[row, 0].astype(np.int32)), flat], ["bucket", "fp", "node", "lead", "pivots"])
 
-    def sweep(batches):
-        names = ("bucket", "fp", "node", "pivots")
-        for rows, dense in whole_buckets(batches, names):
-            if not dense:
-                got = _chosen(rows["node"], swept_pairs(rows["bucket"], rows["fp"].view(np.uint64), rows["pivots"], WIDE))
-                yield _tagged(got, None)
-            else:
-                yield _tagged(pa.RecordBatch.from_arrays([pa.array(rows["bucket"]), pa.array(rows["node"]), pa.array(rows["fp"])], ["a", "b", "distance"]), True)
+    return reps.mapInArrow(make, _ROWS)
+
 
-    rows = reps.mapInArrow(buckets, "bucket bigint, fp bigint, node bigint, lead int, pivots binary").repartition("bucket").sortWithinPartitions("bucket", "lead")
-    found = written(rows.mapInArrow(sweep, "a bigint, b bigint, distance bigint, dense boolean"), "candidates")
-    dense = found.where("dense").toDF("bucket", "node", "fp", "dense").drop("dense")
-    return found.where("not dense").drop("dense").union(_dense_candidates(dense))
+def _candidates(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b of one bucket and two components within WIDE bits. rows: those of _bucket_rows() and component."""
+    names = ("bucket", "fp", "node", "component", "pivots")
 
+    def sweep(batches):
+        for own, dense in whole_buckets(batches, names):
+            if not dense:
+                yield _chosen(own, most)
+            else:  # passed on: bucket, node and fingerprint, marked by no distance
+                yield pa.RecordBatch.from_arrays([pa.array(own["bucket"]), pa.array(own["node"]), pa.nulls(len(own["node"]), pa.int64()), pa.nulls(len(own["node"]), pa.bool_())], ["a", "b", "distance", "more"])
 
-def _tagged(batch: pa.RecordBatch, dense: bool | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), bool(dense)))], ["a", "b", "distance", "dense"])
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "lead")
+    found = written(dealt.mapInArrow(sweep, _FOUND), "candidates")
+    dense = found.where("distance is null").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
+    return found.where("distance is not null").union(_dense_candidates(dense.join(rows, ["bucket", "node"]), most))
 
 
-def _dense_candidates(dense: DataFrame) -> DataFrame:
+def _dense_candidates(dense: DataFrame, most: int) -> DataFrame:
     """Candidates of over-full buckets: a bucket's rows are dealt into blocks, and every two blocks meet in a task."""
-    half = SWEEP_ROWS // 2
+    half = max(1, SWEEP_ROWS // 2)
     sizes = written(dense.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks")), "dense")
     placed = dense.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "node")
+    met = met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "node", "component", "lead", "pivots")
 
     def sweep(batches):
         held, at = [], None
+        names = ("bucket", "fp", "node", "component", "pivots")
 
         def done():
-            key, fp, node = (np.concatenate([x[k] for x in held]) for k in range(3))
-            fps = fp.view(np.uint64)
-            table = pivot_table(fps)
-            order = np.argsort(table[:, 0], kind="stable")
-            return _chosen(node[order], swept_pairs(key, fps[order], table[order], WIDE))
+            return _chosen({x: np.concatenate([h[x] for h in held]) for x in names}, most)
 
         for b in batches:
-            key, fp, node = (b.column(x).to_numpy() for x in ("bucket", "fp", "node"))
+            own = {x: b.column(x).to_numpy() for x in names[:-1]}
+            own["pivots"] = np.frombuffer(b"".join(b.column("pivots").to_pylist()), np.uint8).reshape(len(b), -1)
+            key = own["bucket"]
             edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if x == y:
@@ -319,11 +328,11 @@ def _dense_candidates(dense: DataFrame) -> DataFrame:
                     yield done()
                     held.clear()
                 at = key[x]
-                held.append((key[x:y], fp[x:y], node[x:y]))
+                held.append({k: v[x:y] for k, v in own.items()})
         if held:
             yield done()
 
-    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sweep, "a bigint, b bigint, distance bigint")
+    return met.repartition("bucket").sortWithinPartitions("bucket", "lead").mapInArrow(sweep, _FOUND)
 
 
 def _shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
@@ -344,23 +353,8 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links of every document.
-
-    Documents with the same words (A-Z in lower case) are one class. Other texts are
-    linked if their sets of shingles of so many words have that Jaccard similarity
-    or more, which is computed from the whole texts; the texts held against each
-    other share one of the KEYS smallest shingle hashes, their fingerprints differ
-    in WIDE bits at most by their pivot tables, and are among the PARTNERS nearest
-    earlier ones of their bucket. class_id is the smallest doc_id reachable and
-    n_links the number of links of the document's text. Null and empty texts are
-    copies of each other. Repeated rows are returned as often.
-    """
-    session_setup(docs.sparkSession)
-    docs = documents_of(docs)
-    prints = written(fingerprints(docs, words, KEYS), "prints")
-    reps = written(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")), "reps")
-    pairs = written(_candidates(reps.select("node", "fp", "least")).groupBy("a", "b").agg(F.min("distance").alias("distance")), "pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least_similarity: float) -> DataFrame:
+    """Those of the pairs a, b whose whole texts are similar enough."""
     left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
     both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
 
@@ -369,10 +363,55 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8)
             for other, own, at in text_slices([rows], "other", 1 << 62):
                 s = [similarity(x, y) for x, y in zip(_shingle_sets(data, bounds, words), _shingle_sets(own, at, words), strict=True)]
                 keep = pa.array(np.array(s) >= least_similarity)
-                yield pa.RecordBatch.from_arrays([rows.column("a").filter(keep), rows.column("b").filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([other.column("a").filter(keep), other.column("b").filter(keep)], ["a", "b"])
 
-    links = written(both.mapInArrow(verify, "a bigint, b bigint").distinct(), "links")
+    return both.mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
+def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links of every document.
+
+    Documents with the same words (A-Z in lower case) are one class. Other texts are
+    linked if their sets of shingles of so many words have that Jaccard similarity
+    or more, which is computed from the whole texts. Texts are held against each
+    other if they share one of their KEYS smallest shingle hashes and their
+    fingerprints differ in WIDE bits at most by their pivot tables; pairs of texts
+    that are connected already are left out, and rounds go on until no pair of two
+    components is left. class_id is the smallest doc_id reachable and n_links the
+    number of links that were verified of the document's text. Null and empty texts
+    are copies of each other. Repeated rows are returned as often.
+    """
+    spark = session_setup(docs.sparkSession)
+    docs = documents_of(docs)
+    prints = written(fingerprints(docs, words, KEYS), "prints")
+    reps = written(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")), "reps")
+    rows = _bucket_rows(reps.select("node", "fp", "least"))
+    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
+    rows = written(rows.join(shared, "bucket"), "bucket-rows")
+    links = tried = None
+    found = spark.createDataFrame([], "node bigint, component bigint")
+    most = PARTNERS
+    while True:
+        named = rows.withColumn("component", F.col("node"))
+        if links is not None:
+            named = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            split = named.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("bucket")
+            named = written(named.join(split, "bucket"), "split")
+        chosen = written(_candidates(named, most).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+        more = not chosen.where("more").isEmpty()
+        new = chosen.select("a", "b")
+        if tried is not None:
+            new = written(new.join(tried, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            passed = written(_verified(new, docs, words, least_similarity), "passed")
+            links = passed if links is None else links.union(passed)
+            tried = new if tried is None else tried.union(new)
+            found = components(links)
+        elif not more:
+            break
+        most *= 4
+    links = links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links).join(ends, "node", "left")
-    named = written(reps.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    classes = reps.select("digest", "node").join(found, "node", "left").join(ends, "node", "left")
+    named = written(classes.select("digest", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links")
