@@ -19,10 +19,11 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     Blank rows and those that begin with track, browser or # are no regions, nor are
     empty intervals. A row of fewer than three columns is an error when it is read.
     """
-    kept = lines.where(~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != ""))
+    is_region = ~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != "")
+    kept = lines.where(is_region)
     part = F.split("value", "\t")
-    whole = kept.select("line_no", F.when(F.size(part) < 3, F.raise_error(F.concat(F.lit("a BED row has fewer than 3 columns: "), F.col("value")))).otherwise(part).alias("part"))
-    shifted = whole.select("line_no", F.col("part")[0].alias("chrom"), (F.col("part")[1].cast("bigint") + 1).alias("start1"), (F.trim(F.col("part")[2]).cast("bigint") + 1).alias("end1"))
+    whole = kept.select("line_no", F.when(is_region & (F.size(part) < 3), F.raise_error(F.concat(F.lit("a BED row has fewer than 3 columns: "), F.col("value")))).otherwise(part).alias("part"))
+    shifted = whole.select("line_no", F.get("part", 0).alias("chrom"), (F.get("part", 1).try_cast("bigint") + 1).alias("start1"), (F.trim(F.get("part", 2)).try_cast("bigint") + 1).alias("end1"))
     return shifted.where("end1 > start1")
 
 

@@ -10,8 +10,10 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """qname, flag, chrom, pos, mapq, cigar, seq of the file's reads; lines that begin with @ are its header."""
     part = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^@[A-Z]{2}\t") & (F.col("value") != ""))
+    # filters on these columns may be tried on header lines first, so nothing here may fail
+    text, number = lambda k: F.get(part, k), lambda k, kind: F.get(part, k).try_cast(kind)
     return lines.select(
-        part[0].alias("qname"), part[1].cast("int").alias("flag"), part[2].alias("chrom"), part[3].cast("bigint").alias("pos"), part[4].cast("int").alias("mapq"), part[5].alias("cigar"), part[9].alias("seq")
+        text(0).alias("qname"), number(1, "int").alias("flag"), text(2).alias("chrom"), number(3, "bigint").alias("pos"), number(4, "int").alias("mapq"), text(5).alias("cigar"), text(9).alias("seq")
     )
 
 
