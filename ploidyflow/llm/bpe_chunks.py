@@ -16,10 +16,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import documents_of, prefix_sums, range_hash, session_setup, string_list, text_slices
-from .common import _BYTE
+from .common import BYTE_CODES, documents_of, list_array, prefix_sums, range_hash, session_setup, string_list, text_slices
 from .pieces import PieceEncoder, encoder, token_bytes
 
 #: Bytes under the rolling hash, mean bytes of a chunk (a power of 2), chunks that a worker keeps and the longest chunk kept.
@@ -35,7 +33,7 @@ def chunk_bounds(data: np.ndarray, bounds: np.ndarray, mean: int = MEAN_CHUNK) -
     if n <= WINDOW:
         return np.unique(bounds)
     at = np.arange(WINDOW, n)
-    cut = range_hash(prefix_sums(_BYTE[data]), at - WINDOW, at) & np.uint64(mean - 1) == 0
+    cut = range_hash(prefix_sums(BYTE_CODES[data]), at - WINDOW, at) & np.uint64(mean - 1) == 0
     at = at[cut & ((data[WINDOW:] & 0xC0) != 0x80)]
     inside = at - bounds[np.searchsorted(bounds, at, "right") - 1] >= WINDOW
     return np.unique(np.concatenate([at[inside], bounds]))
@@ -129,8 +127,6 @@ def bpe_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     Other columns are left out; repeated rows are encoded each. Empty tables give none.
     """
-    from .common import list_array
-
     def encode(batches):
         code = coder(tokenizer)
         for rows, data, bounds in text_slices(batches):
@@ -171,8 +167,3 @@ def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     session_setup(docs.sparkSession)
     return documents_of(docs).mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-
-
-def with_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """bpe_digest() joined to nothing: the digest alone, for a pipeline's last stage."""
-    return bpe_digest(docs, tokenizer).withColumn("exact", F.col("decoded_sha256").isNotNull())

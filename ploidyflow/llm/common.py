@@ -8,7 +8,6 @@ buffer and no Python object is made per word.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -35,7 +34,8 @@ _LOWER[65:91] += 32
 #: Odd, and 3 modulo 8, so that powers of it differ in their low bits.
 _BASE = 0x9E3779B97F4A7C13
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
+#: A random number for each byte.
+BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64)
 
 
 # ---------------------------------------------------------------- Spark side
@@ -63,8 +63,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this session wrote into the shared folder; for when no result is read any more."""
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -176,7 +188,7 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word's bytes."""
-    return range_hash(prefix_sums(_BYTE[data]), starts, ends)
+    return range_hash(prefix_sums(BYTE_CODES[data]), starts, ends)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -194,7 +206,3 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
-def file_name(folder: str, name: str) -> str:
-    return os.path.join(folder, name)
