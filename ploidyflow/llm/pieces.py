@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -58,46 +57,52 @@ class PieceEncoder:
     def learn(self, lists: list[list[str]]) -> list[str]:
         """Makes self.ids hold every piece of the lists; returns those to forget() afterwards."""
         wanted = set(chain.from_iterable(lists))
-        if len(self.ids) > self.most:  # what is wanted again stays
+        self.make_room(wanted)
+        return self._learn_missing(list(wanted.difference(self.ids)))
+
+    def make_room(self, wanted: set[str]) -> None:
+        """Once the cache is full, only what is wanted again stays."""
+        if len(self.ids) > self.most:
             self.ids = {x: self.ids[x] for x in wanted.intersection(self.ids)} | {"": b""}
-        missing = list(wanted.difference(self.ids))
-        for at in range(0, len(missing), RUN):
-            self._encode_run(missing[at : at + RUN])
+
+    def _learn_missing(self, missing: list[str]) -> list[str]:
+        plain = [x for x in missing if x and not x[-1].isspace()]
+        for own in (plain, [x for x in missing if not x or x[-1].isspace()]):
+            ids, counts = self.library_ids(own)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            self.ids.update(zip(own, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if own else [], strict=True))
         return [x for x in missing if len(x) > CACHE_CHARS]
 
-    def _encode_run(self, pieces: list[str]) -> None:
+    def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all pieces, end to end, and how many each has."""
+        ids, counts = zip(*[self._run_ids(pieces[at : at + RUN]) for at in range(0, len(pieces), RUN)], strict=True) if pieces else ([], [])
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([*chain.from_iterable(found)], "<u4"), np.array([*map(len, found)], np.int64)
+
+    def _run_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encodes pieces end to end in one text, as each begins at a sure cut, and parts the ids by their bytes.
 
         The library has a fixed cost a call, which is more than that of a word.
         """
-        alone, run = [], []
-        for x in pieces:
-            if self.cuts and x and not x[-1].isspace() and not any(t in x for t in self.added):
-                run.append(x)
-            else:
-                alone.append(x)
-        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.ids[piece] = array("I", found.ids).tobytes()
-        if not run:
-            return
-        # a line break before a letter is a token of its own
-        text = "".join([x if x[0].isspace() else "\n" + x for x in run])
-        if any(t in text for t in self.added):
-            for piece in run:
-                self.ids[piece] = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-            return
+        # a line break before anything that isn't white space is a token of its own
+        bare = [not x[:1].isspace() for x in pieces]
+        text = "".join(["\n" + x if b else x for x, b in zip(pieces, bare, strict=True)])
+        if not self.cuts or any(x[-1:].isspace() or not x for x in pieces) or any(t in text for t in self.added):
+            return self._alone(pieces)
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        bare = np.array([not x[0].isspace() for x in run])
-        ends = np.cumsum(np.array([len(x.encode()) for x in run]) + bare)
-        upto = np.cumsum(self.lengths[ids])
+        ids, skip = np.array(found.ids, "<u4"), np.array(bare)
+        sizes = np.array([*map(len, pieces)] if text.isascii() else [len(x.encode()) for x in pieces])
+        ends, upto = np.cumsum(sizes + skip), np.cumsum(self.lengths[ids])
         last = np.searchsorted(upto, ends) + 1
         if not np.array_equal(upto[last - 1], ends):
             raise ValueError("a token spans two pieces: the vocabulary isn't cut as supposed")
-        first = np.concatenate([[0], last[:-1]]) + bare
-        raw = ids.tobytes()
-        for piece, a, b in zip(run, (4 * first).tolist(), (4 * last).tolist(), strict=True):
-            self.ids[piece] = raw[a:b]
+        first = np.concatenate([[0], last[:-1]])
+        keep = np.ones(len(ids), bool)
+        keep[first[skip]] = False
+        return ids[keep], last - first - skip
 
     def forget(self, pieces: list[str]) -> None:
         for x in pieces:

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, list_array, session_setup, shared_path, string_list, text_slices
-from .pieces import encoder
+from .common import documents_of, list_array, session_setup, shared_path, text_slices
+from .piece_table import table
 
 #: ids below 2**17 fit a dictionary page of this size.
 DICTIONARY_BYTES = 1 << 20
@@ -46,16 +46,18 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
     """
 
     def encode(batches):
-        part, row, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        part, row, enc = TaskContext.get().partitionId(), 0, table(tokenizer)
         for rows, data, bounds in text_slices(batches):
-            texts = [x + end for x in enc.encode(string_list(data, bounds))]
-            counts = np.array([len(x) // 4 for x in texts], np.int64)
+            ids, counts = enc.encode(data, bounds)
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+            n = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.full(len(texts), part, np.int32)), pa.array(np.arange(row, row + len(texts))), pa.array(counts), list_array(np.frombuffer(b"".join(texts), "<i4"), counts, pa.int32())],
+                [rows.column("doc_id"), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(counts), list_array(ids.view("<i4"), counts, pa.int32())],
                 ["doc_id", "part", "row", "n_tokens", "ids"],
             )
-            row += len(texts)
+            row += n
 
     ordered = documents_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(encode, "doc_id bigint, part int, row bigint, n_tokens bigint, ids array<int>")
@@ -80,13 +82,13 @@ def read_tokens(spark: SparkSession, path: str, first: int, last: int) -> DataFr
     return spark.read.parquet(path).where(F.col("doc_id").between(first, last)).select("doc_id", "ids")
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds start: the number of ids of all rows before, in order of (part, row).
 
-    Running sums are made in each part; only one total a part is summed in one task.
+    Running sums are made in each part; only one total a part, of counts, is summed in one task.
     """
     inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    totals = counts.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before, "part").withColumn("start", F.col("inside") + F.col("before")).drop("inside", "before")
 
@@ -105,7 +107,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
 
     read = spark.read.parquet(path).select("doc_id", "part", "row", "ids")
     sums = read.mapInArrow(digest, "doc_id bigint, part int, row bigint, n_tokens bigint, ids_crc32 bigint")
-    return with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(sums, read_metadata(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 2, encoding: str = "dictionary") -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ploidyflow.llm import bpe_chunks, pieces, token_output
+from ploidyflow.llm import bpe_chunks, piece_table, pieces, token_output
 from ploidyflow.llm.common import local_of, shared_path, string_list
 
 from .cases import EDGES, documents, text
@@ -31,10 +31,34 @@ def test_pieces_and_chunks_equal_the_library(texts):
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     want = [ids_of(t) for t in texts]
     read = lambda xs: [np.frombuffer(x, "<u4").tolist() for x in xs]
-    assert read(pieces.encoder(PATH).encode(string_list(data, bounds), pieces.is_plain(data))) == want
+    assert read(pieces.encoder(PATH).encode(string_list(data, bounds))) == want
     assert read(bpe_chunks.coder(PATH).encode(*bpe_chunks.chunked_texts(data, bounds))) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab.,'!1 \n\n \xa0\u3000\x85\t\0é日🙂«<|>")), max_size=5), st.sampled_from([4, 8, 22]))
+def test_table_equals_the_library(texts, bits):
+    own = piece_table.PieceTable(pieces.encoder(PATH), bits)
+    raw = [t.encode() for t in [*texts, "x <|endoftext|> y"] * 2]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    for _ in range(2):
+        ids, counts = own.encode(data, bounds)
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [ids_of(x.decode()) for x in raw]
+
+
+def test_small_tables():
+    own = piece_table.PieceTable(pieces.encoder(PATH), 6)
+    for k in range(30):
+        raw = [text(f"{k}-{j}", 12).encode() for j in range(3)] + [("y" * 40_000 if k % 9 == 0 else "").encode()]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        ids, counts = own.encode(data, bounds)
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [ids_of(x.decode()) for x in raw]
+
+
 def test_small_caches(monkeypatch):
     own = pieces.PieceEncoder(PATH, most=5)
     for t in ("a b c d e f g", "h i j a b", "<|endoftext|> x", "k  l\n\nm"):
