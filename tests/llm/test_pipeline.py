@@ -1,5 +1,3 @@
-import random
-
 import pytest
 
 import corpus_pipeline
@@ -51,4 +49,3 @@ def test_stages_take_empty_tables(spark, folder):
 
 def test_queries_are_registered():
     assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
-    assert random is not None
