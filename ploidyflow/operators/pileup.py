@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def _operations(cigar: Column) -> Column:
     """(length, op) of every operation."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
-    return F.transform(parts, lambda x: F.struct(F.expr("0").cast("bigint").alias("zero"), F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
 
 
 def indel_suffix(op: Column, n: Column, inserted: Column) -> Column:

@@ -104,7 +104,6 @@ def write_vcf(lines: DataFrame, path: str, compressed: bool = True) -> None:
 
     Each partition's lines are compressed where they are; the driver only joins blocks.
     """
-    spark = lines.sparkSession
     ordered = in_order(lines)
     if not compressed:
         with open(path, "wb") as f:
@@ -122,7 +121,6 @@ def write_vcf(lines: DataFrame, path: str, compressed: bool = True) -> None:
         for r in blocks.toLocalIterator(prefetchPartitions=True):
             f.write(bytes(r.block))
         f.write(END_OF_FILE)
-    assert spark is not None
 
 
 def write_tabix(vcf_path: str) -> str:
