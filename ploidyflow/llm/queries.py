@@ -78,4 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_chunks": op10_bpe_chunks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REPEATS_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w FROM documents WHERE doc_id IS NOT NULL),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) s FROM d WHERE len(w) >= 50)),
+owners AS (SELECT h, min(doc_id) owner FROM windows GROUP BY h),
+covered AS (SELECT DISTINCT doc_id, s + unnest(generate_series(0, 49)) i FROM windows JOIN owners USING (h) WHERE owner < doc_id),
+words AS (SELECT doc_id, unnest(w) x, unnest(generate_series(1, len(w))) i FROM d),
+kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY i) joined FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS bigint) n_words, cast(len(w) - coalesce(n, 0) AS bigint) n_removed, sha256(coalesce(joined, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: SQL expresses passages that repeat; fingerprints by XXH64, models, tokens, tiling, regions and forests it does not.
+ORACLE_SQL: dict[str, str] = {"op2_substring": _REPEATS_SQL}
