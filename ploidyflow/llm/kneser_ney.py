@@ -35,6 +35,8 @@ BUCKET_BYTES = 24 << 20
 MOST_BUCKETS = 1 << 16
 #: Bytes of text that are counted at once: more make fewer repeated entries and larger blocks.
 COUNT_BYTES = 16 << 20
+#: Bytes of text that are scored at once: more share more look-ups.
+SCORE_BYTES = 2 << 20
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = 0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995
 _MIX, _UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -102,7 +104,7 @@ def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndar
 
 
 _BLOCK = "bucket int, kind int, data binary"
-WORDS, BIGRAMS, CONTEXTS, FOLLOWED = range(4)
+WORDS, BIGRAMS, CONTEXTS, FOLLOWED, TOTALS = range(5)
 #: Columns of counts in a block of each kind.
 _COLUMNS = {WORDS: 1, BIGRAMS: 1, CONTEXTS: 3, FOLLOWED: 1}
 
@@ -245,11 +247,13 @@ def train(docs: DataFrame) -> Model:
                 rows = list(_blocks(CONTEXTS, which[0] << _HALF, sums, bits))
                 ends, times = np.unique(second, return_counts=True)
                 rows += list(_blocks(FOLLOWED, ends << _HALF, [times], bits))
-                rows.append((-1, BIGRAMS, np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.int64).tobytes()))
+                rows.append((0, TOTALS, np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.int64).tobytes()))
                 yield _rows(rows)
 
     def merge_words(batches):
         for bucket, held in _by_bucket(batches):
+            if TOTALS in held:  # a row of five numbers a bucket of bigrams
+                yield _rows([(0, TOTALS, np.sum([np.frombuffer(x, np.int64) for x in held[TOTALS]], axis=0).tobytes())])
             keys, (n,) = _merged(held.get(WORDS, []), 1)
             half = keys >> _HALF
             contexts, stats = _merged(held.get(CONTEXTS, []), 3)
@@ -273,15 +277,15 @@ def train(docs: DataFrame) -> Model:
     def dealt(df):
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    merged = written(dealt(_counted(docs, bits, BIGRAMS)).mapInArrow(merge_bigrams, _BLOCK), "contexts")
-    words = _counted(docs, bits, WORDS).union(merged.where("bucket >= 0"))
+    merged = dealt(_counted(docs, bits, BIGRAMS)).mapInArrow(merge_bigrams, _BLOCK)
+    words = _counted(docs, bits, WORDS).union(merged)
     totals = written(dealt(words).mapInArrow(merge_words, _BLOCK), "totals")
 
-    def summed(df, n):  # one small row a bucket
-        rows = [np.frombuffer(r[0], np.int64) for r in df.select("data").collect()]
+    def summed(kind, n):  # one small row a bucket
+        rows = [np.frombuffer(r[0], np.int64) for r in totals.where(F.col("kind") == kind).select("data").collect()]
         return np.sum(rows, axis=0) if rows else np.zeros(n, np.int64)
 
-    pairs, word = summed(merged.where("bucket = -1"), 5), summed(totals, 7)
+    pairs, word = summed(TOTALS, 5), summed(WORDS, 7)
     by_word = discounts(word[2:6].tolist())
     seen = [word[2], word[3], word[6] - word[2] - word[3]]
     left = float(np.dot(by_word[1:], seen) / pairs[4]) if pairs[4] else 1.0
@@ -370,7 +374,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = reader(model)
-        for rows, data, bounds in text_slices(batches, most=4 << 20):
+        for rows, data, bounds in text_slices(batches, most=SCORE_BYTES):
             tokens, first = tokens_of(data, bounds)
             logs, count = own.log_probabilities(tokens, first)
             at = first[:-1]
