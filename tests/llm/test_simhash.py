@@ -80,6 +80,24 @@ def test_near_copies_against_brute_force(spark, monkeypatch, most):
     assert got == want
 
 
+def test_near_copies_whose_lines_repeat_or_that_are_short(spark):
+    """A line once against the same many times, and texts of 8 and 9 words over WIDE bits apart."""
+    rows = []
+    for i in range(12):
+        head, line = " ".join(words(f"head{i}", 100, 10**6)), " ".join(words(f"line{i}", 10, 10**6))
+        rows += [(3 * i, f"{head} {line}"), (3 * i + 1, " ".join([head, *[line] * (8 + 4 * i)])), (3 * i + 2, " ".join(words(f"other{i}", 60, 10**6)))]
+    short = [words(f"short{i}", 10, 10**6) for i in range(3000)]
+    bits = [int.bit_count(fingerprint(" ".join(w[:8]), 5)[0] ^ fingerprint(" ".join(w[:9]), 5)[0]) for w in short]
+    far = [w for w, n in zip(short, bits, strict=True) if n > simhash.WIDE]
+    assert far
+    for i, w in enumerate(far):  # four, five and six shingles: 0.8 and 0.83 in a row, 0.67 between the ends
+        rows += [(1000 + 10 * i + k, " ".join(w[:n])) for k, n in enumerate((10, 8, 9))]
+        rows += [(1000 + 10 * i + 3, " ".join([*w[:8], "another"])), (1000 + 10 * i + 4, " ".join([*w[:7], "unlike", "end"]))]
+    sets = {i: fingerprint(t, 5)[1] for i, t in rows}
+    want = grouped(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.class_id for r in simhash.near_copies(documents(spark, rows)).collect()} == want
+
+
 def test_copies_make_no_pairs(spark):
     rows = [(i, "the same words as all the others here") for i in range(50)]
     got = simhash.near_copies(documents(spark, rows)).collect()
