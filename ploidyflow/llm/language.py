@@ -1,7 +1,8 @@
 """Language of a text, from bit-sliced Bloom filters of byte n-grams.
 
 Every slot of the filter is one number whose bits are the languages, so a few
-look-ups of an n-gram return all languages that have it at once. A language has
+look-ups of an n-gram return all languages that have it at once. Of more languages
+than a number has bits, each so many have slots of their own. A language has
 the n-grams that are about as frequent in it as in any other. For each text the
 bits are counted by language, and each count is corrected for the false positives
 that the filter gives at the language's load; the largest decides.
@@ -9,7 +10,7 @@ that the filter gives at the language's load; the largest decides.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ LOOKUPS = 3
 #: An n-gram belongs to a language if it was seen so often in it and its rate is at least so large a part of the largest rate.
 LEAST_SEEN = 3
 LEAST_RATE = 0.25
-#: Languages in a filter: bits of a number.
+#: Languages in one array of slots: bits of a number.
 MOST_LANGUAGES = 63
 UNKNOWN = "und"
 #: Text of the languages learned has at least so many of their n-grams, if it isn't of another kind altogether.
@@ -63,50 +64,54 @@ def _slots(values: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """languages in order of bit, the slots, and each language's rate of false positives."""
+    """languages in order of bit, the slots of the first MOST_LANGUAGES, each language's rate of false positives, and the slots of each further MOST_LANGUAGES."""
 
     languages: list[str]
     slots: np.ndarray
     false: np.ndarray
     usual: int
+    more: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
     def of(cls, languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageFilter:
         """counts: distinct n-grams of each language and how often each was seen."""
-        slots = np.zeros(1 << SLOT_BITS, np.uint64)
+        slots = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(0, len(languages), MOST_LANGUAGES)]
         grams_all = np.unique(np.concatenate([counts[x][0] for x in languages]))
-        rates = np.zeros((len(languages), len(grams_all)))
-        seen = np.zeros_like(rates)
-        for i, x in enumerate(languages):
+        rates = [counts[x][1] / max(1, counts[x][1].sum()) for x in languages]
+        largest = np.zeros(len(grams_all))
+        for x, rate in zip(languages, rates, strict=True):
             at = np.searchsorted(grams_all, counts[x][0])
-            seen[i, at] = counts[x][1]
-            rates[i] = seen[i] / max(1, counts[x][1].sum())
-        has = (seen >= LEAST_SEEN) & (rates >= LEAST_RATE * rates.max(axis=0))
+            largest[at] = np.maximum(largest[at], rate)
         false = np.zeros(len(languages))
-        for i in range(len(languages)):
-            for s in _slots(grams_all[has[i]]):
-                slots[s] |= np.uint64(1 << i)
-            false[i] = np.mean((slots >> np.uint64(i)) & np.uint64(1)) ** LOOKUPS
-        return cls(languages, slots, false, int(np.argmax([counts[x][1].sum() for x in languages])))
-
-    def masks(self, values: np.ndarray) -> np.ndarray:
-        """Each n-gram's languages, as bits."""
+        for i, (x, rate) in enumerate(zip(languages, rates, strict=True)):
+            own, n = counts[x]
+            has = (n >= LEAST_SEEN) & (rate >= LEAST_RATE * largest[np.searchsorted(grams_all, own)])
+            part, bit = slots[i // MOST_LANGUAGES], np.uint64(i % MOST_LANGUAGES)
+            for s in _slots(own[has]):
+                part[s] |= np.uint64(1) << bit
+            false[i] = np.mean((part >> bit) & np.uint64(1)) ** LOOKUPS
+        return cls(languages, slots[0], false, int(np.argmax([counts[x][1].sum() for x in languages])), slots[1:])
+
+    def masks(self, values: np.ndarray, part: int = 0) -> np.ndarray:
+        """Each n-gram's languages, as bits; part: of which MOST_LANGUAGES languages."""
+        slots = self.more[part - 1] if part else self.slots
         first, *rest = _slots(values)
-        mask = self.slots[first]
+        mask = slots[first]
         for s in rest:
-            mask &= self.slots[s]
+            mask &= slots[s]
         return mask
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For every text and language the share of the text's n-grams that the language has, without false positives."""
         values, first = grams(data, bounds)
-        mask = self.masks(values)
         shown = values != _BLANK
-        mask[~shown] = 0
         n = np.maximum(np.add.reduceat(shown, first, dtype=np.int64), 1)
         out = np.zeros((len(first), len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.add.reduceat((mask >> np.uint64(i)) & np.uint64(1), first, dtype=np.uint64).astype(float)
+            if i % MOST_LANGUAGES == 0:
+                mask = self.masks(values, i // MOST_LANGUAGES)
+                mask[~shown] = 0
+            hits = np.add.reduceat((mask >> np.uint64(i % MOST_LANGUAGES)) & np.uint64(1), first, dtype=np.uint64).astype(float)
             out[:, i] = np.clip((hits - n * self.false[i]) / (n * (1 - self.false[i])), 0, 1)
         return out
 
@@ -128,15 +133,14 @@ class LanguageFilter:
 def train(labelled: DataFrame) -> LanguageFilter | None:
     """A filter from doc_id, text and lang of rows; none of them used but those with a text and lang.
 
-    At most about SAMPLE_TEXTS texts a language are counted; None if there are none.
+    Every lang value is learned, however many there are; at most about SAMPLE_TEXTS texts a language
+    are counted. None if there are none.
     """
     rows = labelled.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not totals:
-        return None
+    totals = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for x, n in totals.items() for v in (x, int(min(1.0, SAMPLE_TEXTS / n) * (1 << 30)))])
-    sample = rows.where(part < share[F.col("lang")])
+    share = (F.least(F.lit(1.0), F.lit(SAMPLE_TEXTS) / F.col("n")) * F.lit(1 << 30)).cast("bigint")
+    sample = rows.join(F.broadcast(totals), F.col("lang") == F.col("of")).where(part < share).select("doc_id", "text", "lang")
 
     def count(batches):
         for rows_, data, bounds in text_slices(batches):

@@ -49,6 +49,22 @@ def test_masks_match_sets(model):
     assert masks.tolist() == again
 
 
+def test_more_languages_than_bits(spark):
+    """140 languages with letters of their own; the later ones have fewer texts, so a limit would leave them out."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(140):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(40)]
+        for _ in range(8 if k < 70 else 6):
+            rows.append((len(rows), " ".join("".join(draw.choice(letters[:6]) for _ in range(3)) for _ in range(60)), f"l{k:03}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df)
+    assert model.languages == [f"l{k:03}" for k in range(140)] and len(model.more) == 2
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    assert language.keep_known(df, model).count() == len(rows)
+
+
 def test_nothing_to_learn(spark):
     empty = documents(spark, [])
     assert language.train(empty) is None
