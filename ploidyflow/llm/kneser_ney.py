@@ -1,27 +1,33 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, read by memory map.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark, read by memory map.
 
 Counting: each batch of texts is counted with numpy and leaves as a few blocks, one
-a bucket of the hash range, each with the batch's sorted hashes and counts. A
-bucket's blocks meet in one task, are merged and are written as sorted arrays
-into the shared folder. A bucket holds a bounded number of distinct n-grams, as
-the number of buckets follows the input; a frequent n-gram is one entry of a block.
-
-Words have a 64-bit hash, so counts of words are exact but for hash collisions. A
-bigram's key is a bijection of the upper halves of its two words' hashes, so the
-statistics of contexts and of continuations come from the same sorted keys.
-
-Scoring: workers map the arrays into memory, look up each batch's distinct words
-and bigrams in order, and sum log10 probabilities by document.
+a bucket, each with the batch's sorted keys and counts. A bucket's blocks meet in
+one task, are merged and are written as sorted arrays into the shared folder. A
+bucket holds a bounded number of distinct n-grams, as the number of buckets follows
+the input; a frequent n-gram is one entry of a block.
+
+Words have a 64-bit hash, so all counts are exact but for hash collisions of words.
+Distinct n-grams of a length are numbered in order of their arrays. The key of a
+longer one is a bijection of the number of all its words but the last and the number of
+the last, so no two share a key, and both parts are read from it. N-grams of three
+words and more lie in the bucket of their context, so a context's statistics lie beside
+its own entry and need no exchange; they are counted in SLICES passes over the texts, so
+that blocks that aren't merged are a part of all at a time.
+
+Scoring: workers map the arrays into memory, look up each batch's distinct n-grams
+length by length, and sum log10 probabilities by document.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ MOST_BUCKETS = 1 << 16
 COUNT_BYTES = 16 << 20
 #: Bytes of text that are scored at once: more share more look-ups.
 SCORE_BYTES = 2 << 20
+#: Passes over the texts for n-grams of three words and more.
+SLICES = 2
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = 0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995
 _MIX, _UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -56,6 +64,16 @@ def bigram_halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x >> _HALF, x & _LOW
 
 
+def spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers; unspread() is its inverse."""
+    return bigram_keys(x >> _HALF, x & _LOW)
+
+
+def unspread(keys: np.ndarray) -> np.ndarray:
+    first, second = bigram_halves(keys)
+    return (first << _HALF) | second
+
+
 def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every document's words, lower-cased, each document ended by END; and its first token."""
     data = lowered(data)
@@ -66,29 +84,21 @@ def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at + np.arange(len(at))
 
 
-def contexts_of(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The token before each, BEGIN at a document's first."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = U64(BEGIN)
-    return before
-
-
 # ------------------------------------------------------------------- counting
 
 
-def _blocks(kind: int, keys: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    """Rows (bucket, kind, data) of sorted keys with columns of unsigned 32-bit numbers."""
-    bucket = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edge = np.searchsorted(bucket, np.arange((1 << bits) + 1)) if len(keys) else np.zeros((1 << bits) + 1, int)
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        s = slice(edge[b], edge[b + 1])
-        yield b, kind, keys[s].tobytes() + b"".join(c[s].astype(np.uint32).tobytes() for c in columns)
+def _blocks(kind: int, bucket: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
+    """Rows (bucket, kind, data) of keys with columns of unsigned numbers, as narrow as they fit; in order of bucket."""
+    edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).astype(int) if len(bucket) else [0]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        wide = np.min_scalar_type(max(int(c[a:b].max()) for c in columns))
+        yield int(bucket[a]), kind, bytes([keys.itemsize, wide.itemsize]) + keys[a:b].tobytes() + b"".join(c[a:b].astype(wide).tobytes() for c in columns)
 
 
 def _read_block(data: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    n = len(data) // (8 + 4 * columns)
-    return np.frombuffer(data, U64, n), [np.frombuffer(data, np.uint32, n, 8 * n + 4 * n * k) for k in range(columns)]
+    key, wide = np.dtype(f"u{data[0]}"), np.dtype(f"u{data[1]}")
+    n = (len(data) - 2) // (data[0] + data[1] * columns)
+    return np.frombuffer(data, key, n, 2), [np.frombuffer(data, wide, n, 2 + (data[0] + data[1] * k) * n) for k in range(columns)]
 
 
 def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -103,10 +113,13 @@ def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndar
     return keys[new], [np.add.reduceat(np.concatenate([c[k] for _, c in parts])[order].astype(np.int64), new) for k in range(columns)]
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 _BLOCK = "bucket int, kind int, data binary"
-WORDS, BIGRAMS, CONTEXTS, FOLLOWED, TOTALS = range(5)
-#: Columns of counts in a block of each kind.
-_COLUMNS = {WORDS: 1, BIGRAMS: 1, CONTEXTS: 3, FOLLOWED: 1}
+#: GRAMS: keys and counts; CONTEXTS: places of words and their statistics; FOLLOWED: places of n-grams and how many go before them; SIZES and TOTALS: sums.
+GRAMS, CONTEXTS, FOLLOWED, SIZES, TOTALS = range(5)
 
 
 def _rows(rows) -> pa.RecordBatch:
@@ -114,28 +127,39 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
 
-def _counted(docs: DataFrame, bits: int, kind: int) -> DataFrame:
-    """Blocks of words or bigrams and their counts."""
+def _counted(docs: DataFrame, model: Model, k: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Blocks of n-grams of k words and their counts; of so many parts of the buckets only the one."""
 
     def count(batches):
-        parts: list[np.ndarray] = []
+        own = reader(model)
+        held: list[np.ndarray] = []
         size = 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            rows = list(_blocks(kind, keys, [n], bits))
-            parts.clear()
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            bucket = own.bucket_of(k, keys)
+            if k > 2:  # else keys are in order of bucket
+                order = np.argsort(bucket, kind="stable")
+                keys, n, bucket = keys[order], n[order], bucket[order]
+            rows = list(_blocks(GRAMS, bucket, keys, [n]))
+            held.clear()
             for a in range(0, len(rows), 256):
                 yield _rows(rows[a : a + 256])
 
         for _, data, bounds in text_slices(batches):
             tokens, first = tokens_of(data, bounds)
-            parts.append(tokens if kind == WORDS else bigram_keys(contexts_of(tokens, first) >> _HALF, tokens >> _HALF))
+            if k == 1:
+                keys = np.concatenate([tokens, np.full(len(bounds) - 1, U64(BEGIN))])
+            else:
+                keys = own.keys(tokens, first, k)
+            if parts > 1:
+                keys = keys[own.bucket_of(k, keys) % parts == part]
+            held.append(keys)
             size += len(data) + len(bounds)
             if size >= COUNT_BYTES:
                 yield from flush()
                 size = 0
-        if parts:
+        if held:
             yield from flush()
 
     return docs.mapInArrow(count, _BLOCK)
@@ -207,89 +231,179 @@ def discounts(counts: list[float]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where the arrays are, and the numbers of the whole corpus."""
+    """Where the arrays are, and the numbers of the whole corpus.
+
+    bases has for each length of n-gram but the last how many lie before each bucket, from
+    length 1 on; last_discounts those of each length from 2 on.
+    """
 
     folder: str
     bits: int
-    tokens: int
-    distinct: int
-    documents: int
-    types: int
-    bigram_discounts: np.ndarray
-    word_discounts: np.ndarray
-    word_left: float
+    order: int
+    bases: list[np.ndarray]
+    tokens: int = 0
+    distinct: int = 0
+    documents: int = 0
+    types: int = 0
+    last_discounts: list[np.ndarray] | None = None
+    word_discounts: np.ndarray | None = None
+    word_left: float = 1.0
+
+    @property
+    def width(self) -> int:
+        """Bits of a word's number."""
+        return max(1, int(self.bases[0][-1]).bit_length())
 
     def reader(self) -> Reader:
         return Reader(self)
 
 
-def train(docs: DataFrame) -> Model:
-    """Counts every document's whole text. No documents: a model that knows no word.
+def _dropped(spark) -> None:
+    """Lets Spark delete the exchanged files of finished passes."""
+    for _ in range(2):  # what the first finds is let go of only after it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """Counts every document's whole text, n-grams of up to order words. No documents: a model that knows no word.
 
     doc_id and text alone are read; null texts are empty ones; repeated rows count each time.
     """
+    if order < 2:
+        raise ValueError("an order of 2 or more")
     spark = session_setup(docs.sparkSession)
     docs = documents_of(docs)
     size, documents = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     bits = int(np.ceil(np.log2(min(max((size or 0) / BUCKET_BYTES, 1), MOST_BUCKETS))))
     folder = shared_path(spark, "kneser-ney")
     parts = 1 << bits
-
-    def merge_bigrams(batches):
-        for bucket, held in _by_bucket(batches):
-            if BIGRAMS in held:
-                keys, (n,) = _merged(held[BIGRAMS], 1)
-                _store(folder, f"bigram-{bucket}.keys.npy", keys)
-                _store(folder, f"bigram-{bucket}.n.npy", n.astype(np.min_scalar_type(int(n.max()))))
-                first, second = bigram_halves(keys)
-                which = np.unique(first, return_inverse=True)
-                sums = [np.bincount(which[1], weights=m, minlength=len(which[0])).astype(np.int64) for m in (n == 1, n == 2, n >= 3)]
-                rows = list(_blocks(CONTEXTS, which[0] << _HALF, sums, bits))
-                ends, times = np.unique(second, return_counts=True)
-                rows += list(_blocks(FOLLOWED, ends << _HALF, [times], bits))
-                rows.append((0, TOTALS, np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.int64).tobytes()))
-                yield _rows(rows)
-
-    def merge_words(batches):
-        for bucket, held in _by_bucket(batches):
-            if TOTALS in held:  # a row of five numbers a bucket of bigrams
-                yield _rows([(0, TOTALS, np.sum([np.frombuffer(x, np.int64) for x in held[TOTALS]], axis=0).tobytes())])
-            keys, (n,) = _merged(held.get(WORDS, []), 1)
-            half = keys >> _HALF
-            contexts, stats = _merged(held.get(CONTEXTS, []), 3)
-            ends, (followed,) = _merged(held.get(FOLLOWED, []), 1)
-            contexts, ends = contexts >> _HALF, ends >> _HALF
-            table = np.zeros((len(contexts), 4), np.uint32)
-            # words with the same upper half are one context, and its count is theirs together
-            lo, hi = np.searchsorted(half, contexts), np.searchsorted(half, contexts, "right")
-            running = np.concatenate([[0], np.cumsum(n)])
-            table[:, 0] = running[hi] - running[lo]
-            for k in range(3):
-                table[:, k + 1] = stats[k]
-            _store(folder, f"word-{bucket}.keys.npy", keys)
-            _store(folder, f"word-{bucket}.n.npy", n.astype(np.int64))
-            _store(folder, f"context-{bucket}.keys.npy", contexts.astype(np.uint32))
-            _store(folder, f"context-{bucket}.n.npy", table)
-            _store(folder, f"followed-{bucket}.keys.npy", ends.astype(np.uint32))
-            _store(folder, f"followed-{bucket}.n.npy", followed.astype(np.uint32))
-            yield _rows([(bucket, WORDS, np.array([n.sum(), len(n)] + [(followed == k).sum() for k in (1, 2, 3, 4)] + [len(followed)], np.int64).tobytes())])
+    model = Model(folder, bits, order, [])
 
     def dealt(df):
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    merged = dealt(_counted(docs, bits, BIGRAMS)).mapInArrow(merge_bigrams, _BLOCK)
-    words = _counted(docs, bits, WORDS).union(merged)
-    totals = written(dealt(words).mapInArrow(merge_words, _BLOCK), "totals")
+    def sizes_of(tables) -> np.ndarray:  # a small row a bucket
+        out = np.zeros(parts + 1, np.int64)
+        for t in tables:
+            for r in t.where(F.col("kind") == SIZES).select("bucket", "data").collect():
+                out[r["bucket"] + 1] = np.frombuffer(r["data"], np.int64)[0]
+        return np.cumsum(out)
 
-    def summed(kind, n):  # one small row a bucket
-        rows = [np.frombuffer(r[0], np.int64) for r in totals.where(F.col("kind") == kind).select("data").collect()]
+    def summed(tables, n):
+        rows = [np.frombuffer(r[0], np.int64) for t in tables for r in t.where(F.col("kind") == TOTALS).select("data").collect()]
         return np.sum(rows, axis=0) if rows else np.zeros(n, np.int64)
 
-    pairs, word = summed(TOTALS, 5), summed(WORDS, 7)
+    def contexts(own, k, bucket, keys, counts):
+        """Statistics of the contexts of all n-grams of k words of a bucket, by their counts."""
+        at = own.split(keys)[0]
+        which = [counts, counts == 1, counts == 2, counts >= 3]
+        if k > 2:  # they lie in the same bucket
+            lo, hi = own.model.bases[k - 2][bucket : bucket + 2].tolist()
+            table = np.stack([np.bincount(at - lo, weights=m, minlength=hi - lo).astype(np.int64) for m in which], axis=1)
+            _store(folder, f"context{k - 1}-{bucket}.npy", _narrow(table))
+        else:
+            have, back = np.unique(at, return_inverse=True)
+            home, place = own.home(1, have)
+            yield from _blocks(CONTEXTS, home, place, [np.bincount(back, weights=m, minlength=len(have)).astype(np.int64) for m in which])
+        yield bucket, TOTALS, np.array([(counts == j).sum() for j in (1, 2, 3, 4)] + [len(counts)], np.int64).tobytes()
+
+    def merge(model, k):
+        """Stores the n-grams of k words; leaves their number and, of the longest ones, what their contexts have."""
+
+        def run(batches):
+            own = reader(model)
+            for bucket, held in _by_bucket(batches):
+                keys, (n,) = _merged(held[GRAMS], 1)
+                _store(folder, f"gram{k}-{bucket}.npy", keys)
+                _store(folder, f"n{k}-{bucket}.npy", _narrow(n))
+                rows = [(bucket, SIZES, np.array([len(keys)], np.int64).tobytes())]
+                if k == order:
+                    rows += contexts(own, k, bucket, keys, n)
+                for a in range(0, len(rows), 256):
+                    yield _rows(rows[a : a + 256])
+
+        return run
+
+    def ends(model, k):
+        """Of each stored n-gram's last k - 1 words that they were seen, read from the arrays so that nothing more is written for it."""
+
+        def run(batches):
+            own = reader(model)
+            for b in batches:
+                for bucket in b.column("bucket").to_pylist():
+                    if (keys := own.array(f"gram{k}-{bucket}")) is None:
+                        continue
+                    found, times = np.unique(own.last_words(k, *own.split(np.asarray(keys))), return_counts=True)
+                    rows = list(_blocks(FOLLOWED, *own.home(k - 1, found), [times]))
+                    for a in range(0, len(rows), 256):
+                        yield _rows(rows[a : a + 256])
+
+        return run
+
+    def finish(model, k):
+        """Stores the counts that n-grams of k words have as ends of longer ones; those at a text's begin end none and keep their own."""
+
+        def run(batches):
+            own = reader(model)
+            for bucket, held in _by_bucket(batches):
+                lo, hi = own.model.bases[k - 1][bucket : bucket + 2].tolist()
+                if lo == hi:
+                    continue
+                counts = np.zeros(hi - lo, np.int64)
+                place, (times,) = _merged(held.get(FOLLOWED, []), 1)
+                counts[place.astype(np.int64)] = times
+                rows = []
+                if k > 1:
+                    counts = np.where(counts == 0, own.array(f"n{k}-{bucket}"), counts).astype(np.int64)
+                    rows += contexts(own, k, bucket, np.asarray(own.array(f"gram{k}-{bucket}")), counts)
+                else:
+                    table = np.zeros((hi - lo, 4), np.int64)
+                    place, stats = _merged(held.get(CONTEXTS, []), 4)
+                    table[place.astype(np.int64)] = np.stack(stats, axis=1)
+                    _store(folder, f"context1-{bucket}.npy", _narrow(table))
+                    rows.append((bucket, TOTALS, np.array([own.array(f"n1-{bucket}").sum(dtype=np.int64), hi - lo] + [(counts == j).sum() for j in (1, 2, 3, 4)] + [(counts > 0).sum()], np.int64).tobytes()))
+                _store(folder, f"followed{k}-{bucket}.npy", _narrow(counts))
+                for a in range(0, len(rows), 256):
+                    yield _rows(rows[a : a + 256])
+
+        return run
+
+    tables = {}
+    for k in range(1, order + 1):
+        n = SLICES if k > 2 else 1
+        tables[k] = []
+        for part in range(n):
+            tables[k].append(written(dealt(_counted(docs, model, k, part, n)).mapInArrow(merge(model, k), _BLOCK), f"grams{k}"))
+            _dropped(spark)
+        if k < order:
+            model = replace(model, bases=[*model.bases, sizes_of(tables[k])])
+            if model.width + int(model.bases[-1][-1]).bit_length() > 64:
+                raise ValueError(f"n-grams of {k + 1} words have no keys of 64 bits")
+    every = spark.range(parts).select(F.col("id").cast("int").alias("bucket"), F.lit(SIZES).alias("kind"), F.lit(b"").alias("data"))
+    done = {order: tables[order]}
+    for k in range(order - 1, 0, -1):
+        rows = every.union(every.repartition(parts, "bucket").mapInArrow(ends(model, k + 1), _BLOCK))
+        if k == 1:
+            for t in done[2]:
+                rows = rows.union(t.where(F.col("kind") == CONTEXTS))
+        done[k] = [written(dealt(rows).mapInArrow(finish(model, k), _BLOCK), f"finished{k}")]
+        _dropped(spark)
+    sums = [summed(done[k], 5) for k in range(2, order + 1)]
+    word, types = summed(done[1], 7), int(sizes_of(tables[2])[-1])
     by_word = discounts(word[2:6].tolist())
     seen = [word[2], word[3], word[6] - word[2] - word[3]]
-    left = float(np.dot(by_word[1:], seen) / pairs[4]) if pairs[4] else 1.0
-    return Model(folder, bits, int(word[0]), int(word[1]), int(documents), int(pairs[4]), discounts(pairs[:4].tolist()), by_word, left)
+    return replace(
+        model,
+        tokens=int(word[0]) - int(documents),  # each text's begin was counted with the words
+        distinct=int(word[6]),
+        documents=int(documents),
+        types=types,
+        last_discounts=[discounts(x[:4].tolist()) for x in sums],
+        word_discounts=by_word,
+        word_left=float(np.dot(by_word[1:], seen) / types) if types else 1.0,
+    )
 
 
 # -------------------------------------------------------------------- scoring
@@ -300,65 +414,127 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.arrays: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.arrays: dict[str, np.ndarray | None] = {}
 
-    def _bucket(self, table: str, bucket: int):
-        name = f"{table}-{bucket}"
+    def array(self, name: str) -> np.ndarray | None:
         if name not in self.arrays:
             try:
-                self.arrays[name] = (_mapped(self.model.folder, f"{name}.keys.npy"), _mapped(self.model.folder, f"{name}.n.npy"))
+                self.arrays[name] = _mapped(self.model.folder, f"{name}.npy")
             except FileNotFoundError:  # no entry in this bucket
-                self.arrays[name] = None
+                return None
         return self.arrays[name]
 
-    def look_up(self, table: str, keys: np.ndarray, width: int = 64, columns: int = 0) -> np.ndarray:
-        """Counts of sorted distinct keys of so many bits, zero where unknown."""
-        out = np.zeros((len(keys), columns) if columns else len(keys), np.int64)
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words but the last, and of the last."""
+        x = unspread(keys)
+        return (x >> U64(self.model.width)).astype(np.int64), (x & U64((1 << self.model.width) - 1)).astype(np.int64)
+
+    def joined(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return spread((context.astype(U64) << U64(self.model.width)) | word.astype(U64))
+
+    def home(self, k: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and place in it of numbered n-grams of k words."""
+        base = self.model.bases[k - 1]
+        bucket = np.searchsorted(base, numbers, "right") - 1
+        return bucket, (numbers - base[bucket]).astype(np.uint32)
+
+    def bucket_of(self, k: int, keys: np.ndarray) -> np.ndarray:
+        if k > 2:
+            return self.home(k - 1, self.split(keys)[0])[0]
         bits = self.model.bits
-        bucket = (keys >> U64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(np.diff(edge)).tolist():
-            if (arrays := self._bucket(table, b)) is None or not len(arrays[0]):
+        return (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+    def _each(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(bucket, kind="stable")
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(bucket)]])
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if a < b:
+                yield int(bucket[order[a]]), order[a:b]
+
+    def numbers(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of n-grams of k words (of the last length: places in the bucket), -1 where unknown, and their counts."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for b, rows in self._each(self.bucket_of(k, keys)):
+            have = self.array(f"gram{k}-{b}")
+            if have is None or not len(have):
                 continue
-            have, n = arrays
-            want = keys[edge[b] : edge[b + 1]].astype(have.dtype)
-            at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-            found = have[at] == want
-            out[edge[b] : edge[b + 1]][found] = n[at[found]]
-        return out
+            at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+            found = have[at] == keys[rows]
+            rows, at = rows[found], at[found]
+            out[rows] = at + (self.model.bases[k - 1][b] if k < self.model.order else 0)
+            if k in (1, self.model.order):
+                n[rows] = self.array(f"n{k}-{b}")[at]
+        return out[back], n[back]
+
+    def read(self, name: str, k: int, numbers: np.ndarray, columns: int = 0) -> np.ndarray:
+        """Entries of numbered n-grams of k words; zero where the number is -1."""
+        numbers, back = np.unique(numbers, return_inverse=True)
+        out = np.zeros((len(numbers), columns) if columns else len(numbers), U64 if name == "gram" else np.int64)
+        known = np.flatnonzero(numbers >= 0)
+        bucket, place = self.home(k, numbers[known])
+        for b, rows in self._each(bucket):
+            have = self.array(f"{name}{k}-{b}")
+            if have is not None:
+                out[known[rows]] = have[place[rows]]
+        return out[back]
+
+    def last_words(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Number of the last k - 1 of k words, given as split() does."""
+        if k == 2:
+            return word
+        middle = self.last_words(k - 1, *self.split(self.read("gram", k - 1, context)))
+        return self.numbers(k - 1, self.joined(middle, word))[0]
+
+    def _context(self, k: int, shorter: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Number of the k - 1 words before each token, given those that end at each; -1 if there are fewer, or they are unknown."""
+        before = np.full_like(shorter, -1)
+        before[1:] = shorter[:-1]
+        before[first[:-1]] = self.numbers(1, np.array([BEGIN], U64))[0][0] if k == 2 else -1
+        return before
+
+    def keys(self, tokens: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+        """Keys of all n-grams of k words; texts have one begin, so k - 2 tokens of each end none."""
+        word = at = self.numbers(1, tokens)[0]
+        for j in range(2, k + 1):
+            context = self._context(j, at, first)
+            known = (context >= 0) & (word >= 0)
+            keys = self.joined(context[known], word[known])
+            if j < k:
+                at = np.full(len(tokens), -1, np.int64)
+                at[known] = self.numbers(j, keys)[0]
+        return keys
 
     def log_probabilities(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each token after the one before, and its count in training."""
+        """log10 probability of each token after those before, and its count in training."""
         m = self.model
-        words, word_at = np.unique(tokens, return_inverse=True)
-        count = self.look_up("word", words)
-        halves, half_at = np.unique(words >> _HALF, return_inverse=True)
-        followed = self.look_up("followed", halves, 32)
-        base = np.maximum(followed - m.word_discounts[np.minimum(followed, 3)], 0) / max(m.types, 1) + m.word_left / (m.distinct + 1)
-        base = base[half_at][word_at]
-        before = contexts_of(tokens, first) >> _HALF
-        contexts, context_at = np.unique(before, return_inverse=True)
-        stats = self.look_up("context", contexts, 32, 4)
-        total = stats[:, 0].copy()
-        total[contexts == U64(BEGIN) >> _HALF] += m.documents  # a text's begin is no word, so it isn't counted as one
-        gamma = stats[:, 1:] @ m.bigram_discounts[1:]
-        pairs, pair_at = np.unique(bigram_keys(before, tokens >> _HALF), return_inverse=True)
-        n = self.look_up("bigram", pairs)
-        top = np.maximum(n - m.bigram_discounts[np.minimum(n, 3)], 0)[pair_at]
-        total, gamma = total[context_at], gamma[context_at]
-        known = total > 0
-        p = np.where(known, (top + gamma * base) / np.maximum(total, 1), base)
-        return np.log10(p), count[word_at]
+        word, count = self.numbers(1, tokens)
+        followed = self.read("followed", 1, word)
+        p = np.maximum(followed - m.word_discounts[np.minimum(followed, 3)], 0) / max(m.types, 1) + m.word_left / (m.distinct + 1)
+        at = word
+        for k in range(2, m.order + 1):
+            context = self._context(k, at, first)
+            stats = self.read("context", k - 1, context, 4)
+            known = (context >= 0) & (word >= 0)
+            at, n = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.int64)
+            at[known], n[known] = self.numbers(k, self.joined(context[known], word[known]))
+            if k < m.order:
+                n = self.read("followed", k, at)
+            less = m.last_discounts[k - 2]
+            total, gamma = stats[:, 0], stats[:, 1:] @ less[1:]
+            p = np.where(total > 0, (np.maximum(n - less[np.minimum(n, 3)], 0) + gamma * p) / np.maximum(total, 1), p)
+        return np.log10(p), count
 
 
 _readers: dict[str, Reader] = {}
 
 
 def reader(model: Model) -> Reader:
-    if model.folder not in _readers:
+    name = f"{model.folder} {len(model.bases)} {model.last_discounts is None}"  # in training a model grows
+    if name not in _readers:
         _readers.clear()
-        _readers[model.folder] = model.reader()
-    return _readers[model.folder]
+        _readers[name] = model.reader()
+    return _readers[name]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

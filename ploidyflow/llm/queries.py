@@ -30,7 +30,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    model = kneser_ney.train(docs.where(crc_mod("doc_id", 7) != 2))
+    model = kneser_ney.train(docs.where(crc_mod("doc_id", 7) != 2), order=3)
     held_out = (crc_mod("doc_id", 7) == 2).alias("held_out")
     return kneser_ney.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

@@ -55,6 +55,57 @@ def test_against_dictionaries(spark, monkeypatch, bucket):
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(s, abs=1e-9)
 
 
+def plain_trigrams(rows, order=3):
+    """Counts and scores of any order by dictionaries; texts have one begin."""
+    split = lambda t: [1, *(t or "").encode().lower().split(), 0]
+    grams = {k: collections.Counter(tuple(w[i : i + k]) for _, t in rows for w in [split(t)] for i in range(len(w) - k + 1)) for k in range(1, order + 1)}
+    counts = {order: grams[order]}
+    for k in range(order - 1, 0, -1):
+        ends = collections.Counter(g[1:] for g in grams[k + 1])
+        counts[k] = {g: ends[g] or (n if k > 1 else 0) for g, n in grams[k].items()}
+    less = {k: kneser_ney.discounts([sum(v == j for v in counts[k].values()) for j in (1, 2, 3, 4)]) for k in counts}
+    after = {k: collections.defaultdict(list) for k in counts}
+    for k in counts:
+        for g, n in counts[k].items():
+            after[k][g[:-1]].append(n)
+    types, distinct = len(grams[2]), sum(n > 0 for n in counts[1].values())
+
+    def score(t):
+        w, out = split(t), 0.0
+        for i in range(1, len(w)):
+            n = counts[1].get((w[i],), 0)
+            p = max(n - less[1][min(n, 3)], 0) / types + sum(less[1][min(v, 3)] for v in counts[1].values()) / types / (distinct + 1)
+            for k in range(2, min(order, i + 1) + 1):
+                if seen := after[k].get(tuple(w[i - k + 1 : i])):
+                    n = counts[k].get(tuple(w[i - k + 1 : i + 1]), 0)
+                    p = (max(n - less[k][min(n, 3)], 0) + sum(less[k][min(v, 3)] for v in seen) * p) / sum(seen)
+            out += math.log10(p)
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize(("order", "bucket"), [(2, 4000), (3, kneser_ney.BUCKET_BYTES), (3, 4000), (4, 4000)])
+def test_higher_orders_against_dictionaries(spark, monkeypatch, order, bucket):
+    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", bucket)
+    rows = [(i, text(i % 70, 5 + i % 70, 12)) for i in range(80)] + [x for x in EDGES if x[0] != 905]
+    score = plain_trigrams(rows, order)
+    model = kneser_ney.train(documents(spark, rows), order)
+    asked = rows + [(700, "Never SEEN before"), (701, text(999, 40, 12))]
+    for r in kneser_ney.score(documents(spark, asked), model).collect():
+        assert r.score == pytest.approx(score(dict(asked)[r.doc_id]), abs=1e-9)
+
+
+def test_query_sees_two_words_of_context(spark, tmp_path):
+    """After 'x a' comes b, after 'y a' comes c: one word of context can't tell."""
+    from ploidyflow.llm import queries
+
+    rows = [(i, " ".join(["x a b", "y a c"][(i + j) % 2] for j in range(30))) for i in range(60)] + [(100, "x a b"), (101, "x a c")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op3_kneser_ney(spark, str(tmp_path)).collect()}
+    assert got[100] - got[101] > 0.8
+
+
 def test_probabilities_sum_to_one(spark):
     rows = [(i, text(i, 30, 25)) for i in range(20)]
     model = kneser_ney.train(documents(spark, rows))
