@@ -189,11 +189,15 @@ def _buckets(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.mapInArrow(tables, "bucket bigint, which int, fp bigint, node bigint, lead int, pivots binary")
 
 
-def dense_links(dense: DataFrame) -> DataFrame:
-    """Links at distance 2 between fingerprints of over-full buckets: two are linked if and only if
-    some value is at distance 1 or 0 of both. A value has 65 such fingerprints at most."""
+def dense_links(dense: DataFrame, radius: int = 2) -> DataFrame:
+    """Links between fingerprints of over-full buckets. Radius 2: two are linked if and only if some value
+    is at distance 1 or 0 of both; a value has 65 such fingerprints at most. Radius 1: each is looked for
+    among the others with a bit flipped. Distinct fingerprints have no links at radius 0."""
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(-(1 << 63) if k == 63 else 1 << k).cast("bigint") for k in range(BITS)])
     around = dense.select("node", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp")))).alias("value"))
+    if radius < 2:
+        own = dense.select(F.col("node").alias("b"), F.col("fp").alias("value"))
+        return around.withColumnRenamed("node", "a").join(own, "value").where("a < b").select("a", "b").where(F.lit(radius == 1))
     groups = around.groupBy("value").agg(F.min("node").alias("a"), F.collect_set("node").alias("nodes"))
     return groups.where("size(nodes) > 1").select("a", F.explode("nodes").alias("b")).where("a != b")
 
@@ -217,7 +221,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     found = written(dealt.mapInArrow(sweep, "a bigint, b bigint, dense boolean"), "swept")
     dense = found.where("dense").select(F.col("a").alias("node"), F.col("b").alias("fp")).distinct()
     links = found.where("not dense").select("a", "b")
-    return links.union(dense_links(dense)) if radius == 2 else links
+    return links.union(dense_links(dense, radius))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -69,6 +69,20 @@ def test_random_fingerprints_lose_no_link(spark, monkeypatch):
         assert grouped(range(len(fps)), got) == grouped(range(len(fps)), want)
 
 
+@pytest.mark.parametrize("radius", [0, 1])
+def test_smaller_radius_loses_no_link_of_full_buckets(spark, monkeypatch, radius):
+    draw = random.Random(5)
+    fps = {draw.getrandbits(64) for _ in range(30)}
+    for f in list(fps):
+        fps |= {f ^ (1 << draw.randrange(64)), f ^ (1 << 63), f ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64))}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
+    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= radius}
+    for most in (4096, 1):
+        monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes, radius).collect()} == want
+
+
 @pytest.mark.parametrize("most", [simhash.SWEEP_ROWS, 8])
 def test_near_copies_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
