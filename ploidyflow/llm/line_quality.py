@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, session_setup, text_slices, word_hashes, word_spans
+from .common import documents_of, session_setup, text_slices, word_hashes, word_spans, written
 
 #: Labelled documents that a model is fitted on, at most about; chosen by a hash of doc_id.
 SAMPLE_DOCS = 3000
-#: Bytes of a training text: longer ones are cut in training only, never in scoring.
-TRAIN_BYTES = 20_000
+#: Bytes of the sample at most, about; of more, fewer rows are drawn, each whole.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
 
 _KINDS = np.zeros(256, np.uint8)
@@ -197,6 +197,7 @@ def fit(texts: list[bytes], quality: np.ndarray, rounds: int = 150, decay: float
 def train(docs: DataFrame, labels: DataFrame) -> LineModel:
     """A model of labels.quality from at most about SAMPLE_DOCS documents that have a label of 0 or 1.
 
+    Texts are learned from whole; if the sample is of more than SAMPLE_BYTES bytes, fewer documents are drawn.
     A document labelled more than once counts once for each label; null texts are empty ones.
     """
     session_setup(docs.sparkSession)
@@ -204,8 +205,12 @@ def train(docs: DataFrame, labels: DataFrame) -> LineModel:
     total = marks.count()
     part = int(min(1.0, SAMPLE_DOCS / max(total, 1)) * (1 << 30))
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < part)
-    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality").orderBy(F.xxhash64("text"), "quality").toArrow()  # the sample alone
-    texts = [x.encode()[:TRAIN_BYTES] for x in rows["text"].to_pylist()]
+    sample = written(documents_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality"), "quality-sample")
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(part * SAMPLE_BYTES / size))
+    rows = sample.select("text", "quality").orderBy(F.xxhash64("text"), "quality").toArrow()  # the sample alone
+    texts = [x.encode() for x in rows["text"].to_pylist()]
     return fit(texts, rows["quality"].to_numpy().astype(int))
 
 

@@ -69,3 +69,15 @@ def test_nothing_to_learn(spark):
     model = line_quality.train(documents(spark, EDGES), none)
     assert {r.score for r in line_quality.score(documents(spark, EDGES), model).collect()} == {0.5}
     assert line_quality.score(documents(spark, []), model).count() == 0
+
+
+def test_junk_late_in_a_long_text_is_learned(spark):
+    """Heads of 25,000 bytes are alike; only what follows tells the labels apart."""
+    head = lambda i: "\n".join(text(f"{i}-{k}", 12) for k in range(400))
+    junk = "\n".join(["$$$ >>> 4711 !!! 0815 ###"] * 600)
+    assert len(head(0)) > 20_000
+    rows = [(i, head(i) + "\n" + (junk if i % 2 else head(1000 + i))) for i in range(24)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)], "doc_id bigint, quality int")
+    model = line_quality.train(documents(spark, rows), labels)
+    got = {r.doc_id: r.score for r in line_quality.score(documents(spark, [(1, junk), (2, head(500))]), model).collect()}
+    assert got[2] - got[1] > 0.3
