@@ -103,7 +103,8 @@ def tiled_words(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> int:
 def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_matched, n_words, coverage of each document and item tiled to that coverage or more.
 
-    Null texts are empty ones. Items of fewer words than a seed match nothing;
+    Null texts are empty ones. Items of fewer words than a seed are a seed of their
+    own, so they match where they occur whole; items without words match nothing;
     copies of an item, and of a document, are reported each. Repeated rows give
     repeated results. Other columns are left out. The benchmark is read to the
     driver in blocks of BLOCK_WORDS words, each of which all documents are held
@@ -116,8 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
 
     def against(seeds):
         def match(batches):
-            own = seeds.value
-            for rows, data, bounds in text_slices(batches):
+            for (rows, data, bounds), own in ((x, own) for x in text_slices(batches) for own in seeds.value):
                 words, at = word_sequence(data, bounds)
                 place, row = own.hits(words)
                 doc = np.searchsorted(at, place, "right") - 1
@@ -143,18 +143,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
 
         return docs.mapInArrow(match, "doc_id bigint, item_id bigint, n_matched bigint, n_words bigint, coverage double")
 
+    def seeds_of(ids, sizes, words):
+        """Seeds of a block's items, those of each length by themselves."""
+        length = np.minimum(sizes, seed)
+        return [Seeds(ids[x], sizes[x], words[np.repeat(x, sizes)], n) for n in np.unique(length[length > 0]).tolist() for x in [length == n]]
+
     def blocks():
         ids, sizes, words = [], [], []
         for batch in (pa.RecordBatch.from_pylist([r.asDict()], schema=pa.schema([("item_id", pa.int64()), ("text", pa.string())])) for r in items.toLocalIterator()):
             for rows, data, bounds in text_slices([batch]):
                 found, at = word_sequence(data, bounds)
                 if sizes and sum(sizes) + len(found) > BLOCK_WORDS:
-                    yield Seeds(np.array(ids), np.array(sizes), np.concatenate(words), seed)
+                    yield seeds_of(np.array(ids), np.array(sizes), np.concatenate(words))
                     ids, sizes, words = [], [], []
                 ids += rows.column("item_id").to_pylist()
                 sizes += np.diff(at).tolist()
                 words.append(found)
-        yield Seeds(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate([np.zeros(0, np.uint64), *words]), seed)
+        yield seeds_of(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate([np.zeros(0, np.uint64), *words]))
 
     out = None
     for block in blocks():

@@ -53,6 +53,13 @@ def test_against_plain_tiling(spark, monkeypatch, block):
     assert len(want) > 20
 
 
+def test_items_shorter_than_a_seed(spark):
+    items = [(1, "one"), (2, "two words"), (3, "now three words"), (4, "four words are here"), (5, "!!"), (6, "five words are in this")]
+    rows = [(10, "x Two, WORDS y two words"), (11, "words two"), (12, "four words are here"), (13, "now three words one"), (14, "two"), (15, "z five words are in this"), (16, None)]
+    got = sorted((r.doc_id, r.item_id, r.n_matched, r.n_words) for r in tiling.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == [(10, 2, 2, 2), (12, 4, 4, 4), (13, 1, 1, 1), (13, 3, 3, 3), (15, 6, 5, 5)]
+
+
 def test_reordered_passage_and_long_text(spark):
     item = words("item", 40, 10_000)
     body = words(1, 3000, 10_000)
