@@ -137,6 +137,17 @@ def test_bigram_keys_are_a_bijection():
     assert (x == a).all() and (y == b).all()
 
 
+def test_ngrams_have_keys_of_their_own():
+    """Numbers of more than 32 bits together with those of words make distinct keys, and are read from them."""
+    model = kneser_ney.Model("", 0, 3, [np.array([0, 1 << 27]), np.array([0, 1 << 36])])
+    draw = np.random.default_rng(3)
+    context, word = draw.integers(0, 1 << 36, 1000) // 2 * 2, draw.integers(0, 1 << 27, 1000)
+    own = model.reader()
+    back = own.split(own.joined(context, word))
+    assert (back[0] == context).all() and (back[1] == word).all()
+    assert len(set(own.joined(context, word).tolist())) == len(set(zip(context.tolist(), word.tolist(), strict=True)))
+
+
 def test_empty(spark):
     model = kneser_ney.train(documents(spark, []))
     assert model.tokens == 0
