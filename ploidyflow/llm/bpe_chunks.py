@@ -151,7 +151,7 @@ def bpe_decode(ids: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def bpe_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass: ids are encoded, then decoded, in the same batch."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 in one pass: ids are encoded, then decoded, in the same batch. Rows without doc_id are left out."""
 
     def digest(batches):
         code = coder(tokenizer)

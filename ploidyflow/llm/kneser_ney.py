@@ -544,7 +544,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     training. base_score sums log10((c + 1) / (N + V + 1)) over the tokens (c: the
     token's count, N and V: all and distinct training tokens); score is the
     model's log10 probability of the text, and perplexity 10 ** (-score / n_tokens).
-    Null and empty texts are one end. Repeated rows are scored each.
+    Null and empty texts are one end. Repeated rows are scored each. Rows without doc_id are left out.
     """
     session_setup(docs.sparkSession)
 

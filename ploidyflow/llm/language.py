@@ -165,7 +165,7 @@ def has_letter(text: bytes) -> bool:
 
 
 def predict(docs: DataFrame, model: LanguageFilter | None) -> DataFrame:
-    """doc_id, lang_pred, score, share of every document, from the whole text alone.
+    """doc_id, lang_pred, score, share of every document, from the whole text alone. Rows without doc_id are left out.
 
     lang_pred is "und" with score 0 if the text is null or has no letter, or if
     nothing was learned. score is the winner's part of all languages' corrected

@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: LineModel) -> DataFrame:
 
     score is the probability of label 1; predicted is 1 from THRESHOLD on. Null
     and empty texts have one empty line and a score like others. Repeated rows are
-    answered each.
+    answered each. Rows without doc_id are left out.
     """
     session_setup(docs.sparkSession)
 

@@ -231,7 +231,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     fingerprints differ in at most radius (0 to 2) bits are linked; component_id is
     the smallest doc_id reachable. Null, empty and blank texts have fingerprint
     zero and are linked like any other. Repeated rows are returned as often.
-    Equal fingerprints are folded first, so copies make no pairs.
+    Equal fingerprints are folded first, so copies make no pairs. Rows without doc_id are left out.
     """
     if not 0 <= radius <= 2:
         raise ValueError("exact linking is for a radius of 0, 1 or 2")

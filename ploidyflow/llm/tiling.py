@@ -106,7 +106,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
     Null texts are empty ones. Items of fewer words than a seed are a seed of their
     own, so they match where they occur whole; items without words match nothing;
     copies of an item, and of a document, are reported each. Repeated rows give
-    repeated results. Other columns are left out. The benchmark is read to the
+    repeated results. Other columns, and rows without doc_id or item_id, are left out. The benchmark is read to the
     driver in blocks of BLOCK_WORDS words, each of which all documents are held
     against, so its size bounds neither the driver's nor a worker's memory.
     """

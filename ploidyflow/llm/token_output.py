@@ -40,7 +40,7 @@ def parquet_options(encoding: str = "dictionary", row_group_bytes: int = 32 << 2
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
-    """doc_id, part, row, n_tokens, ids of every document, in order of doc_id.
+    """doc_id, part, row, n_tokens, ids of every document, in order of doc_id. Rows without doc_id are left out.
 
     Rows with the same doc_id follow each other in order of their texts.
     """
