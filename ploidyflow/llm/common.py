@@ -42,18 +42,22 @@ BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.
 
 
 def session_setup(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows; the rest of the session is left as it is."""
+    """Bounds Arrow batches by rows, and lets exchanged files go when a query ends, as results are written tables."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where it is unset (tests on one machine) a temporary folder is made.
+    Only where it is unset (tests on one machine) a temporary folder is made; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         atexit.register(shutil.rmtree, root[7:], True)
         try:
@@ -63,20 +67,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_made: list[str] = []
+#: Paths written for each application, by its id; the paths of tables that written() returned.
+_made: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    _made.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes all that this session wrote into the shared folder; for when no result is read any more."""
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def marked(spark: SparkSession) -> int:
+    """How many paths this application has written so far, for release()."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Deletes what this application wrote into the shared folder, from one mark to another; for when no result reads it any more."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in made[first:last]:
+        _delete(spark, path)
+    made[first:last] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -87,7 +104,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() returned and that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        _delete(spark, t.written_to)
+        _made[spark.sparkContext.applicationId].remove(t.written_to)
 
 
 def local_of(uri: str) -> str | None:

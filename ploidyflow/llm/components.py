@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,10 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("near")), "other").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = written(labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was")), "hooked")
+        hooked = written(labels.select("node", "component").join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was")), "hooked")
         roots = hooked.select(F.col("node").alias("component"), F.col("component").alias("root"))
         jumped = hooked.join(roots, "component").select("node", F.least("component", "root").alias("component"), "was")
-        labels = written(jumped, "labels")
+        last, labels = labels, written(jumped, "labels")
+        discard(last, hooked)
         if labels.where("component != was").isEmpty():
+            discard(both)
             return labels.select("node", "component")
-        labels = labels.select("node", "component")

@@ -1,4 +1,4 @@
-"""SimHash fingerprints, and near copies by pivot distance tables.
+"""SimHash fingerprints, and links between near ones by pivot distance tables.
 
 Every distinct fingerprint carries a table of its Hamming distances to many
 reference fingerprints (pivots). Two fingerprints at distance r differ by r at
@@ -14,7 +14,6 @@ more rows than SWEEP_ROWS is handled exactly by other means (see dense_links).
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, lowered, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
+from .common import documents_of, session_setup, text_slices, written
 from .components import components
 
 BITS = 64
@@ -73,27 +72,16 @@ def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * ones > sizes[:, None], axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, words: int, least: int = 0) -> DataFrame:
-    """doc_id, fp and, if least is given, digest of the words and so many smallest shingle hashes.
-
-    If least is given, fp is of the distinct shingles, as a similarity of sets is.
-    """
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and fp of every document."""
 
     def make(batches):
         for rows, data, bounds in text_slices(batches):
             raw, at = data.tobytes(), bounds.tolist()
-            got = [shingle_hashes(raw[a:b], words) for a, b in zip(at[:-1], at[1:], strict=True)]
-            hashes = [np.unique(h.astype(np.uint64)) if least else h for h, _ in got]
-            columns = [rows.column("doc_id"), pa.array(fingerprints_of(hashes).view(np.int64))]
-            names = ["doc_id", "fp"]
-            if least:
-                low = [h[:least].view(np.int64) for h in hashes]
-                columns += [pa.array([hashlib.sha256(x).digest()[:16] for _, x in got], pa.binary()), pa.array(low, pa.list_(pa.int64()))]
-                names += ["digest", "least"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            hashes = [shingle_hashes(raw[a:b], words)[0] for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fingerprints_of(hashes).view(np.int64))], ["doc_id", "fp"])
 
-    kind = "doc_id bigint, fp bigint" + ", digest binary, least array<bigint>" * bool(least)
-    return documents_of(docs).mapInArrow(make, kind)
+    return documents_of(docs).mapInArrow(make, "doc_id bigint, fp bigint")
 
 
 # --------------------------------------------------------------- pivot tables
@@ -124,10 +112,10 @@ def swept_pairs(bucket: np.ndarray, fps: np.ndarray, table: np.ndarray, radius:
         lag += 1
 
 
-def whole_buckets(batches, names: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
-    """Rows of complete buckets, from batches in order of bucket, and whether they are of an over-full one.
+def whole_buckets(batches, names: tuple[str, ...], most: int = SWEEP_ROWS) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Rows of complete buckets, from batches in order of bucket, and whether they are of an over-full one, of more than most rows.
 
-    Holds a batch and SWEEP_ROWS rows at most.
+    Holds a batch and so many rows at most.
     """
     kept: dict[str, np.ndarray] | None = None
     over = None  # the over-full bucket that is being passed on
@@ -146,7 +134,7 @@ def whole_buckets(batches, names: tuple[str, ...]) -> Iterator[tuple[dict[str, n
         key = rows["bucket"]
         edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.diff(edge)
-        full = size > SWEEP_ROWS
+        full = size > most
         full[0] |= over is not None and key[0] == over
         over = key[-1] if full[-1] else None
         done = np.repeat(full, size)
@@ -202,12 +190,12 @@ def dense_links(dense: DataFrame, radius: int = 2) -> DataFrame:
     return groups.where("size(nodes) > 1").select("a", F.explode("nodes").alias("b")).where("a != b")
 
 
-def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 2, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
     """Links a, b between nodes whose distinct fingerprints differ in so many bits at most (2, or fewer)."""
     masks = [a | b for a, b in combinations(_blocks(radius), 2)]
 
     def sweep(batches):
-        for rows, dense in whole_buckets(batches, ("bucket", "which", "fp", "node", "pivots")):
+        for rows, dense in whole_buckets(batches, ("bucket", "which", "fp", "node", "pivots"), sweep_rows):
             fps, node = rows["fp"].view(np.uint64), rows["node"]
             if dense:
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(rows["fp"]), pa.array(np.ones(len(node), bool))], ["a", "b", "dense"])
@@ -224,7 +212,7 @@ def near_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return links.union(dense_links(dense, radius))
 
 
-def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
     Texts are lower-cased (A-Z) and cut into words [^ \\t-\\r]+. Documents whose
@@ -232,227 +220,13 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     the smallest doc_id reachable. Null, empty and blank texts have fingerprint
     zero and are linked like any other. Repeated rows are returned as often.
     Equal fingerprints are folded first, so copies make no pairs. Rows without doc_id are left out.
+    Buckets of more than sweep_rows fingerprints are linked by other means, to the same end.
     """
     if not 0 <= radius <= 2:
         raise ValueError("exact linking is for a radius of 0, 1 or 2")
     session_setup(docs.sparkSession)
     prints = written(fingerprints(docs, words), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(near_links(nodes, radius))
+    found = components(near_links(nodes, radius, sweep_rows))
     named = written(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# ------------------------------------------------------ near copies by similarity
-
-#: Smallest shingle hashes of a text that serve as buckets. Texts of similarity s share one of them but for about (1 - s) ** 8 of pairs.
-KEYS = 8
-#: Differing bits up to which texts of similarity 0.8 are looked for: their mean is 10, with a deviation of 3. Texts of fewer than KEYS
-#: shingles, whose bits tell less, are linked without (see few_links).
-WIDE = 20
-#: Earlier rows of a bucket that a row is held against by text in the first round, nearest fingerprints first; each round takes four times as many.
-PARTNERS = 4
-_ROWS = "bucket bigint, fp bigint, node bigint, lead int, pivots binary"
-_FOUND = "a bigint, b bigint, distance bigint, more boolean"
-
-
-def _chosen(rows: dict[str, np.ndarray], most: int) -> pa.RecordBatch:
-    """Nearest earlier partners of each row that aren't of its component yet, so many at most, and whether a row had more."""
-    node, component = rows["node"], rows["component"]
-    parts = []
-    for i, j, d in swept_pairs(rows["bucket"], rows["fp"].view(np.uint64), rows["pivots"], WIDE):
-        apart = component[i] != component[j]
-        parts.append((i[apart], j[apart], d[apart].astype(np.int64)))
-    i, j, d = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    order = np.lexsort((a, d, rows["bucket"][i], b))
-    a, b, d, bucket = a[order], b[order], d[order], rows["bucket"][i][order]
-    more = np.zeros(len(b), bool)
-    if len(b):
-        new = np.concatenate([[True], (b[1:] != b[:-1]) | (bucket[1:] != bucket[:-1])])
-        rank = np.arange(len(b)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        more[:-1] = rank[1:] >= most
-        keep = rank < most
-        a, b, d, more = a[keep], b[keep], d[keep], more[keep]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d), pa.array(more)], ["a", "b", "distance", "more"])
-
-
-def _bucket_rows(reps: DataFrame) -> DataFrame:
-    """A row for each of a text's smallest shingle hashes, with its fingerprint's pivot table."""
-
-    def make(batches):
-        for b in batches:
-            fps = b.column("fp").to_numpy().view(np.uint64)
-            table = pivot_table(fps)
-            least = b.column("least")
-            n = np.diff(least.offsets.to_numpy())
-            row = np.repeat(np.arange(len(b)), n)
-            flat = pa.array([x.tobytes() for x in table], pa.binary()).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([least.flatten(), pa.array(fps[row].view(np.int64)), b.column("node").take(pa.array(row)), pa.array(table[row, 0].astype(np.int32)), flat], ["bucket", "fp", "node", "lead", "pivots"])
-
-    return reps.mapInArrow(make, _ROWS)
-
-
-def few_links(reps: DataFrame, least_similarity: float) -> DataFrame:
-    """Links a, b between texts of fewer than KEYS distinct shingles, exactly: all of them are in least.
-
-    What two similar sets share is a subset of both, and a large part of each, so each set is dealt out
-    by its large subsets. Whether two sets that share one are similar follows from their sizes, so all of a size
-    are linked to the least node of each size that fits, and no pairs are made.
-    """
-
-    def subsets(batches):
-        for b in batches:
-            out = []
-            for node, least in zip(b.column("node").to_pylist(), b.column("least").to_pylist(), strict=True):
-                n = len(least)
-                for i in range(n, 0, -1):
-                    if i < least_similarity * n:
-                        break
-                    out += [(np.array(x, np.int64).tobytes(), i, n, node) for x in combinations(sorted(least), i)]
-            value, i, n, node = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.binary()), pa.array(i, pa.int32()), pa.array(n, pa.int32()), pa.array(node, pa.int64())], ["value", "shared", "size", "node"])
-
-    few = reps.where(F.size("least").between(1, KEYS - 1)).select("node", "least")
-    dealt = written(few.mapInArrow(subsets, "value binary, shared int, size int, node bigint"), "subsets")
-    first = dealt.groupBy("value", F.col("size").alias("other")).agg(F.min("node").alias("a"))
-    met = dealt.join(first, "value").where(F.col("a") != F.col("node")).where(F.col("shared") >= F.lit(least_similarity) * (F.col("size") + F.col("other") - F.col("shared")))
-    return met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def _candidates(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs a < b of one bucket and two components within WIDE bits. rows: those of _bucket_rows() and component."""
-    names = ("bucket", "fp", "node", "component", "pivots")
-
-    def sweep(batches):
-        for own, dense in whole_buckets(batches, names):
-            if not dense:
-                yield _chosen(own, most)
-            else:  # passed on: bucket, node and fingerprint, marked by no distance
-                yield pa.RecordBatch.from_arrays([pa.array(own["bucket"]), pa.array(own["node"]), pa.nulls(len(own["node"]), pa.int64()), pa.nulls(len(own["node"]), pa.bool_())], ["a", "b", "distance", "more"])
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "lead")
-    found = written(dealt.mapInArrow(sweep, _FOUND), "candidates")
-    dense = found.where("distance is null").select(F.col("a").alias("bucket"), F.col("b").alias("node"))
-    return found.where("distance is not null").union(_dense_candidates(dense.join(rows, ["bucket", "node"]), most))
-
-
-def _dense_candidates(dense: DataFrame, most: int) -> DataFrame:
-    """Candidates of over-full buckets: a bucket's rows are dealt into blocks, and every two blocks meet in a task."""
-    half = max(1, SWEEP_ROWS // 2)
-    sizes = written(dense.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("blocks")), "dense")
-    placed = dense.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "node", "component", "lead", "pivots")
-
-    def sweep(batches):
-        held, at = [], None
-        names = ("bucket", "fp", "node", "component", "pivots")
-
-        def done():
-            return _chosen({x: np.concatenate([h[x] for h in held]) for x in names}, most)
-
-        for b in batches:
-            own = {x: b.column(x).to_numpy() for x in names[:-1]}
-            own["pivots"] = np.frombuffer(b"".join(b.column("pivots").to_pylist()), np.uint8).reshape(len(b), -1)
-            key = own["bucket"]
-            edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for x, y in zip(edge[:-1], edge[1:], strict=True):
-                if x == y:
-                    continue
-                if held and key[x] != at:
-                    yield done()
-                    held.clear()
-                at = key[x]
-                held.append({k: v[x:y] for k, v in own.items()})
-        if held:
-            yield done()
-
-    return met.repartition("bucket").sortWithinPartitions("bucket", "lead").mapInArrow(sweep, _FOUND)
-
-
-def _shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
-    """Distinct hashes of each text's shingles, lower-cased."""
-    data = lowered(data)
-    starts, ends, at = word_spans(data, bounds)
-    sums = prefix_sums(word_hashes(data, starts, ends))
-    out = []
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        here = np.arange(a, max(b - words + 1, a + (b > a)))
-        out.append(np.unique(range_hash(sums, here, np.minimum(here + words, b))))
-    return out
-
-
-def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sets of distinct hashes; of two empty ones 1."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least_similarity: float) -> DataFrame:
-    """Those of the pairs a, b whose whole texts are similar enough."""
-    left = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text")), "a")
-    both = left.join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
-
-    def verify(batches):
-        for rows, data, bounds in text_slices(batches):
-            for other, own, at in text_slices([rows], "other", 1 << 62):
-                s = [similarity(x, y) for x, y in zip(_shingle_sets(data, bounds, words), _shingle_sets(own, at, words), strict=True)]
-                keep = pa.array(np.array(s) >= least_similarity)
-                yield pa.RecordBatch.from_arrays([other.column("a").filter(keep), other.column("b").filter(keep)], ["a", "b"])
-
-    return both.mapInArrow(verify, "a bigint, b bigint").distinct()
-
-
-def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links of every document.
-
-    Documents with the same words (A-Z in lower case) are one class. Other texts are
-    linked if their sets of shingles of so many words have that Jaccard similarity
-    or more, which is computed from the whole texts. Texts are held against each
-    other if they share one of their KEYS smallest shingle hashes and the
-    fingerprints of their distinct shingles differ in WIDE bits at most by their pivot
-    tables; pairs of texts that are connected already are left out, and rounds go on
-    until no pair of two components is left. A pair of similarity 0.8 or more misses by
-    its bits with a chance of 0.0008 at most, and not at all if both texts have fewer
-    than KEYS distinct shingles: those are linked exactly. class_id is the smallest doc_id reachable and n_links the
-    number of links that were verified of the document's text. Null and empty texts
-    are copies of each other. Repeated rows are returned as often.
-    """
-    spark = session_setup(docs.sparkSession)
-    docs = documents_of(docs)
-    prints = written(fingerprints(docs, words, KEYS), "prints")
-    reps = written(prints.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least")), "reps")
-    rows = _bucket_rows(reps.select("node", "fp", "least"))
-    shared = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
-    rows = written(rows.join(shared, "bucket"), "bucket-rows")
-    links = tried = None
-    found = spark.createDataFrame([], "node bigint, component bigint")
-    few = written(few_links(reps, least_similarity), "few")
-    if not few.isEmpty():
-        links, found = few, components(few)
-    most = PARTNERS
-    while True:
-        named = rows.withColumn("component", F.col("node"))
-        if links is not None:
-            named = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = named.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("bucket")
-            named = written(named.join(split, "bucket"), "split")
-        chosen = written(_candidates(named, most).groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        more = not chosen.where("more").isEmpty()
-        new = chosen.select("a", "b")
-        if tried is not None:
-            new = written(new.join(tried, ["a", "b"], "left_anti"), "new")
-        if not new.isEmpty():
-            passed = written(_verified(new, docs, words, least_similarity), "passed")
-            links = passed if links is None else links.union(passed)
-            tried = new if tried is None else tried.union(new)
-            found = components(links)
-        elif not more:
-            break
-        most *= 4
-    links = links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("digest", "node").join(found, "node", "left").join(ends, "node", "left")
-    named = written(classes.select("digest", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links")

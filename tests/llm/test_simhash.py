@@ -42,17 +42,16 @@ def near_texts(n, seed=3):
 
 
 @pytest.mark.parametrize("most", [simhash.SWEEP_ROWS, 1])
-def test_components_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
+def test_components_against_brute_force(spark, most):
     rows = near_texts(120) + EDGES
     made = [(i, fingerprint(t, 3)[0]) for i, t in rows]
     by_id = dict(made)
     want = grouped(by_id, [(a, b) for a, x in by_id.items() for b, y in by_id.items() if a < b and (x ^ y).bit_count() <= 2])
-    got = sorted(tuple(r) for r in simhash.simhash_components(documents(spark, rows)).collect())
+    got = sorted(tuple(r) for r in simhash.simhash_components(documents(spark, rows), sweep_rows=most).collect())
     assert got == sorted((i, f"{f:016x}", want[i]) for i, f in made)
 
 
-def test_random_fingerprints_lose_no_link(spark, monkeypatch):
+def test_random_fingerprints_lose_no_link(spark):
     draw = random.Random(1)
     fps = {draw.getrandbits(64) for _ in range(40)}
     for f in list(fps):
@@ -62,15 +61,14 @@ def test_random_fingerprints_lose_no_link(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
     want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
     for most in (4096, 1):
-        monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
-        got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes).collect()}
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes, sweep_rows=most).collect()}
         if most > 1:
             assert got == want
         assert grouped(range(len(fps)), got) == grouped(range(len(fps)), want)
 
 
 @pytest.mark.parametrize("radius", [0, 1])
-def test_smaller_radius_loses_no_link_of_full_buckets(spark, monkeypatch, radius):
+def test_smaller_radius_loses_no_link_of_full_buckets(spark, radius):
     draw = random.Random(5)
     fps = {draw.getrandbits(64) for _ in range(30)}
     for f in list(fps):
@@ -79,48 +77,27 @@ def test_smaller_radius_loses_no_link_of_full_buckets(spark, monkeypatch, radius
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
     want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= radius}
     for most in (4096, 1):
-        monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
-        assert {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes, radius).collect()} == want
-
-
-@pytest.mark.parametrize("most", [simhash.SWEEP_ROWS, 8])
-def test_near_copies_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "SWEEP_ROWS", most)
-    rows = near_texts(100, 9) + [(i, t) for i, t in EDGES if i != 905]
-    sets = {i: fingerprint(t, 5)[1] for i, t in rows}
-    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-    want = grouped(sets, [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
-    got = {r.doc_id: r.class_id for r in simhash.near_copies(documents(spark, rows)).collect()}
-    assert got == want
-
-
-def test_near_copies_whose_lines_repeat_or_that_are_short(spark):
-    """A line once against the same many times, and texts of 8 and 9 words over WIDE bits apart."""
-    rows = []
-    for i in range(12):
-        head, line = " ".join(words(f"head{i}", 100, 10**6)), " ".join(words(f"line{i}", 10, 10**6))
-        rows += [(3 * i, f"{head} {line}"), (3 * i + 1, " ".join([head, *[line] * (8 + 4 * i)])), (3 * i + 2, " ".join(words(f"other{i}", 60, 10**6)))]
-    short = [words(f"short{i}", 10, 10**6) for i in range(3000)]
-    bits = [int.bit_count(fingerprint(" ".join(w[:8]), 5)[0] ^ fingerprint(" ".join(w[:9]), 5)[0]) for w in short]
-    far = [w for w, n in zip(short, bits, strict=True) if n > simhash.WIDE]
-    assert far
-    for i, w in enumerate(far):  # four, five and six shingles: 0.8 and 0.83 in a row, 0.67 between the ends
-        rows += [(1000 + 10 * i + k, " ".join(w[:n])) for k, n in enumerate((10, 8, 9))]
-        rows += [(1000 + 10 * i + 3, " ".join([*w[:8], "another"])), (1000 + 10 * i + 4, " ".join([*w[:7], "unlike", "end"]))]
-    sets = {i: fingerprint(t, 5)[1] for i, t in rows}
-    want = grouped(sets, [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
-    assert {r.doc_id: r.class_id for r in simhash.near_copies(documents(spark, rows)).collect()} == want
-
-
-def test_copies_make_no_pairs(spark):
-    rows = [(i, "the same words as all the others here") for i in range(50)]
-    got = simhash.near_copies(documents(spark, rows)).collect()
-    assert {r.class_id for r in got} == {0} and {r.n_links for r in got} == {0} and len(got) == 50
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes, radius, most).collect()} == want
 
 
 def test_empty(spark):
     assert simhash.simhash_components(documents(spark, [])).count() == 0
-    assert simhash.near_copies(documents(spark, [])).count() == 0
+
+
+def test_more_rows_than_a_sweep_takes(spark):
+    """One bucket of 2,600 fingerprints, over SWEEP_ROWS: no link is lost, by either radius."""
+    draw = random.Random(11)
+    low = draw.getrandbits(64)
+    fps = sorted({low ^ (draw.getrandbits(30) & draw.getrandbits(30) & draw.getrandbits(30)) for _ in range(2600)})
+    assert len(fps) > simhash.SWEEP_ROWS
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node bigint, fp bigint")
+    have = np.array(fps, np.uint64)
+    for radius in (1, 2):
+        apart = np.bitwise_count(have[:, None] ^ have[None, :])
+        i, j = np.nonzero((apart <= radius) & (np.arange(len(have))[:, None] < np.arange(len(have))[None, :]))
+        got = [(min(r.a, r.b), max(r.a, r.b)) for r in simhash.near_links(nodes, radius).collect()]
+        assert grouped(range(len(fps)), got) == grouped(range(len(fps)), list(zip(i.tolist(), j.tolist(), strict=True)))
+        assert all(apart[a, b] <= radius or radius == 2 for a, b in got)
 
 
 def test_pivots_bound_distance():
