@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ploidyflow.llm import bpe_chunks, language, simhash, substring, tiling
+from ploidyflow.llm import bpe_chunks, language, near_copies, substring, tiling
+from ploidyflow.llm.common import discard, marked, release, written
 from ploidyflow.llm.queries import BYTE_BPE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near copies (five words, similarity 0.8)."""
     docs = _documents(docs)
-    found = simhash.near_copies(docs, words=5, least_similarity=0.8)
+    found = near_copies.near_copies(docs, words=5, least_similarity=0.8)
     return docs.join(found.where("class_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -54,12 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each one's rows are written to the shared folder and read again."""
-    from ploidyflow.llm.common import written
-
+    """All stages in order; each one's rows are written to the shared folder and read again, and what it read and made on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
+        first, before = marked(spark), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            release(spark, first, marked(spark) - 1)
+            if k:
+                discard(before)
     return docs
