@@ -3,7 +3,7 @@
 Counting: each batch of texts is counted with numpy and leaves as a few blocks, one
 a bucket, each with the batch's sorted keys and counts. A bucket's blocks meet in
 one task, are merged and are written as sorted arrays into the shared folder. A
-bucket holds a bounded number of distinct n-grams, as the number of buckets follows
+bucket holds a bounded number of n-grams, as the number of buckets follows
 the input; a frequent n-gram is one entry of a block.
 
 Words have a 64-bit hash, so all counts are exact but for hash collisions of words.
@@ -11,8 +11,7 @@ Distinct n-grams of a length are numbered in order of their arrays. The key of a
 longer one is a bijection of the number of all its words but the last and the number of
 the last, so no two share a key, and both parts are read from it. N-grams of three
 words and more lie in the bucket of their context, so a context's statistics lie beside
-its own entry and need no exchange; they are counted in SLICES passes over the texts, so
-that blocks that aren't merged are a part of all at a time.
+its own entry and need no exchange.
 
 Scoring: workers map the arrays into memory, look up each batch's distinct n-grams
 length by length, and sum log10 probabilities by document.
@@ -20,12 +19,6 @@ length by length, and sum log10 probabilities by document.
 
 from __future__ import annotations
 
-import gc
-import os
-import shutil
-import tempfile
-import time
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,44 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, documents_of, local_of, lowered, session_setup, shared_path, text_slices, word_hashes, word_spans, written
+from .common import U64, documents_of, lowered, session_setup, shared_path, text_slices, word_hashes, word_spans, written
+from .hash_arrays import Folder, spread, unspread
 
 #: Training bytes to a bucket: about 4 million words, so some 20 MB of distinct bigrams.
 BUCKET_BYTES = 24 << 20
-MOST_BUCKETS = 1 << 16
 #: Bytes of text that are counted at once: more make fewer repeated entries and larger blocks.
 COUNT_BYTES = 16 << 20
 #: Bytes of text that are scored at once: more share more look-ups.
 SCORE_BYTES = 2 << 20
-#: Passes over the texts for n-grams of three words and more.
-SLICES = 2
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = 0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995
-_MIX, _UNMIX = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_HALF = U64(32)
-_LOW = U64(0xFFFFFFFF)
-
-
-def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """One number for two 32-bit halves, spread over all 64 bits."""
-    x = ((first << _HALF) | second) * U64(_MIX)
-    return (x ^ (x >> _HALF)) * U64(_MIX)
-
-
-def bigram_halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = keys * U64(_UNMIX)
-    x = (x ^ (x >> _HALF)) * U64(_UNMIX)
-    return x >> _HALF, x & _LOW
-
-
-def spread(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers; unspread() is its inverse."""
-    return bigram_keys(x >> _HALF, x & _LOW)
-
-
-def unspread(keys: np.ndarray) -> np.ndarray:
-    first, second = bigram_halves(keys)
-    return (first << _HALF) | second
+#: Bits of a key within its bucket: more make the directory longer than the keys.
+MOST_BITS = 57
 
 
 def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +55,44 @@ def tokens_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 # ------------------------------------------------------------------- counting
 
 
+def distinct(bucket: np.ndarray, keys: np.ndarray, bits: int, back: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of so many bits by bucket, in order, and where each row's is (back) or how often each is there."""
+    if bits == 64 or not len(keys):  # the bucket is the upper part of the key, and left to the caller
+        return bucket[:0], *np.unique(keys, return_inverse=back, return_counts=not back)[:2]
+    if int(bucket.max()).bit_length() + bits <= 64:
+        found, more = np.unique((bucket.astype(U64) << U64(bits)) | keys, return_inverse=back, return_counts=not back)[:2]
+        return (found >> U64(bits)).astype(np.int64), found & U64((1 << bits) - 1), more
+    order = np.lexsort((keys, bucket))
+    new = np.concatenate([[True], (np.diff(bucket[order]) != 0) | (np.diff(keys[order]) != 0)])
+    first = np.flatnonzero(new)
+    if back:
+        more = np.empty(len(keys), np.int64)
+        more[order] = np.cumsum(new) - 1
+    else:
+        more = np.diff(np.append(first, len(keys)))
+    return bucket[order][first], keys[order][first], more
+
+
 def _blocks(kind: int, bucket: np.ndarray, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
-    """Rows (bucket, kind, data) of keys with columns of unsigned numbers, as narrow as they fit; in order of bucket."""
+    """Rows (bucket, kind, data) of keys with columns of unsigned numbers, as narrow as they fit; in order of bucket.
+
+    A key's upper bytes stand apart from the lower four: they are ascending, and so take little room on the way.
+    """
     edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).astype(int) if len(bucket) else [0]
     for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own = keys[a:b].astype(U64)
+        upper = own >> U64(32)
+        high = np.min_scalar_type(int(upper[-1]))
         wide = np.min_scalar_type(max(int(c[a:b].max()) for c in columns))
-        yield int(bucket[a]), kind, bytes([keys.itemsize, wide.itemsize]) + keys[a:b].tobytes() + b"".join(c[a:b].astype(wide).tobytes() for c in columns)
+        yield int(bucket[a]), kind, bytes([high.itemsize, wide.itemsize]) + upper.astype(high).tobytes() + own.astype(np.uint32).tobytes() + b"".join(c[a:b].astype(wide).tobytes() for c in columns)
 
 
 def _read_block(data: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    key, wide = np.dtype(f"u{data[0]}"), np.dtype(f"u{data[1]}")
-    n = (len(data) - 2) // (data[0] + data[1] * columns)
-    return np.frombuffer(data, key, n, 2), [np.frombuffer(data, wide, n, 2 + (data[0] + data[1] * k) * n) for k in range(columns)]
+    high, wide = np.dtype(f"u{data[0]}"), np.dtype(f"u{data[1]}")
+    n = (len(data) - 2) // (4 + data[0] + data[1] * columns)
+    at = 2 + (4 + data[0]) * n
+    keys = (np.frombuffer(data, high, n, 2).astype(U64) << U64(32)) | np.frombuffer(data, np.uint32, n, 2 + data[0] * n)
+    return keys, [np.frombuffer(data, wide, n, at + data[1] * k * n) for k in range(columns)]
 
 
 def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -113,10 +107,6 @@ def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndar
     return keys[new], [np.add.reduceat(np.concatenate([c[k] for _, c in parts])[order].astype(np.int64), new) for k in range(columns)]
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
 _BLOCK = "bucket int, kind int, data binary"
 #: GRAMS: keys and counts; CONTEXTS: places of words and their statistics; FOLLOWED: places of n-grams and how many go before them; SIZES and TOTALS: sums.
 GRAMS, CONTEXTS, FOLLOWED, SIZES, TOTALS = range(5)
@@ -127,21 +117,16 @@ def _rows(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], ["bucket", "kind", "data"])
 
 
-def _counted(docs: DataFrame, model: Model, k: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """Blocks of n-grams of k words and their counts; of so many parts of the buckets only the one."""
+def _counted(docs: DataFrame, model: Model, k: int) -> DataFrame:
+    """Blocks of n-grams of k words and their counts."""
 
     def count(batches):
         own = reader(model)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            bucket = own.bucket_of(k, keys)
-            if k > 2:  # else keys are in order of bucket
-                order = np.argsort(bucket, kind="stable")
-                keys, n, bucket = keys[order], n[order], bucket[order]
-            rows = list(_blocks(GRAMS, bucket, keys, [n]))
+            rows = list(_blocks(GRAMS, *own.counted(k, *(np.concatenate([h[x] for h in held]) for x in (0, 1)))))
             held.clear()
             for a in range(0, len(rows), 256):
                 yield _rows(rows[a : a + 256])
@@ -149,12 +134,10 @@ def _counted(docs: DataFrame, model: Model, k: int, part: int = 0, parts: int =
         for _, data, bounds in text_slices(batches):
             tokens, first = tokens_of(data, bounds)
             if k == 1:
-                keys = np.concatenate([tokens, np.full(len(bounds) - 1, U64(BEGIN))])
+                words = np.concatenate([tokens, np.full(len(bounds) - 1, U64(BEGIN))])
+                held.append((own.bucket_of_word(words), words))
             else:
-                keys = own.keys(tokens, first, k)
-            if parts > 1:
-                keys = keys[own.bucket_of(k, keys) % parts == part]
-            held.append(keys)
+                held.append(own.keys(tokens, first, k))
             size += len(data) + len(bounds)
             if size >= COUNT_BYTES:
                 yield from flush()
@@ -179,45 +162,6 @@ def _by_bucket(batches) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
         yield at, held
 
 
-def _store(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array so that a repeated or lost attempt leaves no half file."""
-    local = local_of(folder)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        own = os.path.join(local, f".{name}-{uuid.uuid4().hex}")
-        with open(own, "wb") as f:
-            np.save(f, array)
-        os.replace(own, os.path.join(local, name))
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/.{name}-{(own := uuid.uuid4().hex)}") as f:
-        np.save(f, array)
-    store.move(f"{path}/.{name}-{own}", f"{path}/{name}")
-
-
-_fetched: dict[str, str] = {}
-
-
-def _mapped(folder: str, name: str) -> np.ndarray:
-    """The array, mapped into memory: from the shared folder if it is mounted, else from a copy that the worker fetches."""
-    local = local_of(folder)
-    if local is None:
-        from pyarrow import fs
-
-        if folder not in _fetched:
-            _fetched[folder] = tempfile.mkdtemp(prefix="kn-")
-        local = _fetched[folder]
-        if not os.path.exists(to := os.path.join(local, name)):
-            store, path = fs.FileSystem.from_uri(folder)
-            with store.open_input_stream(f"{path}/{name}") as f, open(f"{to}.part", "wb") as g:
-                shutil.copyfileobj(f, g)
-            os.replace(f"{to}.part", to)
-    return np.load(os.path.join(local, name), mmap_mode="r")
-
-
 def discounts(counts: list[float]) -> np.ndarray:
     """D1, D2, D3+ of modified Kneser-Ney from the numbers of n-grams seen 1, 2, 3 and 4 times.
 
@@ -258,51 +202,41 @@ class Model:
         return Reader(self)
 
 
-def _dropped(spark) -> None:
-    """Lets Spark delete the exchanged files of finished passes."""
-    for _ in range(2):  # what the first finds is let go of only after it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame, order: int = 2, bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Counts every document's whole text, n-grams of up to order words. No documents: a model that knows no word.
 
     doc_id and text alone are read; null texts are empty ones; repeated rows count each time.
+    bucket_bytes of text make a bucket, which a task holds.
     """
     if order < 2:
         raise ValueError("an order of 2 or more")
     spark = session_setup(docs.sparkSession)
     docs = documents_of(docs)
     size, documents = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    bits = int(np.ceil(np.log2(min(max((size or 0) / BUCKET_BYTES, 1), MOST_BUCKETS))))
-    folder = shared_path(spark, "kneser-ney")
+    bits = int(np.ceil(np.log2(max((size or 0) / bucket_bytes, 1))))
     parts = 1 << bits
-    model = Model(folder, bits, order, [])
+    model = Model(shared_path(spark, "kneser-ney"), bits, order, [])
 
     def dealt(df):
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    def sizes_of(tables) -> np.ndarray:  # a small row a bucket
+    def sizes_of(table) -> np.ndarray:  # a small row a bucket
         out = np.zeros(parts + 1, np.int64)
-        for t in tables:
-            for r in t.where(F.col("kind") == SIZES).select("bucket", "data").collect():
-                out[r["bucket"] + 1] = np.frombuffer(r["data"], np.int64)[0]
+        for r in table.where(F.col("kind") == SIZES).select("bucket", "data").collect():
+            out[r["bucket"] + 1] = np.frombuffer(r["data"], np.int64)[0]
         return np.cumsum(out)
 
-    def summed(tables, n):
-        rows = [np.frombuffer(r[0], np.int64) for t in tables for r in t.where(F.col("kind") == TOTALS).select("data").collect()]
+    def summed(table, n):
+        rows = [np.frombuffer(r[0], np.int64) for r in table.where(F.col("kind") == TOTALS).select("data").collect()]
         return np.sum(rows, axis=0) if rows else np.zeros(n, np.int64)
 
     def contexts(own, k, bucket, keys, counts):
         """Statistics of the contexts of all n-grams of k words of a bucket, by their counts."""
-        at = own.split(keys)[0]
         which = [counts, counts == 1, counts == 2, counts >= 3]
+        at = own.split(k, bucket, keys)[0]
         if k > 2:  # they lie in the same bucket
             lo, hi = own.model.bases[k - 2][bucket : bucket + 2].tolist()
-            table = np.stack([np.bincount(at - lo, weights=m, minlength=hi - lo).astype(np.int64) for m in which], axis=1)
-            _store(folder, f"context{k - 1}-{bucket}.npy", _narrow(table))
+            own.folder.put_counts(f"context{k - 1}-{bucket}", np.stack([np.bincount(at - lo, weights=m, minlength=hi - lo).astype(np.int64) for m in which], axis=1))
         else:
             have, back = np.unique(at, return_inverse=True)
             home, place = own.home(1, have)
@@ -316,8 +250,11 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             own = reader(model)
             for bucket, held in _by_bucket(batches):
                 keys, (n,) = _merged(held[GRAMS], 1)
-                _store(folder, f"gram{k}-{bucket}.npy", keys)
-                _store(folder, f"n{k}-{bucket}.npy", _narrow(n))
+                own.folder.put_counts(f"n{k}-{bucket}", n)
+                if k == 1:
+                    own.folder.put(f"gram1-{bucket}", keys)
+                else:
+                    own.folder.put_keys(f"gram{k}-{bucket}", keys, own.bits(k))
                 rows = [(bucket, SIZES, np.array([len(keys)], np.int64).tobytes())]
                 if k == order:
                     rows += contexts(own, k, bucket, keys, n)
@@ -333,9 +270,9 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             own = reader(model)
             for b in batches:
                 for bucket in b.column("bucket").to_pylist():
-                    if (keys := own.array(f"gram{k}-{bucket}")) is None:
+                    if (keys := own.folder.keys(f"gram{k}-{bucket}", own.bits(k))) is None:
                         continue
-                    found, times = np.unique(own.last_words(k, *own.split(np.asarray(keys))), return_counts=True)
+                    found, times = np.unique(own.last_words(k, *own.split(k, bucket, keys)), return_counts=True)
                     rows = list(_blocks(FOLLOWED, *own.home(k - 1, found), [times]))
                     for a in range(0, len(rows), 256):
                         yield _rows(rows[a : a + 256])
@@ -356,15 +293,15 @@ def train(docs: DataFrame, order: int = 2) -> Model:
                 counts[place.astype(np.int64)] = times
                 rows = []
                 if k > 1:
-                    counts = np.where(counts == 0, own.array(f"n{k}-{bucket}"), counts).astype(np.int64)
-                    rows += contexts(own, k, bucket, np.asarray(own.array(f"gram{k}-{bucket}")), counts)
+                    counts = np.where(counts == 0, own.folder.counts(f"n{k}-{bucket}"), counts)
+                    rows += contexts(own, k, bucket, own.folder.keys(f"gram{k}-{bucket}", own.bits(k)), counts)
                 else:
                     table = np.zeros((hi - lo, 4), np.int64)
                     place, stats = _merged(held.get(CONTEXTS, []), 4)
                     table[place.astype(np.int64)] = np.stack(stats, axis=1)
-                    _store(folder, f"context1-{bucket}.npy", _narrow(table))
-                    rows.append((bucket, TOTALS, np.array([own.array(f"n1-{bucket}").sum(dtype=np.int64), hi - lo] + [(counts == j).sum() for j in (1, 2, 3, 4)] + [(counts > 0).sum()], np.int64).tobytes()))
-                _store(folder, f"followed{k}-{bucket}.npy", _narrow(counts))
+                    own.folder.put_counts(f"context1-{bucket}", table)
+                    rows.append((bucket, TOTALS, np.array([own.folder.counts(f"n1-{bucket}").sum(), hi - lo] + [(counts == j).sum() for j in (1, 2, 3, 4)] + [(counts > 0).sum()], np.int64).tobytes()))
+                own.folder.put_counts(f"followed{k}-{bucket}", counts)
                 for a in range(0, len(rows), 256):
                     yield _rows(rows[a : a + 256])
 
@@ -372,24 +309,18 @@ def train(docs: DataFrame, order: int = 2) -> Model:
 
     tables = {}
     for k in range(1, order + 1):
-        n = SLICES if k > 2 else 1
-        tables[k] = []
-        for part in range(n):
-            tables[k].append(written(dealt(_counted(docs, model, k, part, n)).mapInArrow(merge(model, k), _BLOCK), f"grams{k}"))
-            _dropped(spark)
+        tables[k] = written(dealt(_counted(docs, model, k)).mapInArrow(merge(model, k), _BLOCK), f"grams{k}")
         if k < order:
             model = replace(model, bases=[*model.bases, sizes_of(tables[k])])
-            if model.width + int(model.bases[-1][-1]).bit_length() > 64:
-                raise ValueError(f"n-grams of {k + 1} words have no keys of 64 bits")
+            if model.reader().bits(k + 1) > MOST_BITS:
+                raise ValueError(f"n-grams of {k + 1} words have no keys of {MOST_BITS} bits")
     every = spark.range(parts).select(F.col("id").cast("int").alias("bucket"), F.lit(SIZES).alias("kind"), F.lit(b"").alias("data"))
     done = {order: tables[order]}
     for k in range(order - 1, 0, -1):
         rows = every.union(every.repartition(parts, "bucket").mapInArrow(ends(model, k + 1), _BLOCK))
         if k == 1:
-            for t in done[2]:
-                rows = rows.union(t.where(F.col("kind") == CONTEXTS))
-        done[k] = [written(dealt(rows).mapInArrow(finish(model, k), _BLOCK), f"finished{k}")]
-        _dropped(spark)
+            rows = rows.union(done[2].where(F.col("kind") == CONTEXTS))
+        done[k] = written(dealt(rows).mapInArrow(finish(model, k), _BLOCK), f"finished{k}")
     sums = [summed(done[k], 5) for k in range(2, order + 1)]
     word, types = summed(done[1], 7), int(sizes_of(tables[2])[-1])
     by_word = discounts(word[2:6].tolist())
@@ -414,101 +345,131 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.arrays: dict[str, np.ndarray | None] = {}
+        self.folder = Folder(model.folder)
 
-    def array(self, name: str) -> np.ndarray | None:
-        if name not in self.arrays:
-            try:
-                self.arrays[name] = _mapped(self.model.folder, f"{name}.npy")
-            except FileNotFoundError:  # no entry in this bucket
-                return None
-        return self.arrays[name]
-
-    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words but the last, and of the last."""
-        x = unspread(keys)
-        return (x >> U64(self.model.width)).astype(np.int64), (x & U64((1 << self.model.width) - 1)).astype(np.int64)
+    def bits(self, k: int) -> int:
+        """Bits of the key that an n-gram of k words has in its bucket."""
+        m = self.model
+        if k == 1:
+            return 64
+        if k == 2:
+            return max(2 * m.width, m.bits + 8) - m.bits
+        return max(1, int(np.diff(m.bases[k - 2]).max()).bit_length()) + m.width
 
-    def joined(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return spread((context.astype(U64) << U64(self.model.width)) | word.astype(U64))
+    def located(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key of n-grams of k words, by the numbers of all words but the last, and of the last."""
+        bits, width = self.bits(k), U64(self.model.width)
+        if k == 2:
+            whole = spread((context.astype(U64) << width) | word.astype(U64), bits + self.model.bits)
+            return (whole >> U64(bits)).astype(np.int64), whole & U64((1 << bits) - 1)
+        bucket, place = self.home(k - 1, context)
+        return bucket, spread((place.astype(U64) << width) | word.astype(U64), bits)
+
+    def split(self, k: int, bucket: np.ndarray | int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words but the last, and of the last: the inverse of located()."""
+        bits, width = self.bits(k), U64(self.model.width)
+        if k == 2:
+            keys = (np.full(len(keys), bucket).astype(U64) << U64(bits)) | keys
+            bits += self.model.bits
+        x = unspread(keys, bits)
+        context, word = (x >> width).astype(np.int64), (x & U64((1 << self.model.width) - 1)).astype(np.int64)
+        return context if k == 2 else context + self.model.bases[k - 2][bucket], word
 
     def home(self, k: int, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket and place in it of numbered n-grams of k words."""
         base = self.model.bases[k - 1]
         bucket = np.searchsorted(base, numbers, "right") - 1
-        return bucket, (numbers - base[bucket]).astype(np.uint32)
+        return bucket, numbers - base[bucket]
 
-    def bucket_of(self, k: int, keys: np.ndarray) -> np.ndarray:
-        if k > 2:
-            return self.home(k - 1, self.split(keys)[0])[0]
+    def bucket_of_word(self, hashes: np.ndarray) -> np.ndarray:
         bits = self.model.bits
-        return (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+
+    def counted(self, k: int, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Bucket, key and count of the distinct n-grams, in order."""
+        bucket, keys, n = distinct(bucket, keys, self.bits(k), False)
+        return (self.bucket_of_word(keys) if k == 1 else bucket), keys, [n]
 
-    def _each(self, bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    @staticmethod
+    def _each(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(bucket, kind="stable")
         edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(bucket)]])
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if a < b:
                 yield int(bucket[order[a]]), order[a:b]
 
-    def numbers(self, k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of n-grams of k words (of the last length: places in the bucket), -1 where unknown, and their counts."""
-        keys, back = np.unique(keys, return_inverse=True)
+    def numbers(self, k: int, bucket: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of n-grams of k words (of the last length: places in the bucket), -1 where unknown, and, of the first and the last length, their counts."""
+        bucket, keys, back = distinct(bucket, keys, self.bits(k), True)
+        if k == 1:
+            bucket = self.bucket_of_word(keys)
         out, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        for b, rows in self._each(self.bucket_of(k, keys)):
-            have = self.array(f"gram{k}-{b}")
-            if have is None or not len(have):
-                continue
-            at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
-            found = have[at] == keys[rows]
-            rows, at = rows[found], at[found]
+        for b, rows in self._each(bucket):
+            if k == 1:
+                have = self.folder.get(f"gram1-{b}")
+                if have is None or not len(have):
+                    continue
+                at = np.minimum(np.searchsorted(have, keys[rows]), len(have) - 1)
+                at = np.where(have[at] == keys[rows], at, -1)
+            else:
+                at = self.folder.find(f"gram{k}-{b}", self.bits(k), keys[rows])
+            rows, at = rows[at >= 0], at[at >= 0]
             out[rows] = at + (self.model.bases[k - 1][b] if k < self.model.order else 0)
-            if k in (1, self.model.order):
-                n[rows] = self.array(f"n{k}-{b}")[at]
+            if k in (1, self.model.order) and len(rows):
+                n[rows] = self.folder.counts(f"n{k}-{b}", at)
         return out[back], n[back]
 
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of words."""
+        return self.numbers(1, np.zeros(len(hashes), np.int64), hashes)
+
     def read(self, name: str, k: int, numbers: np.ndarray, columns: int = 0) -> np.ndarray:
-        """Entries of numbered n-grams of k words; zero where the number is -1."""
+        """Counts of numbered n-grams of k words; zero where the number is -1."""
         numbers, back = np.unique(numbers, return_inverse=True)
-        out = np.zeros((len(numbers), columns) if columns else len(numbers), U64 if name == "gram" else np.int64)
+        out = np.zeros((len(numbers), columns) if columns else len(numbers), np.int64)
         known = np.flatnonzero(numbers >= 0)
         bucket, place = self.home(k, numbers[known])
         for b, rows in self._each(bucket):
-            have = self.array(f"{name}{k}-{b}")
-            if have is not None:
-                out[known[rows]] = have[place[rows]]
+            if (found := self.folder.counts(f"{name}{k}-{b}", place[rows])) is not None:
+                out[known[rows]] = found
         return out[back]
 
     def last_words(self, k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Number of the last k - 1 of k words, given as split() does."""
         if k == 2:
             return word
-        middle = self.last_words(k - 1, *self.split(self.read("gram", k - 1, context)))
-        return self.numbers(k - 1, self.joined(middle, word))[0]
+        numbers, back = np.unique(context, return_inverse=True)
+        bucket, place = self.home(k - 1, numbers)
+        before, last = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        for b, rows in self._each(bucket):
+            keys = self.folder.keys(f"gram{k - 1}-{b}", self.bits(k - 1), place[rows])
+            before[rows], last[rows] = self.split(k - 1, b, keys)
+        middle = self.last_words(k - 1, before, last)[back]
+        return self.numbers(k - 1, *self.located(k - 1, middle, word))[0]
 
     def _context(self, k: int, shorter: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Number of the k - 1 words before each token, given those that end at each; -1 if there are fewer, or they are unknown."""
         before = np.full_like(shorter, -1)
         before[1:] = shorter[:-1]
-        before[first[:-1]] = self.numbers(1, np.array([BEGIN], U64))[0][0] if k == 2 else -1
+        before[first[:-1]] = self.words(np.array([BEGIN], U64))[0][0] if k == 2 else -1
         return before
 
-    def keys(self, tokens: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-        """Keys of all n-grams of k words; texts have one begin, so k - 2 tokens of each end none."""
-        word = at = self.numbers(1, tokens)[0]
+    def keys(self, tokens: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and keys of all n-grams of k words; texts have one begin, so k - 2 tokens of each end none."""
+        word = at = self.words(tokens)[0]
         for j in range(2, k + 1):
             context = self._context(j, at, first)
             known = (context >= 0) & (word >= 0)
-            keys = self.joined(context[known], word[known])
+            found = self.located(j, context[known], word[known])
             if j < k:
                 at = np.full(len(tokens), -1, np.int64)
-                at[known] = self.numbers(j, keys)[0]
-        return keys
+                at[known] = self.numbers(j, *found)[0]
+        return found
 
     def log_probabilities(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after those before, and its count in training."""
         m = self.model
-        word, count = self.numbers(1, tokens)
+        word, count = self.words(tokens)
         followed = self.read("followed", 1, word)
         p = np.maximum(followed - m.word_discounts[np.minimum(followed, 3)], 0) / max(m.types, 1) + m.word_left / (m.distinct + 1)
         at = word
@@ -517,7 +478,7 @@ class Reader:
             stats = self.read("context", k - 1, context, 4)
             known = (context >= 0) & (word >= 0)
             at, n = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.int64)
-            at[known], n[known] = self.numbers(k, self.joined(context[known], word[known]))
+            at[known], n[known] = self.numbers(k, *self.located(k, context[known], word[known]))
             if k < m.order:
                 n = self.read("followed", k, at)
             less = m.last_discounts[k - 2]

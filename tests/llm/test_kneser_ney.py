@@ -1,10 +1,11 @@
 import collections
 import math
+import os
 
 import numpy as np
 import pytest
 
-from ploidyflow.llm import kneser_ney
+from ploidyflow.llm import hash_arrays, kneser_ney
 
 from .cases import EDGES, documents, text
 
@@ -42,11 +43,10 @@ def plain(rows):
 
 
 @pytest.mark.parametrize("bucket", [kneser_ney.BUCKET_BYTES, 4000])
-def test_against_dictionaries(spark, monkeypatch, bucket):
-    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", bucket)
+def test_against_dictionaries(spark, bucket):
     rows = [(i, text(i, 5 + i, 60)) for i in range(80)]
     extra = [x for x in EDGES if x[0] != 905]
-    model = kneser_ney.train(documents(spark, rows + extra[:5]))
+    model = kneser_ney.train(documents(spark, rows + extra[:5]), bucket_bytes=bucket)
     score, tokens = plain(rows + extra[:5])
     for r in kneser_ney.score(documents(spark, rows + extra + [(700, "Never SEEN before")]), model).collect():
         own = dict(rows + extra + [(700, "Never SEEN before")])[r.doc_id]
@@ -86,11 +86,10 @@ def plain_trigrams(rows, order=3):
 
 
 @pytest.mark.parametrize(("order", "bucket"), [(2, 4000), (3, kneser_ney.BUCKET_BYTES), (3, 4000), (4, 4000)])
-def test_higher_orders_against_dictionaries(spark, monkeypatch, order, bucket):
-    monkeypatch.setattr(kneser_ney, "BUCKET_BYTES", bucket)
+def test_higher_orders_against_dictionaries(spark, order, bucket):
     rows = [(i, text(i % 70, 5 + i % 70, 12)) for i in range(80)] + [x for x in EDGES if x[0] != 905]
     score = plain_trigrams(rows, order)
-    model = kneser_ney.train(documents(spark, rows), order)
+    model = kneser_ney.train(documents(spark, rows), order, bucket)
     asked = rows + [(700, "Never SEEN before"), (701, text(999, 40, 12))]
     for r in kneser_ney.score(documents(spark, asked), model).collect():
         assert r.score == pytest.approx(score(dict(asked)[r.doc_id]), abs=1e-9)
@@ -131,21 +130,61 @@ def test_beats_base_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_bigram_keys_are_a_bijection():
-    a, b = (np.random.default_rng(k).integers(0, 1 << 32, 1000).astype(np.uint64) for k in (1, 2))
-    x, y = kneser_ney.bigram_halves(kneser_ney.bigram_keys(a, b))
-    assert (x == a).all() and (y == b).all()
+@pytest.mark.parametrize("bits", [1, 9, 33, 44, 57, 64])
+def test_spread_is_a_bijection(bits):
+    x = np.unique(np.random.default_rng(bits).integers(0, 1 << 63, 1000).astype(np.uint64) >> np.uint64(max(0, 63 - bits)))
+    assert (hash_arrays.unspread(hash_arrays.spread(x, bits), bits) == x).all()
+    assert bits == 64 or int(hash_arrays.spread(x, bits).max()) < 1 << bits
 
 
 def test_ngrams_have_keys_of_their_own():
     """Numbers of more than 32 bits together with those of words make distinct keys, and are read from them."""
-    model = kneser_ney.Model("", 0, 3, [np.array([0, 1 << 27]), np.array([0, 1 << 36])])
-    draw = np.random.default_rng(3)
-    context, word = draw.integers(0, 1 << 36, 1000) // 2 * 2, draw.integers(0, 1 << 27, 1000)
-    own = model.reader()
-    back = own.split(own.joined(context, word))
-    assert (back[0] == context).all() and (back[1] == word).all()
-    assert len(set(own.joined(context, word).tolist())) == len(set(zip(context.tolist(), word.tolist(), strict=True)))
+    model = kneser_ney.Model("", 14, 3, [np.array([0, 1 << 27]), np.arange((1 << 14) + 1) << 22])
+    draw, own = np.random.default_rng(3), model.reader()
+    for k, most in ((2, 1 << 27), (3, 1 << 36)):
+        context, word = draw.integers(0, most, 1000), draw.integers(0, 1 << 27, 1000)
+        bucket, keys = own.located(k, context, word)
+        for b in np.unique(bucket).tolist():
+            here = bucket == b
+            got = own.split(k, b, keys[here])
+            assert (got[0] == context[here]).all() and (got[1] == word[here]).all()
+        assert len(set(zip(bucket.tolist(), keys.tolist(), strict=True))) == len(set(zip(context.tolist(), word.tolist(), strict=True)))
+
+
+def test_distinct_beyond_64_bits():
+    draw = np.random.default_rng(4)
+    bucket, keys = draw.integers(0, 1 << 20, 500) // 1000, draw.integers(0, 9, 500).astype(np.uint64) << np.uint64(50)
+    for back in (True, False):
+        small = kneser_ney.distinct(bucket, keys, 54, back)
+        large = kneser_ney.distinct(bucket + (1 << 20), keys, 54, back)
+        assert (small[0] == large[0] - (1 << 20)).all() and (small[1] == large[1]).all() and (small[2] == large[2]).all()
+
+
+def test_packed_keys_and_counts(tmp_path):
+    folder, draw = hash_arrays.Folder(str(tmp_path)), np.random.default_rng(5)
+    for bits in (3, 20, 32, 40, 47):
+        keys = np.unique(draw.integers(0, 1 << bits, 6 if bits == 3 else 5000).astype(np.uint64))
+        folder.put_keys(f"k{bits}", keys, bits)
+        assert (folder.keys(f"k{bits}", bits) == keys).all()
+        assert (folder.find(f"k{bits}", bits, keys) == np.arange(len(keys))).all()
+        other = draw.integers(0, 1 << bits, 900).astype(np.uint64)
+        assert ((folder.find(f"k{bits}", bits, other) >= 0) == np.isin(other, keys)).all()
+    counts = draw.integers(0, 400, (700, 4)) ** 4
+    folder.put_counts("c", counts)
+    assert (folder.counts("c") == counts).all() and (folder.counts("c", np.array([5, 600, 5])) == counts[[5, 600, 5]]).all()
+    folder.put_counts("d", counts[:, 0])
+    assert (folder.counts("d", np.array([699, 1])) == counts[[699, 1], 0]).all()
+    assert folder.get("none") is None and folder.counts("none") is None
+
+
+def test_open_arrays_are_bounded(tmp_path):
+    """Of more arrays than are kept mapped, all are read; none holds a file descriptor."""
+    folder, n = hash_arrays.Folder(str(tmp_path)), hash_arrays.MOST_MAPPED + 256
+    for i in range(n):
+        folder.put(f"a{i}", np.array([i]))
+    before = len(os.listdir("/proc/self/fd"))
+    assert [int(folder.get(f"a{i}")[0]) for i in range(n)] == list(range(n))
+    assert len(folder.open) == hash_arrays.MOST_MAPPED and len(os.listdir("/proc/self/fd")) <= before + 1
 
 
 def test_empty(spark):
