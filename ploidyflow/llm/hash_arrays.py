@@ -17,8 +17,8 @@ import numpy as np
 
 from .common import U64, local_of
 
-#: Arrays that a reader keeps mapped, and bytes of those that it had to fetch, as the folder isn't mounted.
-MOST_MAPPED = 512
+#: Arrays that a reader keeps mapped (a process may map 65,530), and bytes of those that it had to fetch, as the folder isn't mounted.
+MOST_MAPPED = 1 << 15
 FETCHED_BYTES = 256 << 20
 #: Keys to an entry of the directory, as a power of 2.
 STEP = 4
@@ -73,8 +73,8 @@ def keys_at(low: np.ndarray, start: np.ndarray, bits: int, places: np.ndarray) -
 class Folder:
     """Named arrays of a folder. Keeps a bounded number of them open."""
 
-    def __init__(self, uri: str):
-        self.uri, self.local = uri, local_of(uri)
+    def __init__(self, uri: str, most: int = MOST_MAPPED):
+        self.uri, self.local, self.most = uri, local_of(uri), most
         self.open: OrderedDict[str, np.ndarray] = OrderedDict()
 
     def put(self, name: str, array: np.ndarray) -> None:
@@ -117,7 +117,7 @@ class Folder:
         except FileNotFoundError:
             return None
         self.open[name] = found
-        while len(self.open) > MOST_MAPPED or self.local is None and len(self.open) > 1 and sum(x.nbytes for x in self.open.values()) > FETCHED_BYTES:
+        while len(self.open) > self.most or self.local is None and len(self.open) > 1 and sum(x.nbytes for x in self.open.values()) > FETCHED_BYTES:
             self.open.popitem(last=False)
         return found
 
@@ -145,14 +145,14 @@ class Folder:
         self.put(name, np.minimum(counts, 255).astype(np.uint8))
 
     def counts(self, name: str, places: np.ndarray | slice = slice(None)) -> np.ndarray | None:
-        """The counts at the places; None where there is no table."""
+        """The counts at the places, or all; None where there is no table."""
         have = self.get(name)
         if have is None:
             return None
         out = have[places].astype(np.int64)
         if len(large := np.flatnonzero(out.ravel() == 255)):
-            every = np.arange(len(have))[places]
-            wide = out.size // max(len(every), 1)
+            wide = out.size // len(out)
+            row = large // wide if isinstance(places, slice) else places[large // wide]
             over, values = self.get(f"{name}-over")
-            out.ravel()[large] = values[np.searchsorted(over, every[large // wide] * wide + large % wide)]
+            out.ravel()[large] = values[np.searchsorted(over, row * wide + large % wide)]
         return out
