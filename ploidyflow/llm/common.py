@@ -187,7 +187,7 @@ def powers(n: int, base: int = _BASE, inverse: int = _BASE_INV) -> tuple[np.ndar
         up, down = (np.full(size, x, U64) for x in (base, inverse))
         up[0] = down[0] = 1
         have = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _powers[base] = have
     return have
 

@@ -33,9 +33,11 @@ from .hash_arrays import Folder, spread, unspread
 #: Training bytes to a bucket: about 4 million words, so some 20 MB of distinct bigrams.
 BUCKET_BYTES = 24 << 20
 #: Bytes of text that are counted at once: more make fewer repeated entries and larger blocks.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 #: Bytes of text that are scored at once: more share more look-ups.
 SCORE_BYTES = 2 << 20
+#: Stored n-grams whose last words are looked up at once.
+KEYS_AT_ONCE = 1 << 20
 #: Hashes of the text's begin and end, which no word has but by chance.
 BEGIN, END = 0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995
 #: Bits of a key within its bucket: more make the directory longer than the keys.
@@ -101,10 +103,12 @@ def _merged(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndar
         return np.zeros(0, U64), [np.zeros(0, np.int64)] * columns
     parts = [_read_block(b, columns) for b in blocks]
     keys = np.concatenate([k for k, _ in parts])
+    numbers = [np.concatenate([c[k] for _, c in parts]) for k in range(columns)]
+    del parts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[new], [np.add.reduceat(np.concatenate([c[k] for _, c in parts])[order].astype(np.int64), new) for k in range(columns)]
+    return keys[new], [np.add.reduceat(n[order], new, dtype=np.int64) for n in numbers]
 
 
 _BLOCK = "bucket int, kind int, data binary"
@@ -270,12 +274,13 @@ def train(docs: DataFrame, order: int = 2, bucket_bytes: int = BUCKET_BYTES) ->
             own = reader(model)
             for b in batches:
                 for bucket in b.column("bucket").to_pylist():
-                    if (keys := own.folder.keys(f"gram{k}-{bucket}", own.bits(k))) is None:
-                        continue
-                    found, times = np.unique(own.last_words(k, *own.split(k, bucket, keys)), return_counts=True)
-                    rows = list(_blocks(FOLLOWED, *own.home(k - 1, found), [times]))
-                    for a in range(0, len(rows), 256):
-                        yield _rows(rows[a : a + 256])
+                    table = own.folder.get(f"gram{k}-{bucket}")
+                    for first in range(0, 0 if table is None else len(table), KEYS_AT_ONCE):
+                        keys = own.folder.keys(f"gram{k}-{bucket}", own.bits(k), np.arange(first, min(first + KEYS_AT_ONCE, len(table))))
+                        found, times = np.unique(own.last_words(k, *own.split(k, bucket, keys)), return_counts=True)
+                        rows = list(_blocks(FOLLOWED, *own.home(k - 1, found), [times]))
+                        for a in range(0, len(rows), 256):
+                            yield _rows(rows[a : a + 256])
 
         return run
 
