@@ -194,16 +194,20 @@ def parsed(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
 
 @dataclass
 class Weights:
-    """What each kind of word and tag scores; other tags score as other. lists: whether what is set aside scores nothing."""
+    """What each kind of word and tag scores, and tags that weren't learned. lists: whether what is set aside scores nothing."""
 
     by_kind: dict[str, float]
+    text_tag: float = -0.01
     other: float = -0.05
     lists: bool = True
 
     def score(self, kind: str, words: int, shown: str = "", aside: bool = False) -> float:
         if aside and self.lists:
             return 0.0
-        return self.by_kind.get(kind, 0.0) * words if kind in (PLAIN, LINK) else self.by_kind.get(kind, self.other)
+        if kind in (PLAIN, LINK):
+            return self.by_kind.get(kind, 0.0) * words
+        known = self.by_kind.get(kind)
+        return known if known is not None else self.text_tag if shown in INLINE or shown in TEXT_BLOCKS else self.other
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -281,7 +285,7 @@ def _bounds(kind: str) -> tuple[float, float]:
     if kind == PLAIN:
         return 1.0, 1.0
     if kind == LINK:
-        return 0.01, 0.4
+        return 0.05, 0.4
     name = kind.strip("</>+")
     return (-0.02, -0.01) if name in INLINE or name in TEXT_BLOCKS else (-200.0, -0.02)
 
