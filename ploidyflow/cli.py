@@ -5,19 +5,20 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .config import SPECIES, CallerConfig, ConfigError
+from .config import SPECIES, CallerConfig, ConfigError, model_files, model_folder, parallelism
 from .operators.regions import bed_contigs, invalid_contigs
-from .operators.scoring import onnx_predictor
+from .operators.scoring import onnx_predictor, read_statistics
 from .operators.vcf import write_tabix, write_vcf
 from .plans.calling import call_variants
 from .sources import bam, sam
 from .sources.bed import bed_lines, read_bed
-from .sources.fasta import fasta_bases, fasta_contigs, read_fai
+from .sources.fasta import fasta_blocks, fasta_contigs, read_fai
 
 log = logging.getLogger("ploidyflow")
 
@@ -33,14 +34,26 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-t", "--cpus", type=int, default=24, help="tasks at once; -1 takes what there is")
     p.add_argument("-s", "--species", choices=tuple(SPECIES))
     p.add_argument("-m", "--mode", default="speed", choices=("speed", "performance"))
+    p.add_argument("--models", help="folder of model folders; the one of species and mode is taken, with its window and statistics")
     p.add_argument("--min_af", type=float, default=0.10)
     p.add_argument("--rd_floor", type=int, default=10)
-    p.add_argument("--model", help="ONNX model of the windows; without it the binomial scorer calls")
+    p.add_argument("--model", help="ONNX model of the windows; without one the binomial scorer calls")
+    p.add_argument("--statistics", help="mean and std of the model's input (.npz, .h5)")
+    p.add_argument("--scored", help="folder that keeps the scored sites as Parquet")
+    p.add_argument("--ordinal_join", action="store_true", help="windows by the columns' numbers, for few sites")
     p.add_argument("--window", type=int, default=16)
     p.add_argument("--version", action="version", version=__version__)
     return p
 
 
+def session(cpus: int) -> SparkSession:
+    """The session; where nothing else sets a master, one of so many tasks at once on this machine."""
+    builder = SparkSession.builder.appName("ploidyflow")
+    if SparkSession.getActiveSession() is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = builder.master(f"local[{parallelism(cpus, os.cpu_count() or 1)}]")
+    return builder.getOrCreate()
+
+
 def checked_contigs(spark: SparkSession, contigs, bed: str | None, asked: list[str] | None) -> tuple[str, ...]:
     """Contigs to call: those of the regions, else those asked for, else all; ConfigError for unknown ones."""
     if bed:
@@ -64,9 +77,16 @@ def main(argv: list[str] | None = None) -> None:
             raise SystemExit(f"no such file: {path}")
     if (folder := os.path.dirname(args.output)) and not os.path.isdir(folder):
         raise SystemExit(f"no such folder: {folder}")
-    spark = SparkSession.builder.appName("ploidyflow").getOrCreate()
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     try:
-        config = CallerConfig(ploidy=args.ploidy, species=args.species, mode=args.mode, min_af=args.min_af, rd_floor=args.rd_floor, window=args.window).checked()
+        config = CallerConfig(ploidy=args.ploidy, species=args.species, mode=args.mode, min_af=args.min_af, rd_floor=args.rd_floor, window=args.window, ordinal_join=args.ordinal_join).checked()
+        model, statistics = args.model, args.statistics
+        if args.models:
+            folder, window = model_folder(args.models, config.chosen_species(), config.mode)
+            model, statistics = model_files(folder)
+            config = replace(config, window=window)
+        mean, std = read_statistics(statistics) if statistics else (None, None)
+        spark = session(args.cpus)
         contigs = read_fai(spark, f"{args.ref}.fai") if os.path.exists(f"{args.ref}.fai") else fasta_contigs(spark, args.ref)
         names = checked_contigs(spark, contigs, args.bed, args.chroms)
         if args.bam.endswith(".sam"):
@@ -76,9 +96,10 @@ def main(argv: list[str] | None = None) -> None:
             reads, order = spark.read.format("bam").load(args.bam), bam.sort_order(args.bam)
         if order != "coordinate":
             log.warning("reads are in %s order; they are dealt anew, so this does no harm", order)
-        config = CallerConfig(**{**config.__dict__, "contigs": names})
+        config = replace(config, contigs=names)
         regions = read_bed(spark, args.bed) if args.bed else None
-        lines = call_variants(reads, fasta_bases(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(args.model) if args.model else None)
+        log.info("calling %s with %s", ", ".join(names) or "all contigs", model or "the binomial scorer")
+        lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(model) if model else None, mean, std, args.scored)
     except ConfigError as e:
         raise SystemExit(str(e)) from e
     write_vcf(lines, f"{args.output}.gz")

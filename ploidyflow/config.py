@@ -67,6 +67,8 @@ class CallerConfig:
 def model_folder(root: str, species: str, mode: str) -> tuple[str, int]:
     """The species' first model folder of a mode under root, and the window that its name gives as w=<n>."""
     base = os.path.join(root, MODEL_FOLDERS[species])
+    if not os.path.isdir(base):
+        raise ConfigError(f"no such folder: {base}")
     for name in sorted(os.listdir(base)):
         if name.startswith(MODES[mode]):
             found = re.search(r"w=(\d+)", name)
@@ -76,6 +78,17 @@ def model_folder(root: str, species: str, mode: str) -> tuple[str, int]:
     raise ConfigError(f"no model of mode {mode} in {base}")
 
 
+def model_files(folder: str) -> tuple[str, str]:
+    """Paths of a model folder's ONNX model and statistics."""
+    found = []
+    for names in (("model.onnx",), ("statistics.npz", "statistics.h5")):
+        here = [p for p in (os.path.join(folder, x) for x in names) if os.path.exists(p)]
+        if not here:
+            raise ConfigError(f"{folder} has no {' or '.join(names)}")
+        found.append(here[0])
+    return found[0], found[1]
+
+
 def parallelism(asked: int | None, available: int, most: int = 24) -> int:
     """Tasks at once: -1 or None takes what there is, up to a limit; more than there is is cut down."""
     if asked in (None, -1):

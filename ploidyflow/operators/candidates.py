@@ -9,11 +9,30 @@ from ..functions.tokens import deletion, indel_length, indel_sequence, insertion
 from .pileup import token_counts
 
 KINDS = ("SNP", "INS", "DEL")
+#: Bases of a slice of the reference, by which positions meet blocks of it.
+SLICE = 64
 
 
-def with_reference(columns: DataFrame, ref_bases: DataFrame, uppercase: bool = False) -> DataFrame:
+def bases_at(columns: DataFrame, reference: DataFrame) -> DataFrame:
+    """Adds base, the reference's at each position; positions that it doesn't have are left out.
+
+    reference: chrom, pos, base, a row a base; or chrom, start, seq, a row a block, of
+    which slices meet the positions, so the genome isn't a row a base in any exchange.
+    """
+    if "base" in reference.columns:
+        return columns.join(reference.select("chrom", "pos", "base"), ["chrom", "pos"])
+    first, last = F.floor(F.col("start") / SLICE), F.floor((F.col("start") + F.length("seq") - 1) / SLICE)
+    begin = lambda k: F.greatest(k * SLICE, F.col("start"))
+    cut = lambda k: F.struct(k.alias("slice"), begin(k).alias("begin"), F.substr("seq", (begin(k) - F.col("start") + 1).cast("int"), ((k + 1) * SLICE - begin(k)).cast("int")).alias("bases"))
+    slices = reference.where("seq <> ''").select("chrom", F.inline(F.transform(F.sequence(first, last), cut)))
+    met = columns.withColumn("slice", F.floor(F.col("pos") / SLICE)).join(slices, ["chrom", "slice"])
+    here = (F.col("pos") >= F.col("begin")) & (F.col("pos") < F.col("begin") + F.length("bases"))
+    return met.where(here).withColumn("base", F.substr("bases", (F.col("pos") - F.col("begin") + 1).cast("int"), F.lit(1))).drop("slice", "begin", "bases")
+
+
+def with_reference(columns: DataFrame, reference: DataFrame, uppercase: bool = False) -> DataFrame:
     """Adds ref: the base if it is an upper-case letter, else `*` (soft-masked or ambiguous)."""
-    return columns.join(ref_bases.select("chrom", "pos", soft_masked(F.col("base"), uppercase).alias("ref")), ["chrom", "pos"])
+    return bases_at(columns, reference).withColumn("ref", soft_masked(F.col("base"), uppercase)).drop("base")
 
 
 def allele_counts(tokens: DataFrame) -> DataFrame:
@@ -54,7 +73,7 @@ def deletion_spans(sites: DataFrame, ref_bases: DataFrame, uppercase: bool = Fal
     sites: chrom, pos, n (deleted bases).
     """
     wanted = sites.select("chrom", F.col("pos").alias("site"), F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n"))).alias("pos"))
-    bases = wanted.join(ref_bases.select("chrom", "pos", soft_masked(F.col("base"), uppercase).alias("base")), ["chrom", "pos"])
+    bases = bases_at(wanted, ref_bases).withColumn("base", soft_masked(F.col("base"), uppercase))
     spans = bases.groupBy("chrom", "site").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("span"))
     return spans.select("chrom", F.col("site").alias("pos"), "span")
 

@@ -22,6 +22,8 @@ STRANDS = ((1, "rev"), (0, "fwd"))
 FEATURES = ("depth", "ref_code", *(f"{side}_{x}" for _, side in STRANDS for x in STRAND_FEATURES))
 #: Positions of a bin in which ordinals are counted on their own.
 ORDINAL_BIN = 1 << 20
+#: Covered columns of a bin in which frames are walked.
+WINDOW_BIN = 1 << 12
 
 
 def strand_tokens(obs: DataFrame) -> DataFrame:
@@ -73,13 +75,13 @@ def column_features(obs: DataFrame, ref_bases: DataFrame, depth: Column | int, u
     return out.select("chrom", "pos", *FEATURES)
 
 
-def with_ordinals(columns: DataFrame) -> DataFrame:
+def with_ordinals(columns: DataFrame, ordinal_bin: int = ORDINAL_BIN) -> DataFrame:
     """Adds ord, the number of a column among its contig's covered ones, and n_cols, how many there are.
 
     Numbers are counted in bins side by side and the bins' totals are summed, so no
     contig is one task.
     """
-    binned = columns.withColumn("_bin", F.floor(F.col("pos") / ORDINAL_BIN))
+    binned = columns.withColumn("_bin", F.floor(F.col("pos") / ordinal_bin))
     totals = binned.groupBy("chrom", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     each = Window.partitionBy("chrom").orderBy("_bin")
     before = totals.select("chrom", "_bin", F.coalesce(F.sum("_n").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("chrom")).alias("n_cols"))
@@ -96,18 +98,26 @@ def feature_array() -> Column:
     return F.array(*[F.col(x).cast("float") for x in FEATURES])
 
 
-def window_tensors(numbered: DataFrame, sites: DataFrame, window: int, ordinal_join: bool = False) -> DataFrame:
+def window_tensors(numbered: DataFrame, sites: DataFrame, window: int, ordinal_join: bool = False, window_bin: int = WINDOW_BIN) -> DataFrame:
     """sites with x: the features of 2 * window + 1 covered columns around each, as one flat array.
 
     Gaps in coverage are closed, not padded. Sites without a full window are left out.
-    numbered: column_features() with ordinals. The default walks a frame along each
-    contig; ordinal_join meets neighbours by their number, for contigs too long for a task.
+    numbered: column_features() with ordinals. By default columns are dealt into bins of
+    their numbers, with a halo of the window's width, bins without a site are left out, and a frame is walked
+    along each of the others; ordinal_join meets neighbours by their number, for few sites.
     """
     feats = numbered.select("chrom", "pos", "ord", "n_cols", feature_array().alias("feat"))
     if not ordinal_join:
-        frame = Window.partitionBy("chrom").orderBy("pos").rowsBetween(-window, window)
-        around = feats.withColumn("x", F.collect_list("feat").over(frame))
-        return sites.join(full_windows(around, window).select("chrom", "pos", F.flatten("x").alias("x")), ["chrom", "pos"])
+        own = F.floor(F.col("ord") / window_bin)
+        marked = feats.join(sites.select("chrom", "pos", F.struct(*sites.columns).alias("site")), ["chrom", "pos"], "left")
+        centre = F.col("site").isNotNull() & (F.col("ord") >= window + 2) & (F.col("ord") <= F.col("n_cols") - window)
+        reach = F.sequence(F.floor(F.greatest(F.col("ord") - window, F.lit(0)) / window_bin), F.floor((F.col("ord") + window) / window_bin))
+        dealt = marked.select("chrom", "ord", "feat", F.when(centre, F.col("site")).alias("site"), own.alias("home"), F.explode(reach).alias("bin"))
+        dealt = dealt.withColumn("site", F.when(F.col("home") == F.col("bin"), F.col("site")))
+        bins = Window.partitionBy("chrom", "bin")
+        asked = dealt.withColumn("asked", F.max(F.col("site").isNotNull()).over(bins)).where("asked")
+        frame = bins.orderBy("ord").rowsBetween(-window, window)
+        return asked.withColumn("x", F.collect_list("feat").over(frame)).where("site is not null").select("site.*", F.flatten("x").alias("x"))
     centres = full_windows(feats, window).join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_semi")
     wanted = centres.select("chrom", "pos", F.explode(F.sequence(F.col("ord") - window, F.col("ord") + window)).alias("ord"))
     met = wanted.join(feats.select("chrom", "ord", "feat"), ["chrom", "ord"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bases of a bin, by which positions and intervals meet.
@@ -17,13 +17,18 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     """line_no, chrom, start1, end1 (1-based, half open) of BED rows: columns line_no, value.
 
     Blank rows and those that begin with track, browser or # are no regions, nor are
-    empty intervals. A row of fewer than three columns is an error when it is read.
+    empty intervals. A row of fewer than three columns, or whose start or end is no whole number, is an error when it is read.
     """
     is_region = ~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != "")
     kept = lines.where(is_region)
     part = F.split("value", "\t")
     whole = kept.select("line_no", F.when(is_region & (F.size(part) < 3), F.raise_error(F.concat(F.lit("a BED row has fewer than 3 columns: "), F.col("value")))).otherwise(part).alias("part"))
-    shifted = whole.select("line_no", F.get("part", 0).alias("chrom"), (F.get("part", 1).try_cast("bigint") + 1).alias("start1"), (F.trim(F.get("part", 2)).try_cast("bigint") + 1).alias("end1"))
+
+    def number(k: int) -> Column:
+        value = F.trim(F.get("part", k)).try_cast("bigint")
+        return F.when(value.isNull(), F.raise_error(F.concat(F.lit("a BED row has a bound that is no whole number: "), F.get("part", k)))).otherwise(value) + 1
+
+    shifted = whole.select("line_no", F.get("part", 0).alias("chrom"), number(1).alias("start1"), number(2).alias("end1"))
     return shifted.where("end1 > start1")
 
 

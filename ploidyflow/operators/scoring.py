@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from ..config import ConfigError
 from .encode import FEATURES
 
 
@@ -43,6 +44,21 @@ def binomial_scores(candidates: DataFrame, ploidy: int, error: float = 0.01) ->
     return scored.select("*", *dosage(F.col("_p"))).drop("_p")
 
 
+def read_statistics(path: str) -> tuple[list[float], list[float]]:
+    """Mean and std of the tensors' entries from a statistics file: .npz, or HDF5 where h5py is installed."""
+    if path.endswith(".npz"):
+        with np.load(path) as f:
+            mean, std = f["mean"], f["std"]
+    else:
+        try:
+            import h5py
+        except ImportError as e:
+            raise ConfigError(f"{path} needs h5py; an .npz file with mean and std does as well") from e
+        with h5py.File(path, "r") as f:
+            mean, std = f["mean"][:], f["std"][:]
+    return np.ravel(mean).astype(float).tolist(), np.ravel(std).astype(float).tolist()
+
+
 Predictor = Callable[[np.ndarray], np.ndarray]
 
 
@@ -84,6 +100,20 @@ def seeded_dense(window: int, ploidy: int, seed: int = 1) -> Callable[[], Predic
     return make
 
 
+def linear(weights: np.ndarray) -> Callable[[], Predictor]:
+    """Softmax of the flat tensor times a matrix (entries, classes)."""
+
+    def make() -> Predictor:
+        def predict(x: np.ndarray) -> np.ndarray:
+            z = x.reshape(len(x), -1).astype(np.float64) @ weights
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return predict
+
+    return make
+
+
 def onnx_predictor(path: str) -> Callable[[], Predictor]:
     """A model file for onnxruntime: one input (n, columns, 30), one output of probabilities."""
 

@@ -173,10 +173,46 @@ def write_tabix(vcf_path: str) -> str:
     return path
 
 
-def _bgzf_lines(path: str) -> Iterable[tuple[int, int, bytes]]:
-    """(virtual offset of its begin, of its end, line) of every line of a block-compressed file."""
-    held, begin = b"", 0
+def tabix_lines(vcf_path: str, chrom: str, first: int, last: int) -> list[str]:
+    """Lines of a contig whose position lies between first and last, by the index beside the file."""
+    with gzip.open(f"{vcf_path}.tbi") as f:
+        data = f.read()
+    n, size = struct.unpack_from("<i", data, 4)[0], struct.unpack_from("<i", data, 32)[0]
+    names = data[36 : 36 + size].split(b"\0")[:n]
+    at, found = 36 + size, []
+    for name in names:
+        (bins,) = struct.unpack_from("<i", data, at)
+        at, chunks = at + 4, []
+        for _ in range(bins):
+            _, k = struct.unpack_from("<Ii", data, at)
+            chunks += [struct.unpack_from("<QQ", data, at + 8 + 16 * j) for j in range(k)]
+            at += 8 + 16 * k
+        (k,) = struct.unpack_from("<i", data, at)
+        linear = struct.unpack_from(f"<{k}Q", data, at + 4)
+        at += 4 + 8 * k
+        if name.decode() == chrom and linear:
+            least = linear[min(max(first - 1, 0) >> 14, k - 1)]
+            found = sorted(c for c in chunks if c[1] > least)
+    if not found:
+        return []
+    begin, end, out = found[0][0], max(c[1] for c in found), []
+    for a, _, line in _bgzf_lines(vcf_path, begin >> 16):
+        if a >= end:
+            break
+        if a >= begin and line.split(b"\t", 2)[0] == chrom.encode():
+            pos = int(line.split(b"\t", 2)[1])
+            if pos > last:
+                break
+            if pos >= first:
+                out.append(line.decode())
+    return out
+
+
+def _bgzf_lines(path: str, offset: int = 0) -> Iterable[tuple[int, int, bytes]]:
+    """(virtual offset of its begin, of its end, line) of every line of a block-compressed file, from a block on."""
+    held, begin = b"", offset << 16
     with open(path, "rb") as f:
+        f.seek(offset)
         while True:
             at = f.tell()
             head = f.read(18)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CallerConfig
@@ -16,6 +16,7 @@ from ..operators.reads import read_filter, rename_reads
 from ..operators.regions import within_regions
 from ..operators.scoring import batch_scores, binomial_scores
 from ..operators.vcf import vcf_lines
+from ..schema import SCORED
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -45,8 +46,24 @@ def scored_sites(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, con
     return batch_scores(encoded, make_predictor, config.window, mean, std, config.batch_size)
 
 
-def call_variants(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None) -> DataFrame:
-    """section, chrom_ord, pos, line of the VCF file: header, then sites by contig and position."""
+def write_scored(scored: DataFrame, path: str) -> None:
+    """Scored sites as Parquet, a folder a contig, zstd."""
+    scored.withColumn("pred_prob", F.col("pred_prob").cast("double")).write.partitionBy("chrom").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
+def read_scored(spark: SparkSession, path: str) -> DataFrame:
+    """What write_scored() wrote."""
+    return spark.read.schema(SCORED).parquet(path)
+
+
+def call_variants(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None, scored_to: str | None = None) -> DataFrame:
+    """section, chrom_ord, pos, line of the VCF file: header, then sites by contig and position.
+
+    ref_bases is a row a base or a row a block (see bases_at). scored_to names a folder that keeps the scored sites.
+    """
     scored = scored_sites(reads, ref_bases, contigs, config, regions, make_predictor, mean, std)
+    if scored_to:
+        write_scored(scored, scored_to)
+        scored = read_scored(reads.sparkSession, scored_to)
     chosen = contigs.where(F.col("chrom").isin(*dict.fromkeys(config.contigs))) if config.contigs else contigs
     return vcf_lines(scored, chosen, config.ploidy)

@@ -6,13 +6,21 @@ lines are derived from them by SQL that both engines read alike.
 
 from __future__ import annotations
 
+import functools
+import gzip
+import os
+import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, tokens
 from .operators import candidates, depth, encode, pileup, reads, regions, scoring, vcf
+from .plans.calling import read_scored, write_scored
+from .sources import bam, bed, fasta, sam
+from .store import shared_path, written
 
 PLOIDY, WINDOW, MIN_AF, RD_FLOOR = 4, 2, 0.1, 10
 
@@ -60,13 +68,16 @@ CONTIGS = """
 SELECT chrom, cast((max(pos) + 20) * 10 AS bigint) length, cast(row_number() OVER (ORDER BY chrom) AS int) ord
 FROM (SELECT concat('chr', cast(1 + l_suppkey % 2 AS varchar(10))) chrom, l_partkey + 1 pos FROM lineitem) l GROUP BY chrom"""
 
+#: Contigs of a fifth of that length, so the genome's depth, and not the floor, decides.
+DEEP_CONTIGS = CONTIGS.replace("* 10 AS", "* 2 AS")
+
 LINES = """
 SELECT cast(o_orderkey AS bigint) line_no,
        CASE WHEN o_orderkey % 50 = 0 THEN '# a remark' WHEN o_orderkey % 50 = 1 THEN 'track name=x' WHEN o_orderkey % 50 = 2 THEN 'browser position' WHEN o_orderkey % 50 = 3 THEN '  '
             ELSE concat('chr', cast(2 - o_orderkey % 3 % 2 AS varchar(10)), chr(9), cast((o_orderkey * 7919) % 400009 AS varchar(20)), chr(9), cast((o_orderkey * 7919) % 400009 + o_custkey % 50 AS varchar(20)), chr(9), 'x') END value
 FROM orders"""
 
-_DERIVED = {"obs": OBS, "refs": REFS, "reads": READS, "contigs": CONTIGS, "lines": LINES}
+_DERIVED = {"obs": OBS, "refs": REFS, "reads": READS, "contigs": CONTIGS, "deep_contigs": DEEP_CONTIGS, "lines": LINES}
 _BASE = ("lineitem", "part", "orders")
 
 
@@ -100,6 +111,10 @@ class _Tables:
     def candidates(self, ploidy: int = PLOIDY) -> DataFrame:
         return candidates.candidate_sites(self.usable(), self.refs, self.least(ploidy), MIN_AF)
 
+    def deep_candidates(self, ploidy: int) -> DataFrame:
+        depths = depth.contig_depth(reads.read_filter(self.reads), self.deep_contigs)
+        return candidates.candidate_sites(self.usable(), self.refs, max(round(depth.genome_depth_value(depths) / ploidy), RD_FLOOR), MIN_AF)
+
     def tokens(self) -> DataFrame:
         return candidates.with_reference(pileup.token_counts(self.usable()), self.refs)
 
@@ -163,8 +178,12 @@ _STRAND_COLUMNS = ", ".join(
     + [f"{_sum("contains(token,'*')", 'mq')} mq_star"]
 )
 _SF = f"SELECT st.chrom, st.pos, st.strand, {_STRAND_COLUMNS} FROM st LEFT JOIN stops USING (chrom, pos, strand) GROUP BY 1, 2, 3"
-_FLAT = ", ".join(f"cast(sum(CASE WHEN strand = {s} THEN {x} ELSE 0 END) AS bigint) {side}_{x}" for s, side in encode.STRANDS for x in encode.STRAND_FEATURES)
-_FEATURES = f"""SELECT c.chrom, c.pos, (SELECT depth FROM genome) depth, cast(CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS int) ref_code, {', '.join(f'{side}_{x}' for _, side in encode.STRANDS for x in encode.STRAND_FEATURES)}
+# written out here, so that a change of the operators' own list shows
+_STRAND_NAMES = ("a", "c", "g", "t", "is1", "ds1", "dr", "mq_a", "mq_c", "mq_g", "mq_t", "mq_ins", "mq_del", "mq_star")
+_SIDES = ((1, "rev"), (0, "fwd"))
+_FEATURE_NAMES = ("depth", "ref_code", *(f"{side}_{x}" for _, side in _SIDES for x in _STRAND_NAMES))
+_FLAT = ", ".join(f"cast(sum(CASE WHEN strand = {s} THEN {x} ELSE 0 END) AS bigint) {side}_{x}" for s, side in _SIDES for x in _STRAND_NAMES)
+_FEATURES = f"""SELECT c.chrom, c.pos, (SELECT depth FROM genome) depth, cast(CASE base WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END AS int) ref_code, {', '.join(_FEATURE_NAMES[2:])}
 FROM (SELECT chrom, pos, {_FLAT} FROM sf GROUP BY 1, 2) c JOIN refs USING (chrom, pos)"""
 _NUMBERED = "SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pos) ord, count(*) OVER (PARTITION BY chrom) n_cols FROM features"
 _REGIONS = """SELECT line_no, split_part(value, chr(9), 1) chrom, cast(split_part(value, chr(9), 2) AS bigint) + 1 start1, cast(split_part(value, chr(9), 3) AS bigint) + 1 end1
@@ -303,9 +322,22 @@ def _candidates(t: _Tables) -> DataFrame:
     return t.candidates()
 
 
-@_query("candidate_sites_hexaploid", _sql("cand", "SELECT * FROM cand", cand=_cand(6)))
+@_query("candidate_sites_hexaploid", _sql("cand", "SELECT * FROM cand", cand=_cand(6), contigs=DEEP_CONTIGS))
 def _hexaploid(t: _Tables) -> DataFrame:
-    return t.candidates(6)
+    return t.deep_candidates(6)
+
+
+@_query("candidate_sites_by_depth", _sql("cand", "SELECT * FROM cand", contigs=DEEP_CONTIGS))
+def _by_depth(t: _Tables) -> DataFrame:
+    return t.deep_candidates(PLOIDY)
+
+
+@_query("candidate_sites_in_blocks", _sql("cand", "SELECT * FROM cand"))
+def _in_blocks(t: _Tables) -> DataFrame:
+    """The reference as blocks of 50 bases in place of a row a base."""
+    line = F.floor(F.col("pos") / 50)
+    blocks = t.refs.groupBy("chrom", line.alias("line")).agg(F.min("pos").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+    return candidates.candidate_sites(t.usable(), blocks.select("chrom", "start", "seq"), t.least(), MIN_AF)
 
 
 @_query("deletion_ref_span", _sql("tops refs", "SELECT t.chrom, t.pos, string_agg(CASE WHEN base IN ('A','C','G','T') THEN base ELSE '*' END, '' ORDER BY r.pos) span FROM tops t JOIN refs r ON r.chrom = t.chrom AND r.pos BETWEEN t.pos AND t.pos + cast(regexp_extract(t.allele, '^(\\d+)', 1) AS int) WHERE kind = 'DEL' GROUP BY 1, 2"))
@@ -345,9 +377,9 @@ def _strand_query(name: str, columns: tuple[str, ...]) -> None:
     _query(name, _sql("sf", f"SELECT chrom, pos, cast(strand AS int) strand, {chosen} FROM sf"))(lambda t: encode.strand_features(t.usable()).select("chrom", "pos", "strand", *columns))
 
 
-_strand_query("strand_base_counts", encode.STRAND_FEATURES[:4])
-_strand_query("strand_indel_stats", encode.STRAND_FEATURES[4:7])
-_strand_query("strand_mapq_sums", encode.STRAND_FEATURES[7:])
+_strand_query("strand_base_counts", _STRAND_NAMES[:4])
+_strand_query("strand_indel_stats", _STRAND_NAMES[4:7])
+_strand_query("strand_mapq_sums", _STRAND_NAMES[7:])
 
 
 @_query("column_features_30", _sql("features", "SELECT * FROM features"))
@@ -371,7 +403,7 @@ def _frame(t: _Tables) -> DataFrame:
     return t.columns().select("chrom", "pos", F.sum(F.col("rev_a") + F.col("fwd_a")).over(frame).alias("around"))
 
 
-_S1, _S2 = " + ".join(encode.FEATURES), " + ".join(f"{i} * {x}" for i, x in enumerate(encode.FEATURES, 1))
+_S1, _S2 = " + ".join(_FEATURE_NAMES), " + ".join(f"{i} * {x}" for i, x in enumerate(_FEATURE_NAMES, 1))
 _TENSOR = _sql("numbered cand", f"""SELECT c.chrom, c.pos, cast(count(*) * 30 AS int) size, cast(sum((m.ord - n.ord + {WINDOW}) * 30 * ({_S1.replace('depth', 'm.depth')}) + ({_S2.replace('depth', 'm.depth')})) AS double) checksum
 FROM cand c JOIN (SELECT chrom, pos, ord, n_cols FROM numbered) n ON n.chrom = c.chrom AND n.pos = c.pos JOIN numbered m ON m.chrom = n.chrom AND m.ord BETWEEN n.ord - {WINDOW} AND n.ord + {WINDOW}
 WHERE n.ord >= {WINDOW} + 2 AND n.ord <= n.n_cols - {WINDOW} GROUP BY 1, 2""")
@@ -396,7 +428,7 @@ def _chunks(t: _Tables) -> DataFrame:
     return t.usable().select("chrom", "pos").distinct().join(F.broadcast(t.contigs), "chrom").select("chrom", "pos", F.floor((F.col("pos") - 1) / size).alias("chunk"))
 
 
-_STANDARD = " + ".join(f"({x} - {i}) / {i + 1}.0" for i, x in enumerate(encode.FEATURES))
+_STANDARD = " + ".join(f"({x} - {i}) / {i + 1}.0" for i, x in enumerate(_FEATURE_NAMES))
 
 
 @_query("standardize_features", _sql("features", f"SELECT chrom, pos, round({_STANDARD}, 6) total FROM features"))
@@ -411,10 +443,35 @@ def _dosage(t: _Tables) -> DataFrame:
     return scoring.binomial_scores(t.candidates(), PLOIDY).select("chrom", "pos", F.round("pred_prob", 6).alias("pred_prob"), "pred_label")
 
 
-@_query("batch_inference", None)
+#: Of the linear predictor: entry e of class k weighs ((e * 7 + k * 13) % 11 - 5) / 64 of what is left of the standardized entry, whose mean is e % 3 and std 4.
+_CLASSES = PLOIDY + 1
+_ENTRIES = (2 * WINDOW + 1) * 30
+_Z = ", ".join(f"sum((e - mod(i, 3)) / 4.0 * (mod(i * 7 + {k * 13}, 11) - 5) / 64.0) z{k}" for k in range(_CLASSES))
+_LINEAR = f"""SELECT chrom, pos, ref, alt, kind, rd, ref_num, alt_num, round(list_max(p), 4) pred_prob, cast(list_position(p, list_max(p)) - 1 AS int) pred_label FROM (
+ SELECT *, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) p FROM (
+  SELECT chrom, pos, ref, alt, kind, rd, ref_num, alt_num, [{', '.join(f'z{k}' for k in range(_CLASSES))}] z FROM (
+   SELECT c.chrom, c.pos, c.ref, c.alt, c.kind, c.rd, c.ref_num, c.alt_num, {_Z} FROM cand c JOIN numbered n ON n.chrom = c.chrom AND n.pos = c.pos
+   JOIN (SELECT chrom, ord, unnest([{', '.join(_FEATURE_NAMES)}]) e, unnest(range(30)) f FROM numbered) m ON m.chrom = n.chrom AND m.ord BETWEEN n.ord - {WINDOW} AND n.ord + {WINDOW}
+   CROSS JOIN LATERAL (SELECT (m.ord - n.ord + {WINDOW}) * 30 + m.f i) WHERE n.ord >= {WINDOW} + 2 AND n.ord <= n.n_cols - {WINDOW} GROUP BY ALL)))"""
+
+
+@_query("batch_inference", _sql("numbered cand", _LINEAR))
 def _inference(t: _Tables) -> DataFrame:
+    """Standardized by a statistics file, reshaped and scored by a linear predictor in batches."""
+    entry, label = np.arange(_ENTRIES)[:, None], np.arange(_CLASSES)[None, :]
+    path = os.path.join(_scratch(t.spark), "statistics.npz")
+    np.savez(path, mean=np.arange(_ENTRIES) % 3, std=np.full(_ENTRIES, 4.0))
     encoded = encode.window_tensors(t.columns(), t.candidates(), WINDOW)
-    return scoring.batch_scores(encoded, scoring.seeded_dense(WINDOW, PLOIDY), WINDOW)
+    scored = scoring.batch_scores(encoded, scoring.linear(((entry * 7 + label * 13) % 11 - 5) / 64), WINDOW, *scoring.read_statistics(path))
+    return scored.withColumn("pred_prob", F.round(F.col("pred_prob").cast("double"), 4))
+
+
+@_query("scored_parquet", _sql("scored", "SELECT chrom, pos, round(pred_prob, 6) pred_prob, pred_label FROM scored"))
+def _scored_parquet(t: _Tables) -> DataFrame:
+    """Scored sites written by contig as zstd Parquet, and read back."""
+    path = shared_path(t.spark, "scored")
+    write_scored(scoring.binomial_scores(t.candidates(), PLOIDY), path)
+    return read_scored(t.spark, path).select("chrom", "pos", F.round("pred_prob", 6).alias("pred_prob"), "pred_label")
 
 
 @_query("genotype_string", _sql("fields", "SELECT chrom, pos, pred_label, gt FROM fields"))
@@ -442,8 +499,20 @@ def _records(t: _Tables) -> DataFrame:
     return vcf.record_lines(t.scored(), PLOIDY)
 
 
-_HEAD = " UNION ALL ".join(f"SELECT 0 section, {k} chrom_ord, '{x}' line" for k, x in enumerate(vcf.HEADER))
-_HEAD += f" UNION ALL SELECT 1, ord, '##contig=<ID=' || chrom || ',length=' || length || '>' FROM contigs UNION ALL SELECT 2, 0, '{vcf.COLUMNS_LINE}'"
+# Fixed values of the file's header, written out here so that a change of the operators' own shows.
+_HEADER = (
+    "##fileformat=VCFv4.2",
+    '##FILTER=<ID=PASS,Description="All filters passed">',
+    '##FILTER=<ID=RefCall,Description="Genotyping model thinks this site is reference.">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+    '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype Quality">',
+    '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">',
+    '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Allelic depths for the ref and alt alleles in the order listed">',
+    '##FORMAT=<ID=AF,Number=A,Type=Float,Description="Allele Frequency, for each ALT allele, in the same order as listed">',
+)
+_HEAD = " UNION ALL ".join(f"SELECT 0 section, {k} chrom_ord, '{x}' line" for k, x in enumerate(_HEADER))
+_HEAD += " UNION ALL SELECT 1, ord, '##contig=<ID=' || chrom || ',length=' || length || '>' FROM contigs UNION ALL SELECT 2, 0, '#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tSAMPLE'"
+_ORDERED = _sql("contigs vlines", f"SELECT row_number() OVER (ORDER BY section, chrom_ord, pos) AS number, line FROM (SELECT *, 0 pos FROM ({_HEAD}) UNION ALL SELECT 3, ord, line, pos FROM vlines JOIN contigs USING (chrom))")
 
 
 @_query("vcf_header", _sql("contigs", _HEAD))
@@ -451,20 +520,120 @@ def _header(t: _Tables) -> DataFrame:
     return vcf.header_lines(t.contigs)
 
 
-@_query("vcf_ordered_output", _sql("contigs vlines", f"SELECT row_number() OVER (ORDER BY section, chrom_ord, pos) AS number, line FROM (SELECT *, 0 pos FROM ({_HEAD}) UNION ALL SELECT 3, ord, line, pos FROM vlines JOIN contigs USING (chrom))"))
+@_query("vcf_ordered_output", _ORDERED)
 def _ordered(t: _Tables) -> DataFrame:
-    """File order as a number; counted part by part, as each is range-partitioned and sorted."""
-    ordered = vcf.vcf_lines(t.scored(), t.contigs, PLOIDY).orderBy("section", "chrom_ord", "pos").withColumn("id", F.monotonically_increasing_id())
-    own = ordered.withColumn("part", F.shiftright("id", 33))
-    each = Window.partitionBy("part").orderBy("id")
-    totals = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a part
-    return own.withColumn("rank", F.row_number().over(each)).join(before, "part").select((F.col("rank") + F.col("before")).alias("number"), "line")
+    """File order as a number; counted part by part, as each is range-partitioned and sorted. The sorted lines are written once."""
+    own = vcf.vcf_lines(t.scored(), t.contigs, PLOIDY).orderBy("section", "chrom_ord", "pos").withColumn("id", F.monotonically_increasing_id())
+    own = written(own.select("id", F.shiftright("id", 33).alias("part"), "line"), "ordered")
+    totals = own.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = totals.select("part", "first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a part
+    return own.join(before, "part").select((F.col("id") - F.col("first") + 1 + F.col("before")).alias("number"), "line")
 
 
 @_query("chunk_union", _sql("cand", "SELECT * FROM cand"))
 def _union(t: _Tables) -> DataFrame:
-    """Parts of the candidates by chunk, put together again: nothing is lost or doubled at the seams."""
-    sites = t.candidates()
-    parts = [sites.where(F.col("pos") % 3 == k) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Candidates of each chunk of positions by itself, put together: each sees its own positions, and bases as far as a deletion reaches."""
+    obs, refs, least = t.usable(), t.refs, t.least()
+    size = (refs.agg(F.max("pos")).first()[0] or 0) // 5 + 1
+    parts = []
+    for k in range(6):
+        inside = F.col("pos").between(k * size, (k + 1) * size - 1)
+        seen = F.col("pos").between(k * size, (k + 1) * size + 20)
+        parts.append(candidates.candidate_sites(obs.where(inside), refs.where(seen), least, MIN_AF))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+# ------------------------------------------------------------ sources and sinks
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder for one-file sinks, which write where the driver can: local, or the shared folder where that is mounted."""
+    root = shared_path(spark, "files")
+    path = root.removeprefix("file://") if root.startswith("file:///") else tempfile.mkdtemp()
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _fasta(t: _Tables) -> str:
+    """The reference as a FASTA file of 50 bases a line, written by Spark's text writer."""
+    own = t.refs.withColumn("i", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1)  # a test's table
+    lines = own.groupBy("chrom", F.floor(F.col("i") / 50).alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"]), "").alias("value"))
+    heads = own.select("chrom").distinct().select("chrom", F.lit(-1).cast("bigint").alias("line"), F.concat(F.lit(">"), "chrom", F.lit(" made")).alias("value"))
+    path = shared_path(t.spark, "fasta")
+    lines.unionByName(heads).coalesce(1).sortWithinPartitions("chrom", "line").select("value").write.text(path)
+    return path
+
+
+_BASES = "SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY pos) pos, base FROM refs"
+
+
+@_query("fasta_bases", _sql("refs", _BASES))
+def _fasta_bases(t: _Tables) -> DataFrame:
+    return fasta.fasta_bases(t.spark, _fasta(t))
+
+
+@_query("fasta_contigs", _sql("refs", "SELECT chrom, count(*) length, cast(row_number() OVER (ORDER BY chrom) AS int) ord FROM refs GROUP BY 1"))
+def _fasta_contigs(t: _Tables) -> DataFrame:
+    return fasta.fasta_contigs(t.spark, _fasta(t))
+
+
+@_query("fasta_index", _sql("refs", """SELECT chrom, length, cast(sum(size) OVER (ORDER BY chrom) - size + length(chrom) + 7 AS bigint) "offset", 50 line_bases, 51 line_width
+FROM (SELECT chrom, count(*) length, length(chrom) + 7 + count(*) + cast(ceil(count(*) / 50) AS bigint) size FROM refs GROUP BY 1)"""))
+def _fasta_index(t: _Tables) -> DataFrame:
+    return fasta.fai_lines(t.spark, _fasta(t))
+
+
+_ALIGNED = "SELECT qname, flag, chrom, pos, mapq, cigar, seq FROM reads"
+
+
+@_query("sam_scan", _sql("reads", _ALIGNED))
+def _sam_scan(t: _Tables) -> DataFrame:
+    path = shared_path(t.spark, "sam")
+    line = F.concat_ws("\t", "qname", F.col("flag").cast("string"), "chrom", F.col("pos").cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"))
+    t.reads.select(line.alias("value")).unionAll(t.spark.createDataFrame([("@HD\tVN:1.6\tSO:unsorted",)], "value string")).write.text(path)
+    return sam.read_sam(t.spark, path)
+
+
+def _bam(t: _Tables) -> DataFrame:
+    path = os.path.join(_scratch(t.spark), "reads.bam")
+    bam.write_bam(t.reads, [(r.chrom, r.length) for r in t.contigs.orderBy("ord").collect()], path)
+    bam.register(t.spark)
+    return t.spark.read.format("bam").option("range_bytes", 100_000).load(path)
+
+
+@_query("bam_scan", _sql("reads", _ALIGNED))
+def _bam_scan(t: _Tables) -> DataFrame:
+    """Written as one file and read in parts that begin wherever their bytes do."""
+    return _bam(t)
+
+
+@_query("bam_region_scan", _sql("reads", f"{_ALIGNED} WHERE chrom = 'chr2' AND pos >= 20 AND pos < 120"))
+def _bam_region(t: _Tables) -> DataFrame:
+    return _bam(t).where("chrom in ('chr2') and pos >= 20 and pos < 120")
+
+
+@_query("bed_file", _sql("regions", "SELECT chrom, start1, end1 FROM regions"))
+def _bed_file(t: _Tables) -> DataFrame:
+    path = shared_path(t.spark, "bed")
+    t.lines.select("value").write.option("compression", "gzip").text(path)
+    return bed.read_bed(t.spark, path)
+
+
+def _vcf_file(t: _Tables) -> str:
+    path = os.path.join(_scratch(t.spark), "calls.vcf.gz")
+    vcf.write_vcf(vcf.vcf_lines(t.scored(), t.contigs, PLOIDY), path)
+    return path
+
+
+@_query("vcf_file", _ORDERED)
+def _vcf_written(t: _Tables) -> DataFrame:
+    """The block-compressed file, read as gzip: its lines in order."""
+    with gzip.open(_vcf_file(t), "rt") as f:
+        return t.spark.createDataFrame([(k, x.rstrip("\n")) for k, x in enumerate(f, 1)], "number bigint, line string")
+
+
+@_query("tabix_region", _sql("vlines", "SELECT line FROM vlines WHERE chrom = 'chr2' AND pos BETWEEN 50 AND 150"))
+def _tabix(t: _Tables) -> DataFrame:
+    path = _vcf_file(t)
+    vcf.write_tabix(path)
+    return t.spark.createDataFrame([(x,) for x in vcf.tabix_lines(path, "chr2", 50, 150)], "line string")

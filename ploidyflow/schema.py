@@ -4,4 +4,4 @@ READS = "qname string, flag int, chrom string, pos bigint, mapq int, cigar strin
 CONTIGS = "chrom string, length bigint, ord int"
 OBSERVATIONS = "chrom string, pos bigint, qname string, flag int, mapq int, token string"
 REGIONS = "chrom string, start1 bigint, end1 bigint"
-CANDIDATES = "chrom string, pos bigint, ref string, alt string, kind string, rd int, ref_num int, alt_num int"
+SCORED = "chrom string, pos bigint, ref string, alt string, kind string, rd int, ref_num int, alt_num int, pred_prob double, pred_label int"

@@ -1,20 +1,23 @@
 """Alignments as BAM, as a Python data source: spark.read.format("bam").load(path).
 
 With an index (.bai) beside the file, its chunk begins part the reads into ranges of
-compressed bytes, each a task; a filter on chrom leaves other contigs' ranges out.
-Without an index the file is one task. Files are opened through Arrow's file
-systems, so a URI of any store that Arrow knows works.
+compressed bytes, each a task; filters on chrom and pos leave the ranges of other contigs and bins out.
+Without an index the file is parted by bytes, and each task looks for the first block
+and read of its part. Files are opened through Arrow's file
+systems, so a URI of any store that Arrow knows works. write_bam() is the sink.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import READS
 
@@ -23,6 +26,11 @@ RANGE_BYTES = 64 << 20
 # Fixed values of the format: letters of operations and of packed bases.
 OPERATIONS = "MIDNSHP=X"
 PACKED_BASES = "=ACMGRSVTWYHKDBN"
+BLOCK_HEAD = b"\x1f\x8b\x08\x04"
+#: Reads of a batch that goes to Spark.
+BATCH = 4096
+#: Reads that must follow each other for a place to count as a read's begin.
+SURE = 4
 
 
 def register(spark: SparkSession) -> None:
@@ -100,8 +108,18 @@ def sort_order(path: str) -> str:
     return "unspecified"
 
 
-def index_chunks(path: str) -> list[list[tuple[int, int]]] | None:
-    """(begin, end) virtual offsets of each contig's chunks, or None without an index."""
+def bin_span(number: int) -> tuple[int, int]:
+    """First position and end (0-based) of a bin of the index, whose bins are an eighth of those a level above."""
+    level, first = 0, 0
+    while number >= first + (1 << 3 * level):
+        first += 1 << 3 * level
+        level += 1
+    size = 1 << 29 - 3 * level
+    return (number - first) * size, (number - first + 1) * size
+
+
+def index_chunks(path: str, low: int = 0, high: int = 1 << 62) -> list[list[tuple[int, int]]] | None:
+    """(begin, end) virtual offsets of each contig's chunks, of bins that meet positions low to high (1-based); None without an index."""
     try:
         with _open(f"{path}.bai") as f:
             data = f.read()
@@ -115,7 +133,8 @@ def index_chunks(path: str) -> list[list[tuple[int, int]]] | None:
         for _ in range(bins):
             number, n = struct.unpack_from("<Ii", data, at)
             at += 8
-            if number != 37450:  # a bin of statistics
+            a, z = bin_span(number)
+            if number != 37450 and a < high and z >= low:  # 37450: a bin of statistics
                 chunks += [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(n)]
             at += 16 * n
         (n,) = struct.unpack_from("<i", data, at)
@@ -126,8 +145,74 @@ def index_chunks(path: str) -> list[list[tuple[int, int]]] | None:
 
 @dataclass
 class _Range(InputPartition):
+    """Virtual offsets, or offsets in the file that aren't known to begin a read."""
+
     begin: int
     end: int
+    known: bool = True
+
+
+def _sane(data: bytes, at: int, contigs: int) -> int:
+    """End of what may be a read at that place of a block's text, or -1."""
+    size, ref, pos, l_name, _, _, n_ops, _, l_seq, mate, mate_pos = struct.unpack_from("<iiiBBHHHiii", data, at)
+    least = 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq
+    if not (-1 <= ref < contigs and -1 <= mate < contigs and pos >= -1 and mate_pos >= -1 and l_name > 0 and l_seq >= 0 and least <= size < 1 << 24):
+        return -1
+    end_of_name = at + 36 + l_name - 1
+    if end_of_name < len(data) and data[end_of_name] != 0:
+        return -1
+    return at + 4 + size
+
+
+def first_read(path: str, offset: int, contigs: int) -> int:
+    """Virtual offset of the first read in a block that begins at a file offset or after it; the same for whoever asks."""
+    with _open(path) as f:
+        total, at = f.size(), offset
+        while at < total:
+            f.seek(at)
+            window = f.read(1 << 17)
+            hit = window.find(BLOCK_HEAD)
+            if hit < 0:
+                at += max(1, len(window) - 3)
+                continue
+            at += hit
+            blocks = _text_from(f, at, total)
+            if blocks is None:
+                at += 1
+                continue
+            head, text = blocks
+            for k in range(head):
+                end, sure = k, 0
+                while sure < SURE and end + 36 <= len(text):
+                    end = _sane(text, end, contigs)
+                    if end < 0:
+                        break
+                    sure += 1
+                if end >= 0 and sure and (sure == SURE or end >= len(text)):
+                    return (at << 16) | k
+            f.seek(at + 16)
+            at += struct.unpack("<H", f.read(2))[0] + 1
+    return 1 << 62
+
+
+def _text_from(f, at: int, total: int, blocks: int = 4) -> tuple[int, bytes] | None:
+    """Text of the blocks from an offset on, and the length of the first one's; None if none begins there."""
+    text, head = b"", 0
+    for k in range(blocks):
+        if at >= total:
+            break
+        f.seek(at)
+        data = f.read(18)
+        if len(data) < 18 or data[:4] != BLOCK_HEAD or data[12:16] != b"BC\x02\x00":
+            return None if k == 0 else (head, text)
+        size = struct.unpack_from("<H", data, 16)[0] + 1
+        try:
+            text += zlib.decompress(f.read(size - 18)[:-8], -15)
+        except zlib.error:
+            return None if k == 0 else (head, text)
+        head = head or len(text)
+        at += size
+    return head, text
 
 
 def parse_read(data: bytes, names: list[str]) -> tuple:
@@ -143,50 +228,86 @@ def parse_read(data: bytes, names: list[str]) -> tuple:
     return name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq
 
 
+ARROW = pa.schema([("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string())])
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, range_bytes: int = RANGE_BYTES):
+        self.path, self.range_bytes = path, range_bytes
         _, contigs, self.first = read_header(path)
         self.names = [x for x, _ in contigs]
-        self.chrom: str | None = None
+        self.chroms: set[str] | None = None
+        self.low, self.high = 0, 1 << 62
 
     def pushFilters(self, filters):
         for x in filters:
-            if isinstance(x, EqualTo) and x.attribute == ("chrom",):
-                self.chrom = x.value
+            if x.__class__ in (EqualTo, In) and x.attribute == ("chrom",):
+                asked = {x.value} if isinstance(x, EqualTo) else set(x.value)
+                self.chroms = asked if self.chroms is None else self.chroms & asked
+            elif getattr(x, "attribute", None) == ("pos",) and isinstance(getattr(x, "value", None), int):
+                if isinstance(x, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low = max(self.low, x.value)
+                if isinstance(x, (LessThan, LessThanOrEqual, EqualTo)):
+                    self.high = min(self.high, x.value)
             yield x  # Spark tests every row again
 
     def partitions(self) -> list[_Range]:
-        chunks = index_chunks(self.path)
+        chunks = index_chunks(self.path, self.low, self.high)
         if chunks is None:
-            return [_Range(self.first, 1 << 62)]
-        if self.chrom is not None:
-            own = chunks[self.names.index(self.chrom)] if self.chrom in self.names else []
-            marks, end = sorted({b for b, _ in own}), max((e for _, e in own), default=0)
+            with _open(self.path) as f:
+                cuts = [*range(self.first >> 16, f.size(), self.range_bytes)]
+            return [_Range(self.first if k == 0 else a, b, k == 0) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], 1 << 62], strict=True))]
+        if self.chroms is None and self.low <= 0 and self.high >= 1 << 62:  # reads without a place are in no bin
+            runs = [(sorted({self.first, *(b for c in chunks for b, _ in c)}), 1 << 62)]
         else:
-            marks, end = sorted({self.first, *(b for c in chunks for b, _ in c)}), 1 << 62
-        cuts: list[int] = []
-        for x in marks:
-            if not cuts or (x >> 16) - (cuts[-1] >> 16) >= RANGE_BYTES:
-                cuts.append(x)
-        return [_Range(a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)] if cuts else []
-
-    def read(self, partition: _Range | None) -> Iterator[tuple]:
+            chosen = [c for n, c in zip(self.names, chunks, strict=True) if (self.chroms is None or n in self.chroms) and c]
+            runs = []
+            for begin, end in sorted(x for c in chosen for x in c):
+                if runs and begin <= runs[-1][1]:
+                    runs[-1] = ([*runs[-1][0], begin], max(runs[-1][1], end))
+                else:
+                    runs.append(([begin], end))
+        out = []
+        for marks, end in runs:
+            cuts: list[int] = []
+            for x in marks:
+                if not cuts or (x >> 16) - (cuts[-1] >> 16) >= self.range_bytes:
+                    cuts.append(x)
+            out += [_Range(a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
+        return out
+
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark gives if there are no ranges
             return
+        begin = partition.begin if partition.known else first_read(self.path, partition.begin, len(self.names))
+        parted = index_chunks(self.path) is None
+        end = first_read(self.path, partition.end, len(self.names)) if parted and partition.end < 1 << 62 else partition.end
+        rows: list[tuple] = []
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            rows.clear()
+            return out
+
         with _open(self.path) as f:
-            blocks = _Blocks(f, partition.begin)
-            while blocks.tell() < partition.end:
+            if begin >= end:
+                return
+            blocks = _Blocks(f, begin)
+            while blocks.tell() < end:
                 size = blocks.read(4)
                 if len(size) < 4:
-                    return
+                    break
                 row = parse_read(blocks.read(struct.unpack("<i", size)[0]), self.names)
-                if self.chrom is None or row[2] == self.chrom:
-                    yield row
+                if (self.chroms is None or row[2] in self.chroms) and self.low <= row[3] <= self.high:
+                    rows.append(row)
+                    if len(rows) >= BATCH:
+                        yield batch()
+        if rows:
+            yield batch()
 
 
 class BamSource(DataSource):
-    """Reads of a BAM file with the columns of schema.READS."""
+    """Reads of a BAM file with the columns of schema.READS. Option range_bytes: compressed bytes to a task."""
 
     @classmethod
     def name(cls) -> str:
@@ -196,4 +317,48 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"])
+        return BamReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+
+
+# --------------------------------------------------------------------- the sink
+
+
+def packed_read(qname: str, flag: int, ref: int, pos: int, mapq: int, cigar: str, seq: str) -> bytes:
+    """A record, without mate, qualities and tags."""
+    ops = [int(n) << 4 | OPERATIONS.index(o) for n, o in re.findall(r"(\d+)(.)", cigar)]
+    bases = "" if seq == "*" else seq
+    codes = [PACKED_BASES.index(c) if c in PACKED_BASES else 15 for c in bases.upper()] + [0] * (len(bases) % 2)
+    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
+    name = qname.encode() + b"\0"
+    body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(name), mapq, 0, len(ops), flag, len(bases), -1, -1, 0)
+    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + b"\xff" * len(bases)
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> None:
+    """Writes reads (schema.READS), in order of contig and position, as one file; the driver only joins blocks."""
+    from ..operators.vcf import END_OF_FILE, bgzf
+
+    number = {n: k for k, (n, _) in enumerate(contigs)}
+    text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs)
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
+    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+
+    def pack(batches):
+        def records():
+            for b in batches:
+                c = b.to_pydict()
+                yield b"".join(packed_read(*x) for x in zip(c["qname"], c["flag"], c["ref"], c["pos"], c["mapq"], c["cigar"], c["seq"], strict=True))
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["block"]) for x in bgzf(records()))
+
+    spark = reads.sparkSession
+    order = spark.createDataFrame([(n, k) for n, k in number.items()], "chrom string, ref int")
+    placed = reads.join(order.hint("broadcast"), "chrom", "left").fillna({"ref": -1})  # a row a contig
+    blocks = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq").mapInArrow(pack, "block binary")
+    with open(path, "wb") as f:
+        for x in bgzf([head]):
+            f.write(x)
+        for r in blocks.toLocalIterator(prefetchPartitions=True):
+            f.write(bytes(r.block))
+        f.write(END_OF_FILE)

@@ -71,6 +71,8 @@ def fai_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = _numbered_lines(spark, path)
     blocks = fasta_blocks(spark, path)
     first = blocks.groupBy("chrom").agg(F.max(F.length("seq")).alias("line_bases"), F.sum(F.length("seq")).cast("bigint").alias("length"))
-    total = Window.orderBy("split", "line")
-    heads = lines.withColumn("offset", F.sum(F.octet_length("value") + 1).over(total)).where(F.col("value").startswith(">"))
-    return heads.select(F.regexp_extract("value", r"^>(\S*)", 1).alias("chrom"), F.col("offset").cast("bigint").alias("offset")).join(first, "chrom").select("chrom", "length", "offset", "line_bases", (F.col("line_bases") + 1).alias("line_width"))
+    upto = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("split").orderBy("line"))
+    sizes = lines.groupBy("split").agg(F.sum(F.octet_length("value") + 1).alias("n"))
+    passed = F.coalesce(F.sum("n").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part of the file
+    heads = lines.withColumn("upto", upto).where(F.col("value").startswith(">")).join(sizes.select("split", passed.alias("passed")), "split")
+    return heads.withColumn("offset", F.col("upto") + F.col("passed")).select(F.regexp_extract("value", r"^>(\S*)", 1).alias("chrom"), F.col("offset").cast("bigint").alias("offset")).join(first, "chrom").select("chrom", "length", "offset", "line_bases", (F.col("line_bases") + 1).alias("line_width"))

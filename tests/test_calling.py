@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ploidyflow import schema
 from ploidyflow.cli import checked_contigs
-from ploidyflow.config import CallerConfig, ConfigError, model_folder, parallelism
+from ploidyflow.config import CallerConfig, ConfigError, model_files, model_folder, parallelism
 from ploidyflow.functions import numbers, tokens
 from ploidyflow.operators import candidates, depth, encode, pileup, reads, regions, scoring, vcf
 from ploidyflow.plans.calling import call_variants, scored_sites
@@ -141,6 +141,9 @@ def test_bed(spark):
     assert sorted(r.pos for r in regions.within_regions(sites, parsed).collect()) == [11, 20]
     with pytest.raises(Exception, match="fewer than 3"):
         regions.parse_bed(bed_of(spark, ["chr1\t1"])).collect()
+    for wrong in ("chr1\tx\t5", "chr1\t1\t5y", "chr1\t1.5\t9", "chr1\t\t5"):
+        with pytest.raises(Exception, match="no whole number"):
+            regions.parse_bed(bed_of(spark, ["chr1\t1\t9", wrong])).collect()
 
 
 def test_semi_join_against_brute_force(spark):
@@ -215,10 +218,9 @@ def test_windows_close_gaps(spark):
         assert set(got) == {50} and [got[50][30 * k + 2 + 14] for k in range(3)] == [4, 50, 51]
 
 
-def test_ordinals_over_bins(spark, monkeypatch):
-    monkeypatch.setattr(encode, "ORDINAL_BIN", 10)
+def test_ordinals_over_bins(spark):
     df = spark.createDataFrame([("c", p) for p in range(3, 400, 3)] + [("d", 1)], "chrom string, pos bigint")
-    got = sorted((r.chrom, r.pos, r.ord, r.n_cols) for r in encode.with_ordinals(df).collect())
+    got = sorted((r.chrom, r.pos, r.ord, r.n_cols) for r in encode.with_ordinals(df, 10).collect())
     assert got == [("c", p, k, 133) for k, p in enumerate(range(3, 400, 3), 1)] + [("d", 1, 1, 1)]
 
 
@@ -333,28 +335,84 @@ def test_fasta(spark, genome):
     assert bases == {(n, k): b for n, s in seqs.items() for k, b in enumerate(s, 1)}
 
 
-def test_sam_and_bam(spark, genome, monkeypatch):
+def rows_of(reader):
+    return sorted(tuple(x.values()) for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist())
+
+
+def test_sam_and_bam(spark, genome):
     where, _, rows = genome
     assert sorted(tuple(r) for r in sam.read_sam(spark, str(where / "reads.sam")).collect()) == sorted(rows)
     assert sam.sam_sort_order(spark, str(where / "reads.sam")) == "coordinate"
     bam.register(spark)
     path = str(where / "reads.bam")
     assert bam.sort_order(path) == "coordinate"
-    monkeypatch.setattr(bam, "RANGE_BYTES", 2000)
-    reader = bam.BamReader(path)
+    reader = bam.BamReader(path, 2000)
     assert len(reader.partitions()) > 3
-    assert sorted(r for p in reader.partitions() for r in reader.read(p)) == sorted(rows)
-    df = spark.read.format("bam").load(path)
+    assert rows_of(reader) == sorted(rows)
+    df = spark.read.format("bam").option("range_bytes", 2000).load(path)
     assert sorted(tuple(r) for r in df.collect()) == sorted(rows)
+    near = df.where("chrom in ('chrA', 'chrC') and pos >= 100 and pos < 130")
+    assert sorted(tuple(r) for r in near.collect()) == sorted(r for r in rows if r[2] == "chrA" and 100 <= r[3] < 130)
     assert df.where("chrom = 'chrB'").count() == sum(r[2] == "chrB" for r in rows)
     assert df.where("chrom = 'chrC'").count() == 0
 
 
-def test_bam_without_index(genome, tmp_path):
-    where, _, rows = genome
+@pytest.mark.parametrize("range_bytes", [bam.RANGE_BYTES, 3000, 400])
+def test_bam_without_index(genome, tmp_path, range_bytes):
+    """Parted by bytes: each read is in one part, whatever block and place it begins in."""
+    where, seqs, rows = genome
     (tmp_path / "x.bam").write_bytes((where / "reads.bam").read_bytes())
-    reader = bam.BamReader(str(tmp_path / "x.bam"))
-    assert sorted(r for p in reader.partitions() for r in reader.read(p)) == sorted(rows)
+    head, records = bam_bytes([(n, len(s)) for n, s in seqs.items()], rows)
+    text = head + b"".join(records)
+    (tmp_path / "y.bam").write_bytes(b"".join(vcf.bgzf_block(text[k : k + 1500]) for k in range(0, len(text), 1500)) + vcf.END_OF_FILE)  # reads across blocks
+    for name in ("x.bam", "y.bam"):
+        reader = bam.BamReader(str(tmp_path / name), range_bytes)
+        assert rows_of(reader) == sorted(rows)
+        assert len(reader.partitions()) > (1 if range_bytes < bam.RANGE_BYTES else 0)
+
+
+def test_bins_of_the_index():
+    assert [bam.bin_span(k) for k in (0, 1, 8, 9, 4681, 4682, 37448)] == [(0, 1 << 29), (0, 1 << 26), (7 << 26, 1 << 29), (0, 1 << 23), (0, 1 << 14), (1 << 14, 2 << 14), ((1 << 29) - (1 << 14), 1 << 29)]
+
+
+def test_write_bam(spark, genome, tmp_path):
+    where, seqs, rows = genome
+    bam.register(spark)
+    path = str(tmp_path / "out.bam")
+    bam.write_bam(sam.read_sam(spark, str(where / "reads.sam")), [(n, len(s)) for n, s in seqs.items()], path)
+    assert bam.sort_order(path) == "coordinate" and bam.read_header(path)[1] == [(n, len(s)) for n, s in seqs.items()]
+    got = [tuple(r) for r in spark.read.format("bam").load(path).collect()]
+    assert sorted(got) == sorted(rows)
+
+
+def test_reference_in_blocks(spark, genome):
+    """Blocks of any length meet positions as single bases do, gaps and ends included."""
+    where, seqs, _ = genome
+    wanted = spark.createDataFrame([(n, p) for n, s in seqs.items() for p in (*range(1, len(s) + 1), len(s) + 1, 5000)], "chrom string, pos bigint")
+    for cut in (1, 7, 60, 500):
+        blocks = [(n, k + 1, s[k : k + cut]) for n, s in seqs.items() for k in range(0, len(s), cut) if n != "chrA" or k != cut]
+        got = {(r.chrom, r.pos): r.base for r in candidates.bases_at(wanted, spark.createDataFrame(blocks, "chrom string, start bigint, seq string")).collect()}
+        assert got == {(n, a + i): b for n, a, s in blocks for i, b in enumerate(s)}
+
+
+def test_windows_over_bins(spark):
+    columns = random_columns(3, 120)
+    refs = refs_of(spark, {k: "A" for k in columns})
+    numbered = encode.with_ordinals(encode.column_features(obs_of(spark, columns), refs, 1))
+    sites = spark.createDataFrame([(c, p, k) for k, (c, p) in enumerate(sorted(columns)) if k % 5 == 0 or k in (52, 53)], "chrom string, pos bigint, k int")
+    want = sorted(tuple(r) for r in encode.window_tensors(numbered, sites, 4, True).collect())
+    for size in (1, 3, 16, 4096):
+        assert sorted(tuple(r) for r in encode.window_tensors(numbered, sites, 4, window_bin=size).collect()) == want
+    assert want
+
+
+def test_tabix_lines(spark, tmp_path):
+    rows = [(3, c, p, f"chr{c}\t{p}\t.\tA\tC") for c in (1, 2) for p in range(1, 60_000, 7)]
+    path = str(tmp_path / "x.vcf.gz")
+    vcf.write_vcf(spark.createDataFrame(rows, "section int, chrom_ord int, pos bigint, line string"), path)
+    vcf.write_tabix(path)
+    for c, a, z in (("chr1", 1, 100), ("chr2", 30_000, 30_500), ("chr2", 59_990, 99_999), ("chr3", 1, 9), ("chr1", 70_000, 80_000)):
+        assert vcf.tabix_lines(path, c, a, z) == [line for _, n, p, line in rows if f"chr{n}" == c and a <= p <= z]
 
 
 def test_bed_file(spark, tmp_path):
@@ -423,7 +481,7 @@ def test_blocks_and_end_mark():
     assert gzip.decompress(blob) == text
 
 
-def test_command_line(spark, genome, tmp_path):
+def test_command_line(spark, genome, tmp_path, monkeypatch):
     from ploidyflow import cli
 
     where, _, _ = genome
@@ -432,6 +490,34 @@ def test_command_line(spark, genome, tmp_path):
     cli.main(["-r", str(where / "ref.fa"), "-b", str(where / "reads.bam"), "-p", "4", "-l", str(tmp_path / "r.bed"), "-o", str(out)])
     text = gzip.open(f"{out}.gz", "rt").read().splitlines()
     assert text[-1].startswith("chrA\t200\t") and (tmp_path / "calls.vcf.gz.tbi").exists()
+    # a model folder by species and mode, its window and statistics, and the scored sites kept
+    folder = tmp_path / "models" / "01_C88_Potato_default" / "02_performance_mode_w=3"
+    folder.mkdir(parents=True)
+    np.savez(folder / "statistics.npz", mean=np.full(210, 2.0), std=np.full(210, 4.0))
+    (folder / "model.onnx").write_bytes(b"")
+    seen = []
+
+    def predictor(path):
+        weights = np.zeros((210, 5))
+        weights[:, 3] = 1e-3  # class 3 wherever the standardized entries are not all negative
+
+        def make():
+            assert path == str(folder / "model.onnx")
+            return scoring.linear(weights)()
+
+        seen.append(path)
+        return make
+
+    monkeypatch.setattr(cli, "onnx_predictor", predictor)
+    cli.main(["-r", str(where / "ref.fa"), "-b", str(where / "reads.bam"), "-p", "4", "-m", "performance", "-t", "2", "--models", str(tmp_path / "models"), "--scored", str(tmp_path / "scored"), "-o", str(out)])
+    kept = spark.read.parquet(str(tmp_path / "scored"))
+    assert seen == [str(folder / "model.onnx")] and (tmp_path / "scored" / "chrom=chrA").is_dir()
+    assert [(r.chrom, r.pos, r.pred_label) for r in kept.collect()] == [("chrA", 200, 3)]
+    assert gzip.open(f"{out}.gz", "rt").read().splitlines()[-1].split("\t")[9].startswith("0/1/1/1:")
+    with pytest.raises(SystemExit):
+        cli.main(["-r", str(where / "ref.fa"), "-b", str(where / "reads.bam"), "-p", "4", "-s", "rose", "--models", str(tmp_path / "models")])
+    with pytest.raises(ConfigError):
+        model_files(str(tmp_path))
     for wrong in (["-r", "/none.fa", "-b", "x", "-p", "4"], ["-r", str(where / "ref.fa"), "-b", str(where / "reads.sam"), "-p", "4", "-c", "chrZ"], ["-r", str(where / "ref.fa"), "-b", str(where / "reads.sam"), "-p", "4", "--min_af", "2"]):
         with pytest.raises(SystemExit):
             cli.main(wrong)
