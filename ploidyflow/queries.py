@@ -443,11 +443,11 @@ def _dosage(t: _Tables) -> DataFrame:
     return scoring.binomial_scores(t.candidates(), PLOIDY).select("chrom", "pos", F.round("pred_prob", 6).alias("pred_prob"), "pred_label")
 
 
-#: Of the linear predictor: entry e of class k weighs ((e * 7 + k * 13) % 11 - 5) / 64 of what is left of the standardized entry, whose mean is e % 3 and std 4.
+#: Of the linear predictor: entry e of class k weighs ((e * 7 + k * 13) % 11 - 5) / 1024 of what is left of the standardized entry, whose mean is e % 3 and std 4.
 _CLASSES = PLOIDY + 1
 _ENTRIES = (2 * WINDOW + 1) * 30
-_Z = ", ".join(f"sum((e - mod(i, 3)) / 4.0 * (mod(i * 7 + {k * 13}, 11) - 5) / 64.0) z{k}" for k in range(_CLASSES))
-_LINEAR = f"""SELECT chrom, pos, ref, alt, kind, rd, ref_num, alt_num, round(list_max(p), 4) pred_prob, cast(list_position(p, list_max(p)) - 1 AS int) pred_label FROM (
+_Z = ", ".join(f"sum((e - mod(i, 3)) / 4.0 * (mod(i * 7 + {k * 13}, 11) - 5) / 1024.0) z{k}" for k in range(_CLASSES))
+_LINEAR = f"""SELECT chrom, pos, ref, alt, kind, rd, ref_num, alt_num, round(list_max(p), 3) pred_prob, cast(list_position(p, list_max(p)) - 1 AS int) pred_label FROM (
  SELECT *, list_transform(z, lambda x: exp(x - list_max(z)) / list_sum(list_transform(z, lambda y: exp(y - list_max(z))))) p FROM (
   SELECT chrom, pos, ref, alt, kind, rd, ref_num, alt_num, [{', '.join(f'z{k}' for k in range(_CLASSES))}] z FROM (
    SELECT c.chrom, c.pos, c.ref, c.alt, c.kind, c.rd, c.ref_num, c.alt_num, {_Z} FROM cand c JOIN numbered n ON n.chrom = c.chrom AND n.pos = c.pos
@@ -462,8 +462,8 @@ def _inference(t: _Tables) -> DataFrame:
     path = os.path.join(_scratch(t.spark), "statistics.npz")
     np.savez(path, mean=np.arange(_ENTRIES) % 3, std=np.full(_ENTRIES, 4.0))
     encoded = encode.window_tensors(t.columns(), t.candidates(), WINDOW)
-    scored = scoring.batch_scores(encoded, scoring.linear(((entry * 7 + label * 13) % 11 - 5) / 64), WINDOW, *scoring.read_statistics(path))
-    return scored.withColumn("pred_prob", F.round(F.col("pred_prob").cast("double"), 4))
+    scored = scoring.batch_scores(encoded, scoring.linear(((entry * 7 + label * 13) % 11 - 5) / 1024), WINDOW, *scoring.read_statistics(path))
+    return scored.withColumn("pred_prob", F.round(F.col("pred_prob").cast("double"), 3))
 
 
 @_query("scored_parquet", _sql("scored", "SELECT chrom, pos, round(pred_prob, 6) pred_prob, pred_label FROM scored"))
