@@ -3,10 +3,11 @@
 In each tree a vector's hash is a long string of signs against random
 hyperplanes. The sorted strings of a tree are parted into leaves: prefixes of
 variable length, split where a bounded sample is dense. A query descends to the
-leaf of its longest prefix match, then ascends in all trees at once, one letter
-at a time, until the subtrees of that depth hold enough rows. All rows in them
+leaf of its longest prefix match, then ascends in all trees at once to further
+leaves, those first whose prefix branches off at hyperplanes that it lies nearest
+to, until they hold enough rows. All rows in them
 are compared by exact cosine; each task keeps a query's few best, and those of
-all tasks are merged. Only rows and queries of the same leaf meet, in blocks.
+all tasks are merged. A leaf's rows are dealt into parts that a task holds; queries stream past.
 """
 
 from __future__ import annotations
@@ -27,20 +28,26 @@ DEPTH = 32
 #: Vectors in the sample that shapes the leaves; the index itself holds every row.
 SAMPLE = 20_000
 #: Leaves of a tree aimed at, and rows of a part of a leaf: a leaf that holds more (one value may fill it) is dealt into parts.
-LEAVES = 64
-PART_ROWS = 1 << 18
-#: Queries and rows multiplied at once.
-BLOCK = 2048
+LEAVES = 256
+PART_ROWS = 1 << 15
+#: Candidates that a query meets at least, for each of its k nearest, unless their number is given: a small table is searched whole.
+LEAST = 512
+#: Queries whose leaves are put in order, and rows multiplied, at once.
+ASKED, BLOCK = 256, 2048
 
 
 def planes(dimension: int, trees: int, seed: int = 8) -> np.ndarray:
     return np.random.default_rng([seed, dimension]).standard_normal((dimension, trees * DEPTH))
 
 
-def hash_strings(vectors: np.ndarray, trees: int) -> np.ndarray:
+def projected(vectors: np.ndarray, trees: int) -> np.ndarray:
+    """Distance of each vector to every letter's hyperplane, by tree."""
+    return (vectors @ planes(vectors.shape[1], trees)).reshape(len(vectors), trees, DEPTH)
+
+
+def hash_strings(letters: np.ndarray) -> np.ndarray:
     """A row for each vector: its string in every tree, as a number whose first letter is the top bit."""
-    signs = vectors @ planes(vectors.shape[1], trees) > 0
-    return np.packbits(signs.reshape(len(vectors), trees, DEPTH), axis=2).view(">u4").astype(np.int64)[:, :, 0]
+    return np.packbits(letters > 0, axis=2).view(">u4").astype(np.int64)[:, :, 0]
 
 
 def vectors_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,15 +71,23 @@ def vectors_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 class Leaves:
     """Leaves of each tree of one dimension, with the share of all rows in each, from a sample."""
 
-    def __init__(self, strings: np.ndarray, rows: int):
-        self.rows, self.trees = rows, strings.shape[1]
-        self.sorted = [np.sort(strings[:, t]) for t in range(self.trees)]
+    def __init__(self, strings: np.ndarray, rows: int, part_rows: int = PART_ROWS):
+        self.rows, self.trees, self.part_rows = rows, strings.shape[1], part_rows
         want = max(8, math.ceil(len(strings) / LEAVES))
-        self.starts = [self._split(x, want) for x in self.sorted]
+        self.starts, self.share, prefixes = [], [], []
+        for t in range(self.trees):
+            x = np.sort(strings[:, t])
+            first, depth = self._split(x, want)
+            self.starts.append(first)
+            self.share.append(np.diff(np.append(np.searchsorted(x, first), len(x))) / max(len(x), 1))
+            letters = np.unpackbits(first.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1).astype(np.int8)
+            letters[np.arange(DEPTH)[None, :] >= depth[:, None]] = -1
+            prefixes.append(letters)
+        self.prefixes = prefixes
 
     @staticmethod
-    def _split(x: np.ndarray, want: int) -> np.ndarray:
-        """First strings of the leaves, ascending: a prefix is split while its sample rows exceed want."""
+    def _split(x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """First strings of the leaves, ascending, and lengths of their prefixes: a prefix is split while its sample rows exceed want."""
         out, todo = [], [(0, 0)]
         while todo:
             first, depth = todo.pop()
@@ -81,30 +96,32 @@ class Leaves:
             if n > want and depth < DEPTH:
                 todo += [(first + width // 2, depth + 1), (first, depth + 1)]
             else:
-                out.append(first)
-        return np.array(sorted(out), np.int64)
+                out.append((first, depth))
+        return tuple(np.array(c, np.int64) for c in zip(*sorted(out), strict=True))
 
     def leaf(self, tree: int, strings: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts[tree], strings, "right") - 1
 
     def parts(self, tree: int) -> np.ndarray:
         """Into how many parts each leaf's rows are dealt."""
-        x, s = self.sorted[tree], self.starts[tree]
-        n = np.diff(np.append(np.searchsorted(x, s), len(x))) / max(len(x), 1) * self.rows
-        return np.maximum(1, np.ceil(n / PART_ROWS)).astype(np.int64)
-
-    def ascended(self, strings: np.ndarray, share: float) -> np.ndarray:
-        """Depth for each query (its strings in a row) at which the subtrees of all trees first hold the share of all rows."""
-        depth = np.full(len(strings), -1)
-        for d in range(DEPTH, -1, -1):
-            width = 1 << (DEPTH - d)
-            first = strings // width * width
-            held = sum((np.searchsorted(x, first[:, t] + width) - np.searchsorted(x, first[:, t])) / max(len(x), 1) for t, x in enumerate(self.sorted))
-            depth[(depth < 0) & (held >= share)] = d
-        return np.maximum(depth, 0)
-
-
-def _sampled_leaves(vectors: DataFrame, trees: int) -> dict[int, Leaves]:
+        return np.maximum(1, np.ceil(self.share[tree] * self.rows / self.part_rows)).astype(np.int64)
+
+    def ascended(self, letters: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, tree, leaf) of all that queries search, some queries at a time: of every tree the nearest leaves, until all together hold the share of all rows.
+
+        A leaf is as far as the squared distances to the hyperplanes at which its prefix departs from the query's.
+        """
+        for c in range(0, len(letters), ASKED):
+            own = letters[c : c + ASKED]
+            for t, (p, sizes) in enumerate(zip(self.prefixes, self.share, strict=True)):
+                above, below = np.where(own[:, t] > 0, own[:, t], 0) ** 2, np.where(own[:, t] > 0, 0, own[:, t]) ** 2
+                order = np.argsort(above @ (p == 0).T + below @ (p == 1).T, axis=1)
+                held = np.cumsum(sizes[order], axis=1) - sizes[order]
+                asked, rank = np.nonzero(held < share / self.trees)
+                yield c + asked, np.full(len(asked), t), order[asked, rank]
+
+
+def _sampled_leaves(vectors: DataFrame, trees: int, part_rows: int) -> dict[int, Leaves]:
     """Leaves by dimension. The sample's size is bounded; the counts are of all rows."""
     counts = {d: n for d, n in vectors.groupBy(F.size("embedding")).count().collect() if d and d > 0}  # one row a dimension
     out = {}
@@ -113,26 +130,25 @@ def _sampled_leaves(vectors: DataFrame, trees: int) -> dict[int, Leaves]:
         chosen = vectors.where((F.size("embedding") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)).limit(2 * SAMPLE)
         rows = [x for b in chosen.select("vec_id", "embedding").toArrow().to_batches() for x in vectors_of(b)]
         if rows:
-            out[d] = Leaves(np.concatenate([hash_strings(x, trees) for _, x in rows]), n)
+            out[d] = Leaves(np.concatenate([hash_strings(projected(x, trees)) for _, x in rows]), n, part_rows)
     return out
 
 
-def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 8, share: float = 1.25) -> DataFrame:
+def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 8, share: float = 0.6, candidates: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query, nearest first.
 
     Queries are the rows whose vec_id is divisible by query_every; candidates are
     all rows but the query's own. Nearness is the largest cosine in double
-    precision, ties go to the smaller vec_id. The subtrees that a query searches
+    precision, ties go to the smaller vec_id. The leaves that a query searches
     hold so large a share of all rows, counted over all trees (a row may be met in
-    several); a smaller share is enough where near vectors are much nearer than
-    others. Vectors that are null, empty or zero or hold null or non-finite
+    several), or, if given, so many candidates: a number that needn't grow with the table
+    where near vectors are much nearer than others. A part of a leaf has about part_rows rows. Vectors that are null, empty or zero or hold null or non-finite
     components take no part; vectors of different dimensions never meet. Repeated
     rows count once. Fewer than k candidates give fewer rows; none give none.
     """
     session_setup(vectors.sparkSession)
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
-    leaves = _sampled_leaves(vectors, trees)
-    shared = vectors.sparkSession.sparkContext.broadcast(leaves)  # SAMPLE strings a tree at most
+    shared = vectors.sparkSession.sparkContext.broadcast(_sampled_leaves(vectors, trees, part_rows))  # some LEAVES prefixes a tree
 
     def deal(batches):
         for b in batches:
@@ -140,28 +156,25 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int =
                 forest = shared.value.get(x.shape[1])
                 if forest is None:
                     continue
-                strings = hash_strings(x, trees)
-                asks = np.flatnonzero(ids % query_every == 0)
-                depth = forest.ascended(strings[asks], share)
+                letters = projected(x, trees)
+                strings, asks = hash_strings(letters), np.flatnonzero(ids % query_every == 0)
                 raw = pa.array([v.tobytes() for v in x], pa.binary())
+                base = (x.shape[1] * trees + np.arange(trees)) << 40
+                parts = [forest.parts(t) for t in range(trees)]
                 for t in range(trees):
-                    base = (x.shape[1] * trees + t) << 40
-                    parts = forest.parts(t)
                     leaf = forest.leaf(t, strings[:, t])
-                    part = ids % parts[leaf]
-                    yield _dealt(base + (leaf << 20) + part, np.ones(len(ids), np.int8), ids, raw)
-                    width = np.int64(1) << (DEPTH - depth)
-                    first = strings[asks, t] // width * width
-                    a, z = forest.leaf(t, first), forest.leaf(t, first + width - 1)
-                    runs = [base + (np.repeat(np.arange(p, q + 1), parts[p : q + 1]) << 20) + np.concatenate([np.arange(n) for n in parts[p : q + 1]]) for p, q in zip(a.tolist(), z.tolist(), strict=True)]
-                    if runs:
-                        who = np.repeat(asks, [len(r) for r in runs])
-                        for c in range(0, len(who), 1 << 14):
-                            w = who[c : c + (1 << 14)]
-                            yield _dealt(np.concatenate(runs)[c : c + (1 << 14)], np.zeros(len(w), np.int8), ids[w], raw.take(pa.array(w)))
+                    yield _dealt(base[t] + (leaf << 20) + ids % parts[t][leaf], np.zeros(len(ids), np.int8), ids, raw)
+                for who, tree, leaf in forest.ascended(letters[asks], candidates / forest.rows if candidates else max(share, LEAST * k / forest.rows)):
+                    n = np.concatenate(parts)[np.cumsum([0, *map(len, parts)])[tree] + leaf]
+                    each = np.repeat(np.arange(len(who)), n)
+                    part = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    for c in range(0, len(each), 1 << 12):
+                        e = each[c : c + (1 << 12)]
+                        w = asks[who[e]]
+                        yield _dealt(base[tree[e]] + (leaf[e] << 20) + part[c : c + (1 << 12)], np.ones(len(w), np.int8), ids[w], raw.take(pa.array(w)))
 
     def meet(batches):
-        for queries, asked, rows, ids in _blocks(batches):
+        for queries, asked, rows, ids in _met(batches):
             yield from _best(queries, asked, rows, ids, k)
 
     dealt = vectors.mapInArrow(deal, "leaf bigint, kind tinyint, vec_id bigint, vector binary")
@@ -172,28 +185,30 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int =
 
 
 def _dealt(leaf: np.ndarray, kind: np.ndarray, ids: np.ndarray, raw: pa.Array) -> pa.RecordBatch:
+    """kind: 0 for rows, 1 for queries, which come after them."""
     return pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(kind), pa.array(ids), raw], ["leaf", "kind", "vec_id", "vector"])
 
 
-def _blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, their ids, rows, their ids) of a leaf's part: all its queries by a batch of its rows."""
-    leaf, queries, asked = None, [], []
+def _met(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, their ids, rows, their ids) of a leaf's part: a batch of its queries by some of its rows."""
+    leaf, rows, ids = None, [], []
     for b in batches:
-        key, kind, ids = b.column("leaf").to_numpy(), b.column("kind").to_numpy(), b.column("vec_id").to_numpy()
+        key, kind, own = b.column("leaf").to_numpy(), b.column("kind").to_numpy(), b.column("vec_id").to_numpy()
         raw = b.column("vector")
         edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(key)]]).tolist()
         for a, z in zip(edge[:-1], edge[1:], strict=True):
             if a == z:
                 continue
             if key[a] != leaf:
-                leaf, queries, asked = key[a], [], []
+                leaf, rows, ids = key[a], [], []
             x = np.frombuffer(b"".join(raw.slice(a, z - a).to_pylist()), np.float64).reshape(z - a, -1)
             if kind[a] == 0:
-                queries.append(x)
-                asked.append(ids[a:z])
-            elif queries:
-                queries, asked = [np.concatenate(queries)], [np.concatenate(asked)]
-                yield queries[0], asked[0], x, ids[a:z]
+                rows.append(x)
+                ids.append(own[a:z])
+            elif rows:
+                rows, ids = [np.concatenate(rows)], [np.concatenate(ids)]
+                for c in range(0, len(rows[0]), BLOCK):
+                    yield x, own[a:z], rows[0][c : c + BLOCK], ids[0][c : c + BLOCK]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,19 +218,17 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best(queries: np.ndarray, asked: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    for c in range(0, len(queries), BLOCK):
-        q, a = queries[c : c + BLOCK], asked[c : c + BLOCK]
-        near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ unit.T
-        near[a[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
-            i, j = np.nonzero((near >= least[:, None] - 1e-9) & np.isfinite(near))
-        else:
-            i, j = np.nonzero(np.isfinite(near))
-        score = cosines(q[i], rows[j])
-        order = np.lexsort((ids[j], -score, i))
-        i, j, score = i[order], j[order], score[order]
-        new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-        place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else i
-        keep = place < k
-        yield pa.RecordBatch.from_arrays([pa.array(a[i[keep]]), pa.array(ids[j[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
+    near = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ unit.T
+    near[asked[:, None] == ids[None, :]] = -np.inf
+    if len(ids) > k:
+        least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
+        i, j = np.nonzero((near >= least[:, None] - 1e-9) & np.isfinite(near))
+    else:
+        i, j = np.nonzero(np.isfinite(near))
+    score = cosines(queries[i], rows[j])
+    order = np.lexsort((ids[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    new = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+    place = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(i) else i
+    keep = place < k
+    yield pa.RecordBatch.from_arrays([pa.array(asked[i[keep]]), pa.array(ids[j[keep]]), pa.array(score[keep])], ["query_id", "vec_id", "score"])

@@ -41,6 +41,39 @@ def test_recall(spark, vectors):
             assert s == pytest.approx(x @ y / np.sqrt((x @ x) * (y @ y)), abs=1e-12)
 
 
+def test_parts_change_nothing(spark, vectors):
+    df = spark.createDataFrame([(i, v, 0, 0.5) for i, v in vectors[:600]], SCHEMA)
+    one, many = (sorted(tuple(r) for r in prefix_forest.nearest(df, part_rows=n).collect()) for n in (1 << 15, 16))
+    assert one == many
+
+
+def test_candidates_needn_t_grow_with_clustered_vectors(spark):
+    """The same number of candidates a query serves four times the rows, and is far fewer than all."""
+    for rows in (4000, 16000):
+        draw = np.random.default_rng(rows)
+        centres = draw.normal(size=(rows // 20, 24))
+        x = (centres[np.arange(rows) % len(centres)] + 0.15 * draw.normal(size=(rows, 24))).astype(np.float32)
+        unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        asked = np.arange(0, rows, 50)
+        near = unit[asked] @ unit.T
+        near[np.arange(len(asked)), asked] = -2
+        want = {int(q): set(np.argsort(-near[i])[:5].tolist()) for i, q in enumerate(asked)}
+        got = {}
+        for r in prefix_forest.nearest(spark.createDataFrame([(i, v.tolist(), 0, 0.5) for i, v in enumerate(x)], SCHEMA), candidates=400).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.9
+
+
+def test_small_tables_are_searched_whole(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=8).astype(np.float32).tolist()) for i in range(40)]
+    want = brute(rows, 10, 5)
+    got = {}
+    for r in prefix_forest.nearest(spark.createDataFrame([(i, v, 0, 0.5) for i, v in rows], SCHEMA), query_every=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 def test_edges_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 0.0]), (8, []), (50, [0.5, 0.5]), (51, [1.0, 0.0, 0.0]), (50, [0.5, 0.5]), (None, [1.0, 1.0])]
     got = sorted(tuple(r) for r in prefix_forest.nearest(spark.createDataFrame([(i, v, 0, 0.5) for i, v in rows], SCHEMA)).collect())
@@ -49,10 +82,9 @@ def test_edges_and_ties(spark):
     assert [x[3] for x in got] == pytest.approx([1, 1, half, half, half, half])
 
 
-def test_one_value_fills_a_leaf(spark, monkeypatch):
-    monkeypatch.setattr(prefix_forest, "PART_ROWS", 64)
+def test_one_value_fills_a_leaf(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(1000)]
-    got = [tuple(r)[:3] for r in prefix_forest.nearest(spark.createDataFrame([(i, v, 0, 0.5) for i, v in rows], SCHEMA), query_every=500).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:3] for r in prefix_forest.nearest(spark.createDataFrame([(i, v, 0, 0.5) for i, v in rows], SCHEMA), query_every=500, part_rows=64).orderBy("query_id", "rank").collect()]
     assert got == [(0, r, r) for r in range(1, 6)] + [(500, r, r - 1) for r in range(1, 6)]
 
 
