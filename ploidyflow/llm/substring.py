@@ -1,14 +1,17 @@
 """Removal of passages that also occur in an earlier document, by level-wise doubling.
 
-A passage is a window of so many consecutive words. Windows of half that length
-come first, and of those only the ones that hold the smallest hash among all in
-some full window: equal full windows pick the same one, so no repeat is missed,
-and about one word in thirteen begins one. Half windows found in one document
-alone are gone. Around those that are left the text is extended to all full
-windows that picked them, taken as one stretch; a stretch that an earlier
+A passage is a window of so many consecutive words. The first level has windows of a
+quarter of that length, the next of half, the last of all. Of the first level only
+those are candidates that hold the smallest hash among all in some full window: equal
+full windows pick the same one, so no repeat is missed, and about one word in
+twenty begins one. What is found in one document alone at a level is gone; what
+repeats is extended to twice the length, to the window of the next level with the
+smallest hash among those around it in the full window; and so on until no candidate survives or the
+full length is reached. There the text around a survivor is taken as one stretch of all the full
+windows that picked it; a stretch that an earlier
 document has too is settled. What remains, where repeated text begins, ends or
 was edited, is extended to each full window by itself, and then no candidate
-survives. Hashes have 64 bits and are nested, so a false repeat needs two
+survives. Hashes have 64 bits and are nested, so a false repeat needs three
 collisions at the same place.
 
 Repeated keys are met by aggregates of fixed size, never by lists of a key's rows.
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, documents_of, mixed, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
+from .common import U64, discard, documents_of, mixed, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
 
 #: Base of the hashes of word sequences, other than that of the words.
 _BASE = 0xD6E8FEB86659FD93
 _INV = pow(_BASE, -1, 1 << 64)
-RUN = "anchor bigint, stretch bigint, doc_id bigint, first int, n int"
+#: Keys of a run: its windows of the first and of the second level.
+LEVELS = ("quarter", "half")
+RUN = "quarter bigint, half bigint, stretch bigint, doc_id bigint, first int, n int"
 
 
 def _sequence(data: np.ndarray, bounds: np.ndarray):
@@ -40,47 +45,59 @@ def _hash(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     return range_hash(sums, first, end, _BASE, _INV)
 
 
-def picked_runs(sums: np.ndarray, at: np.ndarray, window: int, half: int) -> tuple[np.ndarray, ...]:
-    """Runs of full windows that pick the same half window.
+def _lengths(window: int) -> tuple[int, int]:
+    """Words of a window of the first and of the second level."""
+    return max(1, window // 4), max(1, window // 2)
+
+
+def least_place(value: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place of the first smallest value between first and last, each included."""
+    width = int((last - first).max(initial=0)) + 1
+    place = [np.arange(len(value))]
+    while 2 << len(place) - 1 <= width:
+        have, step = place[-1], 1 << len(place) - 1
+        a, b = have[: len(have) - step], have[step:]
+        place.append(np.where(value[a] <= value[b], a, b))
+    level = np.frexp((last - first + 1).astype(float))[1] - 1  # the largest power of 2 that fits
+    out = np.empty(len(first), np.int64)
+    for k, have in enumerate(place):
+        own = np.flatnonzero(level == k)
+        a, b = have[first[own]], have[last[own] + 1 - (1 << k)]
+        out[own] = np.where(value[a] <= value[b], a, b)
+    return out
+
+
+def picked_runs(sums: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of full windows that pick the same windows at both lower levels.
 
     Returns each run's document, first window (word of the slice), number of
-    windows, hash of the half window and hash of the whole stretch.
+    windows, hashes of the windows it picks and hash of the whole stretch.
     """
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 2
-    words = int(at[-1])
-    if words < window:
-        return none
-    here = np.arange(words - half + 1)
-    value, place = _hash(sums, here, here + half), here
-    width, most = 1, window - half + 1
-    while width < most:
-        step = min(width, most - width)
-        left = value[:-step] <= value[step:]
-        value, place = np.where(left, value[:-step], value[step:]), np.where(left, place[:-step], place[step:])
-        width += step
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),) * 3
+    words, (quarter, half) = int(at[-1]), _lengths(window)
     end = np.repeat(at[1:], np.diff(at))
     begin = np.flatnonzero(np.arange(words) + window <= end)
     if not len(begin):
         return none
-    pick = place[begin]
-    new = np.flatnonzero((pick[1:] != pick[:-1]) | (begin[1:] != begin[:-1] + 1)) + 1
+    by_quarter, by_half = (_hash(sums, here, here + n) for n in (quarter, half) for here in [np.arange(words - n + 1)])
+    low = least_place(by_quarter, begin, begin + window - quarter)
+    mid = least_place(by_half, np.maximum(begin, low + quarter - half), np.minimum(begin + window - half, low))
+    new = np.flatnonzero((low[1:] != low[:-1]) | (mid[1:] != mid[:-1]) | (begin[1:] != begin[:-1] + 1)) + 1
     new = np.concatenate([[0], new])
-    first, anchor = begin[new], pick[new]
+    first, low, mid = begin[new], low[new], mid[new]
     n = np.diff(np.concatenate([new, [len(begin)]]))
-    shape = mixed((n.astype(U64) << U64(32)) | (anchor - first).astype(U64))
+    shape = mixed((n.astype(U64) << U64(32)) | (low - first).astype(U64))
     stretch = mixed(_hash(sums, first, first + n - 1 + window) ^ shape)
-    return np.searchsorted(at, first, "right") - 1, first, n, _hash(sums, anchor, anchor + half), stretch
+    return np.searchsorted(at, first, "right") - 1, first, n, by_quarter[low], by_half[mid], stretch
 
 
 def _runs(docs: DataFrame, window: int) -> DataFrame:
-    half = max(1, window // 2)
-
     def find(batches):
         for rows, data, bounds in text_slices(batches):
             _, _, at, sums = _sequence(data, bounds)
-            doc, first, n, anchor, stretch = picked_runs(sums, at, window, half)
+            doc, first, n, *keys = picked_runs(sums, at, window)
             ids = rows.column("doc_id").to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(ids), pa.array((first - at[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "stretch", "doc_id", "first", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(ids), pa.array((first - at[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], [*LEVELS, "stretch", "doc_id", "first", "n"])
 
     return docs.mapInArrow(find, RUN)
 
@@ -109,13 +126,19 @@ def _windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, first, n: n windows from word first on, each of which also starts in a smaller doc_id."""
-    runs = written(_runs(docs, window), "runs")
-    anchors = runs.groupBy("anchor").agg(F.min("doc_id").alias("least"), (F.min("stretch") != F.max("stretch")).alias("varied"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    left = written(runs.join(written(anchors, "anchors"), "anchor"), "left")
+    live = written(_runs(docs, window), "runs")
+    for key in LEVELS:  # what repeats at one level goes on to the next
+        ends = live.groupBy(key).agg(F.min("doc_id").alias("least"), (F.min("stretch") != F.max("stretch")).alias("varied"), F.max("doc_id").alias("most"))
+        repeated = written(ends.where("least < most").drop("most"), f"repeated-{key}")
+        before, live = live, written(live.drop("least", "varied").join(repeated, key), key)
+        discard(before, repeated)
+        if live.isEmpty():
+            break
+    left = live
     settled = left.where("not varied and least < doc_id").select("doc_id", "first", "n")
     varied = left.where("varied")
-    stretches = written(varied.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("owner")), "stretches")
-    owned = written(varied.join(stretches, ["anchor", "stretch"]), "owned")
+    stretches = written(varied.groupBy("half", "stretch").agg(F.min("doc_id").alias("owner")), "stretches")
+    owned = written(varied.join(stretches, ["half", "stretch"]), "owned")
     settled = settled.union(owned.where("owner < doc_id").select("doc_id", "first", "n"))
     unsettled = owned.where("owner = doc_id").select("doc_id", "first", "n", (F.col("least") < F.col("doc_id")).alias("asked"))
     windows = written(_windows(docs, unsettled, window), "windows")
