@@ -32,7 +32,7 @@ def test_pieces_and_chunks_equal_the_library(texts):
     want = [ids_of(t) for t in texts]
     read = lambda xs: [np.frombuffer(x, "<u4").tolist() for x in xs]
     assert read(pieces.encoder(PATH).encode(string_list(data, bounds))) == want
-    assert read(bpe_chunks.coder(PATH).encode(*bpe_chunks.chunked_texts(data, bounds))) == want
+    assert read(bpe_chunks.coder(PATH).encode(*bpe_chunks.chunked_texts(data, bounds), {})) == want
 
 
 @settings(max_examples=300, deadline=None)
@@ -65,15 +65,33 @@ def test_small_caches(monkeypatch):
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == ids_of(t)
 
 
-def test_shared_passages_are_reused():
+@pytest.mark.parametrize("bucket_chunks", [bpe_chunks.BUCKET_CHUNKS, 4])
+def test_shared_chunks_are_encoded_once(spark, bucket_chunks):
+    """Chunks of a passage that 40 documents share are in the table once each; what is encoded beside them occurs once."""
+    passage = text("passage", 800)
+    rows = [(k, f"{text(k, 30)} {passage} {text(k + 1000, 30)}") for k in range(40)] + EDGES
+    docs = bpe_chunks.documents_of(documents(spark, rows))
+    shared = bpe_chunks.shared_chunks(docs, PATH, bucket_chunks)
+    folder = bpe_chunks.Folder(shared.folder)
+    chunks = [x for b in range(1 << shared.bits) if (x := folder.get(f"chunk-{b}")) is not None]
+    chunks = np.concatenate(chunks)
+    assert len(np.unique(chunks)) == len(chunks) and (shared.bits > 1) == (bucket_chunks == 4)
+    raw = [t.encode() for _, t in rows[:40]]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    cuts, hashes = bpe_chunks.chunk_bounds(data, bounds)
+    found, times = np.unique(hashes, return_counts=True)
+    assert set(found[times > 1].tolist()) <= set(chunks.tolist()) and not set(found[times == 1].tolist()) & set(chunks.tolist())
     code = bpe_chunks.ChunkEncoder(pieces.PieceEncoder(PATH))
-    passage = text("passage", 400)
-    raw = [f"{text(k, 30)} {passage} {text(k + 100, 30)}".encode() for k in range(5)]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    got = code.encode(*bpe_chunks.chunked_texts(data, bounds))
+    got = bpe_chunks.encoded(code, shared, data, bounds)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(x.decode()) for x in raw]
-    assert code.reused > code.encoded / 2
+    assert code.encoded == (times == 1).sum() and code.reused == (times > 1).sum() > 10
+
+
+def test_entries_of_another_text_are_not_taken():
+    data = bpe_chunks._packed("one two three", ("one", b"1234", " three"))
+    assert bpe_chunks._unpacked("one two three", data) == (True, ("one", b"1234", " three"))
+    assert bpe_chunks._unpacked("one two  three", data) == (False, None)
+    assert bpe_chunks._unpacked("nocut", bpe_chunks._packed("nocut", None)) == (True, None)
 
 
 def test_bpe_digest_and_round_trip(spark):
