@@ -1,33 +1,40 @@
 """Documents that repeat benchmark passages, by greedy string tiling.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z in lower case. A
-document and an item meet if they share a seed, a window of so many words whose
+document and an item meet if they share seeds, windows of so many words whose
 rolling (Karp-Rabin) hash is equal. Seeds that follow each other on a diagonal
 make a match; the longest match whose words are still free on both sides is
 marked as a tile, again and again, what is left of a match that overlaps a tile
 coming back as a shorter one. The tiles' share of the item's words is its
 coverage, so a passage whose parts were reordered is caught as well.
+
+Seeds meet in a join by hash. A document's seeds pass a bit filter of all items' first.
+Of an item those seeds that make the most pairs (in how many documents, times in how many items) are left out of
+the join, as many as a document that covers the item can't do without; a pair whose seeds that met
+are too few for the coverage is gone, too. The pairs left are tiled from their whole texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans
+from .common import U64, discard, documents_of, mixed, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
 
-#: Words of a block of the benchmark that is sent to every worker: 20 bytes a word, 40 MB at most. More items make more blocks.
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter to a seed, and the most of all, as powers of 2 (16 MB): with more seeds it lets more through, and the join decides.
+FILTER_BITS, MOST_FILTER_BITS = 6, 27
+#: Ids of documents up to which a semi join broadcasts them (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1 << 20
 _BASE = 0xC2B2AE3D27D4EB4F
 _INV = pow(_BASE, -1, 1 << 64)
 #: Letters and digits in lower case, other ASCII as a space.
 _PLAIN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
 _PLAIN[65:91] += 32
-_FILTER_BITS = 22
 
 
 def word_sequence(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,29 +52,51 @@ def seed_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return range_hash(sums, here, here + n, _BASE, _INV)
 
 
-class Seeds:
-    """Seeds of a block of items, in order of hash, with a bit filter before them."""
+def seed_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """The hashes as keys of the join, in which seeds of different lengths differ."""
+    return mixed(seed_hashes(words, n) ^ U64(n))
+
+
+class Filter:
+    """Two bits for each key; what lacks one is no key."""
+
+    def __init__(self, log_bits: int, data: bytes):
+        self.log_bits, self.data = log_bits, np.frombuffer(data, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the slice that the upper six bits of a key name."""
+        own = U64(log_bits - 6)
+        return (keys << U64(6)) >> (U64(64) - own), (keys << (U64(6) + own)) >> (U64(64) - own)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        base, out = (keys >> U64(58)) << U64(self.log_bits - 6), np.ones(len(keys), bool)
+        for x in self.places(keys, self.log_bits):
+            x = base | x
+            out &= (self.data[x >> U64(3)] >> (x & U64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def _filter(keys: DataFrame) -> Filter:
+    """The filter of all keys, which are written: made slice by slice, so the driver gets its bounded size."""
+    n = max(keys.count(), 1)
+    log_bits = min(MOST_FILTER_BITS, max(12, int(n).bit_length() + FILTER_BITS))
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, words: np.ndarray, seed: int):
-        self.ids, self.sizes, self.seed = ids, sizes, seed
-        ends = np.cumsum(sizes)
-        item = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
-        hashes = seed_hashes(words, seed)
-        fits = (place + seed <= np.repeat(sizes, sizes))[: len(hashes)]
-        order = np.argsort(hashes[fits], kind="stable")
-        self.hashes = hashes[fits][order]
-        self.item, self.place = item[: len(fits)][fits][order].astype(np.int32), place[: len(fits)][fits][order].astype(np.int32)
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self.hashes >> np.uint64(64 - _FILTER_BITS)] = True
+    def fill(batches):
+        slices: dict[int, np.ndarray] = {}
+        for b in batches:
+            key = b.column("key").to_numpy().view(U64)
+            part = (key >> U64(58)).astype(int)
+            for k in np.unique(part).tolist():
+                bits = slices.setdefault(k, np.zeros(1 << log_bits - 9, np.uint8))
+                for x in Filter.places(key[part == k], log_bits):
+                    np.bitwise_or.at(bits, x >> U64(3), np.uint8(1) << (x & U64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([*slices], pa.int32()), pa.array([x.tobytes() for x in slices.values()], pa.binary())], ["slice", "bits"])
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among the words and rows of the seeds that begin there."""
-        found = seed_hashes(words, self.seed)
-        at = np.flatnonzero(self.bits[found >> np.uint64(64 - _FILTER_BITS)])
-        first, last = (np.searchsorted(self.hashes, found[at], side) for side in ("left", "right"))
-        n = last - first
-        return np.repeat(at, n), np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    rows = keys.select("key").repartition(64, F.shiftrightunsigned("key", 58)).mapInArrow(fill, "slice int, bits binary").collect()
+    have = {r["slice"]: bytes(r["bits"]) for r in rows}
+    empty = bytes(1 << log_bits - 9)
+    return Filter(log_bits, b"".join(have.get(k, empty) for k in range(64)))
 
 
 def tiled_words(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> int:
@@ -100,69 +129,130 @@ def tiled_words(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> int:
     return total
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.8) -> DataFrame:
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, digest, words (8 bytes each) of every item that has words."""
+
+    def make(batches):
+        for rows, data, bounds in text_slices(batches):
+            words, at = word_sequence(data, bounds)
+            raw = [words[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([rows.column("item_id"), pa.array([hashlib.sha256(x).digest()[:16] for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["item_id", "digest", "words"])
+            yield out.filter(pa.array([bool(x) for x in raw], pa.bool_()))
+
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    return items.mapInArrow(make, "item_id bigint, digest binary, words binary")
+
+
+def _seeds(sequences: DataFrame, seed: int) -> DataFrame:
+    """item, key, times of every item's distinct seeds; an item of fewer words is a seed of its own."""
+
+    def make(batches):
+        for b in batches:
+            out = []
+            for item, raw in zip(b.column("item").to_pylist(), b.column("words").to_pylist(), strict=True):
+                words = np.frombuffer(raw, U64)
+                keys, times = np.unique(seed_keys(words, min(seed, len(words))), return_counts=True)
+                out.append((np.full(len(keys), item), keys.view(np.int64), times))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)])) for k in range(3)], ["item", "key", "times"])
+
+    return sequences.mapInArrow(make, "item bigint, key bigint, times bigint")
+
+
+def _hits(docs: DataFrame, lengths: list[int], keys: Filter) -> DataFrame:
+    """doc_id, key: each document's distinct seeds that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def find(batches):
+        for rows, data, bounds in text_slices(batches):
+            words, at = word_sequence(data, bounds)
+            ids = rows.column("doc_id").to_numpy()
+            for n in lengths:
+                key = seed_keys(words, n)
+                place = np.flatnonzero(shared.value.has(key))
+                doc = np.searchsorted(at, place, "right") - 1
+                fits = place + n <= at[doc + 1]
+                place, doc = place[fits], doc[fits]
+                order = np.lexsort((key[place], doc))
+                k, d = key[place][order], doc[order]
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])]) if len(k) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d[new]]), pa.array(k[new].view(np.int64))], ["doc_id", "key"])
+
+    return docs.mapInArrow(find, "doc_id bigint, key bigint")
+
+
+def _tiled(texts: DataFrame, pairs: DataFrame, seed: int, coverage: float) -> DataFrame:
+    """doc_id, item, n_matched, n_words of the pairs that are tiled to the coverage: a document's texts come first, then its items stream past."""
+    own = texts.select("doc_id", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("item"), F.col("text").cast("binary").alias("data"))
+    asked = pairs.select("doc_id", F.lit(1).alias("kind"), "item", F.col("words").alias("data"))
+
+    def match(batches):
+        doc, held, sorted_seeds = None, [], {}
+        for b in batches:
+            out = []
+            for doc_id, kind, item, data in zip(*(b.column(x).to_pylist() for x in ("doc_id", "kind", "item", "data")), strict=True):
+                if doc_id != doc:
+                    doc, held, sorted_seeds = doc_id, [], {}
+                if kind == 0:
+                    text = np.frombuffer(data, np.uint8)
+                    held.append(word_sequence(text, np.array([0, len(text)]))[0])
+                    continue
+                words = np.frombuffer(data, U64)
+                n = min(seed, len(words))
+                if n not in sorted_seeds:
+                    hashes = [seed_hashes(w, n) for w in held]
+                    orders = [np.argsort(h, kind="stable") for h in hashes]
+                    sorted_seeds[n] = [(h[o], o) for h, o in zip(hashes, orders, strict=True)]
+                want = seed_hashes(words, n)
+                for hashes, order in sorted_seeds[n]:
+                    first, last = (np.searchsorted(hashes, want, side) for side in ("left", "right"))
+                    times = last - first
+                    spots = np.repeat(np.arange(len(want)), times)
+                    least = np.zeros(len(words) + 1, np.int64)
+                    found = np.flatnonzero(times)
+                    np.add.at(least, found, 1)
+                    np.add.at(least, found + n, -1)
+                    if (np.cumsum(least[:-1]) > 0).sum() < coverage * len(words):
+                        continue  # even all seeds together cover less
+                    place = order[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+                    tiled = tiled_words(place, spots, n)
+                    if tiled >= coverage * len(words):
+                        out.append((doc_id, item, tiled, len(words)))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item", "n_matched", "n_words"])
+
+    return own.union(asked).repartition("doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(match, "doc_id bigint, item bigint, n_matched bigint, n_words bigint")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.8, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, item_id, n_matched, n_words, coverage of each document and item tiled to that coverage or more.
 
     Null texts are empty ones. Items of fewer words than a seed are a seed of their
     own, so they match where they occur whole; items without words match nothing;
-    copies of an item, and of a document, are reported each. Repeated rows give
-    repeated results. Other columns, and rows without doc_id or item_id, are left out. The benchmark is read to the
-    driver in blocks of BLOCK_WORDS words, each of which all documents are held
-    against, so its size bounds neither the driver's nor a worker's memory.
+    copies of an item are matched once and reported each, copies of a document are reported each. Repeated rows give
+    repeated results. Other columns, and rows without doc_id or item_id, are left out. Empty tables give none.
     """
     session_setup(docs.sparkSession)
-    spark = docs.sparkSession
     docs = documents_of(docs)
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
-
-    def against(seeds):
-        def match(batches):
-            for (rows, data, bounds), own in ((x, own) for x in text_slices(batches) for own in seeds.value):
-                words, at = word_sequence(data, bounds)
-                place, row = own.hits(words)
-                doc = np.searchsorted(at, place, "right") - 1
-                fits = place + own.seed <= at[doc + 1]
-                place, row, doc = place[fits], row[fits], doc[fits]
-                item = own.item[row]
-                order = np.lexsort((item, doc))
-                place, row, doc, item = place[order], row[order], doc[order], item[order]
-                edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else np.zeros(0, int)
-                out = []
-                for a, b in zip(edge.tolist(), np.append(edge[1:], len(doc))[: len(edge)].tolist(), strict=True):
-                    size, spots = int(own.sizes[item[a]]), own.place[row[a:b]].astype(np.int64)
-                    least = np.zeros(size + 1, np.int64)
-                    np.add.at(least, spots, 1)
-                    np.add.at(least, spots + own.seed, -1)
-                    if (np.cumsum(least[:size]) > 0).sum() < coverage * size:
-                        continue  # even all seeds together cover less
-                    n = tiled_words(place[a:b] - at[doc[a]], spots, own.seed)
-                    if n >= coverage * size:
-                        out.append((doc[a], int(own.ids[item[a]]), n, size))
-                d, i, n, size = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(d)), pa.array(i), pa.array(n), pa.array(size), pa.array(n / np.maximum(size, 1))], ["doc_id", "item_id", "n_matched", "n_words", "coverage"])
-
-        return docs.mapInArrow(match, "doc_id bigint, item_id bigint, n_matched bigint, n_words bigint, coverage double")
-
-    def seeds_of(ids, sizes, words):
-        """Seeds of a block's items, those of each length by themselves."""
-        length = np.minimum(sizes, seed)
-        return [Seeds(ids[x], sizes[x], words[np.repeat(x, sizes)], n) for n in np.unique(length[length > 0]).tolist() for x in [length == n]]
-
-    def blocks():
-        ids, sizes, words = [], [], []
-        for batch in (pa.RecordBatch.from_pylist([r.asDict()], schema=pa.schema([("item_id", pa.int64()), ("text", pa.string())])) for r in items.toLocalIterator()):
-            for rows, data, bounds in text_slices([batch]):
-                found, at = word_sequence(data, bounds)
-                if sizes and sum(sizes) + len(found) > BLOCK_WORDS:
-                    yield seeds_of(np.array(ids), np.array(sizes), np.concatenate(words))
-                    ids, sizes, words = [], [], []
-                ids += rows.column("item_id").to_pylist()
-                sizes += np.diff(at).tolist()
-                words.append(found)
-        yield seeds_of(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate([np.zeros(0, np.uint64), *words]))
-
-    out = None
-    for block in blocks():
-        part = against(spark.sparkContext.broadcast(block))
-        out = part if out is None else out.union(part)
-    return out
+    items = written(_items(benchmark), "items")
+    sequences = written(items.groupBy("digest").agg(F.first("words").alias("words")).select("digest", "words", F.xxhash64("digest").alias("item")), "sequences")
+    size = (F.length("words") / 8).cast("int")
+    lengths = sorted(r[0] for r in sequences.select(F.least(size, F.lit(seed))).distinct().collect())  # so many as a seed has words
+    seeds = written(_seeds(sequences, seed), "seeds")
+    hits = written(_hits(docs, lengths, _filter(seeds)), "hits")
+    # seeds an item needn't meet by: the commonest, as long as a document that covers the item must have another
+    pairs_of = hits.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).join(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key").select("key", (F.col("docs") * F.col("items")).alias("pairs"))
+    needed = F.ceil(F.ceil(F.lit(coverage) * size) / F.least(size, F.lit(seed)))
+    commonest = Window.partitionBy("item").orderBy(F.desc("pairs"), "key")  # an item's seeds
+    ranked = seeds.join(sequences.select("item", needed.alias("needed")), "item").join(pairs_of, "key")
+    ranked = ranked.withColumn("passed", F.sum("times").over(commonest.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = written(ranked.where("passed >= needed").select("key", "item", "times"), "kept")
+    left_out = ranked.where("passed < needed").groupBy("item").agg(F.sum("times").alias("left_out"))
+    need = sequences.select("item", needed.alias("needed")).join(left_out, "item", "left").select("item", (F.col("needed") - F.coalesce("left_out", F.lit(0))).alias("need"))
+    met = hits.join(kept, "key").groupBy("doc_id", "item").agg(F.sum("times").alias("met"))
+    pairs = written(met.join(need, "item").where("met >= need").select("doc_id", "item"), "pairs")
+    ids = written(pairs.select("doc_id").distinct(), "ids")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "doc_id", "left_semi")
+    found = written(_tiled(texts, pairs.join(sequences.select("item", "words"), "item"), seed, coverage), "tiled")
+    discard(seeds, hits, kept, pairs, ids)
+    named = found.join(sequences.select("item", "digest"), "item").join(items.select("item_id", "digest"), "digest")
+    return named.select("doc_id", "item_id", "n_matched", "n_words", (F.col("n_matched") / F.col("n_words")).alias("coverage"))

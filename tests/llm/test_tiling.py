@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from ploidyflow.llm import tiling
@@ -27,9 +28,8 @@ def plain_tiles(doc, item, least):
         total += n
 
 
-@pytest.mark.parametrize("block", [tiling.BLOCK_WORDS, 60])
-def test_against_plain_tiling(spark, monkeypatch, block):
-    monkeypatch.setattr(tiling, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("broadcast_ids", [tiling.BROADCAST_IDS, 0])
+def test_against_plain_tiling(spark, broadcast_ids):
     draw = random.Random(2)
     items = [(k, " ".join(words(f"i{k}", draw.randint(6, 30), 60))) for k in range(8)] + [(90, None), (91, ""), (92, "too few"), (93, "")]
     rows = [(i, t) for i, t in EDGES if i != 905]
@@ -41,7 +41,7 @@ def test_against_plain_tiling(spark, monkeypatch, block):
             at = draw.randint(0, len(body))
             body[at:at] = part
         rows.append((i, " ".join(body).upper() if i % 4 == 0 else ", ".join(body)))
-    got = sorted(tuple(r) for r in tiling.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), coverage=0.5).collect())
+    got = sorted(tuple(r) for r in tiling.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string"), coverage=0.5, broadcast_ids=broadcast_ids).collect())
     want = []
     for i, t in rows:
         doc = (t or "").lower().replace(",", " ").split()
@@ -53,6 +53,30 @@ def test_against_plain_tiling(spark, monkeypatch, block):
     assert len(want) > 20
 
 
+def test_seeds_that_all_items_and_documents_have(spark):
+    """Items and documents that share most of their seeds: those left out of the join lose no match."""
+    common = words("common", 24, 10_000)
+    draw = random.Random(7)
+    items = [(k, " ".join([*words(f"own{k}", draw.choice((0, 2, 6)), 10_000), *common[: draw.choice((12, 24))], *words(f"end{k}", draw.choice((0, 3)), 10_000)])) for k in range(12)]
+    rows = []
+    for i in range(60):
+        body = words(i, 20, 3000) + common[: draw.choice((8, 16, 24))] + words(i + 100, 5, 3000)
+        if i % 3 == 0:
+            body += dict(items)[draw.randrange(12)].split()
+        rows.append((i, " ".join(body)))
+    got = sorted((r.doc_id, r.item_id, r.n_matched) for r in tiling.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    want = sorted((i, k, n) for i, t in rows for k, x in items if (n := plain_tiles(t.split(), x.split(), 5)) >= 0.8 * len(x.split()))
+    assert got == want and len(want) > 30
+
+
+def test_filter_lets_every_key_through(spark):
+    draw = np.random.default_rng(2)
+    keys = draw.integers(0, 1 << 63, 5000) * 2 + draw.integers(0, 2, 5000)
+    made = tiling._filter(spark.createDataFrame([(int(x),) for x in keys.astype(np.int64)], "key bigint"))
+    assert made.has(keys.astype(np.int64).view(np.uint64)).all()
+    assert made.has(draw.integers(0, 1 << 63, 20_000).astype(np.uint64)).mean() < 0.01
+
+
 def test_items_shorter_than_a_seed(spark):
     items = [(1, "one"), (2, "two words"), (3, "now three words"), (4, "four words are here"), (5, "!!"), (6, "five words are in this")]
     rows = [(10, "x Two, WORDS y two words"), (11, "words two"), (12, "four words are here"), (13, "now three words one"), (14, "two"), (15, "z five words are in this"), (16, None)]
