@@ -69,16 +69,18 @@ def plain_trigrams(rows, order=3):
         for g, n in counts[k].items():
             after[k][g[:-1]].append(n)
     types, distinct = len(grams[2]), sum(n > 0 for n in counts[1].values())
+    left = sum(less[1][min(v, 3)] for v in counts[1].values()) / types / (distinct + 1)
+    contexts = {k: {g: (sum(seen), sum(less[k][min(v, 3)] for v in seen)) for g, seen in after[k].items()} for k in counts}
 
     def score(t):
         w, out = split(t), 0.0
         for i in range(1, len(w)):
             n = counts[1].get((w[i],), 0)
-            p = max(n - less[1][min(n, 3)], 0) / types + sum(less[1][min(v, 3)] for v in counts[1].values()) / types / (distinct + 1)
+            p = max(n - less[1][min(n, 3)], 0) / types + left
             for k in range(2, min(order, i + 1) + 1):
-                if seen := after[k].get(tuple(w[i - k + 1 : i])):
+                if seen := contexts[k].get(tuple(w[i - k + 1 : i])):
                     n = counts[k].get(tuple(w[i - k + 1 : i + 1]), 0)
-                    p = (max(n - less[k][min(n, 3)], 0) + sum(less[k][min(v, 3)] for v in seen) * p) / sum(seen)
+                    p = (max(n - less[k][min(n, 3)], 0) + seen[1] * p) / seen[0]
             out += math.log10(p)
         return out
 
