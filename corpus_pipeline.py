@@ -1,4 +1,10 @@
-"""Document pipeline over the operators for training data: documents in, token digests out."""
+"""Document pipeline over the operators for training data: documents in, token digests out.
+
+Every stage takes whole texts of any length; a null text is an empty one, rows without
+doc_id are left out, empty tables give none, and columns beside those of documents are
+left out. Rows that repeat are judged alike: what keeps one keeps all of them. Of equal or near
+documents the smallest doc_id stays.
+"""
 
 from __future__ import annotations
 
@@ -18,34 +24,34 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a known language: those without a letter or unlike any language go."""
+    """Keeps documents of a known language: those without a letter (null and empty ones, too) or unlike any language go."""
     docs = _documents(docs)
     return language.keep_known(docs, language.train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (five words, similarity 0.8)."""
+    """Keeps the smallest doc_id of each group of near copies (five words, similarity 0.8); its rows, if it repeats, all stay."""
     docs = _documents(docs)
     found = near_copies.near_copies(docs, words=5, least_similarity=0.8)
     return docs.join(found.where("class_id != doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words that an earlier document has; a document of which nothing is left goes."""
+    """Cuts passages of 50 words that a document of a smaller doc_id has; a document of which nothing is left goes, one that had no words stays."""
     cut = substring.remove_repeats(_documents(docs), window=50, with_text=True, carry=("lang", "source"))
     left = cut.where("n_removed < n_words or n_removed = 0")
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item, whole or in reordered parts."""
+    """Keeps documents that hold no benchmark item, whole or in reordered parts that cover 0.8 of its words."""
     docs = _documents(docs)
     found = tiling.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every kept document."""
+    """Token counts and digests of every row that was kept."""
     return bpe_chunks.bpe_digest(docs, BYTE_BPE)
 
 
