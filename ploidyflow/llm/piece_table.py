@@ -15,7 +15,7 @@ from .common import BYTE_CODES, U64, mixed, prefix_sums, range_hash
 from .pieces import PieceEncoder
 
 #: Slots of the table (a power of 2) and the part of them that is filled at most.
-SLOT_BITS = 21
+SLOT_BITS = 22
 FULL = 0.6
 
 _BREAK = np.zeros(256, bool)
