@@ -17,6 +17,8 @@ from .pieces import PieceEncoder
 #: Slots of the table (a power of 2) and the part of them that is filled at most.
 SLOT_BITS = 22
 FULL = 0.6
+#: ids in the pool (4 bytes each) from which on the table begins anew: long pieces, of texts without spaces, fill it before the slots.
+POOL_IDS = 1 << 23
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
@@ -50,8 +52,8 @@ def odd_documents(data: np.ndarray, bounds: np.ndarray, added: list[bytes]) -> n
 class PieceTable:
     """ids of whole texts as the tokenizers library gives them with add_special_tokens=False."""
 
-    def __init__(self, encoder: PieceEncoder, bits: int = SLOT_BITS):
-        self.encoder, self.bits = encoder, bits
+    def __init__(self, encoder: PieceEncoder, bits: int = SLOT_BITS, pool_ids: int = POOL_IDS):
+        self.encoder, self.bits, self.pool_ids = encoder, bits, pool_ids
         self.added = [x.encode() for x in encoder.added]
         self._clear()
 
@@ -110,7 +112,7 @@ class PieceTable:
         key = range_hash(prefix_sums(BYTE_CODES[data]), starts, ends) | U64(1)  # zero marks a free slot
         sums = np.concatenate([[U64(0)], np.cumsum(_CODES[data])])
         check = (mixed(sums[ends] - sums[starts]) >> U64(32)).astype(np.uint32)
-        if self.filled > FULL * (1 << self.bits):
+        if self.filled > FULL * (1 << self.bits) or self.used > self.pool_ids:
             self._clear()
         slot = self._probe(key, check)
         missing = np.flatnonzero(slot < 0)

@@ -59,6 +59,20 @@ def test_small_tables():
         assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [ids_of(x.decode()) for x in raw]
 
 
+def test_pool_of_long_pieces_is_bounded():
+    own = piece_table.PieceTable(pieces.encoder(PATH), 12, pool_ids=1000)
+    made = 0
+    for k in range(40):
+        raw = [("".join(f"{k}{j}é" for j in range(150)) + " end").encode(), b""]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        ids, counts = own.encode(data, bounds)
+        assert ids.tolist() == ids_of(raw[0].decode()) and counts.tolist() == [len(ids), 0]
+        made += len(ids)
+        assert own.used <= 1000 + len(ids)
+    assert made > 4000
+
+
 def test_small_caches(monkeypatch):
     own = pieces.PieceEncoder(PATH, most=5)
     for t in ("a b c d e f g", "h i j a b", "<|endoftext|> x", "k  l\n\nm"):
