@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, documents_of, lowered, prefix_sums, range_hash, session_setup, text_slices, word_hashes, word_spans, written
 from .components import components
-from .simhash import fingerprints_of, pivot_table, shingle_hashes, swept_pairs, whole_buckets
+from .simhash import SWEEP_ROWS, fingerprints_of, pivot_table, shingle_hashes, swept_pairs, whole_buckets
 
 #: Smallest shingle hashes in a sketch.
 LEAST = 32
@@ -365,10 +365,12 @@ def near_copies(docs: DataFrame, words: int = 5, least_similarity: float = 0.8,
     not the text are one node, linked as either. Rows without doc_id and other columns are left out.
     Empty tables give none.
 
-    common, block_rows and broadcast_ids (see COMMON, BLOCK_ROWS, BROADCAST_IDS) set how the work is dealt out, not what is found.
+    common (at most SWEEP_ROWS), block_rows and broadcast_ids (see COMMON, BLOCK_ROWS, BROADCAST_IDS) set how the work is dealt out, not what is found.
     """
     if least_similarity < 0.8:
         raise ValueError("keys are chosen for a similarity of 0.8 or more")
+    if not 0 <= common <= SWEEP_ROWS:
+        raise ValueError(f"common must be from 0 to {SWEEP_ROWS}, the most rows of a rare key that are swept together")
     session_setup(docs.sparkSession)
     docs = documents_of(docs)
     prints = written(sketches(docs, words), "sketches")

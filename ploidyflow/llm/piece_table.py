@@ -3,15 +3,15 @@
 The buffer's bytes are cut into pieces (see pieces.py), each piece is hashed, and a
 table with open addressing, in numpy arrays, gives where its ids stand in a pool.
 Probes of all pieces go side by side, so the memory's delays overlap. Only pieces
-that the table lacks become strings and go to the library. A piece is known by a
-64-bit hash of its bytes in order and a 32-bit sum over them.
+that the table lacks become strings and go to the library. A piece is known by two
+independent hashes of its bytes, of 64 and of 32 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .common import BYTE_CODES, U64, mixed, prefix_sums, range_hash
+from .common import U64, word_hashes
 from .pieces import PieceEncoder
 
 #: Slots of the table (a power of 2) and the part of them that is filled at most.
@@ -27,7 +27,6 @@ _ODD = np.zeros(256, np.uint8)
 _ODD[[*range(10), *range(11, 32)]] = 1
 _ODD[[0xC2, 0xE1, 0xE2, 0xE3]] = 2
 _WIDE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
-_CODES = np.random.default_rng(11).integers(1, 1 << 32, 256, dtype=np.int64).astype(U64)
 
 
 def odd_documents(data: np.ndarray, bounds: np.ndarray, added: list[bytes]) -> np.ndarray:
@@ -109,9 +108,8 @@ class PieceTable:
         cut[bounds[:-1][bounds[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        key = range_hash(prefix_sums(BYTE_CODES[data]), starts, ends) | U64(1)  # zero marks a free slot
-        sums = np.concatenate([[U64(0)], np.cumsum(_CODES[data])])
-        check = (mixed(sums[ends] - sums[starts]) >> U64(32)).astype(np.uint32)
+        key = word_hashes(data, starts, ends) | U64(1)  # zero marks a free slot
+        check = (word_hashes(data, starts, ends, seed=1) >> U64(32)).astype(np.uint32)
         if self.filled > FULL * (1 << self.bits) or self.used > self.pool_ids:
             self._clear()
         slot = self._probe(key, check)

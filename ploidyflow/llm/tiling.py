@@ -30,6 +30,8 @@ from .common import U64, discard, documents_of, mixed, prefix_sums, range_hash,
 FILTER_BITS, MOST_FILTER_BITS = 6, 27
 #: Ids of documents up to which a semi join broadcasts them (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Pairs of equal seeds of a document and an item that are looked at at once.
+RUN_PAIRS = 1 << 20
 _BASE = 0xC2B2AE3D27D4EB4F
 _INV = pow(_BASE, -1, 1 << 64)
 #: Letters and digits in lower case, other ASCII as a space.
@@ -99,28 +101,68 @@ def _filter(keys: DataFrame) -> Filter:
     return Filter(log_bits, b"".join(have.get(k, empty) for k in range(64)))
 
 
-def tiled_words(doc_at: np.ndarray, item_at: np.ndarray, seed: int) -> int:
-    """Words of the item that greedy tiling marks, from the places of all shared seeds."""
-    diagonal = doc_at - item_at
-    order = np.lexsort((doc_at, diagonal))
-    d, p = diagonal[order], doc_at[order]
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
-    length = np.diff(np.append(new, len(p))) + seed - 1
-    # longest first; ties to the earlier place in the item, then in the document
-    queue = [(-n, a - k, a) for n, a, k in zip(length.tolist(), p[new].tolist(), d[new].tolist(), strict=True)]
-    heapq.heapify(queue)
-    in_doc, in_item, total = set(), set(), 0
-    while queue:
-        n, i, a = heapq.heappop(queue)
-        free = [i + x not in in_item and a + x not in in_doc for x in range(-n)]
-        if all(free):
-            in_item.update(range(i, i - n))
-            in_doc.update(range(a, a - n))
-            total -= n
+def shared_runs(have: np.ndarray, order: np.ndarray, first: np.ndarray, times: np.ndarray, want: np.ndarray, most: int = RUN_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal diagonal runs of equal seeds: place in the item, place in the document, seeds that follow each other.
+
+    have and want are the seeds of document and item, order sorts have, and seed k of the item has times[k] equals from order[first[k]] on.
+    A pair begins a run if the pair before it differs, and ends one if the next does, so pairs are looked at a bounded
+    number at a time and only the ends of runs are kept.
+    """
+    begins, finishes = [], []
+    upto = np.cumsum(times)
+    a = 0
+    while a < len(want):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        n = times[a:b]
+        spots = np.repeat(np.arange(a, b), n)
+        place = order[np.repeat(first[a:b] - (np.cumsum(n) - n), n) + np.arange(len(spots))]
+        edge = (spots == 0) | (place == 0)
+        new = edge | (want[spots - 1] != have[place - 1])
+        edge = (spots == len(want) - 1) | (place == len(have) - 1)
+        last = edge | (want[np.minimum(spots + 1, len(want) - 1)] != have[np.minimum(place + 1, len(have) - 1)])
+        begins.append((spots[new], place[new]))
+        finishes.append((spots[last], place[last]))
+        a = b
+    if not begins:
+        return (np.zeros(0, np.int64),) * 3
+
+    def sorted_ends(ends):
+        spots, place = (np.concatenate([x[k] for x in ends]) for k in (0, 1))
+        by = np.lexsort((place, place - spots))
+        return spots[by], place[by]
+
+    (item, doc), (_, finish) = sorted_ends(begins), sorted_ends(finishes)
+    return item, doc, finish - doc + 1
+
+
+def tiled_words(item_at: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, seed: int, n_item: int, n_doc: int) -> int:
+    """Words of the item that greedy tiling marks, from the runs of shared seeds.
+
+    Longest first; ties to the earlier place in the item, then in the document. Once no free stretch of the item is as long as a seed nothing can follow.
+    """
+    size = seeds + seed - 1
+    by = np.lexsort((doc_at, item_at, -size))
+    queue: list[tuple[int, int, int]] = []  # what is left of runs that overlap a tile
+    used_item, used_doc, total, k = bytearray(n_item), bytearray(n_doc), 0, 0
+    while k < len(by) or queue:
+        head = None
+        if k < len(by):
+            j = by[k]
+            head = (-int(size[j]), int(item_at[j]), int(doc_at[j]))
+        if queue and (head is None or queue[0] < head):
+            head = heapq.heappop(queue)
+        else:
+            k += 1
+        n, i, a = -head[0], head[1], head[2]
+        if used_item.find(1, i, i + n) < 0 and used_doc.find(1, a, a + n) < 0:
+            used_item[i : i + n] = used_doc[a : a + n] = b"\1" * n
+            total += n
+            if max(map(len, used_item.split(b"\1"))) < seed:
+                break
             continue
         run = 0
-        for x, ok in enumerate([*free, False]):
-            if ok:
+        for x in range(n + 1):
+            if x < n and not used_item[i + x] and not used_doc[a + x]:
                 run += 1
                 continue
             if run >= seed:
@@ -201,20 +243,19 @@ def _tiled(texts: DataFrame, pairs: DataFrame, seed: int, coverage: float) -> Da
                 if n not in sorted_seeds:
                     hashes = [seed_hashes(w, n) for w in held]
                     orders = [np.argsort(h, kind="stable") for h in hashes]
-                    sorted_seeds[n] = [(h[o], o) for h, o in zip(hashes, orders, strict=True)]
+                    sorted_seeds[n] = [(h, h[o], o) for h, o in zip(hashes, orders, strict=True)]
                 want = seed_hashes(words, n)
-                for hashes, order in sorted_seeds[n]:
+                for have, hashes, order in sorted_seeds[n]:
                     first, last = (np.searchsorted(hashes, want, side) for side in ("left", "right"))
                     times = last - first
-                    spots = np.repeat(np.arange(len(want)), times)
                     least = np.zeros(len(words) + 1, np.int64)
                     found = np.flatnonzero(times)
                     np.add.at(least, found, 1)
                     np.add.at(least, found + n, -1)
                     if (np.cumsum(least[:-1]) > 0).sum() < coverage * len(words):
                         continue  # even all seeds together cover less
-                    place = order[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-                    tiled = tiled_words(place, spots, n)
+                    runs = shared_runs(have, order, first, times, want)
+                    tiled = tiled_words(*runs, n, len(words), len(have) + n - 1)
                     if tiled >= coverage * len(words):
                         out.append((doc_id, item, tiled, len(words)))
             columns = zip(*out, strict=True) if out else [()] * 4

@@ -90,3 +90,10 @@ def test_recall_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()]
     assert {r.doc_id: r.class_id for r in near_copies.near_copies(docs).collect()} == classes(rows)
+
+
+def test_rare_keys_fit_a_sweep(spark):
+    with pytest.raises(ValueError, match="at most|from 0 to"):
+        near_copies.near_copies(documents(spark, [(1, "a b")]), common=5000)
+    rows = near_texts(60, 5)
+    assert found(spark, rows, common=near_copies.SWEEP_ROWS) == classes(rows)

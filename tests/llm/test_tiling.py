@@ -92,6 +92,26 @@ def test_reordered_passage_and_long_text(spark):
     assert sorted((r.doc_id, r.item_id, r.coverage) for r in got.collect()) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (2, 7, 1.0), (2, 8, 1.0), (2, 8, 1.0)]
 
 
+def test_long_text_of_one_word(spark):
+    """A text that repeats a word has a pair of seeds for every place of the item; the runs are found in bounded memory."""
+    items = [(1, "zero " * 200), (2, "zero one " * 40), (3, "zero " * 30 + " ".join(words("end", 10, 1000)))]
+    rows = [(1, "zero " * 60_000), (2, "zero one " * 30_000), (3, "zero " * 3000 + " ".join(words("end", 10, 1000)))]
+    got = sorted((r.doc_id, r.item_id, r.n_matched) for r in tiling.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect())
+    assert got == [(1, 1, 200), (2, 2, 80), (3, 1, 200), (3, 3, 40)]
+
+
+def test_runs_against_all_pairs():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        n_doc, n_item, letters = draw.integers(5, 60), draw.integers(5, 30), draw.integers(1, 5)
+        doc, item = (draw.integers(0, letters, n).astype(np.uint64) for n in (n_doc, n_item))
+        have, want = tiling.seed_hashes(doc, 3), tiling.seed_hashes(item, 3)
+        order = np.argsort(have, kind="stable")
+        first, last = (np.searchsorted(have[order], want, side) for side in ("left", "right"))
+        runs = tiling.shared_runs(have, order, first, last - first, want, most=int(draw.integers(1, 50)))
+        assert tiling.tiled_words(*runs, 3, len(item), len(doc)) == plain_tiles(doc.tolist(), item.tolist(), 3)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
