@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_output
+from . import bpe_chunks, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_counts, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -65,6 +65,10 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.bpe_digest(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), BYTE_BPE, limit=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_substring": op2_substring,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_tiling": op9_tiling,
     "op10_bpe_chunks": op10_bpe_chunks,
+    "op13_token_counts": op13_token_counts,
 }
 
 _REPEATS_SQL = """
