@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_counts, token_output
+from . import bpe_chunks, delta_lloyd, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_counts, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -65,6 +65,10 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.bpe_digest(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), BYTE_BPE, limit=1024)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_tiling": op9_tiling,
     "op10_bpe_chunks": op10_bpe_chunks,
+    "op12_delta_lloyd": op12_delta_lloyd,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -92,5 +97,27 @@ words AS (SELECT doc_id, unnest(w) x, unnest(generate_series(1, len(w))) i FROM
 kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY i) joined FROM words ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, cast(len(w) AS bigint) n_words, cast(len(w) - coalesce(n, 0) AS bigint) n_removed, sha256(coalesce(joined, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-#: SQL expresses passages that repeat; fingerprints by XXH64, models, tokens, tiling, regions and forests it does not.
-ORACLE_SQL: dict[str, str] = {"op2_substring": _REPEATS_SQL}
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds written out, each over all vectors."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT rid, p, min(far) far, arg_min(e, far * {entries} + e) e FROM (
+ SELECT rid, p, e, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) far FROM cut JOIN b{k} USING (p)) GROUP BY rid, p)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b{k}.c) c FROM b{k} LEFT JOIN (
+ SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) c FROM (SELECT p, e, i, cast(sum(x) AS bigint) s, count(*) n FROM (SELECT p, rid, unnest(v) x, unnest(range(len(v))) i FROM cut) JOIN a{k} USING (rid, p) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * cast(x AS double)) AS bigint)) q
+ FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT unnest(range({parts})) p),
+cut AS MATERIALIZED (SELECT rid, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] v FROM kept CROSS JOIN parts),
+seeds AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 e, q FROM (SELECT vec_id, min(q) q FROM kept GROUP BY vec_id ORDER BY vec_id LIMIT {entries})),
+b0 AS MATERIALIZED (SELECT p, e, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] c FROM seeds CROSS JOIN parts),
+{", ".join(steps)},
+coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) code, cast(sum(far) AS bigint) error FROM a{rounds} GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) sha FROM b{rounds})
+SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) label_error, sha codebooks_sha256 FROM kept JOIN coded USING (rid) CROSS JOIN book"""
+
+
+#: SQL expresses passages that repeat and rounds of codebooks; fingerprints by XXH64, models, tokens, tiling, regions and forests it does not.
+ORACLE_SQL: dict[str, str] = {"op2_substring": _REPEATS_SQL, "op12_delta_lloyd": _lloyd_sql()}
