@@ -8,6 +8,7 @@ buffer and no Python object is made per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -46,6 +47,17 @@ def session_setup(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows to an Arrow batch, for tables of long rows that are read and written within."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def local_of(uri: str) -> str | None:
     """The local path of a file: URI, or None for any other store."""
     parts = urlparse(uri)

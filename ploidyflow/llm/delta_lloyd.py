@@ -19,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, session_setup, shared_path, written
+from .common import arrow_rows, discard, session_setup, shared_path, written
 
 PARTS, ENTRIES, ROUNDS = 8, 16, 6
 #: Steps of a component's unit.
 STEPS = 4096
 #: Bytes of vectors to a bucket, and the most buckets.
 BUCKET_BYTES, MOST_BUCKETS = 64 << 20, 100_000
+#: Blocks read into a worker at once.
+BLOCKS_AT_ONCE = 16
 #: A label of more than this share of all rows is met by broadcast (there are at most as many of them), any other by shuffle.
 HOT_SHARE = 1024
 
@@ -207,26 +209,27 @@ def vector_codes(table: DataFrame, vector: str = "embedding", parts: int = PARTS
     tables = _Bucketed(spark, max(spark.sparkContext.defaultParallelism, min(MOST_BUCKETS, -(-size // BUCKET_BYTES))))
     vectors = tables.write(blocks.repartition(tables.buckets, "block"), "vectors")
     discard(blocks)
-    seeds = _smallest(vectors, dim, entries)
-    books = np.array(seeds, np.int64).reshape(len(seeds), parts, dim // parts).transpose(1, 0, 2).copy()
-    sums = np.zeros((*books.shape[:2], books.shape[2] + 1), np.int64)
-    before = None
-    for k in range(rounds):
-        made = tables.write(_round(vectors, before, books), f"codes{k}")
-        moved = made.where("part is not null").groupBy("part", "entry", "place").agg(F.sum("value").alias("value")).collect()  # as many rows as the codebooks have components, and counts
-        if k:
-            tables.drop(f"codes{k - 1}")
-        for r in moved:
-            sums[r.part, r.entry, r.place] += r.value
-        if not moved:
-            tables.drop(f"codes{k}")
-            break
-        used = sums[:, :, -1] > 0
-        books[used] = sums[used][:, :-1] // sums[used][:, -1:]
-        before = made.where("codes is not null").select("block", "codes")
-        if k == rounds - 1:
-            tables.drop(f"codes{k}")
-    coded = written(_coded(vectors, books, label), "codes")
+    with arrow_rows(spark, BLOCKS_AT_ONCE):
+        seeds = _smallest(vectors, dim, entries)
+        books = np.array(seeds, np.int64).reshape(len(seeds), parts, dim // parts).transpose(1, 0, 2).copy()
+        sums = np.zeros((*books.shape[:2], books.shape[2] + 1), np.int64)
+        before = None
+        for k in range(rounds):
+            made = tables.write(_round(vectors, before, books), f"codes{k}")
+            moved = made.where("part is not null").groupBy("part", "entry", "place").agg(F.sum("value").alias("value")).collect()  # as many rows as the codebooks have components, and counts
+            if k:
+                tables.drop(f"codes{k - 1}")
+            for r in moved:
+                sums[r.part, r.entry, r.place] += r.value
+            if not moved:
+                tables.drop(f"codes{k}")
+                break
+            used = sums[:, :, -1] > 0
+            books[used] = sums[used][:, :-1] // sums[used][:, -1:]
+            before = made.where("codes is not null").select("block", "codes")
+            if k == rounds - 1:
+                tables.drop(f"codes{k}")
+        coded = written(_coded(vectors, books, label), "codes")
     tables.drop("vectors")
     digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
     return with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))

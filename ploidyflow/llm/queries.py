@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, delta_lloyd, html_text, kneser_ney, language, line_quality, prefix_forest, simhash, substring, tiling, token_counts, token_output
+from . import bpe_chunks, delta_lloyd, html_text, kneser_ney, language, line_quality, max_tree, prefix_forest, simhash, substring, tiling, token_counts, token_output
 from .common import crc_mod
 
 #: The vocabulary file that the contracts name; any other path can be given to the operators.
@@ -65,6 +65,10 @@ def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.bpe_digest(_documents(spark, sf_dir), BYTE_BPE)
 
 
+def op11_max_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_tree.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=8, entries=16, rounds=6)
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_tiling": op9_tiling,
     "op10_bpe_chunks": op10_bpe_chunks,
+    "op11_max_tree": op11_max_tree,
     "op12_delta_lloyd": op12_delta_lloyd,
     "op13_token_counts": op13_token_counts,
 }
@@ -98,6 +103,19 @@ kept AS (SELECT doc_id, count(*) n, string_agg(x, ' ' ORDER BY i) joined FROM wo
 SELECT d.doc_id, cast(len(w) AS bigint) n_words, cast(len(w) - coalesce(n, 0) AS bigint) n_removed, sha256(coalesce(joined, '')) kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+_RANKED_SQL = """
+WITH d AS (SELECT row_number() OVER () rid, doc_id, {terms} w FROM documents WHERE doc_id IS NOT NULL),
+total AS (SELECT count(*) n, cast(sum(len(w)) AS bigint) l FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, doc_id, size, t, count(*) tf FROM (SELECT rid, doc_id, len(w) size, unnest(w) t FROM d) GROUP BY ALL),
+weight AS (SELECT t, cast(floor(1000 * ln((2 * cast(n AS double) + 2) / (2 * cast(df AS double) + 1))) AS bigint) weight FROM (SELECT t, count(*) df FROM tf GROUP BY t) CROSS JOIN total),
+i AS (SELECT iid, item_id, t, count(*) times FROM (SELECT row_number() OVER () iid, item_id, unnest({terms}) t FROM benchmark) GROUP BY ALL),
+scored AS (SELECT iid, item_id, rid, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * size * n) // l)))) AS bigint) score
+ FROM i JOIN weight USING (t) JOIN tf USING (t) CROSS JOIN total GROUP BY iid, item_id, rid, doc_id)
+SELECT item_id, cast(rank AS int) "rank", doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) rank FROM scored WHERE score > 0) WHERE rank <= 10""".format(
+    terms="regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+
 def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     """All rounds written out, each over all vectors."""
     steps = []
@@ -119,5 +137,5 @@ book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) s
 SELECT vec_id, code, error, cast(sum(error) OVER (PARTITION BY label) AS bigint) label_error, sha codebooks_sha256 FROM kept JOIN coded USING (rid) CROSS JOIN book"""
 
 
-#: SQL expresses passages that repeat and rounds of codebooks; fingerprints by XXH64, models, tokens, tiling, regions and forests it does not.
-ORACLE_SQL: dict[str, str] = {"op2_substring": _REPEATS_SQL, "op12_delta_lloyd": _lloyd_sql()}
+#: SQL expresses passages that repeat, ranks and rounds of codebooks; fingerprints by XXH64, models, tokens, tiling, regions and forests it does not.
+ORACLE_SQL: dict[str, str] = {"op2_substring": _REPEATS_SQL, "op11_max_tree": _RANKED_SQL, "op12_delta_lloyd": _lloyd_sql()}

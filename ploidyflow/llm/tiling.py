@@ -79,7 +79,7 @@ class Filter:
         return out
 
 
-def _filter(keys: DataFrame) -> Filter:
+def key_filter(keys: DataFrame) -> Filter:
     """The filter of all keys, which are written: made slice by slice, so the driver gets its bounded size."""
     n = max(keys.count(), 1)
     log_bits = min(MOST_FILTER_BITS, max(12, int(n).bit_length() + FILTER_BITS))
@@ -279,7 +279,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
     size = (F.length("words") / 8).cast("int")
     lengths = sorted(r[0] for r in sequences.select(F.least(size, F.lit(seed))).distinct().collect())  # so many as a seed has words
     seeds = written(_seeds(sequences, seed), "seeds")
-    hits = written(_hits(docs, lengths, _filter(seeds)), "hits")
+    hits = written(_hits(docs, lengths, key_filter(seeds)), "hits")
     # seeds an item needn't meet by: the commonest, as long as a document that covers the item must have another
     pairs_of = hits.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).join(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("items")), "key").select("key", (F.col("docs") * F.col("items")).alias("pairs"))
     needed = F.ceil(F.ceil(F.lit(coverage) * size) / F.least(size, F.lit(seed)))

@@ -72,7 +72,7 @@ def test_seeds_that_all_items_and_documents_have(spark):
 def test_filter_lets_every_key_through(spark):
     draw = np.random.default_rng(2)
     keys = draw.integers(0, 1 << 63, 5000) * 2 + draw.integers(0, 2, 5000)
-    made = tiling._filter(spark.createDataFrame([(int(x),) for x in keys.astype(np.int64)], "key bigint"))
+    made = tiling.key_filter(spark.createDataFrame([(int(x),) for x in keys.astype(np.int64)], "key bigint"))
     assert made.has(keys.astype(np.int64).view(np.uint64)).all()
     assert made.has(draw.integers(0, 1 << 63, 20_000).astype(np.uint64)).mean() < 0.01
 
