@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import joined_parts, merged_in_parts
+
 #: Bases of a bin, by which positions and intervals meet.
 BIN = 1 << 14
 
@@ -40,11 +42,11 @@ def bed_contigs(lines: DataFrame) -> DataFrame:
 
 
 def merge_intervals(regions: DataFrame) -> DataFrame:
-    """chrom, start1, end1: disjoint intervals; touching ones are one."""
-    order = Window.partitionBy("chrom").orderBy("start1", "end1")
-    reach = F.max("end1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("start1") > F.col("reach"), 1).otherwise(0)).over(order))
-    return marked.groupBy("chrom", "island").agg(F.min("start1").alias("start1"), F.max("end1").alias("end1")).drop("island")
+    """chrom, start1, end1: disjoint intervals; touching ones are one.
+
+    Intervals are dealt by range and merged in each part, whose reach is then carried to those after it, so no contig is one task.
+    """
+    return joined_parts(merged_in_parts(regions))
 
 
 def within_regions(sites: DataFrame, regions: DataFrame) -> DataFrame:

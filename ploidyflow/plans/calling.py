@@ -1,4 +1,4 @@
-"""From reads to VCF lines as one lazy plan."""
+"""From reads to VCF lines. Reads are swept bin by bin once; with a model what that gives is written, and windows are made of it."""
 
 from __future__ import annotations
 
@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CallerConfig
-from ..operators.candidates import candidate_sites
 from ..operators.depth import contig_depth, genome_depth_value
-from ..operators.encode import column_features, with_ordinals, window_tensors
+from ..operators.encode import strand_tokens, window_tensors
 from ..operators.pileup import depth_capped, observations
 from ..operators.reads import read_filter, rename_reads
-from ..operators.regions import within_regions
 from ..operators.scoring import batch_scores, binomial_scores
+from ..operators.sweep import featured_columns, numbered, read_tokens, sites_of, swept, windows_of
 from ..operators.vcf import vcf_lines
 from ..schema import SCORED
+from ..store import written
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -34,15 +34,15 @@ def scored_sites(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, con
     depth = genome_depth_value(contig_depth(usable, contigs))
     if config.contigs:
         usable = usable.where(F.col("chrom").isin(*dict.fromkeys(config.contigs)))
-    obs = depth_capped(observations(usable), config.max_depth)
-    least = max(round(depth / config.ploidy), config.rd_floor)
-    sites = candidate_sites(obs, ref_bases, least, config.min_af, config.max_indel, config.uppercase_ref, config.acgt_only)
-    if regions is not None:
-        sites = within_regions(sites, regions)
+    tokens = read_tokens(usable) if config.max_depth is None else strand_tokens(depth_capped(observations(usable), config.max_depth))
+    rules = {"depth": depth, "least": max(round(depth / config.ploidy), config.rd_floor), "min_af": config.min_af, "max_indel": config.max_indel, "uppercase": config.uppercase_ref, "acgt_only": config.acgt_only, "regions": regions}
     if make_predictor is None:
-        return binomial_scores(sites, config.ploidy)
-    columns = with_ordinals(column_features(obs, ref_bases, depth, config.uppercase_ref))
-    encoded = window_tensors(columns, sites, config.window, config.ordinal_join)
+        return binomial_scores(sites_of(swept(tokens, ref_bases, **rules)), config.ploidy)
+    if config.ordinal_join:
+        columns = written(swept(tokens, ref_bases, every=True, **rules), "columns")
+        encoded = window_tensors(featured_columns(numbered(columns)), sites_of(columns), config.window, ordinal_join=True)
+    else:
+        encoded = windows_of(written(swept(tokens, ref_bases, window=config.window, **rules), "columns"), config.window)
     return batch_scores(encoded, make_predictor, config.window, mean, std, config.batch_size)
 
 

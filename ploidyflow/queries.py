@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, tokens
-from .operators import candidates, depth, encode, pileup, reads, regions, scoring, vcf
+from .operators import candidates, depth, encode, pileup, reads, regions, scoring, sweep, vcf
 from .plans.calling import read_scored, write_scored
 from .sources import bam, bed, fasta, sam
 from .store import shared_path, written
@@ -108,18 +108,30 @@ class _Tables:
     def least(self, ploidy: int = PLOIDY) -> int:
         return max(round(depth.genome_depth_value(self.depths()) / ploidy), RD_FLOOR)
 
+    def swept(self, least: int, reference: DataFrame | None = None, **rules) -> DataFrame:
+        """Columns and candidates in one pass over the counted tokens."""
+        return sweep.swept(encode.strand_tokens(self.usable()), self.refs if reference is None else reference, least=least, min_af=MIN_AF, **rules)
+
     def candidates(self, ploidy: int = PLOIDY) -> DataFrame:
-        return candidates.candidate_sites(self.usable(), self.refs, self.least(ploidy), MIN_AF)
+        return sweep.sites_of(self.swept(self.least(ploidy)))
 
     def deep_candidates(self, ploidy: int) -> DataFrame:
         depths = depth.contig_depth(reads.read_filter(self.reads), self.deep_contigs)
-        return candidates.candidate_sites(self.usable(), self.refs, max(round(depth.genome_depth_value(depths) / ploidy), RD_FLOOR), MIN_AF)
+        return sweep.sites_of(self.swept(max(round(depth.genome_depth_value(depths) / ploidy), RD_FLOOR)))
+
+    def windows(self) -> DataFrame:
+        """Candidates with full windows; the table that was swept is written, as its edges are met again."""
+        mean = depth.genome_depth_value(self.depths())
+        table = written(self.swept(max(round(mean / PLOIDY), RD_FLOOR), depth=mean, window=WINDOW), "columns")
+        return sweep.windows_of(table, WINDOW)
 
     def tokens(self) -> DataFrame:
         return candidates.with_reference(pileup.token_counts(self.usable()), self.refs)
 
     def columns(self) -> DataFrame:
-        return encode.with_ordinals(encode.column_features(self.usable(), self.refs, depth.genome_depth_value(self.depths())))
+        """Every column with its number and 30 features."""
+        table = written(self.swept(1, depth=depth.genome_depth_value(self.depths()), every=True), "columns")
+        return sweep.featured_columns(sweep.numbered(table))
 
     def scored(self) -> DataFrame:
         return scoring.binomial_scores(self.candidates(), PLOIDY).withColumn("pred_prob", F.col("pred_prob").cast("float"))
@@ -337,7 +349,7 @@ def _in_blocks(t: _Tables) -> DataFrame:
     """The reference as blocks of 50 bases in place of a row a base."""
     line = F.floor(F.col("pos") / 50)
     blocks = t.refs.groupBy("chrom", line.alias("line")).agg(F.min("pos").alias("start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
-    return candidates.candidate_sites(t.usable(), blocks.select("chrom", "start", "seq"), t.least(), MIN_AF)
+    return sweep.sites_of(t.swept(t.least(), blocks.select("chrom", "start", "seq")))
 
 
 @_query("deletion_ref_span", _sql("tops refs", "SELECT t.chrom, t.pos, string_agg(CASE WHEN base IN ('A','C','G','T') THEN base ELSE '*' END, '' ORDER BY r.pos) span FROM tops t JOIN refs r ON r.chrom = t.chrom AND r.pos BETWEEN t.pos AND t.pos + cast(regexp_extract(t.allele, '^(\\d+)', 1) AS int) WHERE kind = 'DEL' GROUP BY 1, 2"))
@@ -363,7 +375,7 @@ def _merge(t: _Tables) -> DataFrame:
 
 @_query("region_semi_join", _sql("cand regions", "SELECT * FROM cand c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.chrom = c.chrom AND c.pos >= r.start1 AND c.pos < r.end1)"))
 def _semi(t: _Tables) -> DataFrame:
-    return regions.within_regions(t.candidates(), regions.parse_bed(t.lines))
+    return sweep.sites_of(t.swept(t.least(), regions=regions.parse_bed(t.lines)))
 
 
 @_query("invalid_contigs", _sql("contigs", "SELECT chrom FROM (SELECT DISTINCT 'chr' || (o_custkey % 5) chrom FROM orders) EXCEPT SELECT chrom FROM contigs"))
@@ -384,12 +396,14 @@ _strand_query("strand_mapq_sums", _STRAND_NAMES[7:])
 
 @_query("column_features_30", _sql("features", "SELECT * FROM features"))
 def _features(t: _Tables) -> DataFrame:
-    return encode.column_features(t.usable(), t.refs, depth.genome_depth_value(t.depths()))
+    table = t.swept(1, depth=depth.genome_depth_value(t.depths()), every=True)
+    return sweep.featured_columns(table).select("chrom", "pos", *encode.FEATURES)
 
 
 @_query("column_ordinals", _sql("numbered", "SELECT chrom, pos, ord, n_cols FROM numbered"))
 def _ordinals(t: _Tables) -> DataFrame:
-    return t.columns().select("chrom", "pos", F.col("ord").cast("bigint").alias("ord"), "n_cols")
+    table = written(t.swept(1, every=True, featured=False), "columns")
+    return sweep.numbered(table).select("chrom", "pos", F.col("ord").cast("bigint").alias("ord"), "n_cols")
 
 
 @_query("full_window_sites", _sql("numbered", f"SELECT chrom, pos FROM numbered WHERE ord >= {WINDOW} + 2 AND ord <= n_cols - {WINDOW}"))
@@ -411,7 +425,7 @@ WHERE n.ord >= {WINDOW} + 2 AND n.ord <= n.n_cols - {WINDOW} GROUP BY 1, 2""")
 
 def _tensor(ordinal_join: bool) -> Callable[[_Tables], DataFrame]:
     def run(t: _Tables) -> DataFrame:
-        x = encode.window_tensors(t.columns(), t.candidates().select("chrom", "pos"), WINDOW, ordinal_join)
+        x = encode.window_tensors(t.columns(), t.candidates().select("chrom", "pos"), WINDOW, True) if ordinal_join else t.windows()
         weighted = F.aggregate(F.transform("x", lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda a, v: a + v)
         return x.select("chrom", "pos", F.size("x").alias("size"), weighted.alias("checksum"))
 
@@ -461,8 +475,7 @@ def _inference(t: _Tables) -> DataFrame:
     entry, label = np.arange(_ENTRIES)[:, None], np.arange(_CLASSES)[None, :]
     path = os.path.join(_scratch(t.spark), "statistics.npz")
     np.savez(path, mean=np.arange(_ENTRIES) % 3, std=np.full(_ENTRIES, 4.0))
-    encoded = encode.window_tensors(t.columns(), t.candidates(), WINDOW)
-    scored = scoring.batch_scores(encoded, scoring.linear(((entry * 7 + label * 13) % 11 - 5) / 1024), WINDOW, *scoring.read_statistics(path))
+    scored = scoring.batch_scores(t.windows(), scoring.linear(((entry * 7 + label * 13) % 11 - 5) / 1024), WINDOW, *scoring.read_statistics(path))
     return scored.withColumn("pred_prob", F.round(F.col("pred_prob").cast("double"), 3))
 
 
