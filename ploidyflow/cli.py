@@ -14,7 +14,7 @@ from . import __version__
 from .config import SPECIES, CallerConfig, ConfigError, model_files, model_folder, parallelism
 from .operators.regions import bed_contigs, invalid_contigs
 from .operators.scoring import onnx_predictor, read_statistics
-from .operators.vcf import write_tabix, write_vcf
+from .operators.vcf import write_vcf
 from .plans.calling import call_variants
 from .sources import bam, sam
 from .sources.bed import bed_lines, read_bed
@@ -102,8 +102,7 @@ def main(argv: list[str] | None = None) -> None:
         lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(model) if model else None, mean, std, args.scored)
     except ConfigError as e:
         raise SystemExit(str(e)) from e
-    write_vcf(lines, f"{args.output}.gz")
-    write_tabix(f"{args.output}.gz")
+    write_vcf(lines, f"{args.output}.gz", longest=contigs.agg(F.max("length")).first()[0] or 0)
     log.info("wrote %s.gz", args.output)
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
-import struct
-import zlib
-from collections.abc import Iterable
+import shutil
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import allele_fraction, genotype, plain_number, qual
+from ..sources import blocks
+from ..store import mounted
 
 # Fixed values of the file's header.
 HEADER = (
@@ -68,161 +68,42 @@ def vcf_lines(scored: DataFrame, contigs: DataFrame, ploidy: int) -> DataFrame:
 
 
 def in_order(lines: DataFrame) -> DataFrame:
-    """Lines in file order, by range partitions: no task sorts all."""
-    return lines.orderBy("section", "chrom_ord", "pos").select("line")
+    """Lines in file order, by range partitions: no task sorts all. chrom, begin and end (0-based, half open) are those of records, null of others."""
+    ordered = lines.orderBy("section", "chrom_ord", "pos")
+    record, begin = F.col("section") == 3, F.col("pos") - 1
+    ref = F.get(F.split("line", "\t", 5), F.lit(3))
+    return ordered.select("line", F.when(record, F.substring_index("line", "\t", 1)).alias("chrom"), F.when(record, begin).alias("begin"), F.when(record, begin + F.greatest(F.length(ref), F.lit(1))).alias("end"))
 
 
-# ------------------------------------------------------------- block compression
+def write_vcf_parts(lines: DataFrame, folder: str, longest: int = 1 << 29) -> None:
+    """A folder of block-compressed parts in file order, each with its index: .tbi, or .csi if a contig is longer than that can hold."""
+    blocks.write_parts(in_order(lines), folder, blocks.depth_for(longest))
 
-#: Most bytes of text in a block, and the empty block that ends a file (fixed value of the format).
-BLOCK_TEXT = 65_280
-END_OF_FILE = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
+def write_vcf(lines: DataFrame, path: str, longest: int = 1 << 29) -> None:
+    """One block-compressed file and its index, in a file system that executors share.
 
-def bgzf_block(text: bytes, level: int = 6) -> bytes:
-    """One gzip member of up to BLOCK_TEXT bytes with its size in the extra field."""
-    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
-    body = packer.compress(text) + packer.flush()
-    head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(text), len(text))
-
-
-def bgzf(chunks: Iterable[bytes]) -> Iterable[bytes]:
-    """Blocks of a stream of text, without the end mark."""
-    held = b""
-    for x in chunks:
-        held += x
-        while len(held) >= BLOCK_TEXT:
-            yield bgzf_block(held[:BLOCK_TEXT])
-            held = held[BLOCK_TEXT:]
-    if held:
-        yield bgzf_block(held)
-
-
-def write_vcf(lines: DataFrame, path: str, compressed: bool = True) -> None:
-    """Writes one file on the driver, a partition of sorted lines at a time.
-
-    Each partition's lines are compressed where they are; the driver only joins blocks.
+    Tasks write parts and copy them to their places in the file; the driver sees sizes and indexes alone.
+    longest: of the contigs' lengths; beyond 2**29 the index is a .csi file.
     """
-    ordered = in_order(lines)
-    if not compressed:
-        with open(path, "wb") as f:
-            for r in ordered.toLocalIterator(prefetchPartitions=True):
-                f.write(f"{r.line}\n".encode())
-        return
-
-    def pack(batches):
-        import pandas as pd
-
-        yield from (pd.DataFrame({"block": [b]}) for b in bgzf("".join(f"{x}\n" for x in pdf["line"]).encode() for pdf in batches))
-
-    blocks = ordered.mapInPandas(pack, "block binary")
-    with open(path, "wb") as f:
-        for r in blocks.toLocalIterator(prefetchPartitions=True):
-            f.write(bytes(r.block))
-        f.write(END_OF_FILE)
-
-
-def write_tabix(vcf_path: str) -> str:
-    """Writes the .tbi index of a block-compressed VCF file beside it and returns its path."""
-    names: list[str] = []
-    bins: list[dict[int, list[tuple[int, int]]]] = []
-    linear: list[dict[int, int]] = []
-
-    def bin_of(begin: int, end: int) -> int:
-        end -= 1
-        for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-            if begin >> shift == end >> shift:
-                return first + (begin >> shift)
-        return 0
-
-    for first, last, line in _bgzf_lines(vcf_path):
-        if line.startswith(b"#"):
-            continue
-        chrom, pos, _, ref = line.split(b"\t", 4)[:4]
-        begin, end = int(pos) - 1, int(pos) - 1 + max(1, len(ref))
-        if not names or names[-1] != chrom.decode():
-            names.append(chrom.decode())
-            bins.append({})
-            linear.append({})
-        chunks = bins[-1].setdefault(bin_of(begin, end), [])
-        if chunks and chunks[-1][1] == first:
-            chunks[-1] = (chunks[-1][0], last)
-        else:
-            chunks.append((first, last))
-        for w in range(begin >> 14, ((end - 1) >> 14) + 1):
-            linear[-1].setdefault(w, first)
-    joined = b"".join(x.encode() + b"\0" for x in names)
-    out = [b"TBI\1", struct.pack("<8i", len(names), 2, 1, 2, 0, ord("#"), 0, len(joined)), joined]
-    for own, lines in zip(bins, linear, strict=True):
-        out.append(struct.pack("<i", len(own)))
-        for b, chunks in sorted(own.items()):
-            out.append(struct.pack("<Ii", b, len(chunks)))
-            out += [struct.pack("<QQ", *c) for c in chunks]
-        size = max(lines) + 1 if lines else 0
-        out.append(struct.pack("<i", size))
-        at = 0
-        for w in range(size):
-            at = lines.get(w, at)
-            out.append(struct.pack("<Q", at))
-    path = f"{vcf_path}.tbi"
-    with open(path, "wb") as f:
-        for block in bgzf([b"".join(out)]):
-            f.write(block)
-        f.write(END_OF_FILE)
-    return path
-
-
-def tabix_lines(vcf_path: str, chrom: str, first: int, last: int) -> list[str]:
-    """Lines of a contig whose position lies between first and last, by the index beside the file."""
-    with gzip.open(f"{vcf_path}.tbi") as f:
-        data = f.read()
-    n, size = struct.unpack_from("<i", data, 4)[0], struct.unpack_from("<i", data, 32)[0]
-    names = data[36 : 36 + size].split(b"\0")[:n]
-    at, found = 36 + size, []
-    for name in names:
-        (bins,) = struct.unpack_from("<i", data, at)
-        at, chunks = at + 4, []
-        for _ in range(bins):
-            _, k = struct.unpack_from("<Ii", data, at)
-            chunks += [struct.unpack_from("<QQ", data, at + 8 + 16 * j) for j in range(k)]
-            at += 8 + 16 * k
-        (k,) = struct.unpack_from("<i", data, at)
-        linear = struct.unpack_from(f"<{k}Q", data, at + 4)
-        at += 4 + 8 * k
-        if name.decode() == chrom and linear:
-            least = linear[min(max(first - 1, 0) >> 14, k - 1)]
-            found = sorted(c for c in chunks if c[1] > least)
-    if not found:
-        return []
-    begin, end, out = found[0][0], max(c[1] for c in found), []
-    for a, _, line in _bgzf_lines(vcf_path, begin >> 16):
-        if a >= end:
-            break
-        if a >= begin and line.split(b"\t", 2)[0] == chrom.encode():
-            pos = int(line.split(b"\t", 2)[1])
-            if pos > last:
-                break
-            if pos >= first:
-                out.append(line.decode())
-    return out
-
-
-def _bgzf_lines(path: str, offset: int = 0) -> Iterable[tuple[int, int, bytes]]:
-    """(virtual offset of its begin, of its end, line) of every line of a block-compressed file, from a block on."""
-    held, begin = b"", offset << 16
-    with open(path, "rb") as f:
-        f.seek(offset)
-        while True:
-            at = f.tell()
-            head = f.read(18)
-            if len(head) < 18:
-                return
-            size = struct.unpack_from("<H", head, 16)[0] + 1
-            text = gzip.decompress(head + f.read(size - 18))
-            done = 0
-            while (cut := text.find(b"\n", done)) >= 0:
-                end = (at << 16) | (cut + 1) if cut + 1 < len(text) else (at + size) << 16
-                yield begin, end, held + text[done:cut]
-                held, begin, done = b"", end, cut + 1
-            held += text[done:]
+    if mounted(path) is None:
+        raise ValueError(f"{path} is in no mounted file system: write parts there")
+    parts = f"{path}.{uuid.uuid4().hex}"
+    try:
+        write_vcf_parts(lines, parts, longest)
+        blocks.joined(lines.sparkSession, parts, path, blocks.depth_for(longest))
+    finally:
+        shutil.rmtree(mounted(parts), ignore_errors=True)
+
+
+def write_tabix(path: str) -> str:
+    """Writes the index of a block-compressed VCF file beside it and returns its path: .tbi, or .csi if positions go beyond 2**29."""
+    return blocks.index_of(SparkSession.active(), path)
+
+
+def region_lines(spark: SparkSession, path: str, chrom: str, first: int, last: int) -> DataFrame:
+    """line of a contig's records whose position lies between first and last (1-based): only blocks that the index names are read."""
+    blocks.register(spark)
+    lines = spark.read.format("bgzf").option("chrom", chrom).option("first", first).option("last", last).load(path)
+    part = F.split("line", "\t", 3)
+    return lines.where(~F.startswith("line", F.lit("#")) & (F.get(part, F.lit(0)) == chrom) & F.get(part, F.lit(1)).cast("bigint").between(first, last)).select("line")

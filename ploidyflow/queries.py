@@ -7,9 +7,7 @@ lines are derived from them by SQL that both engines read alike.
 from __future__ import annotations
 
 import functools
-import gzip
 import os
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -17,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, tokens
-from .operators import candidates, depth, encode, pileup, reads, regions, scoring, sweep, vcf
+from .operators import candidates, depth, encode, pileup, reads, regions, scan, scoring, sweep, vcf
 from .plans.calling import read_scored, write_scored
 from .sources import bam, bed, fasta, sam
-from .store import shared_path, written
+from .store import mounted, shared_path, written
 
 PLOIDY, WINDOW, MIN_AF, RD_FLOOR = 4, 2, 0.1, 10
 
@@ -560,9 +558,11 @@ def _union(t: _Tables) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder for one-file sinks, which write where the driver can: local, or the shared folder where that is mounted."""
+    """A new folder for one-file sinks in the shared folder, which has to be mounted for them."""
     root = shared_path(spark, "files")
-    path = root.removeprefix("file://") if root.startswith("file:///") else tempfile.mkdtemp()
+    path = mounted(root)
+    if path is None:
+        raise ValueError("one-file sinks need a shared folder that is mounted; elsewhere write parts")
     os.makedirs(path, exist_ok=True)
     return path
 
@@ -632,21 +632,20 @@ def _bed_file(t: _Tables) -> DataFrame:
     return bed.read_bed(t.spark, path)
 
 
-def _vcf_file(t: _Tables) -> str:
-    path = os.path.join(_scratch(t.spark), "calls.vcf.gz")
-    vcf.write_vcf(vcf.vcf_lines(t.scored(), t.contigs, PLOIDY), path)
-    return path
-
-
 @_query("vcf_file", _ORDERED)
 def _vcf_written(t: _Tables) -> DataFrame:
-    """The block-compressed file, read as gzip: its lines in order."""
-    with gzip.open(_vcf_file(t), "rt") as f:
-        return t.spark.createDataFrame([(k, x.rstrip("\n")) for k, x in enumerate(f, 1)], "number bigint, line string")
+    """Block-compressed parts in a folder, and their lines in order: numbered in each part by their place in it."""
+    folder = os.path.join(_scratch(t.spark), "calls")
+    vcf.write_vcf_parts(vcf.vcf_lines(t.scored(), t.contigs, PLOIDY), folder)
+    lines = t.spark.read.format("bgzf").option("range_bytes", 4000).load(folder).withColumn("all", F.lit(0))
+    before = scan.before_in_parts(lines.groupBy("all", "file").agg(F.count(F.lit(1)).alias("n")), "all", "file", "n")  # a row a part
+    own = F.row_number().over(Window.partitionBy("file").orderBy("offset"))
+    return lines.withColumn("own", own).join(before, ["all", "file"]).select((F.col("before") + F.col("own")).alias("number"), "line")
 
 
 @_query("tabix_region", _sql("vlines", "SELECT line FROM vlines WHERE chrom = 'chr2' AND pos BETWEEN 50 AND 150"))
 def _tabix(t: _Tables) -> DataFrame:
-    path = _vcf_file(t)
-    vcf.write_tabix(path)
-    return t.spark.createDataFrame([(x,) for x in vcf.tabix_lines(path, "chr2", 50, 150)], "line string")
+    """One file of joined parts, read by its index."""
+    path = os.path.join(_scratch(t.spark), "calls.vcf.gz")
+    vcf.write_vcf(vcf.vcf_lines(t.scored(), t.contigs, PLOIDY), path)
+    return vcf.region_lines(t.spark, path, "chr2", 50, 150)

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import READS
+from .blocks import BLOCK_HEAD, END_OF_FILE, packed
 
 #: Compressed bytes to a task, about.
 RANGE_BYTES = 64 << 20
 # Fixed values of the format: letters of operations and of packed bases.
 OPERATIONS = "MIDNSHP=X"
 PACKED_BASES = "=ACMGRSVTWYHKDBN"
-BLOCK_HEAD = b"\x1f\x8b\x08\x04"
 #: Reads of a batch that goes to Spark.
 BATCH = 4096
 #: Reads that must follow each other for a place to count as a read's begin.
@@ -337,8 +337,6 @@ def packed_read(qname: str, flag: int, ref: int, pos: int, mapq: int, cigar: str
 
 def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> None:
     """Writes reads (schema.READS), in order of contig and position, as one file; the driver only joins blocks."""
-    from ..operators.vcf import END_OF_FILE, bgzf
-
     number = {n: k for k, (n, _) in enumerate(contigs)}
     text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs)
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
@@ -350,14 +348,14 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> No
                 c = b.to_pydict()
                 yield b"".join(packed_read(*x) for x in zip(c["qname"], c["flag"], c["ref"], c["pos"], c["mapq"], c["cigar"], c["seq"], strict=True))
 
-        yield from (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["block"]) for x in bgzf(records()))
+        yield from (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["block"]) for x in packed(records()))
 
     spark = reads.sparkSession
     order = spark.createDataFrame([(n, k) for n, k in number.items()], "chrom string, ref int")
     placed = reads.join(order.hint("broadcast"), "chrom", "left").fillna({"ref": -1})  # a row a contig
     blocks = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq").mapInArrow(pack, "block binary")
     with open(path, "wb") as f:
-        for x in bgzf([head]):
+        for x in packed([head]):
             f.write(x)
         for r in blocks.toLocalIterator(prefetchPartitions=True):
             f.write(bytes(r.block))

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def mounted(uri: str) -> str | None:
+    """The path of a file: URI or a plain path, None for any other store."""
+    parts = urlparse(uri)
+    return unquote(parts.path) if parts.scheme in ("", "file") else None
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
