@@ -4,8 +4,10 @@ The page is one sequence. A word scores by its place (plain, or in a link), a ta
 what its name, its side (start or end) and its place (inside a container or not)
 cost. The costs are learned from labelled pages: text blocks cost next to nothing and what
 parts the article from all else (sections, menus, footers, asides, ...) a lot, so a single linear scan
-finds the region. What a tag or class marks as no article (adverts, forms, comments, ...) scores
-nothing, and where it lies inside of the region it is left out of the text.
+finds the region. An element whose tag, class, id or role may mark it as no article (an advert, a form,
+comments, ...) is judged as a whole: by its tag, the words of its names, and what it holds (its
+share of the page's words, headings, paragraphs, links), with weights learned from labelled elements. One that is judged no article
+scores nothing, and where it lies inside of the region it is left out of the text. No name alone decides, so a wrapper of the article stays whatever it is called.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "noembed", "noframes", "xmp")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("aside button dialog fieldset footer form head menu nav option select svg math object audio video canvas".split())
-#: A class, id or role with one of these words sets its element aside.
+#: An element with one of these words in its class, id or role is judged.
 ASIDE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay comment comments respond disqus reply replies sidebar rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead share sharing social related recommended newsletter subscribe signup login search toolbar contentinfo complementary dialog hidden".split()
 )
@@ -52,17 +56,35 @@ MAIN, MAIN_END = "<!--main-->", "<!--/main-->"
 Token = tuple[str, int, str, bool]
 
 
-def _is_aside(name: str, rest: str, inside_article: bool) -> bool:
-    if name in ASIDE or (name == "header" and not inside_article):
-        return True
-    if not rest or "=" not in rest and "hidden" not in rest.lower():
-        return False
-    if _HIDDEN.search(rest):
-        return True
-    for found in _NAMES.findall(rest):
-        if not ASIDE_WORDS.isdisjoint(_WORDS.findall("".join(found).lower())):
-            return name not in ("html", "body", "article", "main")
-    return False
+def _named(name: str, rest: str, inside_article: bool) -> tuple[str, ...] | None:
+    """What an element is judged by: its tag, whole names, and words of names; None if nothing marks it as no article."""
+    marks = [f"<{name}>"] if name in ASIDE or (name == "header" and not inside_article) else []
+    if rest and ("=" in rest or "hidden" in rest.lower()) and name not in ("html", "body", "article", "main"):
+        if _HIDDEN.search(rest):
+            marks.append("is hidden")
+        for found in _NAMES.findall(rest):
+            for token in "".join(found).lower().split():
+                words = _WORDS.findall(token)
+                hits = [w for w in words if w in ASIDE_WORDS]
+                marks += ["is named so"] if hits and len(words) == 1 else ["has it in a name", "leads a name" if words[0] in ASIDE_WORDS else "ends a name"] if hits else []
+                marks += [f"word {w}" for w in words if w not in ASIDE_WORDS]
+        if not any(x.startswith(("<", "is", "has")) for x in marks):
+            return None
+    return tuple(marks) or None
+
+
+#: Marks by which an element is set aside even if nothing else on the page is left.
+SURE = frozenset(("is named so", "is hidden", *(f"<{x}>" for x in ASIDE - {"form", "fieldset", "aside", "dialog"}), "<header>"))
+
+
+@dataclass
+class Judge:
+    """Weights of what elements are judged by; above zero an element is no article."""
+
+    by_mark: dict[str, float]
+
+    def is_aside(self, marks: list[tuple[str, float]]) -> bool:
+        return sum(self.by_mark.get(k, 0.0) * v for k, v in marks) > 0
 
 
 class _Quotes:
@@ -130,24 +152,60 @@ def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         yield begin, at, bool(m["end"]), name, rest
 
 
-def sequence(page: str) -> list[Token]:
+def sequence(page: str, judge: Judge | None = None) -> list[Token]:
     """Every text and tag in order. A tag's kind is its name, its side and its place; a label in a comment is its own kind."""
-    return parsed(page)[0]
+    return parsed(page, judge)[0]
 
 
-def parsed(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
+def parsed(page: str, judge: Judge | None = None) -> tuple[list[Token], list[tuple[int, int]]]:
     """The page's sequence, and first and end in it of what each container holds."""
+    out, parts, judged = _read(page)
+    judge = judge or default_judge()
+    asides = [(first, end, marks) for first, end, marks in _described(out, judged) if judge.is_aside(marks)]
+
+    def covered() -> list[bool]:
+        edges = [0] * (len(out) + 1)
+        for first, end, _ in asides:
+            edges[first] += 1
+            edges[end] -= 1
+        return [x > 0 for x in accumulate(edges)]
+
+    aside = covered()
+    if asides and not any(t[1] and t[0] == PLAIN and not x for t, x in zip(out, aside, strict=False)):
+        # nothing would be left: only what is surely no article stays aside
+        asides = [x for x in asides if any(k in SURE for k, _ in x[2])]
+        aside = covered()
+    return [(kind, n, shown, x) for (kind, n, shown, _), x in zip(out, aside, strict=False)], parts
+
+
+def _described(out: list[Token], judged: list[tuple[int, int, tuple[str, ...], str]]) -> Iterator[tuple[int, int, list[tuple[str, float]]]]:
+    """First, end and marks, with their values, of each element that is to be judged."""
+    if not judged:
+        return
+    sums = {name: [0, *accumulate(map(of, out))] for name, of in (("words", lambda t: t[1]), ("linked", lambda t: t[1] * (t[0] == LINK)), ("h1", lambda t: t[0].startswith("<h1>")), ("article", lambda t: t[0].startswith(("<article>", "<main>"))), ("p", lambda t: t[0].startswith("<p>")), ("menus", lambda t: t[0].startswith(("<nav>", "<footer>"))))}
+    for first, end, marks, _ in judged:
+        own = {name: x[end] - x[first] for name, x in sums.items()}
+        total = sums["words"][-1] - sums["linked"][-1] or 1
+        values = {"always": 1.0, "share": (own["words"] - own["linked"]) / total, "all": float(own["words"] == sums["words"][-1]), "mostly": float(own["words"] - own["linked"] > 0.5 * total), "links": own["linked"] / (own["words"] or 1)}
+        values |= {f"holds {name}": float(own[name] > 0) for name in ("h1", "article", "menus")} | {"holds paragraphs": min(own["p"], 4) / 4}
+        yield first, end, [*dict.fromkeys((x, 1.0) for x in marks), *values.items()]
+
+
+def _read(page: str) -> tuple[list[Token], list[tuple[int, int]], list[tuple[int, int, tuple[str, ...], str]]]:
+    """The sequence, what containers hold, and elements that are to be judged: first, end, what names them, and their tag's text."""
     out: list[Token] = []
     parts: list[tuple[int, int]] = []
-    open_tags: list[tuple[str, bool, int]] = []
+    judged: list[tuple[int, int, tuple[str, ...], str]] = []
+    open_tags: list[tuple[str, tuple[str, ...] | None, str, int]] = []
     count: Counter[str] = Counter()
-    aside = depth = at = 0
+    depth = at = 0
 
     def close(upto: int) -> None:
-        nonlocal aside, depth
-        for name, was_aside, first in open_tags[upto:]:
-            aside -= was_aside
+        nonlocal depth
+        for name, named, rest, first in open_tags[upto:]:
             count[name] -= 1
+            if named:
+                judged.append((first - 1, len(out), named, rest))
             if name in CONTAINERS:
                 depth -= 1
                 parts.append((first, len(out)))
@@ -159,7 +217,7 @@ def parsed(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
     def text(raw: str) -> None:
         if raw:
             shown = html.unescape(raw)
-            out.append((LINK if count["a"] else PLAIN, len(shown.split()), shown, aside > 0))
+            out.append((LINK if count["a"] else PLAIN, len(shown.split()), shown, False))
 
     for begin, end, is_end, name, rest in _tags(page):
         text(page[at:begin])
@@ -169,27 +227,24 @@ def parsed(page: str) -> tuple[list[Token], list[tuple[int, int]]]:
                 out.append((rest, 0, "", False))
             continue
         if is_end:
-            was = aside > 0
             if count[name]:
                 close(last_open(name))
-            out.append((f"</{name}>{'+' * (depth > 0)}", 0, name, was))
+            out.append((f"</{name}>{'+' * (depth > 0)}", 0, name, False))
             continue
         if name not in VOID and not rest.endswith("/"):
             if open_tags and open_tags[-1][0] == name and name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 close(len(open_tags) - 1)
             elif name not in INLINE and count["p"]:
                 close(last_open("p"))
-            this = _is_aside(name, rest, count["article"] + count["main"] > 0)
-            out.append((f"<{name}>{'+' * (depth > 0)}", 0, name, aside + this > 0))
-            open_tags.append((name, this, len(out)))
+            out.append((f"<{name}>{'+' * (depth > 0)}", 0, name, False))
+            open_tags.append((name, _named(name, rest, count["article"] + count["main"] > 0), rest, len(out)))
             count[name] += 1
-            aside += this
             depth += name in CONTAINERS
         else:
-            out.append((f"<{name}>{'+' * (depth > 0)}", 0, name, aside > 0))
+            out.append((f"<{name}>{'+' * (depth > 0)}", 0, name, False))
     text(page[at:])
     close(0)
-    return out, parts
+    return out, parts, judged
 
 
 @dataclass
@@ -280,6 +335,87 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
     return pages
 
 
+#: What the author of a labelled element may call it besides. Made-up names of pages, not of HTML.
+_WRAPPERS = "content post article story entry text body page row results main wide layout block".split()
+_TURNS = "no not without with has enabled disabled free none off on open hidden default".split()
+_PIECES = "box block section container wrapper list area item top bottom left right big inner".split()
+
+
+def labelled_elements(n: int = 900, seed: int = 11) -> list[str]:
+    """Pages of several layouts, made by rule, in which data-kept tells of elements that may look like no article whether they are (1) or hold the article (0)."""
+    draw = random.Random(seed)
+    names = sorted(ASIDE_WORDS)
+    words = lambda a, b: " ".join("".join(draw.choices("aeiourstlnm", k=draw.randint(2, 9))) for _ in range(draw.randint(a, b)))
+    links = lambda k: "".join(f'<li><a href="/x">{words(1, 3)}</a></li>' for _ in range(k))
+
+    def paragraphs(a: int, b: int, most: int) -> str:
+        return "".join(f"<p>{words(3, most)}</p>" for _ in range(draw.randint(a, b)))
+
+    def junk_name() -> str:
+        w = draw.choice(names)
+        return draw.choice((w, w, w, f"{w}-{draw.choice(_PIECES)}", f"{draw.choice(_PIECES)}-{w}", f"{w}_{draw.choice(names)}", f"{w} {draw.choice(_PIECES)}"))
+
+    def kept_name() -> str:
+        w, wrapper, turn = draw.choice(names), draw.choice(_WRAPPERS), draw.choice(_TURNS)
+        return draw.choice((f"{wrapper} {turn}-{w}", f"{wrapper} {w}-{turn}", f"{wrapper}-{turn}-{w}", f"{w}-{turn} {wrapper}", f"{wrapper} {w}-{wrapper}-{draw.choice(_WRAPPERS)}", f"{wrapper}-{w}"))
+
+    def junk(tags: tuple[str, ...] = ("aside", "form", "nav", "footer", "header", "fieldset", "button", "select")) -> str:
+        tag = draw.choice(("div", "div", "section", "p", "ul"))
+        inner = draw.choice((lambda: words(2, 60), lambda: f"<ul>{links(draw.randint(2, 9))}</ul>", lambda: paragraphs(1, 12, 40)))()
+        if draw.random() < 0.35:
+            tag = draw.choice(tags)
+            return f'<{tag} data-kept="1">{inner}</{tag}>'
+        return f'<{tag} {draw.choice(("class", "id", "class", "role"))}="{junk_name()}" data-kept="1">{inner}</{tag}>'
+
+    pages = []
+    for _ in range(n):
+        parts = [draw.choice(("", f"<h1>{words(2, 8)}</h1>")), paragraphs(1, 9, 60)]
+        if draw.random() < 0.5:
+            parts.insert(draw.randint(1, 2), junk())
+        text = "".join(parts)
+        if draw.random() < 0.3:
+            text = f"<article>{text}</article>"
+        layout = draw.random()
+        if draw.random() < 0.2:  # next to nothing but what is no article
+            text, layout = draw.choice(("", "<article></article>", f"<p>{words(1, 4)}</p>")), 1.0
+        if layout < 0.45:
+            text = f'<div class="{kept_name()}" data-kept="0">{text}</div>'
+        elif layout < 0.55:
+            text = f'<div id="{kept_name()}" data-kept="0"><div>{text}</div></div>'
+        around = [f'<nav data-kept="1"><ul>{links(draw.randint(2, 9))}</ul></nav>'] * draw.randint(0, 1) + [junk() for _ in range(draw.randint(0, 2))]
+        after = [junk() for _ in range(draw.randint(0, 2))] + [f'<footer data-kept="1">{words(2, 40)}</footer>'] * draw.randint(0, 1)
+        page = "".join([*around, text, *after])
+        if draw.random() < 0.25 and layout < 1:
+            page = f'<{(tag := draw.choice(("form", "form", "fieldset", "aside")))} data-kept="0">{page}</{tag}>' if draw.random() < 0.7 else f'<div class="{kept_name()}" data-kept="0">{page}</div>'
+        pages.append(f"<html><body>{page}</body></html>")
+    return pages
+
+
+def learn_judge(pages: list[str], rounds: int = 30, margin: float = 1.0) -> Judge:
+    """Averaged perceptron, with a margin, over the labelled elements."""
+    rows = []
+    for page in pages:
+        out, _, judged = _read(page)
+        rows += [(marks, kept == "1") for (*_, marks), (*_, rest) in zip(_described(out, judged), judged, strict=True) for kept in re.findall(r'data-kept="([01])"', rest)]
+    own: dict[str, float] = {}
+    sums: dict[str, float] = {}
+    draw = random.Random(3)
+    for _ in range(rounds):
+        draw.shuffle(rows)
+        for marks, is_junk in rows:
+            if sum(own.get(k, 0.0) * v for k, v in marks) * (1 if is_junk else -1) <= margin:
+                for k, v in marks:
+                    own[k] = own.get(k, 0.0) + (v if is_junk else -v)
+        for k, v in own.items():
+            sums[k] = sums.get(k, 0.0) + v
+    return Judge({k: v / rounds for k, v in sums.items()})
+
+
+@cache
+def default_judge() -> Judge:
+    return learn_judge(labelled_elements())
+
+
 def _bounds(kind: str) -> tuple[float, float]:
     """The least and the most that a kind of token may score."""
     if kind == PLAIN:
@@ -319,20 +455,20 @@ def learn_weights(pages: list[str], rounds: int = 12, margin: float = 0.5) -> We
     return Weights({k: v / (rounds * len(labelled)) for k, v in sums.items()})
 
 
-def main_text(page: str, weights: Weights) -> str:
+def main_text(page: str, weights: Weights, judge: Judge | None = None) -> str:
     """Text of the best region; without lists, of that alone.
 
     With them a region within a container is taken to the container's bounds, so
     a short block at its edge isn't lost.
     """
-    tokens, parts = parsed(page)
+    tokens, parts = parsed(page, judge)
     first, end = best_region([weights.score(*t) for t in tokens])
     if weights.lists and end:
         first, end = min(((a, b) for a, b in parts if a <= first and end <= b), key=lambda x: x[1] - x[0], default=(first, end))
     return region_text(tokens[first:end], weights.lists)
 
 
-def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None, judge: Judge | None = None) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page, from the whole html.
 
     A null or empty page, and one where no region scores above zero, has an empty
@@ -340,11 +476,11 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     rows are answered each; rows without page_id keep a null one.
     """
     session_setup(pages.sparkSession)
-    weights = weights or learn_weights(labelled_pages())
+    weights, judge = weights or learn_weights(labelled_pages()), judge or default_judge()
 
     def run(batches):
         for b in batches:
-            texts = [main_text(x, weights) if x else "" for x in b.column("html").to_pylist()]
+            texts = [main_text(x, weights, judge) if x else "" for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
