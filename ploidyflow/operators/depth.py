@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cigars import ref_span
 from ..functions.numbers import half_even
 
 
@@ -12,12 +13,6 @@ class NoDepthError(ValueError):
     """The contigs have no length, so no depth can be told."""
 
 
-def ref_span(cigar: Column) -> Column:
-    """Reference bases that an alignment covers: its M, D, N, = and X operations."""
-    lengths = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MDN=X]"), F.lit(1))
-    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda total, x: total + x.cast("bigint"))
-
-
 def contig_depth(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     """chrom, length, mean (two places): covered bases by length; contigs without reads have none."""
     spans = reads.groupBy("chrom").agg(F.sum(ref_span(F.col("cigar"))).alias("bases"))

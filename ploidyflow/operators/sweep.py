@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cigars import ref_span
 from ..functions.tokens import strand
-from .depth import ref_span
 from .encode import FEATURES
 from .scan import before_in_parts
 

@@ -1,34 +1,44 @@
 """Alignments as BAM, as a Python data source: spark.read.format("bam").load(path).
 
-With an index (.bai) beside the file, its chunk begins part the reads into ranges of
-compressed bytes, each a task; filters on chrom and pos leave the ranges of other contigs and bins out.
+With an index (.bai or .csi) beside the file, its chunk begins part the reads into ranges of
+compressed bytes, each a task; filters on chrom and pos leave the ranges of other contigs and bins out, and with the option
+regions only reads that overlap one are read, from the blocks that the index names.
 Without an index the file is parted by bytes, and each task looks for the first block
-and read of its part. Files are opened through Arrow's file
-systems, so a URI of any store that Arrow knows works. write_bam() is the sink.
+and read of its part. A task finds the records of some megabytes of text first, and decodes their fields, names, operations and bases
+as arrays, so there is no Python object a read. Files are opened through Arrow's file
+systems, so a URI of any store that Arrow knows works. write_bam() is the sink, which leaves an index.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import shutil
 import struct
+import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from ..functions.cigars import ref_span
 from ..schema import READS
-from .blocks import BLOCK_HEAD, END_OF_FILE, packed
+from .blocks import BLOCK_HEAD, Index, depth_for, joined, packed, unpacked, write_parts
 
 #: Compressed bytes to a task, about.
 RANGE_BYTES = 64 << 20
 # Fixed values of the format: letters of operations and of packed bases.
 OPERATIONS = "MIDNSHP=X"
 PACKED_BASES = "=ACMGRSVTWYHKDBN"
-#: Reads of a batch that goes to Spark.
-BATCH = 4096
+#: Reads of a batch that goes to Spark, and bytes of text that a task holds.
+BATCH, RUN_BYTES = 1 << 14, 4 << 20
 #: Reads that must follow each other for a place to count as a read's begin.
 SURE = 4
 
@@ -109,7 +119,7 @@ def sort_order(path: str) -> str:
 
 
 def bin_span(number: int) -> tuple[int, int]:
-    """First position and end (0-based) of a bin of the index, whose bins are an eighth of those a level above."""
+    """First position and end (0-based) of a bin of a .bai index, whose bins are an eighth of those a level above."""
     level, first = 0, 0
     while number >= first + (1 << 3 * level):
         first += 1 << 3 * level
@@ -118,29 +128,16 @@ def bin_span(number: int) -> tuple[int, int]:
     return (number - first) * size, (number - first + 1) * size
 
 
-def index_chunks(path: str, low: int = 0, high: int = 1 << 62) -> list[list[tuple[int, int]]] | None:
-    """(begin, end) virtual offsets of each contig's chunks, of bins that meet positions low to high (1-based); None without an index."""
-    try:
-        with _open(f"{path}.bai") as f:
-            data = f.read()
-    except FileNotFoundError:
-        return None
-    at, out = 8, []
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        chunks = []
-        (bins,) = struct.unpack_from("<i", data, at)
-        at += 4
-        for _ in range(bins):
-            number, n = struct.unpack_from("<Ii", data, at)
-            at += 8
-            a, z = bin_span(number)
-            if number != 37450 and a < high and z >= low:  # 37450: a bin of statistics
-                chunks += [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(n)]
-            at += 16 * n
-        (n,) = struct.unpack_from("<i", data, at)
-        at += 4 + 8 * n
-        out.append(sorted(chunks))
-    return out
+def read_bam_index(path: str, names: list[str]) -> Index | None:
+    """The index beside a file of those contigs, or None."""
+    for ending in (".bai", ".csi"):
+        try:
+            with _open(path + ending) as f:
+                data = f.read()
+        except FileNotFoundError:
+            continue
+        return Index.from_bytes(unpacked(data) if data[:4] == BLOCK_HEAD else data, names)
+    return None
 
 
 @dataclass
@@ -215,29 +212,123 @@ def _text_from(f, at: int, total: int, blocks: int = 4) -> tuple[int, bytes] | N
     return head, text
 
 
-def parse_read(data: bytes, names: list[str]) -> tuple:
-    """A row of READS from a record."""
-    ref, pos, l_name, mapq, _, n_ops, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
-    at = 32 + l_name
-    name = data[32 : at - 1].decode()
-    ops = struct.unpack_from(f"<{n_ops}I", data, at)
-    at += 4 * n_ops
-    packed = data[at : at + (l_seq + 1) // 2]
-    seq = "".join(PACKED_BASES[b >> 4] + PACKED_BASES[b & 15] for b in packed)[:l_seq] or "*"
-    cigar = "".join(f"{x >> 4}{OPERATIONS[x & 15]}" for x in ops) or "*"
-    return name, flag, names[ref] if ref >= 0 else "*", pos + 1, mapq, cigar, seq
+_FIXED = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("span", "<i4")])
+_LETTERS = np.frombuffer(OPERATIONS.encode().ljust(16, b"?"), np.uint8)
+_BASES = np.frombuffer(PACKED_BASES.encode(), np.uint8)
+_ON_REF = np.isin(_LETTERS, np.frombuffer(b"MDN=X", np.uint8))
+
+
+def _places(first: np.ndarray, n: np.ndarray, step: int = 1) -> np.ndarray:
+    """first, first + step, ... n times of each, end to end."""
+    return np.repeat(first - step * (np.cumsum(n) - n), n) + step * np.arange(int(n.sum()))
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.StringArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _starred(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Strings, empty ones as `*`."""
+    own = _strings(data, sizes)
+    return pc.if_else(pa.array(sizes > 0), own, pa.scalar("*")) if (sizes == 0).any() else own
+
+
+def decoded(text: np.ndarray, at: np.ndarray, names: list[str], wanted=None) -> pa.RecordBatch:
+    """Rows of READS from the records that begin at some places of the text. wanted tells from contig, begin and end (0-based, half open) which are kept."""
+    fixed = text[at[:, None] + np.arange(36)].reshape(-1).view(_FIXED) if len(at) else np.zeros(0, _FIXED)
+    name_at = at + 36
+    ops_at = name_at + fixed["l_name"]
+    n_ops = fixed["n_ops"].astype(np.int64)
+    words = text[(_places(ops_at, n_ops, 4)[:, None] + np.arange(4))].reshape(-1).view("<u4") if n_ops.sum() else np.zeros(0, "<u4")
+    if wanted is not None and len(at):
+        own = np.concatenate([[0], np.cumsum(np.where(_ON_REF[words & 15], words >> 4, 0).astype(np.int64))])
+        upto = np.cumsum(n_ops)
+        begin = fixed["pos"].astype(np.int64)
+        keep = wanted(fixed["ref"], begin, begin + np.maximum(own[upto] - own[upto - n_ops], 1))
+        words, fixed, name_at, ops_at, n_ops = words[np.repeat(keep, n_ops)], fixed[keep], name_at[keep], ops_at[keep], n_ops[keep]
+    l_name = fixed["l_name"].astype(np.int64) - 1
+    qname = _strings(text[_places(name_at, l_name)], l_name)
+    length = (words >> 4).astype(np.int64)
+    digits = np.ones(len(words), np.int64)
+    for power in 10 ** np.arange(1, 9):
+        digits += length >= power
+    ends = np.cumsum(digits + 1)
+    cigar = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    cigar[ends - 1] = _LETTERS[words & 15]
+    for k in range(int(digits.max()) if len(digits) else 0):
+        has = digits > k
+        cigar[ends[has] - 2 - k] = 48 + length[has] // 10**k % 10
+    chars = np.concatenate([[0], ends])
+    upto = np.cumsum(n_ops)
+    l_seq = fixed["l_seq"].astype(np.int64)
+    base = _places(np.zeros(len(l_seq), np.int64), l_seq)
+    packed_at = np.repeat(ops_at + 4 * n_ops, l_seq) + (base >> 1)
+    seq = _BASES[text[packed_at] >> np.where(base & 1, 0, 4).astype(np.uint8) & 15]
+    ref = fixed["ref"]
+    chrom = pa.array([*names, "*"]).take(pa.array(np.where(ref >= 0, ref, len(names)).astype(np.int32)))
+    columns = [qname, pa.array(fixed["flag"].astype(np.int32)), chrom, pa.array(fixed["pos"].astype(np.int64) + 1), pa.array(fixed["mapq"].astype(np.int32)), _starred(cigar, chars[upto] - chars[upto - n_ops]), _starred(seq, l_seq)]
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
 ARROW = pa.schema([("qname", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("pos", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string())])
 
 
+def _record_runs(path: str, begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text of some megabytes, and where the records in it begin, of all records that begin from one virtual offset up to another."""
+    with _open(path) as f:
+        total, at = f.size(), begin >> 16
+        text, place, limit = bytearray(), begin & 0xFFFF, None  # limit: where the end lies in the text, once its block is read
+
+        def more() -> None:
+            nonlocal at, limit
+            if limit is None and at >= end >> 16:
+                limit = len(text) + (end & 0xFFFF if at == end >> 16 else 0)
+            f.seek(at)
+            head = f.read(18)
+            if len(head) < 18:
+                at = total
+                return
+            size = struct.unpack_from("<H", head, 16)[0] + 1
+            text.extend(zlib.decompress(f.read(size - 18)[:-8], -15))
+            at += size
+
+        while True:
+            while len(text) < RUN_BYTES and limit is None and at < total:
+                more()
+            found = []
+            while (limit is None or place < limit) and place + 4 <= len(text):
+                size = int.from_bytes(text[place : place + 4], "little") + 4
+                if place + size > len(text):
+                    break
+                found.append(place)
+                place += size
+            if found:
+                yield np.frombuffer(bytes(text), np.uint8), np.array(found)
+            if limit is not None and place >= limit or at >= total:
+                return
+            del text[:place]
+            limit = None if limit is None else limit - place
+            place = 0
+            more()  # even beyond the end, for a record that begins before it
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, path: str, range_bytes: int = RANGE_BYTES):
+    def __init__(self, path: str, range_bytes: int = RANGE_BYTES, regions: list[tuple[str, int, int]] | None = None):
         self.path, self.range_bytes = path, range_bytes
         _, contigs, self.first = read_header(path)
         self.names = [x for x, _ in contigs]
         self.chroms: set[str] | None = None
         self.low, self.high = 0, 1 << 62
+        self.regions: dict[str, list[tuple[int, int]]] | None = None
+        if regions is not None:
+            self.regions = {}
+            for chrom, start1, end1 in sorted(regions):
+                own = self.regions.setdefault(chrom, [])
+                if own and start1 - 1 <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(own[-1][1], end1 - 1))
+                else:
+                    own.append((start1 - 1, end1 - 1))
 
     def pushFilters(self, filters):
         for x in filters:
@@ -251,63 +342,78 @@ class BamReader(DataSourceReader):
                     self.high = min(self.high, x.value)
             yield x  # Spark tests every row again
 
+    def _asked(self) -> list[tuple[str, int, int]] | None:
+        """Contigs and positions (0-based, half open) asked for; None for all reads."""
+        if self.regions is None and self.chroms is None and self.low <= 0 and self.high >= 1 << 62:  # reads without a place are in no bin
+            return None
+        low, high = max(self.low - 1, 0), min(self.high, 1 << 44)
+        chosen = [n for n in self.names if (self.chroms is None or n in self.chroms) and (self.regions is None or n in self.regions)]
+        return [(n, max(a, low), min(z, high)) for n in chosen for a, z in (self.regions[n] if self.regions is not None else [(0, 1 << 44)]) if max(a, low) < min(z, high)]
+
     def partitions(self) -> list[_Range]:
-        chunks = index_chunks(self.path, self.low, self.high)
-        if chunks is None:
+        index = read_bam_index(self.path, self.names)
+        if index is None:
             with _open(self.path) as f:
                 cuts = [*range(self.first >> 16, f.size(), self.range_bytes)]
             return [_Range(self.first if k == 0 else a, b, k == 0) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], 1 << 62], strict=True))]
-        if self.chroms is None and self.low <= 0 and self.high >= 1 << 62:  # reads without a place are in no bin
-            runs = [(sorted({self.first, *(b for c in chunks for b, _ in c)}), 1 << 62)]
-        else:
-            chosen = [c for n, c in zip(self.names, chunks, strict=True) if (self.chroms is None or n in self.chroms) and c]
-            runs = []
-            for begin, end in sorted(x for c in chosen for x in c):
-                if runs and begin <= runs[-1][1]:
-                    runs[-1] = ([*runs[-1][0], begin], max(runs[-1][1], end))
-                else:
-                    runs.append(([begin], end))
+        asked = self._asked()
+        marks = sorted({self.first, *(a for own in index.bins.values() for chunks in own.values() for a, _ in chunks)})
+        spans = [(self.first, 1 << 62)] if asked is None else []
+        for chunk in sorted(c for name, a, z in asked or () for c in index.chunks(name, a, z)):
+            if spans and chunk[0] <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], chunk[1]))
+            else:
+                spans.append(chunk)
         out = []
-        for marks, end in runs:
-            cuts: list[int] = []
-            for x in marks:
-                if not cuts or (x >> 16) - (cuts[-1] >> 16) >= self.range_bytes:
+        for begin, end in spans:
+            cuts = [begin]
+            for x in marks[bisect_right(marks, begin) : bisect_left(marks, end)]:
+                if (x >> 16) - (cuts[-1] >> 16) >= self.range_bytes:
                     cuts.append(x)
             out += [_Range(a, b) for a, b in zip(cuts, [*cuts[1:], end], strict=True)]
         return out
 
+    def _wanted(self):
+        """Which reads are asked for, from contig, begin and end; None for all."""
+        asked = self._asked()
+        if asked is None:
+            return None
+        spans = {self.names.index(n): ([a for m, a, _ in asked if m == n], [z for m, _, z in asked if m == n]) for n in {n for n, _, _ in asked}}
+        low, high = self.low - 1, self.high - 1
+
+        def wanted(ref, begin, end):
+            keep = np.zeros(len(ref), bool)
+            for number, (first, last) in spans.items():
+                own = np.flatnonzero(ref == number)
+                k = np.searchsorted(first, end[own], "left") - 1
+                keep[own] = (k >= 0) & (np.array(last)[k] > begin[own])
+            return keep & (begin >= low) & (begin <= high)
+
+        return wanted
+
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark gives if there are no ranges
             return
-        begin = partition.begin if partition.known else first_read(self.path, partition.begin, len(self.names))
-        parted = index_chunks(self.path) is None
-        end = first_read(self.path, partition.end, len(self.names)) if parted and partition.end < 1 << 62 else partition.end
-        rows: list[tuple] = []
-
-        def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
-            rows.clear()
-            return out
-
-        with _open(self.path) as f:
-            if begin >= end:
-                return
-            blocks = _Blocks(f, begin)
-            while blocks.tell() < end:
-                size = blocks.read(4)
-                if len(size) < 4:
-                    break
-                row = parse_read(blocks.read(struct.unpack("<i", size)[0]), self.names)
-                if (self.chroms is None or row[2] in self.chroms) and self.low <= row[3] <= self.high:
-                    rows.append(row)
-                    if len(rows) >= BATCH:
-                        yield batch()
-        if rows:
-            yield batch()
+        begin, end = partition.begin, partition.end
+        if not partition.known:
+            begin = first_read(self.path, begin, len(self.names))
+        if end < 1 << 62 and read_bam_index(self.path, self.names) is None:
+            end = first_read(self.path, end, len(self.names))
+        if begin >= end:
+            return
+        wanted = self._wanted()
+        for text, at in _record_runs(self.path, begin, end):
+            for k in range(0, len(at), BATCH):
+                out = decoded(text, at[k : k + BATCH], self.names, wanted)
+                if out.num_rows:
+                    yield out
 
 
 class BamSource(DataSource):
-    """Reads of a BAM file with the columns of schema.READS. Option range_bytes: compressed bytes to a task."""
+    """Reads of a BAM file with the columns of schema.READS.
+
+    Options: range_bytes, compressed bytes to a task; regions, a JSON list of [chrom, start1, end1], of which reads that overlap one are read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -317,7 +423,8 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema) -> BamReader:
-        return BamReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)))
+        regions = self.options.get("regions")
+        return BamReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), None if regions is None else [tuple(x) for x in json.loads(regions)])
 
 
 # --------------------------------------------------------------------- the sink
@@ -336,27 +443,30 @@ def packed_read(qname: str, flag: int, ref: int, pos: int, mapq: int, cigar: str
 
 
 def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> None:
-    """Writes reads (schema.READS), in order of contig and position, as one file; the driver only joins blocks."""
-    number = {n: k for k, (n, _) in enumerate(contigs)}
+    """Writes reads (schema.READS), in order of contig and position, as one file with its index (.bai, or .csi if a contig is longer than that holds).
+
+    Tasks write parts and copy them to their places; the file is in a mounted file system that all executors share.
+    """
     text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs)
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
     head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+    none = len(contigs)
 
     def pack(batches):
-        def records():
-            for b in batches:
-                c = b.to_pydict()
-                yield b"".join(packed_read(*x) for x in zip(c["qname"], c["flag"], c["ref"], c["pos"], c["mapq"], c["cigar"], c["seq"], strict=True))
-
-        yield from (pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["block"]) for x in packed(records()))
+        for b in batches:
+            c = b.to_pydict()
+            records = [packed_read(q, flag, -1 if ref == none else ref, *rest) for q, flag, ref, *rest in zip(c["qname"], c["flag"], c["ref"], c["pos"], c["mapq"], c["cigar"], c["seq"], strict=True)]
+            begin = np.array(c["pos"], np.int64) - 1
+            chrom = [None if ref == none else n for ref, n in zip(c["ref"], c["chrom"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(chrom, pa.string()), pa.array(begin), pa.array(begin + np.maximum(np.array(c["span"], np.int64), 1))], ["record", "chrom", "begin", "end"])
 
     spark = reads.sparkSession
-    order = spark.createDataFrame([(n, k) for n, k in number.items()], "chrom string, ref int")
-    placed = reads.join(order.hint("broadcast"), "chrom", "left").fillna({"ref": -1})  # a row a contig
-    blocks = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq").mapInArrow(pack, "block binary")
-    with open(path, "wb") as f:
-        for x in packed([head]):
-            f.write(x)
-        for r in blocks.toLocalIterator(prefetchPartitions=True):
-            f.write(bytes(r.block))
-        f.write(END_OF_FILE)
+    order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(contigs)], "chrom string, ref int")
+    placed = reads.join(order.hint("broadcast"), "chrom", "left").fillna({"ref": none})  # a row a contig; what has no contig comes last
+    ordered = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq", "chrom", F.coalesce(ref_span(F.col("cigar")), F.lit(0)).alias("span"))
+    depth, folder = depth_for(max((size for _, size in contigs), default=0)), f"{path}.{uuid.uuid4().hex}"
+    try:
+        write_parts(ordered.mapInArrow(pack, "record binary, chrom string, begin bigint, end bigint"), folder, depth)
+        joined(spark, folder, path, depth, b"".join(packed([head])), [n for n, _ in contigs])
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)

@@ -149,15 +149,24 @@ class Index:
         columns = struct.pack("<7i", 2, 1, 2, 0, ord("#"), 0, len(joined)) + joined
         csi = self.depth > TBI_DEPTH
         out = [b"CSI\1", struct.pack("<3i", SHIFT, self.depth, len(columns)), columns, struct.pack("<i", len(self.names))] if csi else [b"TBI\1", struct.pack("<i", len(self.names)), columns]
+        out += self._contigs(csi)
+        return b"".join(out)
+
+    def bam_bytes(self) -> bytes:
+        """The same as a .bai file's text, or, beyond what that can hold, a .csi file's without names."""
+        csi = self.depth > TBI_DEPTH
+        out = [b"CSI\1", struct.pack("<4i", SHIFT, self.depth, 0, len(self.names))] if csi else [b"BAI\1", struct.pack("<i", len(self.names))]
+        return b"".join([*out, *self._contigs(csi)])
+
+    def _contigs(self, csi: bool) -> Iterator[bytes]:
         for name in self.names:
             filled = self._filled(name)
-            out.append(struct.pack("<i", len(self.bins[name])))
+            yield struct.pack("<i", len(self.bins[name]))
             for number, chunks in sorted(self.bins[name].items()):
-                out.append(struct.pack("<IQi", number, self._least(filled, number), len(chunks)) if csi else struct.pack("<Ii", number, len(chunks)))
-                out += [struct.pack("<QQ", *c) for c in chunks]
+                yield struct.pack("<IQi", number, self._least(filled, number), len(chunks)) if csi else struct.pack("<Ii", number, len(chunks))
+                yield from (struct.pack("<QQ", *c) for c in chunks)
             if not csi:
-                out += [struct.pack("<i", len(filled)), struct.pack(f"<{len(filled)}Q", *filled)]
-        return b"".join(out)
+                yield struct.pack("<i", len(filled)) + struct.pack(f"<{len(filled)}Q", *filled)
 
     def _least(self, filled: list[int], number: int) -> int:
         level = max(k for k in range(self.depth + 1) if number >= ((1 << 3 * k) - 1) // 7)
@@ -165,35 +174,37 @@ class Index:
         return filled[min(window, len(filled) - 1)]
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Index:
-        csi = data[:4] == b"CSI\1"
-        if not csi and data[:4] != b"TBI\1":
-            raise ValueError("neither a .tbi nor a .csi index")
-        if csi:
+    def from_bytes(cls, data: bytes, names: list[str] | None = None) -> Index:
+        """An index of a .tbi, .csi or .bai file's text; names are the contigs of a BAM file, whose indexes have none."""
+        kind, depth, at = data[:4], TBI_DEPTH, 8
+        if kind == b"CSI\1":
             shift, depth, size = struct.unpack_from("<3i", data, 4)
             if shift != SHIFT:
                 raise ValueError(f"smallest bins of 2**{shift} positions are not read")
-            head, at = 16, 16 + size
-        else:
-            depth, head = TBI_DEPTH, 8
-            at = head + 28 + struct.unpack_from("<i", data, head + 24)[0]
-        names = data[head + 28 : head + 28 + struct.unpack_from("<i", data, head + 24)[0]].split(b"\0")[:-1]
-        (n,) = struct.unpack_from("<i", data, at if csi else 4)
-        at += 4 if csi else 0
-        out = cls(depth)
-        for name in (x.decode() for x in names[:n]):
+            head, at = 16, 20 + size
+        elif kind == b"TBI\1":
+            head, at = 8, 36 + struct.unpack_from("<i", data, 32)[0]
+        elif kind != b"BAI\1":
+            raise ValueError("no index of a kind that is read")
+        if names is None:
+            names = [x.decode() for x in data[head + 28 : head + 28 + struct.unpack_from("<i", data, head + 24)[0]].split(b"\0")[:-1]]
+        (n,) = struct.unpack_from("<i", data, at - 4 if kind == b"CSI\1" else 4)
+        out, statistics = cls(depth), ((1 << 3 * (depth + 1)) - 1) // 7 + 1
+        for name in names[:n]:
             out.contig(name)
             (bins,) = struct.unpack_from("<i", data, at)
             at += 4
             for _ in range(bins):
                 (number,) = struct.unpack_from("<I", data, at)
-                if csi:
-                    out.linear[name][cls._first_window(number, depth)] = struct.unpack_from("<Q", data, at + 4)[0]
-                (k,) = struct.unpack_from("<i", data, at + (12 if csi else 4))
-                at += 16 if csi else 8
-                out.bins[name][number] = [struct.unpack_from("<QQ", data, at + 16 * j) for j in range(k)]
-                at += 16 * k
-            if not csi:
+                if kind == b"CSI\1":
+                    if number != statistics:
+                        out.linear[name][cls._first_window(number, depth)] = struct.unpack_from("<Q", data, at + 4)[0]
+                    at += 8
+                (k,) = struct.unpack_from("<i", data, at + 4)
+                if number != statistics:
+                    out.bins[name][number] = [struct.unpack_from("<QQ", data, at + 8 + 16 * j) for j in range(k)]
+                at += 8 + 16 * k
+            if kind != b"CSI\1":
                 (k,) = struct.unpack_from("<i", data, at)
                 out.linear[name] = dict(enumerate(struct.unpack_from(f"<{k}Q", data, at + 4)))
                 at += 4 + 8 * k
@@ -228,7 +239,7 @@ def read_index(path: str) -> Index | None:
     for ending in (".tbi", ".csi"):
         try:
             with store.open_input_file(name + ending) as f:
-                return Index.from_bytes(_unpacked(f.read()))
+                return Index.from_bytes(unpacked(f.read()))
         except FileNotFoundError:
             continue
     return None
@@ -244,7 +255,7 @@ def write_index(path: str, index: Index) -> str:
     return path + ending
 
 
-def _unpacked(data: bytes) -> bytes:
+def unpacked(data: bytes) -> bytes:
     out, at = [], 0
     while at < len(data):
         size = struct.unpack_from("<H", data, at + 16)[0] + 1
@@ -276,10 +287,13 @@ class Runs:
         self.bins += [(labels[k], b, a, z) for k, b, a, z in zip(key[lead].tolist(), number[lead].tolist(), first[lead].tolist(), last[tail].tolist(), strict=True)]
         low, high = begin >> SHIFT, end - 1 >> SHIFT
         for k, w, place in zip(*(x[(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1])]))].tolist() for x in (key, low, first)), strict=True):
-            self.windows.setdefault((labels[k], w), place)
+            self._window((labels[k], w), place)
         for j in np.flatnonzero(high > low).tolist():
             for w in range(int(low[j]), int(high[j]) + 1):
-                self.windows.setdefault((labels[key[j]], w), int(first[j]))
+                self._window((labels[key[j]], w), int(first[j]))
+
+    def _window(self, key: tuple[str, int], place: int) -> None:
+        self.windows[key] = min(place, self.windows.get(key, place))
 
     def index(self, virtual) -> Index:
         """virtual gives the virtual offset of a place."""
@@ -318,13 +332,14 @@ class BlockWriter(DataSourceArrowWriter):
             def texts():
                 nonlocal at
                 for b in iterator:
-                    lines = b.column("line").cast(pa.large_string())
-                    ends = at + np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+                    text = b.schema.get_field_index("line") >= 0
+                    lines = b.column("line").cast(pa.large_string()) if text else b.column("record")
+                    ends = at + np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + text)
                     starts = np.concatenate([[at], ends[:-1]])
                     begin, end = (b.column(c).to_numpy(zero_copy_only=False) for c in ("begin", "end"))
                     runs.add(b.column("chrom"), begin, end, starts, ends)
                     at = int(ends[-1]) if len(ends) else at
-                    yield "".join(f"{x}\n" for x in lines.to_pylist()).encode()
+                    yield "".join(f"{x}\n" for x in lines.to_pylist()).encode() if text else b"".join(lines.to_pylist())
 
             for x in packed(texts()):
                 f.write(x)
@@ -358,9 +373,11 @@ class BlockWriter(DataSourceArrowWriter):
         store.delete_dir(attempts)
 
 
-def joined(spark: SparkSession, folder: str, path: str, depth: int = TBI_DEPTH) -> None:
+def joined(spark: SparkSession, folder: str, path: str, depth: int = TBI_DEPTH, head: bytes = b"", contigs: list[str] | None = None) -> None:
     """One block-compressed file, with its index, of the parts of a folder. Both are in a mounted file system that all executors share.
 
+    head are blocks to stand before the parts. With contigs, those of a BAM file, the index is one of such a file.
+
     Tasks copy parts to their places in a file of another name, which is given its own at the end.
     """
     import os
@@ -371,9 +388,10 @@ def joined(spark: SparkSession, folder: str, path: str, depth: int = TBI_DEPTH)
         raise ValueError("parts are joined in a mounted file system; elsewhere the folder of parts is the target")
     with store.open_input_file(f"{source}/_parts.json") as f:
         parts = json.loads(f.read())
-    places = np.concatenate([[0], np.cumsum([p["size"] for p in parts])]).astype(int).tolist()
+    places = (len(head) + np.concatenate([[0], np.cumsum([p["size"] for p in parts])])).astype(int).tolist()
     unfinished = f"{target}.{uuid.uuid4().hex}"
     with open(unfinished, "wb") as f:
+        f.write(head)
         f.truncate(places[-1] + len(END_OF_FILE))
         f.seek(places[-1])
         f.write(END_OF_FILE)
@@ -396,11 +414,18 @@ def joined(spark: SparkSession, folder: str, path: str, depth: int = TBI_DEPTH)
         rows = spark.createDataFrame([(p["name"], p["size"], at) for p, at in zip(parts, places, strict=False)], "name string, size bigint, place bigint")
         rows.repartition(len(parts), "name").mapInArrow(copy, "name string").count()
     index = Index(depth)
+    for name in contigs or ():
+        index.contig(name)
     for p, at in zip(parts, places, strict=False):
         if (own := read_index(f"{folder}/{p['name']}")) is not None:
             index.merge(own, at)
     os.replace(unfinished, target)
-    write_index(path, index)
+    if contigs is None:
+        write_index(path, index)
+    else:
+        data, csi = index.bam_bytes(), depth > TBI_DEPTH
+        with open(f"{target}{'.csi' if csi else '.bai'}", "wb") as f:
+            f.write(b"".join(packed([data])) + END_OF_FILE if csi else data)
 
 
 # ------------------------------------------------------------------------ reading
@@ -577,6 +602,6 @@ def index_of(spark: SparkSession, path: str, depth: int | None = None) -> str:
 
 
 def write_parts(lines: DataFrame, folder: str, depth: int = TBI_DEPTH) -> None:
-    """Lines (columns of WRITTEN, in file order by partition) as parts in a folder."""
+    """Lines (columns of WRITTEN, or with record, its bytes, in place of line; in file order by partition) as parts in a folder."""
     register(lines.sparkSession)
-    lines.select(*(c.split(" ")[0] for c in WRITTEN.split(", "))).write.format("bgzf").option("path", folder).option("depth", depth).mode("overwrite").save()
+    lines.select("line" if "line" in lines.columns else "record", "chrom", "begin", "end").write.format("bgzf").option("path", folder).option("depth", depth).mode("overwrite").save()

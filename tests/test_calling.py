@@ -383,6 +383,7 @@ def test_write_bam(spark, genome, tmp_path):
     assert bam.sort_order(path) == "coordinate" and bam.read_header(path)[1] == [(n, len(s)) for n, s in seqs.items()]
     got = [tuple(r) for r in spark.read.format("bam").load(path).collect()]
     assert sorted(got) == sorted(rows)
+    assert [n for n in sorted(x.name for x in tmp_path.iterdir())] == ["out.bam", "out.bam.bai"]
 
 
 def test_reference_in_blocks(spark, genome):
