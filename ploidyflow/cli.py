@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 from dataclasses import replace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .config import SPECIES, CallerConfig, ConfigError, model_files, model_folder, parallelism
-from .operators.regions import bed_contigs, invalid_contigs
+from .operators.regions import bed_contigs, invalid_contigs, wide_regions
 from .operators.scoring import onnx_predictor, read_statistics
 from .operators.vcf import write_vcf
 from .plans.calling import call_variants
@@ -98,8 +99,11 @@ def main(argv: list[str] | None = None) -> None:
             log.warning("reads are in %s order; they are dealt anew, so this does no harm", order)
         config = replace(config, contigs=names)
         regions = read_bed(spark, args.bed) if args.bed else None
+        near = None
+        if regions is not None and not args.bam.endswith(".sam") and (wide := wide_regions(regions)) is not None:
+            near = spark.read.format("bam").option("regions", json.dumps(wide)).load(args.bam)
         log.info("calling %s with %s", ", ".join(names) or "all contigs", model or "the binomial scorer")
-        lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(model) if model else None, mean, std, args.scored)
+        lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(model) if model else None, mean, std, args.scored, near)
     except ConfigError as e:
         raise SystemExit(str(e)) from e
     write_vcf(lines, f"{args.output}.gz", longest=contigs.agg(F.max("length")).first()[0] or 0)

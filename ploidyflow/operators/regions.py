@@ -11,6 +11,10 @@ from .scan import joined_parts, merged_in_parts
 BIN = 1 << 14
 
 
+#: Regions that a reader is given at most; with more it reads all.
+MOST_REGIONS = 100_000
+
+
 class BedError(ValueError):
     """A BED row that cannot be read."""
 
@@ -49,6 +53,13 @@ def merge_intervals(regions: DataFrame) -> DataFrame:
     return joined_parts(merged_in_parts(regions))
 
 
+def wide_regions(regions: DataFrame, margin: int = BIN, most: int = MOST_REGIONS) -> list[tuple[str, int, int]] | None:
+    """Merged regions, wider by a margin on both sides, for a reader; None if there are more than so many."""
+    wide = regions.select("chrom", F.greatest(F.col("start1") - margin, F.lit(1)).alias("start1"), (F.col("end1") + margin).alias("end1"))
+    rows = merge_intervals(wide).limit(most + 1).collect()
+    return [(r.chrom, r.start1, r.end1) for r in rows] if len(rows) <= most else None
+
+
 def within_regions(sites: DataFrame, regions: DataFrame) -> DataFrame:
     """Sites whose position lies in a region; each once.
 

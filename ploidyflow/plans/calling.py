@@ -21,17 +21,20 @@ from ..store import written
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def scored_sites(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None) -> DataFrame:
+def scored_sites(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None, near: DataFrame | None = None) -> DataFrame:
     """Candidate sites with pred_prob and pred_label.
 
     With a predictor sites have a full window of covered columns and are scored by
     the model; without one the binomial scorer takes every candidate. Depth is over
     all contigs, also when only some are called. Contigs or regions without reads or
-    candidates give no rows.
+    candidates give no rows. near: the reads that reach the regions, if those can be read alone; without a predictor
+    columns are made of them. Windows close gaps in coverage, however wide, so with one all reads are taken.
     """
     config = config.checked()
     usable = rename_reads(read_filter(reads, config.min_mapq))
     depth = genome_depth_value(contig_depth(usable, contigs))
+    if near is not None and make_predictor is None:
+        usable = rename_reads(read_filter(near, config.min_mapq))
     if config.contigs:
         usable = usable.where(F.col("chrom").isin(*dict.fromkeys(config.contigs)))
     tokens = read_tokens(usable) if config.max_depth is None else strand_tokens(depth_capped(observations(usable), config.max_depth))
@@ -56,12 +59,12 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORED).parquet(path)
 
 
-def call_variants(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None, scored_to: str | None = None) -> DataFrame:
+def call_variants(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, config: CallerConfig, regions: DataFrame | None = None, make_predictor=None, mean=None, std=None, scored_to: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """section, chrom_ord, pos, line of the VCF file: header, then sites by contig and position.
 
     ref_bases is a row a base or a row a block (see bases_at). scored_to names a folder that keeps the scored sites.
     """
-    scored = scored_sites(reads, ref_bases, contigs, config, regions, make_predictor, mean, std)
+    scored = scored_sites(reads, ref_bases, contigs, config, regions, make_predictor, mean, std, near)
     if scored_to:
         write_scored(scored, scored_to)
         scored = read_scored(reads.sparkSession, scored_to)

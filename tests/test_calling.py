@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import json
 import random
 import struct
 
@@ -434,6 +435,12 @@ def test_whole_plan(spark, genome, tmp_path):
     assert [(r.chrom, r.pos) for r in by_model] == [("chrA", 200)]
     away = spark.createDataFrame([("chrA", 1, 200)], schema.REGIONS)
     assert scored_sites(alignments, ref, contigs, config, regions=away).count() == 0
+    bam.register(spark)
+    inside = spark.createDataFrame([("chrA", 190, 201), ("chrA", 195, 260)], schema.REGIONS)
+    wide = regions.wide_regions(inside, margin=5)
+    assert wide == [("chrA", 185, 265)] and regions.wide_regions(inside.union(away), margin=0, most=1) == [("chrA", 1, 260)] and regions.wide_regions(spark.createDataFrame([("a", 1, 2), ("b", 1, 2)], schema.REGIONS), 0, 1) is None
+    near = spark.read.format("bam").option("regions", json.dumps(wide)).load(str(where / "reads.bam"))
+    assert [tuple(r) for r in scored_sites(alignments, ref, contigs, config, regions=inside, near=near).collect()] == [tuple(r) for r in scored] and near.count() < alignments.count()
     lines = call_variants(alignments, ref, contigs, config)
     path = str(tmp_path / "out.vcf.gz")
     vcf.write_vcf(lines, path)
