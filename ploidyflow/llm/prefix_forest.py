@@ -3,9 +3,9 @@
 In each tree a vector's hash is a long string of signs against random
 hyperplanes. The sorted strings of a tree are parted into leaves: prefixes of
 variable length, split where a bounded sample is dense. A query descends to the
-leaf of its longest prefix match, then ascends in all trees at once to further
-leaves, those first whose prefix branches off at hyperplanes that it lies nearest
-to, until they hold enough rows. All rows in them
+leaf of its longest prefix match, then ascends in all trees together: the length of the
+prefix that is asked for falls a letter at a time, tree after tree, and the leaves below it are taken
+until all together hold enough different rows. All rows in them
 are compared by exact cosine; each task keeps a query's few best, and those of
 all tasks are merged. A leaf's rows are dealt into parts that a task holds; queries stream past.
 """
@@ -106,19 +106,38 @@ class Leaves:
         """Into how many parts each leaf's rows are dealt."""
         return np.maximum(1, np.ceil(self.share[tree] * self.rows / self.part_rows)).astype(np.int64)
 
+    def matched(self, letters: np.ndarray, tree: int) -> np.ndarray:
+        """Letters that each leaf's prefix has in common with each query's string; DEPTH for the leaf that the query lies in."""
+        prefixes = self.prefixes[tree]
+        differs = (prefixes[None] != (letters[:, tree, None] > 0)) & (prefixes[None] >= 0)
+        return np.where(differs.any(axis=2), differs.argmax(axis=2), DEPTH)
+
     def ascended(self, letters: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, tree, leaf) of all that queries search, some queries at a time: of every tree the nearest leaves, until all together hold the share of all rows.
+        """(query, tree, leaf) of all that queries search, some queries at a time.
 
-        A leaf is as far as the squared distances to the hyperplanes at which its prefix departs from the query's.
+        The frontier is a length of prefix in every tree. It falls in all trees by one letter, in one after another, before it falls
+        by the next, and stops where what lies below it holds the share of all rows, each counted once: trees are
+        independent, so a row is below it in none with the product of the chances.
         """
         for c in range(0, len(letters), ASKED):
             own = letters[c : c + ASKED]
-            for t, (p, sizes) in enumerate(zip(self.prefixes, self.share, strict=True)):
-                above, below = np.where(own[:, t] > 0, own[:, t], 0) ** 2, np.where(own[:, t] > 0, 0, own[:, t]) ** 2
-                order = np.argsort(above @ (p == 0).T + below @ (p == 1).T, axis=1)
-                held = np.cumsum(sizes[order], axis=1) - sizes[order]
-                asked, rank = np.nonzero(held < share / self.trees)
-                yield c + asked, np.full(len(asked), t), order[asked, rank]
+            match = [self.matched(own, t) for t in range(self.trees)]
+            below = np.zeros((self.trees, DEPTH + 2, len(own)))  # share of all rows by least match
+            for t in range(self.trees):
+                for x in range(DEPTH + 1):
+                    below[t, x] = ((match[t] >= x) * self.share[t]).sum(axis=1)
+            missed = np.log1p(-np.minimum(below, 1 - 1e-12))
+            frontier = np.full((self.trees, len(own)), DEPTH)
+            going = np.ones(len(own), bool)
+            held = missed[:, DEPTH].sum(axis=0)
+            for x in range(DEPTH - 1, -1, -1):
+                for t in range(self.trees):
+                    going &= held > np.log1p(-min(share, 1 - 1e-9))
+                    frontier[t, going] = x
+                    held = np.where(going, held + missed[t, x] - missed[t, x + 1], held)
+            for t in range(self.trees):
+                asked, leaf = np.nonzero(match[t] >= frontier[t][:, None])
+                yield c + asked, np.full(len(asked), t), leaf
 
 
 def _sampled_leaves(vectors: DataFrame, trees: int, part_rows: int) -> dict[int, Leaves]:
@@ -134,14 +153,14 @@ def _sampled_leaves(vectors: DataFrame, trees: int, part_rows: int) -> dict[int,
     return out
 
 
-def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 8, share: float = 0.6, candidates: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, trees: int = 8, share: float = 0.72, candidates: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query, nearest first.
 
     Queries are the rows whose vec_id is divisible by query_every; candidates are
     all rows but the query's own. Nearness is the largest cosine in double
     precision, ties go to the smaller vec_id. The leaves that a query searches
-    hold so large a share of all rows, counted over all trees (a row may be met in
-    several), or, if given, so many candidates: a number that needn't grow with the table
+    hold so large a share of all rows, each counted once (a row may be compared in
+    several trees), or, if given, so many candidates: a number that needn't grow with the table
     where near vectors are much nearer than others. A part of a leaf has about part_rows rows. Vectors that are null, empty or zero or hold null or non-finite
     components take no part; vectors of different dimensions never meet. Repeated
     rows count once. Fewer than k candidates give fewer rows; none give none.

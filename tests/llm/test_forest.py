@@ -90,3 +90,26 @@ def test_one_value_fills_a_leaf(spark):
 
 def test_empty(spark):
     assert prefix_forest.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ascent_is_in_step():
+    """Every leaf taken matches at least as long as any left: but for one letter, by which trees ascend one after another; and no more is taken than the share asks for."""
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(4000, 24))
+    letters = prefix_forest.projected(x, 5)
+    strings = prefix_forest.hash_strings(letters)
+    forest = prefix_forest.Leaves(strings, len(x))
+    asked = letters[:60]
+    homes = np.stack([forest.leaf(t, strings[:60, t]) for t in range(5)], axis=1)
+    for share in (0.02, 0.2, 0.6):
+        taken = {(q, t): set() for q in range(60) for t in range(5)}
+        for q, t, leaf in forest.ascended(asked, share):
+            for a, b, c in zip(q.tolist(), t.tolist(), leaf.tolist(), strict=True):
+                taken[a, b].add(c)
+        match = [forest.matched(asked, t) for t in range(5)]
+        for q in range(60):
+            inside = [min(match[t][q][list(taken[q, t])]) for t in range(5)]
+            outside = [max((m for k, m in enumerate(match[t][q].tolist()) if k not in taken[q, t]), default=-1) for t in range(5)]
+            assert all(homes[q, t] in taken[q, t] for t in range(5)) and max(outside) <= min(inside)
+            missed = np.prod([1 - forest.share[t][list(taken[q, t])].sum() for t in range(5)])
+            assert 1 - missed >= share - 1e-9
