@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .config import SPECIES, CallerConfig, ConfigError, model_files, model_folder, parallelism
 from .operators.regions import bed_contigs, invalid_contigs, wide_regions
-from .operators.scoring import onnx_predictor, read_statistics
+from .operators.scoring import model_predictor, read_statistics
 from .operators.vcf import write_vcf
 from .plans.calling import call_variants
 from .sources import bam, sam
@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--models", help="folder of model folders; the one of species and mode is taken, with its window and statistics")
     p.add_argument("--min_af", type=float, default=0.10)
     p.add_argument("--rd_floor", type=int, default=10)
-    p.add_argument("--model", help="ONNX model of the windows; without one the binomial scorer calls")
+    p.add_argument("--model", help="model of the windows, an ONNX file or a saved network's folder; without one the binomial scorer calls")
     p.add_argument("--statistics", help="mean and std of the model's input (.npz, .h5)")
     p.add_argument("--scored", help="folder that keeps the scored sites as Parquet")
     p.add_argument("--ordinal_join", action="store_true", help="windows by the columns' numbers, for few sites")
@@ -103,7 +103,7 @@ def main(argv: list[str] | None = None) -> None:
         if regions is not None and not args.bam.endswith(".sam") and (wide := wide_regions(regions)) is not None:
             near = spark.read.format("bam").option("regions", json.dumps(wide)).load(args.bam)
         log.info("calling %s with %s", ", ".join(names) or "all contigs", model or "the binomial scorer")
-        lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, onnx_predictor(model) if model else None, mean, std, args.scored, near)
+        lines = call_variants(reads, fasta_blocks(spark, args.ref), contigs.select("chrom", "length", F.col("ord")), config, regions, model_predictor(model) if model else None, mean, std, args.scored, near)
     except ConfigError as e:
         raise SystemExit(str(e)) from e
     write_vcf(lines, f"{args.output}.gz", longest=contigs.agg(F.max("length")).first()[0] or 0)

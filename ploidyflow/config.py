@@ -79,9 +79,9 @@ def model_folder(root: str, species: str, mode: str) -> tuple[str, int]:
 
 
 def model_files(folder: str) -> tuple[str, str]:
-    """Paths of a model folder's ONNX model and statistics."""
+    """Paths of a model folder's model (an ONNX file, or the folder of a saved network) and statistics."""
     found = []
-    for names in (("model.onnx",), ("statistics.npz", "statistics.h5")):
+    for names in (("model.onnx", "model"), ("statistics.npz", "statistics.h5")):
         here = [p for p in (os.path.join(folder, x) for x in names) if os.path.exists(p)]
         if not here:
             raise ConfigError(f"{folder} has no {' or '.join(names)}")

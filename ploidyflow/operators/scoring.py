@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from ..config import ConfigError
+from ..sources import hdf5, saved_network
 from .encode import FEATURES
 
 
@@ -45,17 +46,12 @@ def binomial_scores(candidates: DataFrame, ploidy: int, error: float = 0.01) ->
 
 
 def read_statistics(path: str) -> tuple[list[float], list[float]]:
-    """Mean and std of the tensors' entries from a statistics file: .npz, or HDF5 where h5py is installed."""
+    """Mean and std of the tensors' entries from a statistics file: .npz, or HDF5."""
     if path.endswith(".npz"):
         with np.load(path) as f:
             mean, std = f["mean"], f["std"]
     else:
-        try:
-            import h5py
-        except ImportError as e:
-            raise ConfigError(f"{path} needs h5py; an .npz file with mean and std does as well") from e
-        with h5py.File(path, "r") as f:
-            mean, std = f["mean"][:], f["std"][:]
+        mean, std = hdf5.read_arrays(path, ("mean", "std"))
     return np.ravel(mean).astype(float).tolist(), np.ravel(std).astype(float).tolist()
 
 
@@ -114,6 +110,11 @@ def linear(weights: np.ndarray) -> Callable[[], Predictor]:
     return make
 
 
+def model_predictor(path: str) -> Callable[[], Predictor]:
+    """A model file for onnxruntime, or the folder of a saved network."""
+    return saved_network.saved_predictor(path) if os.path.isdir(path) else onnx_predictor(path)
+
+
 def onnx_predictor(path: str) -> Callable[[], Predictor]:
     """A model file for onnxruntime: one input (n, columns, 30), one output of probabilities."""
 

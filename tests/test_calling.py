@@ -517,7 +517,7 @@ def test_command_line(spark, genome, tmp_path, monkeypatch):
         seen.append(path)
         return make
 
-    monkeypatch.setattr(cli, "onnx_predictor", predictor)
+    monkeypatch.setattr(cli, "model_predictor", predictor)
     cli.main(["-r", str(where / "ref.fa"), "-b", str(where / "reads.bam"), "-p", "4", "-m", "performance", "-t", "2", "--models", str(tmp_path / "models"), "--scored", str(tmp_path / "scored"), "-o", str(out)])
     kept = spark.read.parquet(str(tmp_path / "scored"))
     assert seen == [str(folder / "model.onnx")] and (tmp_path / "scored" / "chrom=chrA").is_dir()
