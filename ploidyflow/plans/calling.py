@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CallerConfig
+from ..operators.admission import admitted
 from ..operators.depth import contig_depth, genome_depth_value
-from ..operators.encode import strand_tokens, window_tensors
-from ..operators.pileup import depth_capped, observations
+from ..operators.encode import window_tensors
 from ..operators.reads import read_filter, rename_reads
 from ..operators.scoring import batch_scores, binomial_scores
 from ..operators.sweep import featured_columns, numbered, read_tokens, sites_of, swept, windows_of
@@ -37,7 +37,7 @@ def scored_sites(reads: DataFrame, ref_bases: DataFrame, contigs: DataFrame, con
         usable = rename_reads(read_filter(near, config.min_mapq))
     if config.contigs:
         usable = usable.where(F.col("chrom").isin(*dict.fromkeys(config.contigs)))
-    tokens = read_tokens(usable) if config.max_depth is None else strand_tokens(depth_capped(observations(usable), config.max_depth))
+    tokens = read_tokens(admitted(usable, config.max_depth))
     rules = {"depth": depth, "least": max(round(depth / config.ploidy), config.rd_floor), "min_af": config.min_af, "max_indel": config.max_indel, "uppercase": config.uppercase_ref, "acgt_only": config.acgt_only, "regions": regions}
     if make_predictor is None:
         return binomial_scores(sites_of(swept(tokens, ref_bases, **rules)), config.ploidy)
