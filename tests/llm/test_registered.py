@@ -133,3 +133,16 @@ def test_op9(spark):
         assert r.n_words == len(items[k]) and r.coverage == r.n_matched / r.n_words >= 0.8
         if len(doc) < 300:
             assert r.n_matched == plain_tiles(doc, items[k], 5)
+
+
+def test_op13(spark):
+    got = rows(spark, "op13_token_counts", {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"})
+    counts = {i: len(LIBRARY.encode(t or "", add_special_tokens=False).ids) for i, t in DOCS}
+    assert sorted(tuple(r)[:4] for r in got) == sorted((i, len((t or "").encode()), counts[i], counts[i] > 1024) for i, t in DOCS)
+    assert 0 < sum(r.n_direct for r in got) < sum(r.n_tokens for r in got)
+
+
+def test_columns_of_op11_and_op12(spark):
+    """Their rows are held against DuckDB's in test_sql.py."""
+    assert queries.QUERIES["op11_max_tree"](spark, FOLDER).dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    assert queries.QUERIES["op12_delta_lloyd"](spark, FOLDER).dtypes == [("vec_id", "bigint"), ("code", "string"), ("error", "bigint"), ("label_error", "bigint"), ("codebooks_sha256", "string")]
