@@ -49,4 +49,4 @@ def test_stages_take_empty_tables(spark, folder):
 
 
 def test_queries_are_registered():
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 14))
