@@ -68,11 +68,13 @@ def joined_parts(islands: DataFrame) -> DataFrame:
     """chrom, start1, end1 of what merged_in_parts() returned, merged across parts.
 
     Each part needs to know how far those before it reach (a running maximum), and which
-    interval is open there (a running last value); both are carried over a row a part and contig.
+    interval is open there (a running last value); both are carried over a row a part and contig. Starts ascend in a part, so
+    its last interval is new, and is the one left open, unless all of the part is reached from before.
     """
     earlier = Window.partitionBy("chrom").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    reach = islands.groupBy("chrom", "part").agg(F.max("end1").alias("reach")).select("chrom", "part", F.max("reach").over(earlier).alias("reach"))
-    seen = islands.join(_small(reach), ["chrom", "part"]).withColumn("new", F.col("reach").isNull() | (F.col("start1") > F.col("reach")))
-    owner = seen.groupBy("chrom", "part").agg(F.max(F.when(F.col("new"), F.col("start1"))).alias("last")).select("chrom", "part", F.last("last", ignorenulls=True).over(earlier).alias("open"))
-    owned = seen.join(_small(owner), ["chrom", "part"]).withColumn("start1", F.when(F.col("new"), F.col("start1")).otherwise(F.col("open")))
-    return owned.groupBy("chrom", "start1").agg(F.max("end1").alias("end1"))
+    edges = islands.groupBy("chrom", "part").agg(F.max("end1").alias("end"), F.max("start1").alias("start")).withColumn("reach", F.max("end").over(earlier))
+    own = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("start"))
+    carried = edges.withColumn("own", own).select("chrom", "part", "reach", F.last("own", ignorenulls=True).over(earlier).alias("open"))
+    seen = islands.join(_small(carried), ["chrom", "part"])
+    new = F.col("reach").isNull() | (F.col("start1") > F.col("reach"))
+    return seen.groupBy("chrom", F.when(new, F.col("start1")).otherwise(F.col("open")).alias("start1")).agg(F.max("end1").alias("end1"))
