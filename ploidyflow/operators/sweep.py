@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.cigars import ref_span
@@ -177,7 +177,7 @@ def tops(group: np.ndarray, rank: np.ndarray, n: np.ndarray, groups: int) -> tup
     return best, count
 
 
-class Columns:
+class BinColumns:
     """The covered columns of a bin that the reference has, in order.
 
     pos, strand, code (of words), n, mq: counted tokens. base: the reference's bytes from the bin's begin on, 0 where it has none.
@@ -266,7 +266,7 @@ class Columns:
 SWEPT = "chrom string, bin bigint, pos bigint, k int, n_cols bigint, base string, rd int, ref string, alt string, kind string, ref_num int, alt_num int, f array<bigint>, x array<float>"
 
 
-def _rows(chrom: str, number: int, own: Columns, sites: list[tuple], window: int | None, every: bool, featured: bool, depth: int) -> Iterator[pa.RecordBatch]:
+def _rows(chrom: str, number: int, own: BinColumns, sites: list[tuple], window: int | None, every: bool, featured: bool, depth: int) -> Iterator[pa.RecordBatch]:
     size = len(own.at)
     is_site = np.zeros(size, bool)
     is_site[[s[0] for s in sites]] = True
@@ -353,7 +353,7 @@ def swept(
             text = rest.column("text").combine_chunks().dictionary_encode()
             text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
             pos, side, n, mq = (rest.column(c).to_numpy() for c in ("pos", "strand", "n", "mq"))
-            columns = Columns(self.low, self.base, pos, side, text.indices.to_numpy().astype(np.int64), n, mq, Words(text.dictionary.to_pylist()), uppercase)
+            columns = BinColumns(self.low, self.base, pos, side, text.indices.to_numpy().astype(np.int64), n, mq, Words(text.dictionary.to_pylist()), uppercase)
             if len(columns.at):
                 sites = columns.candidates(least, min_af, max_indel, acgt_only, self.within if bounded else None)
                 yield from _rows(self.chrom, self.number, columns, sites, window, every, featured, depth)
@@ -399,6 +399,21 @@ def numbered(table: DataFrame) -> DataFrame:
     return table.where("pos is not null").drop("n_cols").join(totals, ["chrom", "bin"]).withColumn("ord", F.col("before") + F.col("k")).withColumnRenamed("total", "n_cols").drop("before")
 
 
+def _dealt(numbered: DataFrame, window: int, bin_columns: int) -> DataFrame:
+    """Rows in bins of their ordinals (own), each also in those that a window around it reaches; home is a row's own bin."""
+    near, far = F.floor(F.greatest(F.col("ord") - window, F.lit(0)) / bin_columns), F.floor((F.col("ord") + window) / bin_columns)
+    return numbered.withColumn("home", F.floor(F.col("ord") / bin_columns)).withColumn("own", F.explode(F.sequence(near, far)))
+
+
+def _around(window: int) -> WindowSpec:
+    return Window.partitionBy("chrom", "own").orderBy("ord").rangeBetween(-window, window)
+
+
+def framed(numbered: DataFrame, window: int, name: str, aggregate: Column, bin_columns: int = EDGE_BIN) -> DataFrame:
+    """Columns with ord, and an aggregate over those up to a window before and after each; at a contig's ends over fewer. No contig is one task."""
+    return _dealt(numbered, window, bin_columns).withColumn(name, aggregate.over(_around(window))).where("home = own").drop("home", "own")
+
+
 def windows_of(table: DataFrame, window: int, edge_bin: int = EDGE_BIN) -> DataFrame:
     """SITE and x, the features of 2 * window + 1 covered columns around, of the candidates of a table that was swept with that window and written.
 
@@ -407,9 +422,6 @@ def windows_of(table: DataFrame, window: int, edge_bin: int = EDGE_BIN) -> DataF
     inner = table.where("x is not null").select(*SITE, "x")
     edges = numbered(table).where("f is not null")
     centre = F.col("kind").isNotNull() & F.col("x").isNull() & (F.col("ord") >= window + 2) & (F.col("ord") <= F.col("n_cols") - window)
-    home, reach = F.floor(F.col("ord") / edge_bin), F.sequence(F.floor(F.greatest(F.col("ord") - window, F.lit(0)) / edge_bin), F.floor((F.col("ord") + window) / edge_bin))
-    dealt = edges.select(*SITE, "ord", "f", centre.alias("centre"), home.alias("home"), F.explode(reach).alias("own"))
-    dealt = dealt.withColumn("centre", F.col("centre") & (F.col("home") == F.col("own")))
-    around = Window.partitionBy("chrom", "own").orderBy("ord").rangeBetween(-window, window)
-    met = dealt.withColumn("all", F.when(F.col("centre"), F.flatten(F.collect_list("f").over(around))))
+    dealt = _dealt(edges.select(*SITE, "ord", "f", centre.alias("centre")), window, edge_bin).withColumn("centre", F.col("centre") & (F.col("home") == F.col("own")))
+    met = dealt.withColumn("all", F.when(F.col("centre"), F.flatten(F.collect_list("f").over(_around(window)))))
     return inner.unionByName(met.where("centre").select(*SITE, F.transform("all", lambda v: v.cast("float")).alias("x")))

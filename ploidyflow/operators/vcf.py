@@ -63,7 +63,7 @@ def header_lines(contigs: DataFrame) -> DataFrame:
 def vcf_lines(scored: DataFrame, contigs: DataFrame, ploidy: int) -> DataFrame:
     """section, chrom_ord, pos, line: the whole file's lines, to be put in that order by the sink."""
     head = header_lines(contigs).select("section", "chrom_ord", F.lit(0).cast("bigint").alias("pos"), "line")
-    body = record_lines(scored, ploidy).join(F.broadcast(contigs.select("chrom", "ord")), "chrom")  # a row a contig
+    body = record_lines(scored, ploidy).join(contigs.select("chrom", "ord"), "chrom")
     return head.union(body.select(F.lit(3).alias("section"), F.col("ord").cast("int").alias("chrom_ord"), "pos", "line"))
 
 

@@ -7,6 +7,7 @@ lines are derived from them by SQL that both engines read alike.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, tokens
-from .operators import candidates, depth, encode, pileup, reads, regions, scan, scoring, sweep, vcf
+from .operators import admission, candidates, depth, encode, pileup, reads, regions, scan, scoring, sweep, vcf
 from .plans.calling import read_scored, write_scored
 from .sources import bam, bed, fasta, sam
 from .store import mounted, shared_path, written
@@ -271,6 +272,12 @@ def _read_rename(t: _Tables) -> DataFrame:
     return reads.rename_reads(t.usable()).select("qname", "chrom", "pos", "strand")
 
 
+@_query("read_admission", None)
+def _admission(t: _Tables) -> DataFrame:
+    """Reads that a cap of a dozen admits; whether one is hangs on those before it, which SQL doesn't express (tests hold it against the rule read by read)."""
+    return admission.admitted(t.reads, 12).select("qname", "flag", "chrom", "pos")
+
+
 @_query("contig_depth", _sql("depths", "SELECT * FROM depths"))
 def _contig_depth(t: _Tables) -> DataFrame:
     return t.depths()
@@ -411,8 +418,7 @@ def _full(t: _Tables) -> DataFrame:
 
 @_query("window_rows_frame", _sql("features", f"SELECT chrom, pos, cast(sum(rev_a + fwd_a) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN {WINDOW} PRECEDING AND {WINDOW} FOLLOWING) AS bigint) around FROM features"))
 def _frame(t: _Tables) -> DataFrame:
-    frame = Window.partitionBy("chrom").orderBy("pos").rowsBetween(-WINDOW, WINDOW)
-    return t.columns().select("chrom", "pos", F.sum(F.col("rev_a") + F.col("fwd_a")).over(frame).alias("around"))
+    return sweep.framed(t.columns(), WINDOW, "around", F.sum(F.col("rev_a") + F.col("fwd_a"))).select("chrom", "pos", "around")
 
 
 _S1, _S2 = " + ".join(_FEATURE_NAMES), " + ".join(f"{i} * {x}" for i, x in enumerate(_FEATURE_NAMES, 1))
@@ -437,7 +443,7 @@ _query("window_tensor_ordinal_join", _TENSOR)(_tensor(True))
 @_query("chunk_assignment", _sql("contigs f", "SELECT f.chrom, f.pos, cast(floor((f.pos - 1) / greatest(length // 16, 1)) AS bigint) chunk FROM (SELECT DISTINCT chrom, pos FROM f) f JOIN contigs USING (chrom)"))
 def _chunks(t: _Tables) -> DataFrame:
     size = F.greatest(F.floor(F.col("length") / 16), F.lit(1))
-    return t.usable().select("chrom", "pos").distinct().join(F.broadcast(t.contigs), "chrom").select("chrom", "pos", F.floor((F.col("pos") - 1) / size).alias("chunk"))
+    return t.usable().select("chrom", "pos").distinct().join(t.contigs, "chrom").select("chrom", "pos", F.floor((F.col("pos") - 1) / size).alias("chunk"))
 
 
 _STANDARD = " + ".join(f"({x} - {i}) / {i + 1}.0" for i, x in enumerate(_FEATURE_NAMES))
@@ -607,11 +613,43 @@ def _sam_scan(t: _Tables) -> DataFrame:
     return sam.read_sam(t.spark, path)
 
 
-def _bam(t: _Tables) -> DataFrame:
+def _written_bam(t: _Tables) -> str:
     path = os.path.join(_scratch(t.spark), "reads.bam")
     bam.write_bam(t.reads, [(r.chrom, r.length) for r in t.contigs.orderBy("ord").collect()], path)
     bam.register(t.spark)
-    return t.spark.read.format("bam").option("range_bytes", 100_000).load(path)
+    return path
+
+
+def _bam(t: _Tables, **options: str) -> DataFrame:
+    return t.spark.read.format("bam").options(range_bytes=100_000, **options).load(_written_bam(t))
+
+
+@_query("bam_header", _sql("contigs", "SELECT chrom, length, ord FROM contigs"))
+def _bam_header(t: _Tables) -> DataFrame:
+    found = bam.read_header(_written_bam(t))[1]  # a row a contig
+    return t.spark.createDataFrame([(n, size, k) for k, (n, size) in enumerate(found, 1)], "chrom string, length bigint, ord int")
+
+
+_SPAN = "greatest(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MDN=X]', 1), lambda x: cast(x AS bigint))), 1)"
+_LEVELS = " ".join(f"WHEN (a >> {14 + 3 * k}) = ((z - 1) >> {14 + 3 * k}) THEN {((1 << 3 * (5 - k)) - 1) // 7} + (a >> {14 + 3 * k})" for k in range(5))
+
+
+@_query("bam_index_bins", _sql("reads", f"SELECT DISTINCT chrom, cast(CASE {_LEVELS} ELSE 0 END AS bigint) bin FROM (SELECT chrom, pos - 1 a, cast(pos - 1 + {_SPAN} AS bigint) z FROM reads)"))
+def _bam_bins(t: _Tables) -> DataFrame:
+    """Bins of the index that the sink leaves."""
+    path = _written_bam(t)
+    index = bam.read_bam_index(path, [n for n, _ in bam.read_header(path)[1]])
+    return t.spark.createDataFrame([(n, b) for n in index.names for b in index.bins[n]], "chrom string, bin bigint")
+
+
+#: 1-based, half open; two of them overlap.
+_ASKED = (("chr1", 30, 31), ("chr1", 101, 140), ("chr1", 120, 150), ("chr2", 5, 12))
+
+
+@_query("bam_overlap_scan", _sql("reads", f"{_ALIGNED} WHERE " + " OR ".join(f"(chrom = '{c}' AND pos < {z} AND pos + {_SPAN} > {a})" for c, a, z in _ASKED)))
+def _bam_overlap(t: _Tables) -> DataFrame:
+    """Reads that overlap a region, read through the index."""
+    return _bam(t, regions=json.dumps(_ASKED))
 
 
 @_query("bam_scan", _sql("reads", _ALIGNED))

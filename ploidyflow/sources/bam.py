@@ -462,7 +462,7 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> No
 
     spark = reads.sparkSession
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(contigs)], "chrom string, ref int")
-    placed = reads.join(order.hint("broadcast"), "chrom", "left").fillna({"ref": none})  # a row a contig; what has no contig comes last
+    placed = reads.join(order, "chrom", "left").fillna({"ref": none})  # what has no contig comes last
     ordered = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq", "chrom", F.coalesce(ref_span(F.col("cigar")), F.lit(0)).alias("span"))
     depth, folder = depth_for(max((size for _, size in contigs), default=0)), f"{path}.{uuid.uuid4().hex}"
     try:

@@ -154,6 +154,16 @@ def test_merge_over_parts(spark, parts):
     assert regions.merge_intervals(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bin_columns", [1, 7, sweep.EDGE_BIN])
+def test_framed_sums(spark, bin_columns):
+    """Sums over neighbours in bins of any size, contigs' ends and short contigs included."""
+    values = {"a": [k * 7 % 11 for k in range(60)], "b": [5], "c": [1, 2, 3]}
+    df = spark.createDataFrame([(c, k * 3, k, v) for c, own in values.items() for k, v in enumerate(own, 1)], "chrom string, pos bigint, ord bigint, v bigint")
+    for window in (0, 1, 9):
+        got = {(r.chrom, r.ord): r.x for r in sweep.framed(df, window, "x", F.sum("v"), bin_columns).collect()}
+        assert got == {(c, k): sum(own[max(k - 1 - window, 0) : k + window]) for c, own in values.items() for k in range(1, len(own) + 1)}
+
+
 def test_depth_of_swept_columns(spark):
     obs, refs, columns = tables(spark, 9)
     got = {r.pos: r.rd for r in sweep.swept(encode.strand_tokens(obs), refs, every=True, featured=False).where("pos is not null").collect()}
