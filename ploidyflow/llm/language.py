@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import documents_of, session_setup, text_slices
 
-#: Training texts a language, and bytes read of each; the sample is drawn by a hash of doc_id.
+#: Training texts a language, read whole; the sample is drawn by a hash of doc_id.
 SAMPLE_TEXTS = 1500
 #: Bytes of an n-gram, slots (as a power of 2) and look-ups of an n-gram.
 GRAM = 4
