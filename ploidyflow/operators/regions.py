@@ -25,16 +25,19 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     Blank rows and those that begin with track, browser or # are no regions, nor are
     empty intervals. A row of fewer than three columns, or whose start or end is no whole number, is an error when it is read.
     """
-    is_region = ~F.col("value").rlike("^(track|browser|#)") & (F.trim("value") != "")
-    kept = lines.where(is_region)
-    part = F.split("value", "\t")
-    whole = kept.select("line_no", F.when(is_region & (F.size(part) < 3), F.raise_error(F.concat(F.lit("a BED row has fewer than 3 columns: "), F.col("value")))).otherwise(part).alias("part"))
+    # generated, so that what makes a row's text and its columns runs once a row, however often they are named below
+    once = lines.select("line_no", F.explode(F.array(F.struct("value", F.split("value", "\t").alias("part")))).alias("x"))
+    text, part = F.col("x.value"), F.col("x.part")
+    whole = once.where(~text.rlike("^(track|browser|#)") & (F.trim(text) != ""))
 
     def number(k: int) -> Column:
-        value = F.trim(F.get("part", k)).try_cast("bigint")
-        return F.when(value.isNull(), F.raise_error(F.concat(F.lit("a BED row has a bound that is no whole number: "), F.get("part", k)))).otherwise(value) + 1
+        value = F.get(part, F.lit(k))
+        whole_number = F.trim(value).try_cast("bigint")
+        few = F.raise_error(F.concat(F.lit("a BED row has fewer than 3 columns: "), text))
+        wrong = F.raise_error(F.concat(F.lit("a BED row has a bound that is no whole number: "), value))
+        return F.when(F.size(part) < 3, few).when(whole_number.isNull(), wrong).otherwise(whole_number) + 1
 
-    shifted = whole.select("line_no", F.get("part", 0).alias("chrom"), number(1).alias("start1"), number(2).alias("end1"))
+    shifted = whole.select("line_no", F.get(part, F.lit(0)).alias("chrom"), number(1).alias("start1"), number(2).alias("end1"))
     return shifted.where("end1 > start1")
 
 
