@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ploidyflow import schema
 from ploidyflow.config import CallerConfig
@@ -56,3 +57,43 @@ def test_cap_of_a_call(spark):
         found = scored_sites(spark.createDataFrame(rows, schema.READS), ref, contigs, CallerConfig(ploidy=4, max_depth=most)).collect()
         got[most] = [(r.pos, r.rd, r.alt_num) for r in found]
     assert got == {None: [(14, 80, 40)], 50: [(14, 50, 10)]}
+
+
+def watched(monkeypatch):
+    """Small bins; how many files with rows each pass over them leaves, and which of the passes are whole sequences."""
+    files, whole, put, decider = [], [], admission.written, admission._decider
+
+    def spy(df, name):
+        out = put(df, name)
+        if name == "decided":
+            files.append(out.select(F.input_file_name()).distinct().count())
+        return out
+
+    monkeypatch.setattr(admission, "BIN", 64)
+    monkeypatch.setattr(admission, "written", spy)
+    monkeypatch.setattr(admission, "_decider", lambda most, size, one: whole.append(one) or decider(most, size, one))
+    return files, whole
+
+
+def test_a_deep_contig_is_many_tasks(spark, monkeypatch):
+    """Over the cap from end to end, with gaps that hold reads open over bins: decided bin by bin, and dealt by position."""
+    files, whole = watched(monkeypatch)
+    draw = random.Random(7)
+    rows = [(f"r{draw.random()}", 0, "c", 1 + k // 3, 60, draw.choices(("10M", "5M4D5M", "10S", "3M900N7M"), (50, 30, 20, 0.1))[0], "A" * 10) for k in range(4500)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = admission.admitted(spark.createDataFrame(rows, schema.READS), 13)
+        assert sorted(tuple(r)[:7] for r in got.collect()) == plain(rows, 13)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < sum(sizes) / 2
+    assert min(files[:2]) > 1 and not any(whole)
+
+
+def test_a_begin_that_is_never_forgotten(spark, monkeypatch):
+    """Equal reads at every place: what was open at a bin's begin matters for ever, so the bins are one sequence in the end."""
+    _, whole = watched(monkeypatch)
+    rows = [(f"r{k}", 0, c, k // 4 + (1 if c == "c" else 30), 60, "10M", "A" * 10) for c in "cd" for k in range(3600)]
+    assert sorted(tuple(r) for r in admission.admitted(spark.createDataFrame(rows, schema.READS), 25).collect()) == plain(rows, 25)
+    assert whole == [False] * admission.ROUNDS + [True]
