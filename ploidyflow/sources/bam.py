@@ -41,6 +41,8 @@ PACKED_BASES = "=ACMGRSVTWYHKDBN"
 BATCH, RUN_BYTES = 1 << 14, 4 << 20
 #: Reads that must follow each other for a place to count as a read's begin.
 SURE = 4
+#: Most reads to a part that is written, about.
+PART_READS = 1 << 21
 
 
 def register(spark: SparkSession) -> None:
@@ -446,6 +448,7 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> No
     """Writes reads (schema.READS), in order of contig and position, as one file with its index (.bai, or .csi if a contig is longer than that holds).
 
     Tasks write parts and copy them to their places; the file is in a mounted file system that all executors share.
+    The contigs, which the file's header holds and so the driver, are broadcast; reads are dealt by their order, so that there are no more than PART_READS to a part.
     """
     text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs)
     head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
@@ -462,8 +465,10 @@ def write_bam(reads: DataFrame, contigs: list[tuple[str, int]], path: str) -> No
 
     spark = reads.sparkSession
     order = spark.createDataFrame([(n, k) for k, (n, _) in enumerate(contigs)], "chrom string, ref int")
-    placed = reads.join(order, "chrom", "left").fillna({"ref": none})  # what has no contig comes last
-    ordered = placed.orderBy("ref", "pos", "qname").select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq", "chrom", F.coalesce(ref_span(F.col("cigar")), F.lit(0)).alias("span"))
+    placed = reads.join(F.broadcast(order), "chrom", "left").fillna({"ref": none})  # no contig is one task; what has none comes last
+    parts = -(-reads.count() // PART_READS)
+    dealt = placed.repartitionByRange(parts, "ref", "pos", "qname").sortWithinPartitions("ref", "pos", "qname") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else placed.orderBy("ref", "pos", "qname")
+    ordered = dealt.select("qname", "flag", "ref", "pos", "mapq", "cigar", "seq", "chrom", F.coalesce(ref_span(F.col("cigar")), F.lit(0)).alias("span"))
     depth, folder = depth_for(max((size for _, size in contigs), default=0)), f"{path}.{uuid.uuid4().hex}"
     try:
         write_parts(ordered.mapInArrow(pack, "record binary, chrom string, begin bigint, end bigint"), folder, depth)

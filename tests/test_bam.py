@@ -99,3 +99,25 @@ def test_index_of_bam(tmp_path, spark):
         number = blocks.bin_numbers(np.array([r[3] - 1 for r in own]), np.array([r[3] - 1 + span(r[5]) for r in own]), 5)
         assert set(index.bins[name]) == set(number.tolist())
         assert set(index.linear[name]) == set(range(max((r[3] - 2 + span(r[5]) >> 14) for r in own) + 1))
+
+
+def test_no_contig_is_one_task(tmp_path, spark, monkeypatch):
+    """Reads of one contig are not met with the header's by an exchange of contigs, and go to more parts than a session's exchanges have if they are many."""
+    contigs = [("c1", 900_000)]
+    rows = placed(4, 2000, contigs)
+    seen, put = [], blocks.write_parts
+
+    def spy(lines, folder, depth):
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        put(lines, folder, depth)
+        seen.append((plan, len(json.loads(open(f"{folder}/_parts.json").read()))))
+
+    monkeypatch.setattr(bam, "write_parts", spy)
+    monkeypatch.setattr(bam, "PART_READS", 100)
+    path = str(tmp_path / "x.bam")
+    bam.write_bam(spark.createDataFrame(rows, schema.READS).repartition(3), contigs, path)
+    (plan, parts), = seen
+    assert "rightHint=(strategy=broadcast)" in plan and parts > 10
+    reader = bam.BamReader(path)
+    got = [tuple(x.values()) for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+    assert sorted(got) == sorted(rows) and [r[3] for r in got] == sorted(r[3] for r in rows)
